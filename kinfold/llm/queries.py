@@ -65,11 +65,11 @@ shingles AS (
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM words WHERE len(w) > 0) x),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 shared AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
   GROUP BY a.doc_id, b.doc_id),
 links AS (
   SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
-  WHERE 100 * both >= 80 * (p.n + q.n - both)),
+  WHERE 100 * inter >= 80 * (p.n + q.n - inter)),
 both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(root, node) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT r.root, b.y FROM reach r JOIN both_ways b ON b.x = r.node),
