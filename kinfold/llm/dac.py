@@ -16,9 +16,11 @@ about ``block_tokens`` ids that end with a document, one row of a Parquet table
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -91,36 +93,44 @@ class Block:
         return value
 
 
-_CODERS: dict[str, "WordCoder"] = {}
-
-
 class WordCoder:
-    """Ids of texts by a tokenizer file, word by word where that cannot change the result.
+    """Ids of texts by a tokenizer file, piece by piece where that cannot change the result.
 
-    The tokenizer drops white space and never joins across it, so pieces between blanks are
-    encoded once and remembered.  A special token stands between pieces that are encoded
-    together, so that one call handles many of them; pieces that hold its text go alone.
+    Where the tokenizer's first steps are NFC, white space, lower case and a splitting pattern, the pieces
+    of that pattern are encoded on their own and remembered, and so are words between blanks: what was used lately in one
+    generation, the rest in an older one that is dropped when the newer is full.  A special token stands between pieces that are encoded
+    together, so that one call handles many of them.  Texts that hold a special token's own text are encoded
+    directly, and so is every text where the tokenizer has other first steps.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 300_000, longest: int = 64):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.longest, self.known = Tokenizer.from_file(path), limit, longest, {"": b""}
+        self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.raw: dict[bytes, bytes] = {}
+        self.raw_before: dict[bytes, bytes] = {}
         added = self.tokenizer.get_added_tokens_decoder()
         self.mark = next(((i, t.content) for i, t in sorted(added.items(), reverse=True)), None)
-        self.alone = [t.content for t in added.values()]
-        probe = ["Aé,b", "7x's", "ß"]
-        self.wordwise = self.mark is not None and self._ids(" \n".join(probe)) == b"".join(map(self._ids, probe))
+        self.special = [t.content for t in added.values()]
+        said = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        pattern = cuts[0].get("pattern", {}).get("Regex") if cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") else None
+        self.pieces = regex.compile(pattern).findall if pattern and self.mark and steps == ["NFC", "Replace", "Lowercase"] else None
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         mark, text = self.mark
-        simple = [p for p in pieces if not any(a in p for a in self.alone)]
-        got = {p: self._ids(p) for p in set(pieces).difference(simple)}
-        for lo in range(0, len(simple), 2000):
-            part = simple[lo : lo + 2000]
+        got: dict[str, bytes] = {}
+        for lo in range(0, len(pieces), 2000):
+            part = pieces[lo : lo + 2000]
             ids = np.array(self.tokenizer.encode(text.join(part), add_special_tokens=False).ids, dtype="<u4")
             ends = np.append(np.flatnonzero(ids == mark), len(ids)) * 4
             raw, start = ids.tobytes(), 0
@@ -129,23 +139,75 @@ class WordCoder:
                 start = end + 4
         return got
 
+    def _pieces(self, words: list[str]) -> dict[str, bytes]:
+        """Codes of lower-cased words from the codes of their pieces."""
+        split = [self.pieces(w) for w in words]
+        lacking = set().union(*split).difference(self.known)
+        if len(self.known) + len(lacking) > self.limit:
+            self.known, self.older = {}, self.known
+            lacking = set().union(*split)
+        new = []
+        for p in lacking:
+            if (code := self.older.get(p)) is None:
+                new.append(p)
+            else:
+                self.known[p] = code
+        got = self._learn(new)
+        long = {p: got.pop(p) for p in new if len(p) > self.longest}
+        self.known.update(got)
+        get = self.known.__getitem__
+        if long:
+            get = lambda p: long[p] if p in long else self.known[p]
+        return {w: b"".join(map(get, ps)) for w, ps in zip(words, split, strict=True)}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        if not self.wordwise:
+        if self.pieces is None:
             return [self._ids(t) for t in texts]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.known)
-        if len(self.known) + len(missing) > self.limit:
-            self.known = {"": b""}
+        # Lower-casing a capital sigma depends on its place in Python alone, so such texts go directly.
+        plain = [not any(x in t for x in self.special) and "\u03a3" not in t for t in texts]
+        split = [normalize("NFC", t).lower().replace("\n", " ").split(" ") if ok else [] for t, ok in zip(texts, plain, strict=True)]
+        missing = set().union(*split).difference(self.words)
+        if len(self.words) + len(missing) > self.limit:
+            self.words, self.before = {}, self.words
             missing = set().union(*split)
-            missing.discard("")
-        long = {p for p in missing if len(p) > self.longest}
-        self.known.update(self._learn(list(missing - long)))
+        new = []
+        for w in missing:
+            if (code := self.before.get(w)) is None:
+                new.append(w)
+            else:
+                self.words[w] = code
+        got = self._pieces(new)
+        long = {w: got.pop(w) for w in new if len(w) > self.longest}
+        self.words.update(got)
+        get = self.words.__getitem__
         if long:
-            got = self._learn(list(long))
-            return [b"".join([self.known[p] if p in self.known else got[p] for p in pieces]) for pieces in split]
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+            get = lambda w: long[w] if w in long else self.words[w]
+        return [b"".join(map(get, ws)) if ok else self._ids(t) for t, ws, ok in zip(texts, split, plain, strict=True)]
+
+
+    def codes(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, a run of UTF-8 without ASCII white space, as little-endian 32-bit numbers."""
+        missing = set(words).difference(self.raw)
+        if len(self.raw) + len(missing) > self.limit:
+            self.raw, self.raw_before = {}, self.raw
+            missing = set(words)
+        new = []
+        for w in missing:
+            if (code := self.raw_before.get(w)) is None:
+                new.append(w)
+            else:
+                self.raw[w] = code
+        if new:
+            texts = [w.decode("utf-8", "surrogatepass") for w in new]
+            plain = self.pieces is not None and not any("\u03a3" in t or any(x in t for x in self.special) for t in texts)
+            got = self._pieces([normalize("NFC", t).lower() for t in texts]) if plain else None
+            for w, t in zip(new, texts, strict=True):
+                self.raw[w] = got[normalize("NFC", t).lower()] if plain else self._ids(t)
+        return list(map(self.raw.__getitem__, words))
+
+
+_CODERS: dict[str, WordCoder] = {}
 
 
 def coder(path: str) -> WordCoder:
