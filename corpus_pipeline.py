@@ -1,4 +1,13 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
+
+1. language ID: documents that the conditional random field gives no language go;
+2. near-dedup: of documents whose five-word shingle sets are linked at 0.8, the smallest doc_id stays;
+3. decontamination: documents that hold a benchmark passage go;
+4. mixing: documents are sampled so that source, language and topic meet their target shares of tokens;
+5. tokens: what is left is encoded and written as directly addressable codes; one row a document says where it lies.
+
+All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +15,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm.common import prepare, scratch
+from kinfold.llm import dac, decontam, langcrf, minmax, mixing
+from kinfold.llm.common import prepare, scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+TOKENIZER = "word_bpe_49k.json"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents with a recognised language; those without a letter are rejected."""
+    prepare(spark)
+    labelled = langcrf.label(docs, langcrf.train(docs))
+    return labelled.where(labelled["lang_pred"] != langcrf.UNKNOWN).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies; rows that repeat a kept doc_id with an equal text are one document."""
+    groups = minmax.near_duplicates(docs, width=5, percent=80)
+    gone = groups.where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    leaked = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sample documents by calibrated rates."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the codes and give each document's place in them."""
+    import public_tokenizers
+
+    path = scratch(spark, "tokens")
+    dac.write_tokens(docs, path, public_tokenizers.path(TOKENIZER))
+    return dac.read_tokens(spark, path)
+
+
+STAGES: list[tuple[str, Stage]] = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
 
 #: A conditional random field, a hash search and a tokenizer have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import prepare, scratch, table
+from kinfold.llm.common import doc_bucket, prepare, scratch, table
 
 #: The tokenizer file that token queries use.
 TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +41,64 @@ def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.secretscan import as_text, scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.mixing import mix
+
+    kept = mix(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("c_source").alias("source"), F.col("c_lang").alias("lang"), F.col("c_topic").alias("topic"), F.col("c_tokens").alias("tokens"), F.round("rate", 9).alias("rate"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.toxicmil import score, train
+
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (doc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.langcrf import label, train
+
+    docs = table(prepare(spark), sf_dir, "documents")
+    labelled = label(docs.select("doc_id", "text"), train(docs.select("doc_id", "text", "lang")))
+    return labelled.select("doc_id", (doc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.attnlm import score_texts
+
+    out = score_texts(table(spark, sf_dir, "documents"), doc_bucket("doc_id", 7) != 2, _tokenizer())
+    return out.withColumn("held_out", doc_bucket("doc_id", 7) == 2)
+
+
+def op1_ads_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.adsearch import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP5_SQL = """
 WITH lines AS (
   SELECT doc_id, i AS pos, parts[i] AS line,
@@ -79,9 +137,35 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN least l ON l.node = d.doc
 """
 
 
+OP10_SQL = """
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+         CASE WHEN regexp_matches(coalesce(text, ''), '(License|LICENSE|Copyright|copyright)') THEN 'licence'
+              WHEN regexp_matches(coalesce(text, ''), '[a-z0-9]@[a-z0-9]') THEN 'contact'
+              WHEN regexp_matches(coalesce(text, ''), '([*]{3}|[#]{3}|[%]{3}|[$]{3}|[&]{3})') THEN 'markup' ELSE 'prose' END AS topic,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens
+  FROM documents),
+cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM rows_ WHERE tokens > 0 GROUP BY ALL),
+by_source AS (SELECT source, t / sum(t) OVER () AS ts FROM (SELECT source, pow(sum(tokens), 0.9) AS t FROM cells GROUP BY source) a),
+by_lang AS (SELECT lang, t / sum(t) OVER () AS tl FROM (SELECT lang, pow(sum(tokens), 0.9) AS t FROM cells GROUP BY lang) a),
+by_topic AS (SELECT topic, t / sum(t) OVER () AS tt FROM (SELECT topic, pow(sum(tokens), 0.9) AS t FROM cells GROUP BY topic) a),
+aimed AS (SELECT * FROM cells JOIN by_source USING (source) JOIN by_lang USING (lang) JOIN by_topic USING (topic)),
+fit AS (
+  SELECT 0 AS n, source, lang, topic, tokens, ts, tl, tt, tokens AS w FROM aimed
+  UNION ALL
+  SELECT n + 1, source, lang, topic, tokens, ts, tl, tt, w * tt / sum(w) OVER (PARTITION BY topic)
+  FROM (SELECT * REPLACE (w * tl / sum(w) OVER (PARTITION BY lang) AS w)
+        FROM (SELECT * REPLACE (w * ts / sum(w) OVER (PARTITION BY source) AS w) FROM fit WHERE n < 12) a) b),
+rates AS (SELECT source, lang, topic, (w / tokens) / max(w / tokens) OVER () AS rate FROM fit WHERE n = 12)
+SELECT r.doc_id, r.source, r.lang, r.topic, r.tokens, round(CASE WHEN r.tokens = 0 THEN 1 ELSE coalesce(rate, 0) END, 9) AS rate
+FROM rows_ r LEFT JOIN rates USING (source, lang, topic)
+WHERE ('0x' || substr(md5('11:' || r.doc_id), 1, 13))::BIGINT / pow(16, 13) < CASE WHEN r.tokens = 0 THEN 1 ELSE coalesce(rate, 0) END
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_codes, op5_line_dedup, op6_minmax_dedup)}
+    return {f.__name__: f for f in (op1_ads_search, op2_toxicity, op4_attention_lm, op8_language_id, op3_token_codes, op5_line_dedup, op6_minmax_dedup, op7_secret_scan, op9_decontamination, op10_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op6_minmax_dedup": OP6_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_minmax_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
