@@ -7,9 +7,9 @@ probability (1 - 0.8^5)^32, about 3 in a million.
 
 Documents with equal shingle sets are one representative from the start.  In every bucket each
 representative is held against the smallest one; confirmed links give components.  Where a bucket
-then holds several components, the members outside its largest one are held against those of
-the other components: no candidate that could still join two components goes unchecked, and a
-bucket of copies never emits its pairs.  Every link is confirmed on the full sets.
+holds several components, the members outside its largest one are held against one of its members,
+another in each round, and at last against every member of another component: no candidate that could still join two
+components goes unchecked, and a bucket of copies never emits its pairs.  Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from kinfold.llm.common import Memo, prepare, stored, words_of
 from kinfold.operators.graphs import components
 
 PERMUTATIONS, ROWS, SEED = 80, 5, 20240607
+#: Rounds in which members outside a bucket's largest component meet one of its members, before they meet all.
+PIVOT_ROUNDS = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _HASH = Memo(xxhash.xxh64_intdigest, 300_000)
 
@@ -115,21 +117,30 @@ def _similar(percent: int):
     return similar
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (id1, id2) whose full sets are similar; only the texts that take part are read."""
-    ids = pairs.select(F.col("id1").alias("doc_id")).union(pairs.select(F.col("id2"))).distinct()
+def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``doc_id, shingles`` for the ids, each set once as sorted 64-bit hashes."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [shingle_hashes(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["doc_id", "shingles"])
 
-    known = stored(texts.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, shingles binary"), "shingles")
+    return texts.join(ids, "doc_id", "left_semi").mapInArrow(make, "doc_id bigint, shingles binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (id1, id2) whose full sets are similar; only sets that take part are shuffled."""
+    ids = pairs.select(F.col("id1").alias("doc_id")).union(pairs.select(F.col("id2"))).distinct()
+    known = sets.join(ids, "doc_id", "left_semi")
     first = known.select(F.col("doc_id").alias("id1"), F.col("shingles").alias("x"))
     second = known.select(F.col("doc_id").alias("id2"), F.col("shingles").alias("y"))
     return pairs.join(first, "id1").join(second, "id2").where(_similar(percent)("x", "y")).select("id1", "id2")
 
 
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("id1"), F.greatest(a, b).alias("id2")]
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -148,25 +159,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     buckets = cells.groupBy("cell").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = stored(buckets.select("cell", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")), "buckets")
     members = stored(cells.join(buckets, "cell"), "members")
+    sets = stored(_sets(texts, members.select(F.col("rep").alias("doc_id")).distinct(), width), "shingles")
     close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    stars = members.where((F.col("rep") != F.col("lead")) & close("n", "lead_n")).select(F.least("rep", "lead").alias("id1"), F.greatest("rep", "lead").alias("id2")).distinct()
-    stars = stored(stars, "stars")
-    links = stored(_confirmed(stars, texts, width, percent), "links")
-    # Rows that share a doc_id or a set are links too, without a check.
+    tried = stored(members.where((F.col("rep") != F.col("lead")) & close("n", "lead_n")).select(*_pair("rep", "lead")).distinct(), "stars")
+    links = stored(_confirmed(tried, sets, percent), "links")
+    for turn in range(PIVOT_ROUNDS + 1):
+        # Buckets that hold several components, and the largest of each.
+        found = components(links)
+        placed = members.join(found, members["rep"] == found["node"], "left").select("cell", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        placed = stored(placed, "placed")
+        counts = placed.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("c"))
+        mixed = counts.groupBy("cell").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "comp"))["comp"].alias("main")).where("parts > 1").select("cell", "main")
+        placed = stored(placed.join(stored(mixed, "mixed"), "cell"), "split")
+        few = placed.where("comp <> main").select("cell", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("comp").alias("c1"))
+        if turn < PIVOT_ROUNDS:
+            # Members outside the largest component against one of its members, another one each round.
+            draw = F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n")
+            pivots = placed.where("comp = main").groupBy("cell").agg(F.min(draw).alias("p")).select("cell", F.col("p.rep").alias("r2"), F.col("p.n").alias("n2"))
+            pairs = few.join(stored(pivots, "pivots"), "cell")
+        else:
+            # What is left against every member of another component.
+            every = placed.select("cell", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("comp").alias("c2"), "main")
+            pairs = few.join(every, "cell").where("c1 <> c2 and (c2 = main or r1 < r2)")
+        pairs = pairs.where(close("n1", "n2")).select(*_pair("r1", "r2")).distinct().join(tried, ["id1", "id2"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        links = stored(links.union(_confirmed(pairs, sets, percent)), "links")
+        tried = tried.union(pairs)
+    # Documents with equal sets are linked without a check.
     same = some.join(reps.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("id1"), F.col("doc_id").alias("id2"))
-    found = stored(components(links), "components")
-    # Buckets that hold several components: all but the largest against the rest.
-    placed = members.join(found, members["rep"] == found["node"], "left").select("cell", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    counts = placed.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counts.groupBy("cell").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "comp"))["comp"].alias("main")).where("parts > 1").select("cell", "main")
-    mixed = stored(mixed, "mixed")
-    placed = stored(placed.join(mixed, "cell"), "placed")
-    few = placed.where("comp <> main").select("cell", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("comp").alias("c1"))
-    every = placed.select("cell", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("comp").alias("c2"), "main")
-    cross = few.join(every, "cell").where("c1 <> c2 and (c2 = main or r1 < r2)").where(close("n1", "n2"))
-    cross = cross.select(F.least("r1", "r2").alias("id1"), F.greatest("r1", "r2").alias("id2")).distinct().join(stars, ["id1", "id2"], "left_anti")
-    more = _confirmed(stored(cross, "cross"), texts, width, percent)
-    joined = links.union(more).union(same)
+    joined = links.union(same)
     final = components(joined)
     out = prints.join(final, prints["doc_id"] == final["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
