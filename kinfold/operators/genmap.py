@@ -34,9 +34,8 @@ def interpolate(sites: DataFrame, gmap: DataFrame) -> DataFrame:
     knots = gmap.groupBy("chrom", "bp").agg(F.min("cm").alias("cm")).select("chrom", "bp", "cm", F.lit(0).alias("kind"))
     both = knots.union(sites.select("chrom", "bp", F.lit(None).cast("double"), F.lit(1)))
     knot = F.when(F.col("kind") == 0, F.struct("bp", "cm"))
-    order = Window.partitionBy("chrom").orderBy("bp", "kind")
-    back = F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(knot, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # Both look back, one from each side: a frame that starts at the current row would be read again for every row.
+    back, ahead = (F.last(knot, ignorenulls=True).over(Window.partitionBy("chrom").orderBy(at, "kind").rowsBetween(Window.unboundedPreceding, 0)) for at in (F.asc("bp"), F.desc("bp")))
     placed = both.withColumns({"a": back, "b": ahead}).where("kind = 1")
     slope = F.try_divide(F.col("b.cm") - F.col("a.cm"), (F.col("b.bp") - F.col("a.bp")).cast("double"))
     inside = F.col("a.cm") + (F.col("bp") - F.col("a.bp")) * F.coalesce(slope, F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.plans.lineage import stored
@@ -40,3 +40,74 @@ def components(edges: DataFrame, a: str = "id1", b: str = "id2", max_rounds: int
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     # Every remaining edge is a node and its smallest one.
     return nodes.join(now, nodes["u"] == now["u"], "left").select(nodes["u"].alias("node"), F.coalesce(now["v"], nodes["u"]).alias("component"))
+
+
+def independent_set(nodes: DataFrame, edges: DataFrame, order: list[Column]) -> DataFrame:
+    """The set that a visit of all nodes in ``order`` would take, each unless a neighbour is taken.
+
+    Every round takes all undecided nodes that come before all their undecided neighbours and drops the
+    neighbours of those taken; for a strict order the result is that of the one-by-one visit.
+    """
+    ranked = stored(nodes.select("iid", F.struct(*order, F.col("iid").alias("iid")).alias("place")), "ranked")
+    both = edges.where("id1 <> id2").select(F.col("id1").alias("a"), F.col("id2").alias("b")).union(edges.where("id1 <> id2").select(F.col("id2"), F.col("id1"))).distinct()
+    side = lambda k: ranked.select(F.col("iid").alias(k), F.col("place").alias(f"p{k}"))
+    # For each node the neighbours that come before it.
+    after = stored(both.join(side("a"), "a").join(side("b"), "b").where("pb < pa").select("a", "b"), "before")
+    open_, taken = ranked.select("iid"), []
+    while not open_.isEmpty():
+        held = after.select(F.col("a").alias("iid")).distinct()
+        now = stored(open_.join(held, "iid", "left_anti"), "taken")
+        taken.append(now)
+        gone = after.join(now.select(F.col("iid").alias("b")), "b", "left_semi").select(F.col("a").alias("iid")).distinct()
+        decided = stored(now.union(gone).distinct(), "decided")
+        open_ = stored(open_.join(decided, "iid", "left_anti"), "open")
+        after = after.join(decided.select(F.col("iid").alias("a")), "a", "left_anti").join(decided.select(F.col("iid").alias("b")), "b", "left_anti")
+        after = stored(after, "before")
+    out = taken[0] if taken else ranked.select("iid").limit(0)
+    for more in taken[1:]:
+        out = out.union(more)
+    return out
+
+
+def unrelated_set(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
+    """Visit by initial degree, ties by a hash of (seed, id)."""
+    degree = edges.where("id1 <> id2").select(F.explode(F.array("id1", "id2")).alias("iid")).groupBy("iid").agg(F.count(F.lit(1)).alias("degree"))
+    known = nodes.select("iid").join(degree, "iid", "left").fillna(0, ["degree"])
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("iid").cast("string")).cast("binary"))
+    return independent_set(known, edges, [F.col("degree"), mark])
+
+
+def best_of_seeds(nodes: DataFrame, edges: DataFrame, seeds: list[int], target: int | None = None) -> DataFrame:
+    """The largest of the sets of several seeds, the first on ties; stops early at ``target``."""
+    best, most = None, -1
+    for seed in seeds:
+        found = stored(unrelated_set(nodes, edges, seed), "set")
+        if (size := found.count()) > most:
+            best, most = found, size
+        if target is not None and most >= target:
+            break
+    return best
+
+
+def ranked_independent_set(counts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Start from the one with the most unrelated others and grow in that order; ties go to the larger id."""
+    backwards = F.col("iid") if dict(counts.dtypes)["iid"] == "string" else -F.col("iid")
+    if dict(counts.dtypes)["iid"] == "string":
+        ranks = counts.select("iid", "n_unrelated", F.transform(F.split("iid", ""), lambda c: -F.ascii(c)).alias("back"))
+        return independent_set(ranks, edges, [-F.col("n_unrelated"), F.col("back")])
+    return independent_set(counts, edges, [-F.col("n_unrelated"), backwards])
+
+
+def two_colour(edges: DataFrame, a: str = "id1", b: str = "id2", max_rounds: int = 60) -> DataFrame:
+    """``node, component, colour, conflict``: parity of the distance to the component's smallest node.
+
+    Every node is doubled into an even and an odd copy and every edge joins copies of different parity.  The components of the
+    doubled graph then tell the parity; an odd cycle puts both copies of a node into one.
+    """
+    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
+    doubled = ends.select(F.inline(F.array(*[F.struct(F.struct("u", F.lit(s).alias("s")).alias("id1"), F.struct(F.col("v").alias("u"), F.lit(1 - s).alias("s")).alias("id2")) for s in (0, 1)])))
+    found = stored(components(doubled, max_rounds=max_rounds), "colours")
+    flat = found.select(F.col("node.u").alias("node"), F.col("node.s").alias("s"), F.col("component.u").alias("root"), F.col("component.s").alias("root_s"))
+    # The even copy of the component's smallest node leads; the copy of a node that follows it has the node's colour.
+    same = F.max(F.when(F.col("root_s") == 0, F.col("s")))
+    return flat.groupBy("node").agg(F.min("root").alias("component"), F.min(F.when(F.col("root_s") == 0, F.col("s"))).alias("colour"), (F.count_distinct("root", "root_s") == 1).alias("conflict"), same.alias("top")).select("node", "component", F.coalesce("colour", F.lit(0)).alias("colour"), "conflict")

@@ -84,8 +84,8 @@ def coverage(ibd1: str = "ibd1seg", ibd2: str = "ibd2seg") -> Column:
 def lookup_pairs(df: DataFrame, king: DataFrame, defaults: dict, a: str = "id1", b: str = "id2") -> DataFrame:
     """Values of unordered pairs (a, b) from a table of canonical pairs, defaults where absent."""
     names = list(defaults)
-    side = king.select(F.col("id1").alias("k1"), F.col("id2").alias("k2"), *names)
-    out = df.join(side, (F.least(a, b) == F.col("k1")) & (F.greatest(a, b) == F.col("k2")), "left").drop("k1", "k2")
+    side = king.select(F.col("id1").alias("__k1"), F.col("id2").alias("__k2"), *names)
+    out = df.join(side, (F.least(a, b) == F.col("__k1")) & (F.greatest(a, b) == F.col("__k2")), "left").drop("__k1", "__k2")
     return out.withColumns({n: F.coalesce(n, F.lit(v)) for n, v in defaults.items()})
 
 
