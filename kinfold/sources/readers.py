@@ -117,7 +117,7 @@ def vcf_samples(spark: SparkSession, path: str) -> DataFrame:
 def with_sample_ids(segments: DataFrame, samples: DataFrame) -> DataFrame:
     """Segments whose id1 and id2 are column indexes get the samples' ids."""
     name = lambda k: samples.select(F.col("idx").alias(f"id{k}"), F.col("iid").alias(f"name{k}"))
-    return segments.join(name(1), "id1").join(name(2), "id2").withColumns({"id1": F.col("name1"), "id2": F.col("name2")}).drop("name1", "name2")
+    return segments.join(name(1), "id1").join(name(2), "id2").withColumns({"id1": F.col("name1"), "id2": F.col("name2")}).select(*segments.columns)
 
 
 def read_vcf_lines(spark: SparkSession, path: str) -> DataFrame:
