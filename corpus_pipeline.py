@@ -26,8 +26,8 @@ TOKENIZER = "word_bpe_49k.json"
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a recognised language; those without a letter are rejected."""
     prepare(spark)
-    labelled = langcrf.label(docs, langcrf.train(docs))
-    return labelled.where(labelled["lang_pred"] != langcrf.UNKNOWN).select(*docs.columns)
+    labelled = langcrf.label(docs, langcrf.train(docs), ("__lang_pred", "__score"))
+    return labelled.where(labelled["__lang_pred"] != langcrf.UNKNOWN).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample documents by calibrated rates."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, labels=False)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

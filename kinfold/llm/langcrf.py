@@ -220,14 +220,15 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS, modulus: int = 4, left_ou
     return fit(langs, texts)
 
 
-def label(docs: DataFrame, field: Field) -> DataFrame:
-    """The rows of ``docs`` with ``lang_pred`` and ``score``.
+def label(docs: DataFrame, field: Field, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of ``docs`` with the language and its probability; columns of the two names given are replaced.
 
     A null text or one without a letter is ``und`` with score 0, as is every text where nothing was learned.
     Ties go to the first language in order.  Every row is labelled on its own, so repeated rows get equal labels.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(field)
+    docs = docs.drop(*out)
     names = docs.columns
     text = names.index("text")
 
@@ -243,7 +244,7 @@ def label(docs: DataFrame, field: Field) -> DataFrame:
                     held, size = [], 0
             out += shared.value.label(held)
             columns = [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, *out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(work, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(work, f"{fields}, `{out[0]}` string, `{out[1]}` double")

@@ -53,8 +53,8 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The rows of ``docs`` with ``n_lines``, ``n_dropped`` and ``kept`` (the lines that stay, joined by newline).
 
-    A null or empty text is one empty line.  All other columns stay as they are, whatever their names
-    except these three.
+    A null or empty text is one empty line.  All other columns stay as they are; columns of these
+    three names are replaced.
     """
     marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("keep").alias("__keep")).hint("shuffle_hash")
     rows = docs.withColumns({"__text": F.coalesce("text", F.lit("")), "__hash": _row()})
@@ -69,4 +69,5 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     kept = F.when(F.col("__keep").isNull(), F.col("__text")).otherwise(F.concat_ws("\n", "__left"))
     n_dropped = F.when(F.col("__keep").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("__left")).cast("bigint")
     both = both.withColumns({"kept": kept, "n_dropped": n_dropped})
-    return both.select(*docs.columns, "n_lines", "n_dropped", "kept")
+    made = ("n_lines", "n_dropped", "kept")
+    return both.select(*[c for c in docs.columns if c not in made], *made)

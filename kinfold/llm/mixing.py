@@ -34,9 +34,9 @@ def topic() -> Column:
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """The rows with the cell columns c_source, c_lang, c_topic and ``c_tokens``, the number of words."""
+    """The rows with the cell columns ``__source``, ``__lang``, ``__topic`` and ``__tokens``, the number of words."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint")
-    return docs.withColumns({"c_source": F.coalesce("source", F.lit(NONE)), "c_lang": F.coalesce("lang", F.lit(NONE)), "c_topic": topic(), "c_tokens": words})
+    return docs.withColumns({"__source": F.coalesce("source", F.lit(NONE)), "__lang": F.coalesce("lang", F.lit(NONE)), "__topic": topic(), "__tokens": words})
 
 
 def tempered(cells: DataFrame, dim: str, power: float = TEMPER) -> DataFrame:
@@ -77,21 +77,25 @@ def unit(seed: int) -> Column:
     return F.conv(F.substring(mark, 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(float(16**HEX_DIGITS))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 11) -> DataFrame:
-    """The sampled rows of ``docs`` with c_source, c_lang, c_topic, c_tokens and ``rate``.
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 11, labels: bool = True) -> DataFrame:
+    """The sampled rows of ``docs``; with ``labels`` also c_source, c_lang, c_topic, c_tokens and rate, replacing columns of these names.
 
-    Targets are shares by dimension (c_source, c_lang, c_topic), by default the tempered shares.  Null labels form a class of their own.
+    Targets are tables of shares (``__source``, ``__lang`` or ``__topic``, and ``target``) by dimension, by default the tempered shares.  Null labels form a class of their own.
     Texts without words have rate 1 and stay, as they carry no tokens.  Rows with one doc_id share their draw.  A cell whose target
     is missing has rate 0.  An empty table gives an empty table.
     """
     rows = labelled(docs)
-    dims = [f"c_{d}" for d in DIMS]
-    cells = stored(rows.where("c_tokens > 0").groupBy(*dims).agg(F.sum("c_tokens").alias("tokens")), "cells")
+    dims = [f"__{d}" for d in DIMS]
+    cells = stored(rows.where("__tokens > 0").groupBy(*dims).agg(F.sum("__tokens").alias("tokens")), "cells")
     if targets is None:
         targets = {d: tempered(cells, d) for d in dims}
     fitted = rake(cells, targets).withColumn("ratio", F.col("w") / F.col("tokens"))
     count, top = fitted.agg(F.count(F.lit(1)), F.max("ratio")).first()
-    rates = fitted.select(*dims, (F.col("ratio") / F.lit(top or 1.0)).alias("rate"))
+    rates = fitted.select(*dims, (F.col("ratio") / F.lit(top or 1.0)).alias("__rate"))
     joined = rows.join(F.broadcast(rates) if count <= BROADCAST_CELLS else rates, dims, "left")
-    joined = joined.withColumn("rate", F.when(F.col("c_tokens") == 0, 1.0).otherwise(F.coalesce("rate", F.lit(0.0))))
-    return joined.where(unit(seed) < F.col("rate")).select(*docs.columns, *dims, "c_tokens", "rate")
+    joined = joined.withColumn("__rate", F.when(F.col("__tokens") == 0, 1.0).otherwise(F.coalesce("__rate", F.lit(0.0))))
+    kept = joined.where(unit(seed) < F.col("__rate"))
+    if not labels:
+        return kept.select(*docs.columns)
+    made = {f"c_{d}": f"__{d}" for d in (*DIMS, "tokens")} | {"rate": "__rate"}
+    return kept.select(*[c for c in docs.columns if c not in made], *[F.col(v).alias(k) for k, v in made.items()])

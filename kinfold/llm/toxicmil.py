@@ -134,10 +134,11 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int =
 def score(docs: DataFrame, model: Sentences, locate: float | None = None) -> DataFrame:
     """The rows of ``docs`` with ``score``; with ``locate`` also ``offending``, the sentences of at least that probability.
 
-    Null and empty texts score 0 and have no sentences.  Rows are scored one by one, so repeated rows score alike.
+    Columns of these names are replaced.  Null and empty texts score 0 and have no sentences.  Rows are scored one by one, so repeated rows score alike.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop("score", "offending")
     names, text = docs.columns, docs.columns.index("text")
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
