@@ -234,16 +234,16 @@ def label(docs: DataFrame, field: Field, out: tuple[str, str] = ("lang_pred", "s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[str, float]] = []
+            got: list[tuple[str, float]] = []
             held, size = [], 0
             for t in batch.column(text):
                 held.append(t.as_py())
                 size += len(held[-1] or "") // 5
                 if size >= CHUNK_WORDS:
-                    out += shared.value.label(held)
+                    got += shared.value.label(held)
                     held, size = [], 0
-            out += shared.value.label(held)
-            columns = [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
+            got += shared.value.label(held)
+            columns = [*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, *out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
