@@ -6,10 +6,10 @@ values name buckets.  With 80 permutations, bands of 5 and similarity 0.8 a link
 probability (1 - 0.8^5)^32, about 3 in a million.
 
 Documents with equal shingle sets are one representative from the start.  In every bucket each
-representative is held against the smallest one; confirmed links give components.  Where a bucket
-holds several components, the members outside its largest one are held against one of its members,
-another in each round, and at last against every member of another component: no candidate that could still join two
-components goes unchecked, and a bucket of copies never emits its pairs.  Every link is confirmed on the full sets.
+representative is held against the smallest one, its leader; confirmed links give components.
+Two members of a bucket that are still in different components can only be linked if one of them is outside the
+leader's component.  These few are held against all members of the leader, in blocks and on exact set differences, so no candidate that could
+still join two components goes unchecked, and a bucket of copies never emits its pairs.  Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from kinfold.llm.common import Memo, prepare, stored, words_of
 from kinfold.operators.graphs import components
 
 PERMUTATIONS, ROWS, SEED = 80, 5, 20240607
-#: Rounds in which members outside a bucket's largest component meet one of its members, before they meet all.
-PIVOT_ROUNDS = 2
+#: Most members of a leader, and most of those outside its component, that meet in one task.
+BLOCK_MEMBERS, BLOCK_OUTSIDE = 1024, 256
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _HASH = Memo(xxhash.xxh64_intdigest, 300_000)
 
@@ -137,8 +137,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "id1").join(second, "id2").where(_similar(percent)("x", "y")).select("id1", "id2")
 
 
-def _pair(a: str, b: str) -> list:
-    return [F.least(a, b).alias("id1"), F.greatest(a, b).alias("id2")]
+def _differences():
+    """Of two shingle sets as bytes: the hashes in one of them only, sorted."""
+
+    @F.pandas_udf("binary")
+    def difference(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([np.setxor1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True).tobytes() for p, q in zip(x, y, strict=True)], dtype=object)
+
+    return difference
+
+
+def _among_members(stars: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (id1, id2) between members of one leader that the leader's own links leave in different components.
+
+    One of two such members is in another component than the leader.  These are held against all members in blocks: a task takes a piece of
+    the leader's members and a piece of those outside, as differences from the leader's set, which give the exact
+    intersection and union of any two.  Only links leave the task.
+    """
+    lead = found.select(F.col("node").alias("lead"), F.col("component").alias("lead_comp"))
+    rep = found.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    placed = stars.join(lead, "lead", "left").join(rep, "rep", "left").select("lead", "rep", "n", F.coalesce("comp", "rep").alias("comp"), F.coalesce("lead_comp", "lead").alias("lead_comp"))
+    placed = stored(placed.withColumn("out", F.col("comp") != F.col("lead_comp")), "placed")
+    # The leader of one member, or of members that all follow it, has nothing left to check.
+    sizes = placed.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("out").cast("int")).alias("outs")).where("size > 1 and outs > 0")
+    sizes = stored(sizes.select("lead", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("m"), F.ceil(F.col("outs") / BLOCK_OUTSIDE).cast("int").alias("o")), "sizes")
+    rows = placed.join(sizes, "lead").select("lead", "rep", "n", "comp", "out", "m", "o")
+    first = sets.select(F.col("doc_id").alias("lead"), F.col("shingles").alias("x"))
+    second = sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("y"))
+    rows = stored(rows.join(first, "lead").join(second, "rep").withColumn("d", _differences()("x", "y")).drop("x", "y"), "differences")
+    piece = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    keep = ["lead", "a", "b", "rep", "n", "comp", "d"]
+    members = rows.withColumn("a", piece("m")).withColumn("b", every("o")).select(*keep)
+    outside = rows.where("out").withColumn("b", piece("o")).withColumn("a", every("m")).select(*keep)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        got: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            parts = [np.frombuffer(d, np.uint64) for d in left["d"]]
+            width, reps, comps, n = np.array([len(p) for p in parts]), left["rep"].to_numpy(), left["comp"].to_numpy(), left["n"].to_numpy()
+            flat, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), width)
+            for r, c, k, d in zip(right["rep"], right["comp"], right["n"], right["d"], strict=True):
+                mine = np.frombuffer(d, np.uint64)
+                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                both = np.bincount(owner[mine[at] == flat], minlength=len(parts))
+                apart = len(mine) + width - 2 * both
+                union = (n + k + apart) // 2
+                for x in reps[(100 * (union - apart) >= percent * union) & (comps != c)].tolist():
+                    got.append((min(r, x), max(r, x)))
+        return pd.DataFrame(got, columns=["id1", "id2"], dtype="int64")
+
+    keys = ["lead", "a", "b"]
+    return members.groupBy(*keys).cogroup(outside.groupBy(*keys)).applyInPandas(meet, "id1 bigint, id2 bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
@@ -158,33 +208,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     cells = reps.select("rep", "n", F.explode("bands").alias("cell"))
     buckets = cells.groupBy("cell").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = stored(buckets.select("cell", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")), "buckets")
-    members = stored(cells.join(buckets, "cell"), "members")
-    sets = stored(_sets(texts, members.select(F.col("rep").alias("doc_id")).distinct(), width), "shingles")
-    close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    tried = stored(members.where((F.col("rep") != F.col("lead")) & close("n", "lead_n")).select(*_pair("rep", "lead")).distinct(), "stars")
-    links = stored(_confirmed(tried, sets, percent), "links")
-    for turn in range(PIVOT_ROUNDS + 1):
-        # Buckets that hold several components, and the largest of each.
-        found = components(links)
-        placed = members.join(found, members["rep"] == found["node"], "left").select("cell", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        placed = stored(placed, "placed")
-        counts = placed.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("c"))
-        mixed = counts.groupBy("cell").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "comp"))["comp"].alias("main")).where("parts > 1").select("cell", "main")
-        placed = stored(placed.join(stored(mixed, "mixed"), "cell"), "split")
-        few = placed.where("comp <> main").select("cell", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("comp").alias("c1"))
-        if turn < PIVOT_ROUNDS:
-            # Members outside the largest component against one of its members, another one each round.
-            draw = F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n")
-            pivots = placed.where("comp = main").groupBy("cell").agg(F.min(draw).alias("p")).select("cell", F.col("p.rep").alias("r2"), F.col("p.n").alias("n2"))
-            pairs = few.join(stored(pivots, "pivots"), "cell")
-        else:
-            # What is left against every member of another component.
-            every = placed.select("cell", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("comp").alias("c2"), "main")
-            pairs = few.join(every, "cell").where("c1 <> c2 and (c2 = main or r1 < r2)")
-        pairs = pairs.where(close("n1", "n2")).select(*_pair("r1", "r2")).distinct().join(tried, ["id1", "id2"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        links = stored(links.union(_confirmed(pairs, sets, percent)), "links")
-        tried = tried.union(pairs)
+    stars = stored(cells.join(buckets, "cell").where("rep <> lead").select("lead", "rep", "lead_n", "n").distinct(), "stars")
+    ids = stars.select(F.col("lead").alias("doc_id")).union(stars.select("rep")).distinct()
+    sets = stored(_sets(texts, ids, width), "shingles")
+    close = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
+    links = stored(_confirmed(stars.where(close).select(F.col("lead").alias("id1"), F.col("rep").alias("id2")), sets, percent), "links")
+    links = links.union(stored(_among_members(stars, components(links), sets, percent), "more"))
     # Documents with equal sets are linked without a check.
     same = some.join(reps.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("id1"), F.col("doc_id").alias("id2"))
     joined = links.union(same)
