@@ -68,7 +68,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = CYCLES,
             now = now.join(factor, dim).withColumn("w", F.col("w") * F.col("f")).drop("f")
         if n % STORE_EVERY == 0 or n == cycles:
             now = stored(now, "raked")
-    return now
+    return now.select(*cells.columns, "w")
 
 
 def unit(seed: int) -> Column:
