@@ -206,7 +206,7 @@ def population_pairs(king, people):
     return P.population_subset(king, people, "BUILDING")
 
 
-@query("fam people", "SELECT f.iid, fid, father, mother, sex, coalesce(popl, 'pop1') AS popl, CAST(age AS DOUBLE) AS age FROM fam f LEFT JOIN people p ON p.iid = f.iid")
+@query("fam people", "SELECT f.iid, fid, nullif(father, 0) AS father, nullif(mother, 0) AS mother, sex, coalesce(popl, 'pop1') AS popl, CAST(age AS DOUBLE) AS age FROM fam f LEFT JOIN people p ON p.iid = f.iid")
 def person_attributes(fam, people):
     return P.people(fam, people.select("iid", "popl"), people.select("iid", F.col("age").cast("double").alias("age")))
 
