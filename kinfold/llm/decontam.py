@@ -1,16 +1,10 @@
-"""Benchmark passages in documents, by CGK embedding, bit sampling and exact verification.
-
-Both sides are sequences of words.  The CGK random walk reads a sequence with a pointer: step j
-emits the word under the pointer, and a random bit of (j, word) says whether the pointer moves.  Two sequences a few
-edits apart soon walk together again, so their emitted strings differ in few places: edit distance becomes Hamming distance.  Sampling a few
-emitted places of each of ``REPETITIONS`` independent walks is then locality-sensitive hashing.
-Every word of a document starts an item-sized window; every ``ANCHOR_STEP``-th word of an item starts
-one of its windows, so an edit near an item's start doesn't hide the rest.  The first place sampled is
-step 0; the walk of a window stops as soon as the places so far agree with no item.
-
-With agreement a of single places, one repetition hits with a^(m-1) once the first word agrees; REPETITIONS follows from RECALL, AGREE and m.
-Each hit is verified: the words' edit distance between the whole item and its best place near the hit
-must be at most ``MAX_EDITS`` of the item's words.  Items too short to sample are looked up by pieces, of which one must be intact.
+"""Benchmark passages in documents, by intact pieces and exact verification.
+
+Both sides are sequences of words.  An item of n words may differ by k = ``MAX_EDITS`` * n edits; cut into k + 1 pieces, one piece
+at least is intact wherever the item is, so looking up every piece at every word of a document misses nothing.
+Pieces are looked up whole, by a 64-bit hash that wraps around; a collision costs a verification, never a result.
+Each hit is verified: the words' edit distance between the whole item and its best place near the hits
+must be at most ``MAX_EDITS`` of the item's words.
 """
 
 from __future__ import annotations
@@ -27,9 +21,8 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import prepare
 
 MAX_EDITS = 0.2
-STEPS, SAMPLES, ANCHOR_STEP = 16, 4, 6
-RECALL, AGREE = 0.999, 0.75
-REPETITIONS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE ** (SAMPLES - 1)))
+#: Odd factor of the pieces' hash.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Items are handled in slices of so many characters at most, each a pass over the documents.
 SLICE_CHARS = 20_000_000
 CHUNK_WORDS = 400_000
@@ -59,98 +52,81 @@ def best_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Index:
-    """Walks and tables for a slice of items."""
+    """Words and pieces of a slice of items."""
 
     def __init__(self, items: list[tuple[int, list[str]]], seed: int = 7):
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}), 1)}
         self.ids = [i for i, _ in items]
         self.items = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in items]
         self.bags = [list(Counter(item.tolist()).items()) for item in self.items]
-        self.base = len(self.vocabulary) + 1
-        rng = np.random.default_rng(seed)
-        self.bits = rng.integers(0, 2, size=(REPETITIONS, STEPS, self.base), dtype=np.int8)
-        self.places = [np.concatenate(([0], np.sort(rng.choice(np.arange(1, STEPS), SAMPLES - 1, replace=False)))) for _ in range(REPETITIONS)]
-        self.first = np.zeros(self.base, bool)
-        self.tables: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list) for _ in range(REPETITIONS)]
-        prefixes = [[set() for _ in range(SAMPLES)] for _ in range(REPETITIONS)]
-        self.pieces: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.codes = np.random.default_rng(seed).integers(0, 1 << 64, len(self.vocabulary) + 1, np.uint64)
+        pieces: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for n, item in enumerate(self.items):
-            sampled = False
-            for at in range(0, len(item) - STEPS // 2 + 1, ANCHOR_STEP):
-                for r in range(REPETITIONS):
-                    key = self._walk(item[at:], r)
-                    if key is None:
-                        continue
-                    sampled |= at == 0
-                    for m in range(SAMPLES):
-                        prefixes[r][m].add(key[m])
-                    self.tables[r][key[-1]].append((n, at))
-                    self.first[item[at]] = True
-            if not sampled and len(item):
-                k = int(MAX_EDITS * len(item))
-                for part in np.array_split(np.arange(len(item)), k + 1):
-                    self.pieces[int(item[part[0]])].append((n, int(part[0])))
-        self.prefixes = [[np.array(sorted(p), np.int64) for p in per] for per in prefixes]
-        self.piece_words = np.array(sorted(self.pieces), np.int64)
-
-    def _walk(self, seq: np.ndarray, r: int) -> list[int] | None:
-        """Key after each sampled place, or None where the walk leaves the item."""
-        at, key, keys = 0, 0, []
-        for step in range(int(self.places[r][-1]) + 1):
-            if at >= len(seq):
-                return None
-            if step in self.places[r]:
-                key = key * self.base + int(seq[at])
-                keys.append(key)
-            at += int(self.bits[r, step, seq[at]])
+            k = int(MAX_EDITS * len(item))
+            short, longer = divmod(len(item), k + 1)
+            starts = np.arange(k + 1) * short + np.minimum(np.arange(k + 1), longer)
+            for width, at in ((short + 1, starts[:longer]), (short, starts[longer:])):
+                if width and len(at):
+                    pieces[width].append((self._keys(item, width)[at], np.full(len(at), n), at))
+        #: By width: the keys in order, and their items and places in them.
+        self.pieces = {}
+        for width, parts in sorted(pieces.items()):
+            keys, owners, places = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(keys, kind="stable")
+            self.pieces[width] = (keys[order], owners[order], places[order])
+
+    def _keys(self, symbols: np.ndarray, width: int) -> np.ndarray:
+        """The hash of the ``width`` words from each place on."""
+        codes = self.codes[symbols]
+        size = max(0, len(codes) - width + 1)
+        keys = codes[:size].copy()
+        for k in range(1, width):
+            keys *= FACTOR
+            keys ^= keys >> np.uint64(29)
+            keys += codes[k : k + size]
         return keys
 
     def hits(self, symbols: np.ndarray, owner: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, item, where the item would start) for windows that agree with an item; symbols end with STEPS zeros."""
+        """(document, item, where the item would start) for every piece of an item in the symbols."""
         found: set[tuple[int, int, int]] = set()
-        starts = np.flatnonzero(self.first[symbols])
-        for r in range(REPETITIONS):
-            alive, at, key, level = starts, starts, symbols[starts], 1
-            at = at + self.bits[r, 0, key]
-            for step in range(1, int(self.places[r][-1]) + 1):
-                sym = symbols[at]
-                if step == self.places[r][level]:
-                    key = key * self.base + sym
-                    known = self.prefixes[r][level]
-                    ok = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
-                    alive, at, key, sym, level = alive[ok], at[ok], key[ok], sym[ok], level + 1
-                    if not len(alive):
-                        break
-                at = at + self.bits[r, step, sym]
-            else:
-                for p, k in zip(alive.tolist(), key.tolist(), strict=True):
-                    for n, off in self.tables[r][k]:
-                        found.add((int(owner[p]), n, p - off))
-        if len(self.piece_words):
-            for p in np.flatnonzero(np.isin(symbols, self.piece_words)).tolist():
-                for n, off in self.pieces[int(symbols[p])]:
-                    found.add((int(owner[p]), n, p - off))
+        for width, (known, owners, places) in self.pieces.items():
+            keys = self._keys(symbols, width)
+            bits = np.uint64(max(16, len(known).bit_length() + 4))
+            seen = np.zeros(1 << int(bits), bool)
+            seen[known >> (np.uint64(64) - bits)] = True
+            at = np.flatnonzero(seen[keys >> (np.uint64(64) - bits)])
+            lo, hi = (np.searchsorted(known, keys[at], side) for side in ("left", "right"))
+            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                found.update((int(owner[p]), n, p - off) for n, off in zip(owners[a:b].tolist(), places[a:b].tolist(), strict=True))
         return found
 
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item id, start word, end word, edits): the best place of each item in each text."""
         get, parts, owners, begins, at = self.vocabulary.get, [], [], [], 0
-        gap = np.zeros(STEPS, np.int64)
+        gap = np.zeros(1, np.int64)
         for n, text in enumerate(texts):
             ws = words(text)
             begins.append((at, at + len(ws)))
             parts += (np.fromiter([get(w, 0) for w in ws], np.int64, len(ws)), gap)
-            owners.append(np.full(len(ws) + STEPS, n, np.int64))
-            at += len(ws) + STEPS
+            owners.append(np.full(len(ws) + 1, n, np.int64))
+            at += len(ws) + 1
         if not parts:
             return []
         symbols = np.concatenate(parts)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        spans: dict[tuple[int, int], list[list[int]]] = defaultdict(list)
         for doc, n, start in sorted(self.hits(symbols, np.concatenate(owners))):
-            item = self.items[n]
+            size, (lo, hi) = len(self.items[n]), begins[doc]
+            k = int(MAX_EDITS * size)
+            a, b = max(lo, start - k), min(hi, start + size + k)
+            near = spans[doc, n]
+            if near and a <= near[-1][1]:
+                near[-1][1] = max(b, near[-1][1])
+            else:
+                near.append([a, b])
+        for doc, n, a, b in ((*key, *span) for key, near in spans.items() for span in near):
+            item, lo = self.items[n], begins[doc][0]
             k = int(MAX_EDITS * len(item))
-            lo, hi = begins[doc]
-            a, b = max(lo, start - k), min(hi, start + len(item) + k)
             # All but k of the item's words must be there, in any order, before order is looked at.
             there = Counter(symbols[a:b].tolist())
             if sum([min(c, there[w]) for w, c in self.bags[n]]) < len(item) - k:

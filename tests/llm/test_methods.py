@@ -95,6 +95,28 @@ def test_leaks_with_edits(spark, docs):
     assert got == want
 
 
+@pytest.mark.parametrize("way", ["regular", "random", "mixed"])
+def test_leaks_at_the_allowed_maximum(way):
+    rng = random.Random(6)
+    words = [f"v{k}" for k in range(400)]
+    items = [(n, [rng.choice(words) for _ in range(size)]) for n, size in enumerate([*range(1, 60), 15, 20, 39, 58, 90, 200] * 2)]
+    texts = []
+    for _, item in items:
+        ws, k = list(item), int(decontam.MAX_EDITS * len(item))
+        places = [5 * e + 5 * (len(ws) - 5 * k > 4) - 1 if rng.random() < 0.5 else 6 * e for e in range(k)] if way == "regular" else rng.sample(range(len(ws)), k)
+        for e in sorted((min(p, len(ws) - 1) for p in places), reverse=True):
+            ws[e : e + 1] = {"mixed": ([], [f"z{e}", ws[e]], [f"z{e}"])[e % 3]}.get(way, [f"z{e}"])
+        texts.append(" ".join([rng.choice(words) for _ in range(30)] + ws + [rng.choice(words) for _ in range(30)]))
+    got = {(d, i): e for d, i, _, _, e in decontam.Index(items).leaks(texts)}
+    code = {w: k for k, w in enumerate({w for t in texts for w in t.split()} | set(words))}
+    arrays = [np.array([code[w] for w in t.split()]) for t in texts]
+    for n, item in items[::3] if way != "regular" else items:
+        for d in {n, (n * 7) % len(texts)}:
+            edits = decontam.best_place(np.array([code[w] for w in item]), arrays[d])[0]
+            assert got.get((d, n)) == (edits if edits <= int(decontam.MAX_EDITS * len(item)) else None)
+    assert all((n, n) in got for n, _ in items)
+
+
 def test_best_place_equals_brute_force():
     rng = random.Random(4)
 
