@@ -9,7 +9,12 @@ multinomial variance, runs above and below the alphabet's middle, and lag-1 seri
 Fisher's method joins the three.  Random tokens spread their p evenly over 0 to 1, other tokens pile up near 0.
 For each alphabet and length band the upper half of p estimates how many are random, and hence
 the share of false discoveries among the tokens over any bound; the band takes the lowest bound
-(at least ``MIN_P``) whose share is at most ``ALPHA``.  Bands are counted over the whole table; the counts are a bounded table.
+(at least ``MIN_P``) whose share isn't shown to be over ``ALPHA``: the upper half counts with its upper 95 % limit, so a band with
+few tokens keeps all over ``MIN_P`` (some five false ones at most), and in a band with many the limit nears the count.
+Bands are counted over the whole table; the counts are a bounded table.
+
+Tokens that hold ``/`` or ``=`` are tested whole and in parts cut there, so a path or a name before a secret doesn't hide it;
+a part is reported where the whole is not.
 """
 
 from __future__ import annotations
@@ -27,7 +32,10 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_ASSIGN = 12
 
 TOKEN = "[A-Za-z0-9+/=_-]{20,}"
+CUT, LEAST = "[/=]", 20
 ALPHA, MIN_P, BINS = 0.05, 0.02, 50
+#: Normal quantile of the one-sided 95 % limit of a count.
+LIMIT = 1.645
 UP, LOW, NUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings from the narrowest: a pattern and its alphabet in order.
 ENCODINGS = [("[0-9a-f]+", NUM + "abcdef"), ("[0-9A-F]+", NUM + "ABCDEF"), ("[A-Z2-7]+", UP + "234567"), ("[a-z0-9]+", NUM + LOW), ("[A-Z0-9]+", NUM + UP), ("[A-Za-z0-9]+", UP + LOW + NUM), ("[A-Za-z0-9+/]+", UP + LOW + NUM + "+/"), ("[A-Za-z0-9_-]+", UP + LOW + NUM + "-_"), (".+", UP + LOW + NUM + "+/-_=")]
@@ -93,14 +101,32 @@ def randomness(tokens: DataFrame) -> DataFrame:
     return t.withColumn("p", F.when(F.col("mixed"), F.exp(-h) * (1 + h + h * h / 2))).select(*tokens.columns, "k", "len", "p")
 
 
+def _parts(tokens: DataFrame) -> DataFrame:
+    """The long enough parts of tokens that hold a slash or an equals sign, with their own places and the ``whole``'s start."""
+    cut = tokens.where(F.rtrim("match", F.lit("=")).rlike(CUT)).withColumn("whole", F.col("start"))
+    each = cut.select("doc_id", "row", "kind", "whole", F.posexplode(F.split("match", CUT, -1)).alias("i", "match"))
+    so_far = Window.partitionBy("doc_id", "row", "whole").orderBy("i")
+    end = F.col("whole") + F.sum(F.char_length("match") + 1).over(so_far) - 1
+    placed = each.withColumns({"end": end, "start": end - F.char_length("match")})
+    return placed.where(F.char_length("match") >= LEAST).select("doc_id", "row", "kind", "match", "start", "end", "whole")
+
+
 def _random_tokens(tokens: DataFrame) -> DataFrame:
+    """The tokens over their band's bound, parts only of those that aren't."""
+    passed = _over_bounds(tokens)
+    found = F.max("is_whole").over(Window.partitionBy("doc_id", "row", "whole"))
+    return passed.withColumn("found", found).where("is_whole or not found")
+
+
+def _over_bounds(tokens: DataFrame) -> DataFrame:
     """The tokens over their band's bound."""
     scored = tokens.where("p is not null").withColumns({"band": F.floor(2 * F.log2("len")).cast("int"), "bin": F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int")})
     counts = scored.groupBy("k", "band", "bin").agg(F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy("k", "band")
     over = F.sum("n").over(group.orderBy(F.desc("bin")))
     upper = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(group)
-    random = 2.0 * upper * (1 - F.col("bin") / BINS)
+    most = upper + 1 + LIMIT * F.sqrt(upper + 1)
+    random = 2.0 * most * (1 - F.col("bin") / BINS)
     ok = counts.withColumn("false", 1 - F.least(F.lit(1.0), random / over)).where((F.col("false") <= ALPHA) & (F.col("bin") >= MIN_P * BINS))
     bounds = ok.groupBy("k", "band").agg(F.min("bin").alias("bound"))
     return scored.join(F.broadcast(bounds), ["k", "band"]).where("bin >= bound")  # at most one row for an alphabet and band
@@ -116,7 +142,9 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     found = stored(_matches(docs), "matches")
     long_enough = F.char_length(F.regexp_extract("match", ASSIGN, 2)) >= MIN_ASSIGN
     base = found.where((F.col("kind") != "random") & ((F.col("kind") != "assign") | long_enough))
-    random = _random_tokens(stored(randomness(found.where("kind = 'random'")), "tokens"))
+    wholes = found.where("kind = 'random'")
+    every = wholes.withColumns({"whole": F.col("start"), "is_whole": F.lit(True)}).unionByName(_parts(wholes).withColumn("is_whole", F.lit(False)))
+    random = _random_tokens(stored(randomness(every), "tokens"))
     cols = ["doc_id", "row", "kind", "start", "end"]
     every = base.select(*cols).union(random.select(*cols))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))

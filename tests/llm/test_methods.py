@@ -78,6 +78,32 @@ def test_spans_and_randomness(docs):
     assert hits >= 50
 
 
+@pytest.mark.parametrize("count", [1, 5, 20])
+def test_random_tokens_of_thin_bands(docs, count):
+    rng = random.Random(count)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    sizes = (24, 34, 48, 68, 96, 136, 190, 270)
+    keys = [(f"doc {size} {n}", "".join(rng.choice(letters) for _ in range(size))) for size in sizes for n in range(count)]
+    dull = " ".join(f"{'abcdefgh' * k}AB1" for k in range(3, 12))
+    texts = [f"{at} {key} {dull}" for at, key in keys]
+    found = {r.doc_id: [texts[r.doc_id][s["start"] : s["end"]] for s in r.spans] for r in secretscan.scan(docs(*enumerate(texts))).collect()}
+    assert all(set(found[n]) <= {key} for n, (_, key) in enumerate(keys))
+    assert sum(key in found[n] for n, (_, key) in enumerate(keys)) >= 0.9 * len(keys) - 1
+
+
+def test_random_tokens_behind_a_path(docs):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(60)]
+    fronts = ("https/registry/accounts/", "é //name_of_the_variable=", "/home/somebody/projects/readme/")
+    texts = [f"{fronts[n % 3]}{key}{('', '=', '/index')[n // 3 % 3]} end" for n, key in enumerate(keys)]
+    rows = {r.doc_id: r.spans for r in secretscan.scan(docs(*enumerate(texts))).collect()}
+    spans = [[texts[n][s["start"] : s["end"]] for s in rows[n] if s["kind"] == "random"] for n in range(len(texts))]
+    assert all(len(s) <= 1 for s in spans)
+    assert sum(any(key in one for one in s) for key, s in zip(keys, spans, strict=True)) >= 54
+    assert any(s == [key] for key, s in zip(keys, spans, strict=True))
+
+
 def test_leaks_with_edits(spark, docs):
     rng = random.Random(2)
     words = [f"v{k}" for k in range(300)]
