@@ -9,8 +9,9 @@ from kinfold.operators import pairs as P
 from kinfold.operators.graphs import ranked_independent_set, unrelated_set
 from kinfold.operators.hierarchy import cascade, most_probable, set_probs, sum_children, tree_table
 from kinfold.operators.models import lda_fit, lda_predict, lda_score
-from kinfold.operators.pedigree import codes_table, known_pairs, path_groups, pedigree_paths, po_edges
+from kinfold.operators.pedigree import codes_table, known_pairs, path_groups, pedigree_paths, po_edges, sib_pairs
 from kinfold.operators.segments import MIN_PROPIBD, close_pair_segments, draw_switches, pair_stats, phase_error_split
+from kinfold.operators.siblings import resolve_sibships
 from kinfold.plans.lineage import stored
 
 SECOND = ("MGP", "MHS", "PHS", "PGP", "AV")
@@ -60,13 +61,32 @@ def haplotype_probs(pairs: DataFrame, training: DataFrame, max_error: float = 0.
     return wide.where(F.col(PHASE_ERROR) < max_error).unpivot(PAIR, ["HS", "GPAV"], "node", "p_con")
 
 
+def sibship_groups(po: DataFrame, people: DataFrame, king: DataFrame) -> DataFrame:
+    """Path groups of listed people in the pedigree to which the parents that full siblings lack were added.
+
+    Added parents have text as ids, so paths are walked over ids as text.
+    """
+    kind = people.schema["iid"].dataType
+    edges = po.select(F.col("parent").cast("string").alias("parent"), F.col("child").cast("string").alias("child"))
+    sexes = people.select(F.col("iid").cast("string").alias("iid"), F.col("sex").cast("int").alias("sex"))
+    if king.join(sib_pairs(po), PAIR, "left_semi").where("ibd1seg is not null and ibd2seg is not null and not isnan(ibd1seg) and not isnan(ibd2seg)").isEmpty():
+        added = None
+    else:
+        added = stored(resolve_sibships(po, people, king).select("parent", F.col("child").cast("string").alias("child"), "sex"), "added")
+        edges = edges.union(added.select("parent", "child")).distinct()
+        sexes = sexes.union(added.select("parent", "sex").distinct())
+    groups = path_groups(stored(pedigree_paths(stored(edges, "edges")), "walks"), sexes)
+    if added is not None:
+        groups = groups.join(added.select(F.col("parent").alias("id2")).distinct(), "id2", "left_anti")
+    return groups.withColumns({c: F.col(c).cast(kind) for c in ("focal", "id2")})
+
+
 def label_pairs(fam: DataFrame, king: DataFrame, segments: DataFrame, genome_cm: float, min_p: float = 0.5, assess: bool = False, min_k: float = MIN_PROPIBD, mean_d: float = 50.0, seed: int = 0) -> DataFrame:
     """``id1, id2, k_ibd1, k_ibd2, most_probable, probability, degree, h1, h2`` for all close pairs with segments, or known ones when assessing."""
     spark = fam.sparkSession
     close = stored(close_pair_segments(segments, king, min_k), "close")
     stats = stored(pair_stats(close, genome_cm), "stats")
-    po = po_edges(fam)
-    groups = path_groups(pedigree_paths(po), fam)
+    groups = stored(sibship_groups(po_edges(fam), fam, king), "groups")
     known = stored(known_pairs(groups, codes_table(spark), king, stats).where("n is not null"), "known")
     training = stored(training_table(known, close, genome_cm, mean_d, seed), "training")
     kin = king.select(*PAIR, F.col("ibd1seg").alias("k_ibd1"), F.col("ibd2seg").alias("k_ibd2"))

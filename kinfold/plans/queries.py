@@ -675,5 +675,5 @@ def label_known_pairs(fam, king, segments):
 
 @query("po fam king segments")
 def training_table(po, fam, king, segments):
-    known = K.known_pairs(_groups(po, fam), _codes(po), king)
+    known = K.known_pairs(stored(J.sibship_groups(po, fam, king), "groups"), _codes(po), king)
     return rounded(J.training_table(stored(known, "known"), segments, GENOME_CM), "ibd1", "ibd2", "h1", "h2")
