@@ -50,25 +50,32 @@ def po_edges(fam: DataFrame) -> DataFrame:
     return fam.select(both).where("parent is not null and child is not null").distinct()
 
 
-def pedigree_paths(po: DataFrame, max_depth: int = 8) -> DataFrame:
+def pedigree_paths(po: DataFrame, max_depth: int | None = None) -> DataFrame:
     """K1: ``focal, id2, first_parent, ids, dirs, open`` for all paths of at least one step up, then only down.
 
-    A path never enters a person twice; every prefix is a path.  Each round extends the newest paths by one equi-join up
-    and one down.  Paths of ``max_depth`` steps are ``open`` where they could go on, so that callers can report them.
+    A path never enters a person twice, so the rounds end; every prefix is a path.  Each round extends the newest paths by one
+    equi-join up and one down until none goes on.  With ``max_depth`` paths end after so many steps; those that could go on are ``open``.
     """
     up = po.select(F.col("child").alias("cur"), F.col("parent").alias("to"))
     down = po.select(F.col("parent").alias("cur"), F.col("child").alias("to"))
+    columns = ["focal", "cur", "first_parent", "ids", "dirs"]
     front = po.select(F.col("child").alias("focal"), F.col("parent").alias("cur"), F.col("parent").alias("first_parent"), F.array("child", "parent").alias("ids"), F.array(F.lit(1)).alias("dirs"))
-    rounds = []
-    for depth in range(1, max_depth + 1):
-        front = stored(front, "paths")
-        rounds.append(front.select("focal", F.col("cur").alias("id2"), "first_parent", "ids", "dirs", F.lit(depth == max_depth).alias("open")))
-        if depth == max_depth or front.isEmpty():
-            break
-        step = lambda edges, d: edges.select(F.col("focal"), F.col("to").alias("cur"), "first_parent", F.concat("ids", F.array("to")).alias("ids"), F.concat("dirs", F.array(F.lit(d))).alias("dirs"))
+    rounds, depth = [], 0
+    while True:
+        front, depth = stored(front, "paths"), depth + 1
         fresh = ~F.array_contains("ids", F.col("to"))
         rising = front.where(F.element_at("dirs", -1) == 1).join(up, "cur").where(fresh)
         falling = front.join(down, "cur").where(fresh)
+        last = depth == max_depth
+        if last:
+            more = rising.select(*columns).union(falling.select(*columns)).distinct().withColumn("open", F.lit(True))
+            front = front.join(more, columns, "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        else:
+            front = front.withColumn("open", F.lit(False))
+        rounds.append(front.select("focal", F.col("cur").alias("id2"), "first_parent", "ids", "dirs", "open"))
+        if last or front.isEmpty():
+            break
+        step = lambda edges, d: edges.select(F.col("focal"), F.col("to").alias("cur"), "first_parent", F.concat("ids", F.array("to")).alias("ids"), F.concat("dirs", F.array(F.lit(d))).alias("dirs"))
         front = step(rising, 1).union(step(falling, -1))
     out = rounds[0]
     for more in rounds[1:]:
