@@ -23,8 +23,9 @@ from kinfold.llm.common import prepare
 MAX_EDITS = 0.2
 #: Odd factor of the pieces' hash.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Items are handled in slices of so many characters at most, each a pass over the documents.
-SLICE_CHARS = 20_000_000
+#: Items are handled in slices of about so many characters, each a pass over the documents.  With 500,000 words, all distinct, the
+#: index of one was built in 1.8 s, took 21 MB to send and 124 MB in a Python worker (20 million characters: 9.1 s, 109 MB and 607 MB).
+SLICE_CHARS = 4_000_000
 CHUNK_WORDS = 400_000
 
 

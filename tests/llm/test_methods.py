@@ -143,6 +143,16 @@ def test_leaks_at_the_allowed_maximum(way):
     assert all((n, n) in got for n, _ in items)
 
 
+def test_leaks_of_a_benchmark_with_many_words(spark, docs, monkeypatch):
+    items = [(n, " ".join(f"w{40 * n + k}" for k in range(40))) for n in range(1500)]
+    rows = [(n, f"before {items[n][1]} after") for n in range(0, 1500, 100)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = [(n, n, 1, 41, 0) for n, _ in rows]
+    assert sorted(map(tuple, decontam.leaks(docs(*rows), table).collect())) == want
+    monkeypatch.setattr(decontam, "SLICE_CHARS", 100_000)
+    assert sorted(map(tuple, decontam.leaks(docs(*rows), table).collect())) == want
+
+
 def test_best_place_equals_brute_force():
     rng = random.Random(4)
 
