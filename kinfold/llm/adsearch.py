@@ -102,15 +102,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, column: str = "e
     """``query_id, rank, vec_id, score``: for each query row the k nearest of ``vectors`` but the row of its own id.
 
     Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do those of another length
-    than the vector of the smallest id; an empty table gives no rows.  Fewer candidates than k give fewer rows.  Ties go to the smaller vec_id; rows that repeat a vec_id count once.
+    than most (of lengths as frequent the longer counts); an empty table gives no rows.  Fewer candidates than k give fewer rows.  Ties go to the smaller vec_id; rows that repeat a vec_id count once.
     """
     spark = prepare(vectors.sparkSession)
     out = "query_id bigint, rank int, vec_id bigint, score double"
     every = valid(vectors, column)
-    first = every.orderBy("vec_id").limit(1).collect()
-    if not first:
+    usual = every.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    if not usual:
         return spark.createDataFrame([], out)
-    dim = len(first[0].v)
+    dim = usual.dim
     every = stored(every.where(F.size("v") == dim).groupBy("vec_id").agg(F.max("v").alias("v")), "vectors")
     asked = valid(queries, column).where(F.size("v") == dim).groupBy("vec_id").agg(F.max("v").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -120,7 +120,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, column: str = "e
     drawn = every.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     sample = np.stack([np.array(r.v) for r in drawn.collect()]) if count else np.zeros((0, dim))
     if not len(sample):
-        sample = np.array([first[0].v])
+        sample = np.array([every.orderBy("vec_id").first().v])
     lift = lambda x: np.column_stack([x, np.sqrt(np.maximum(top**2 - (x**2).sum(1), 0.0))])
     shared = spark.sparkContext.broadcast((kmeans(lift(sample), lists), rotation(dim + 1), float(top)))
     n_lists = min(lists, len(sample))

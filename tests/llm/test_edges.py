@@ -115,6 +115,17 @@ def test_search(spark):
     assert adsearch.search(df.limit(0), df).count() == 0
 
 
+@pytest.mark.parametrize("odd_one", [[9.0], [9.0, 9.0, 9.0]])
+def test_search_with_a_malformed_first_vector(spark, odd_one):
+    rows = [(0, odd_one), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (20, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in adsearch.search(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 2), (20, 2, 1)]
+    # Of two lengths as frequent the longer counts: all other two-component vectors find 1, and nothing but 0 is as long as a 0 of three.
+    tied = adsearch.search(df.where("vec_id in (0, 1)"), df)
+    assert tied.count() == (2 if len(odd_one) < 2 else 0)
+
+
 def test_stages(spark, odd, sf_dir):
     at = odd
     for name, stage in corpus_pipeline.STAGES[:-1]:
