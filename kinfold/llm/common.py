@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.plans.lineage import scratch, shared_dir, stored
 
-__all__ = ["BLANKS", "Memo", "doc_bucket", "prepare", "scratch", "shared_dir", "stored", "table", "words_of"]
+__all__ = ["BLANKS", "doc_bucket", "gathered", "prepare", "scratch", "shared_dir", "stored", "table", "text_chunks", "word_numbers", "words_of"]
 
 #: White space that separates words: space and the five ASCII controls from tab to carriage return.
 BLANKS = " \t\n\x0b\f\r"
@@ -41,16 +45,30 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class Memo(dict):
-    """Remembers a function of one key; starts over when full, so memory stays bounded."""
-
-    def __init__(self, fn, limit: int):
-        super().__init__()
-        self.fn, self.limit = fn, limit
-
-    def __missing__(self, key):
-        value = self.fn(key)
-        if len(self) >= self.limit:
-            self.clear()
-        self[key] = value
-        return value
+def word_numbers(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of ``words_of`` for many texts: the distinct words, the number of each word in them, and how many words each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    coded = lists.flatten().dictionary_encode()
+    number = coded.indices.to_numpy()
+    # A blank at either end leaves an empty piece.
+    real = (pc.binary_length(coded.dictionary).to_numpy() > 0)[number]
+    so_far = np.concatenate(([0], np.cumsum(real)))
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return coded.dictionary, number[real], np.diff(so_far[bounds])
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of at most ``size`` bytes of column number ``text``, or of one longer text."""
+    for batch in batches:
+        total = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + size, side="right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts`` and have ``sizes``, one after another."""
+    stop = np.cumsum(sizes)
+    return flat[np.repeat(starts - (stop - sizes), sizes) + np.arange(int(stop[-1]) if len(stop) else 0)]

@@ -19,20 +19,26 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import prepare
+from kinfold.llm.common import gathered, prepare, text_chunks
 
 MAGIC, HEAD, COUNT = b"DAC1", struct.Struct("<4sBBQ"), struct.Struct("<Q")
 RANK_BITS = 512
 BLOCK_TOKENS = 1 << 20
+#: Bytes of text that are encoded at once.
+CHUNK_BYTES = 4_000_000
+#: Pieces in one call of the pair model.
+RUN = 500
 BLOCKS = "part int, seq int, doc_ids array<bigint>, n_tokens array<bigint>, payload binary"
 
 
@@ -94,117 +100,132 @@ class Block:
 
 
 class WordCoder:
-    """Ids of texts by a tokenizer file, piece by piece where that cannot change the result.
+    """Ids of texts by a tokenizer file, word by word where that cannot change the result.
 
-    Where the tokenizer's first steps are NFC, white space, lower case and a splitting pattern, the pieces
-    of that pattern are encoded on their own and remembered, and so are words between blanks: what was used lately in one
-    generation, the rest in an older one that is dropped when the newer is full.  A special token stands between pieces that are encoded
-    together, so that one call handles many of them.  Texts that hold a special token's own text are encoded
-    directly, and so is every text where the tokenizer has other first steps.
+    Where the file's steps are NFC, white space to one blank, lower case, cutting out the matches of a pattern, and byte-level
+    pairs, no id reaches over a blank.  A chunk's distinct words are then normalized, cut and given to the tokenizer's own pair model
+    once, and remembered until ``limit`` bytes are held.  With any other steps, and in texts that hold a special token's
+    own text, the tokenizer encodes the text whole.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 120_000_000):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.raw: dict[bytes, bytes] = {}
-        self.raw_before: dict[bytes, bytes] = {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         added = self.tokenizer.get_added_tokens_decoder()
-        self.mark = next(((i, t.content) for i, t in sorted(added.items(), reverse=True)), None)
+        self.end_id = max(added, default=0)
         self.special = [t.content for t in added.values()]
         said = json.loads(self.tokenizer.to_str())
-        steps = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
-        cuts = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        pattern = cuts[0].get("pattern", {}).get("Regex") if cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") else None
-        self.pieces = regex.compile(pattern).findall if pattern and self.mark and steps == ["NFC", "Replace", "Lowercase"] else None
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        mark, text = self.mark
-        got: dict[str, bytes] = {}
-        for lo in range(0, len(pieces), 2000):
-            part = pieces[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode(text.join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == mark), len(ids)) * 4
-            raw, start = ids.tobytes(), 0
-            for p, end in zip(part, ends.tolist(), strict=True):
-                got[p] = raw[start:end]
-                start = end + 4
-        return got
-
-    def _pieces(self, words: list[str]) -> dict[str, bytes]:
-        """Codes of lower-cased words from the codes of their pieces."""
-        split = [self.pieces(w) for w in words]
-        lacking = set().union(*split).difference(self.known)
-        if len(self.known) + len(lacking) > self.limit:
-            self.known, self.older = {}, self.known
-            lacking = set().union(*split)
-        new = []
-        for p in lacking:
-            if (code := self.older.get(p)) is None:
-                new.append(p)
+        pattern = self._pattern(said)
+        self.pieces = regex.compile(pattern).findall if pattern else None
+        if pattern:
+            from tokenizers import pre_tokenizers
+
+            # The pair model behind blanks and bytes alone, for pieces that are normalized and cut already.
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            suffix, vocab = said["model"]["end_of_word_suffix"] or "", self.tokenizer.get_vocab()
+            self.final = np.zeros(max(vocab.values()) + 1, bool)
+            self.final[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self._forget()
+
+    @staticmethod
+    def _pattern(said: dict) -> str | None:
+        """The cutting pattern if the steps are those of the class's docstring."""
+        steps = (said.get("normalizer") or {}).get("normalizers", [])
+        cuts = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        space = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+        if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or steps[1] != space or [x["type"] for x in cuts] != ["Split", "ByteLevel"]:
+            return None
+        split, level = cuts
+        letters = "[\\p{L}]+" in split["pattern"].get("Regex", "").split("|")
+        plain = letters and split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"] and said["model"]["type"] == "BPE"
+        return split["pattern"].get("Regex") if plain else None
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.cut: dict[str, int] = {}
+        self.flat, self.starts, self.held = array("I"), array("q", [0]), 0
+
+    def _runs(self, held: dict[str, int], texts: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
+        """Remember the ids of each text, which end at ``stops``."""
+        first = len(self.starts) - 1
+        self.starts.frombytes((stops + len(self.flat)).astype(np.int64).tobytes())
+        self.flat.frombytes(np.asarray(ids, np.uint32).tobytes())
+        held.update(zip(texts, range(first, first + len(texts)), strict=True))
+        self.held += 150 * len(texts) + 4 * len(ids)
+
+    def _learn(self, words: list[str]) -> None:
+        cut, counts = [], []
+        for w in words:
+            # Python lower-cases a capital sigma by its place, the tokenizer does not.
+            low = w.lower() if w.isascii() else normalize("NFC", w).replace("\u03a3", "\u03c3").lower()
+            if low.isalpha():
+                cut.append(low)
+                counts.append(1)
+            elif low[:-1].isalpha() and low[-1] in ".,;:!?":
+                cut += (low[:-1], low[-1])
+                counts.append(2)
             else:
-                self.known[p] = code
-        got = self._learn(new)
-        long = {p: got.pop(p) for p in new if len(p) > self.longest}
-        self.known.update(got)
-        get = self.known.__getitem__
-        if long:
-            get = lambda p: long[p] if p in long else self.known[p]
-        return {w: b"".join(map(get, ps)) for w, ps in zip(words, split, strict=True)}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        if self.pieces is None:
-            return [self._ids(t) for t in texts]
-        # Lower-casing a capital sigma depends on its place in Python alone, so such texts go directly.
-        plain = [not any(x in t for x in self.special) and "\u03a3" not in t for t in texts]
-        split = [normalize("NFC", t).lower().replace("\n", " ").split(" ") if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        missing = set().union(*split).difference(self.words)
-        if len(self.words) + len(missing) > self.limit:
-            self.words, self.before = {}, self.words
-            missing = set().union(*split)
-        new = []
-        for w in missing:
-            if (code := self.before.get(w)) is None:
-                new.append(w)
-            else:
-                self.words[w] = code
-        got = self._pieces(new)
-        long = {w: got.pop(w) for w in new if len(w) > self.longest}
-        self.words.update(got)
-        get = self.words.__getitem__
-        if long:
-            get = lambda w: long[w] if w in long else self.words[w]
-        return [b"".join(map(get, ws)) if ok else self._ids(t) for t, ws, ok in zip(texts, split, plain, strict=True)]
-
-
-    def codes(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, a run of UTF-8 without ASCII white space, as little-endian 32-bit numbers."""
-        missing = set(words).difference(self.raw)
-        if len(self.raw) + len(missing) > self.limit:
-            self.raw, self.raw_before = {}, self.raw
-            missing = set(words)
-        new = []
-        for w in missing:
-            if (code := self.raw_before.get(w)) is None:
-                new.append(w)
-            else:
-                self.raw[w] = code
+                some = self.pieces(low)
+                cut += some
+                counts.append(len(some))
+        fresh = list(set(cut).difference(self.cut))
+        for lo in range(0, len(fresh), RUN):
+            part = fresh[lo : lo + RUN]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            stops = np.flatnonzero(self.final[ids]) + 1
+            if len(stops) != len(part):
+                # A model that doesn't end every piece with the suffix: one by one.
+                one = [self.bare.encode(p, add_special_tokens=False).ids for p in part]
+                ids, stops = np.array([i for x in one for i in x]), np.cumsum([len(x) for x in one])
+            self._runs(self.cut, part, ids, stops)
+        at = np.fromiter(map(self.cut.__getitem__, cut), np.int64, len(cut))
+        starts = np.array(self.starts, np.int64)
+        sizes = starts[at + 1] - starts[at]
+        ids = gathered(np.array(self.flat, np.uint32), starts[at], sizes)
+        so_far = np.concatenate(([0], np.cumsum(sizes)))
+        self._runs(self.known, words, ids, so_far[np.cumsum(counts, dtype=np.int64)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has; a null text has none."""
+        texts = texts.fill_null("")
+        whole = np.zeros(len(texts), bool) if self.pieces else np.ones(len(texts), bool)
+        for mark in self.special:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if whole.any():
+            rest, sizes = self._words(pc.if_else(pa.array(whole), "", texts)) if not whole.all() else (np.zeros(0, np.uint32), np.zeros(len(texts), np.int64))
+            own = {k: np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) for k in np.flatnonzero(whole).tolist()}
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            parts = [own[k] if k in own else rest[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+            return np.concatenate(parts), np.array([len(p) for p in parts])
+        return self._words(texts)
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in self.known]
+        if self.held > self.limit:
+            self._forget()
+            new = words
         if new:
-            texts = [w.decode("utf-8", "surrogatepass") for w in new]
-            plain = self.pieces is not None and not any("\u03a3" in t or any(x in t for x in self.special) for t in texts)
-            got = self._pieces([normalize("NFC", t).lower() for t in texts]) if plain else None
-            for w, t in zip(new, texts, strict=True):
-                self.raw[w] = got[normalize("NFC", t).lower()] if plain else self._ids(t)
-        return list(map(self.raw.__getitem__, words))
+            self._learn(new)
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        flat, starts = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.starts, np.int64)
+        at = number[coded.indices.to_numpy()]
+        sizes = starts[at + 1] - starts[at]
+        ids = gathered(flat, starts[at], sizes)
+        so_far = np.concatenate(([0], np.cumsum(sizes)))
+        return ids, np.diff(so_far[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+
+    def with_end(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with ``end_id`` after each text."""
+        ids, sizes = self.encode(texts)
+        out = np.full(len(ids) + len(sizes), end_id, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+        return out, sizes + 1
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -226,27 +247,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
     prepare(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, end, part = coder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        ids, sizes, raw, held, seq = [], [], [], 0, 0
+        make, part = coder(tokenizer), TaskContext.get().partitionId()
+        docs_, sizes, held, seq = [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            rows = [[part], [seq], [ids], [sizes], [pack(np.frombuffer(b"".join(raw), "<u4"), bits)]]
+            rows = [[part], [seq], [docs_], [sizes], [pack(np.concatenate(held), bits)]]
             kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], ["part", "seq", "doc_ids", "n_tokens", "payload"])
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                codes = make.encode([t or "" for t in some.column(1).to_pylist()])
-                for i, code in zip(some.column(0).to_pylist(), codes, strict=True):
-                    raw += (code, end)
-                    ids.append(i)
-                    sizes.append(len(code) // 4 + 1)
-                    held += sizes[-1]
-                    if held >= block_tokens:
-                        yield block()
-                        ids, sizes, raw, held, seq = [], [], [], 0, seq + 1
-        if ids:
+        for some in text_chunks(batches, 1, CHUNK_BYTES):
+            ids, n = make.with_end(some.column(1), end_id)
+            doc_ids, stop, lo = some.column(0).to_pylist(), np.cumsum(n), 0
+            while lo < len(n):
+                # As many documents as bring the block to its size.
+                begin = int(stop[lo - 1]) if lo else 0
+                hi = min(int(np.searchsorted(stop, begin + block_tokens - sum(sizes))) + 1, len(n))
+                held.append(ids[begin : stop[hi - 1]])
+                docs_ += doc_ids[lo:hi]
+                sizes += n[lo:hi].tolist()
+                lo = hi
+                if sum(sizes) >= block_tokens:
+                    yield block()
+                    docs_, sizes, held, seq = [], [], [], seq + 1
+        if docs_:
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

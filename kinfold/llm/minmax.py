@@ -23,14 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import Memo, prepare, stored, words_of
+from kinfold.llm.common import prepare, stored, text_chunks, word_numbers
 from kinfold.operators.graphs import components
 
 PERMUTATIONS, ROWS, SEED = 80, 5, 20240607
 #: Most members of a leader, and most of those outside its component, that meet in one task.
 BLOCK_MEMBERS, BLOCK_OUTSIDE = 1024, 256
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_HASH = Memo(xxhash.xxh64_intdigest, 300_000)
+#: Bytes of text hashed at once, and shingles whose permutations are taken together.
+CHUNK_BYTES, CACHED = 4_000_000, 16_384
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -38,19 +39,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; fewer words than ``width`` are one shingle."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
-    wide = min(width, len(h))
-    out = h[: len(h) - wide + 1].copy()
-    for k in range(1, wide):
-        out = _mixed(out * _MIX[0] + h[k : len(h) - wide + 1 + k] * _MIX[1] + np.uint64(k))
-    if wide < width:
-        out = _mixed(out + np.uint64(wide))
-    return np.unique(out)
+def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit hashes of each text's word shingles, sorted text by text, and how many each has; fewer words than ``width`` are one shingle."""
+    words, number, sizes = word_numbers(texts)
+    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(words))[number]
+    wide = np.minimum(width, sizes)
+    counts = np.where(sizes > 0, sizes - wide + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    at = np.arange(len(owner)) + np.repeat((np.cumsum(sizes) - sizes) - (np.cumsum(counts) - counts), counts)
+    out, wide = hashed[at], wide[owner]
+    for k in range(1, width):
+        more = np.flatnonzero(wide > k)
+        out[more] = _mixed(out[more] * _MIX[0] + hashed[at[more] + k] * _MIX[1] + np.uint64(k))
+    short = np.flatnonzero(wide < width)
+    out[short] = _mixed(out[short] + wide[short].astype(np.uint64))
+    stop = np.cumsum(counts)
+    parts = [np.unique(out[b - n : b]) for b, n in zip(stop.tolist(), counts.tolist(), strict=True)]
+    return np.concatenate(parts) if parts else out, np.array([len(p) for p in parts], np.int64)
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,21 +64,32 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return draw[0] * np.uint64(2) + np.uint64(1), draw[1]
 
 
-def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minima of all permutations, then maxima."""
-    out = np.empty(2 * len(a), np.uint64)
-    for k in range(len(a)):
-        v = shingles * a[k] + b[k]
-        v ^= v >> np.uint64(32)
-        out[k], out[len(a) + k] = v.min(), v.max()
+def signatures(shingles: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A row for each set of the given sizes, none empty: minima of all permutations, then maxima."""
+    out = np.empty((len(sizes), 2 * len(a)), np.uint64)
+    # A few sets at a time, so that all permutations of them stay in the processor's cache.
+    stop, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        begin = int(stop[lo] - sizes[lo])
+        hi = max(lo + 1, int(np.searchsorted(stop, begin + CACHED, side="right")))
+        some, cuts = shingles[begin : stop[hi - 1]], stop[lo:hi] - sizes[lo:hi] - begin
+        v, w = np.empty_like(some), np.empty_like(some)
+        for k in range(len(a)):
+            np.multiply(some, a[k], out=v)
+            v += b[k]
+            np.right_shift(v, np.uint64(32), out=w)
+            v ^= w
+            out[lo:hi, k], out[lo:hi, len(a) + k] = np.minimum.reduceat(v, cuts), np.maximum.reduceat(v, cuts)
+        lo = hi
     return out
 
 
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
-    bands = sig[: len(sig) // rows * rows].reshape(-1, rows)
-    key = np.arange(len(bands), dtype=np.uint64) * _MIX[1]
+    """A row of bucket names for each signature."""
+    bands = sig[:, : sig.shape[1] // rows * rows].reshape(len(sig), sig.shape[1] // rows, rows)
+    key = np.arange(bands.shape[1], dtype=np.uint64) * _MIX[1]
     for k in range(rows):
-        key = _mixed(key * _MIX[0] + bands[:, k])
+        key = _mixed(key * _MIX[0] + bands[:, :, k])
     return key.view(np.int64)
 
 
@@ -83,16 +99,15 @@ def fingerprints(docs: DataFrame, width: int, permutations: int = PERMUTATIONS,
     a, b = _permutations(permutations)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, s1, s2, bands = [], [], [], []
-            for text in batch.column(1):
-                sh = shingle_hashes(text.as_py(), width)
-                mark = xxhash.xxh3_128_intdigest(sh.tobytes())
-                n.append(len(sh))
-                s1.append((mark >> 64) - (1 << 63))
-                s2.append((mark & ((1 << 64) - 1)) - (1 << 63))
-                bands.append(band_keys(signature(sh, a, b), rows) if len(sh) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "bands"])
+        for some in text_chunks(batches, 1, CHUNK_BYTES):
+            shingles, n = shingle_hashes(some.column(1), width)
+            stop = np.cumsum(n)
+            marks = [xxhash.xxh3_128_intdigest(shingles[e - k : e].tobytes()) for e, k in zip(stop.tolist(), n.tolist(), strict=True)]
+            s1, s2 = [(m >> 64) - (1 << 63) for m in marks], [(m & ((1 << 64) - 1)) - (1 << 63) for m in marks]
+            keys = band_keys(signatures(shingles, n[n > 0], a, b), rows)
+            bounds = np.concatenate(([0], np.cumsum((n > 0) * keys.shape[1])))
+            bands = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), bands], ["doc_id", "n", "s1", "s2", "bands"])
 
     rows_ = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows_.mapInArrow(make, "doc_id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>")
@@ -121,9 +136,10 @@ def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``doc_id, shingles`` for the ids, each set once as sorted 64-bit hashes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [shingle_hashes(t.as_py(), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["doc_id", "shingles"])
+        for some in text_chunks(batches, 1, CHUNK_BYTES):
+            shingles, n = shingle_hashes(some.column(1), width)
+            raw = [x.tobytes() for x in np.split(shingles, np.cumsum(n)[:-1])] if len(n) else []
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(raw, pa.binary())], ["doc_id", "shingles"])
 
     return texts.join(ids, "doc_id", "left_semi").mapInArrow(make, "doc_id bigint, shingles binary")
 

@@ -1,9 +1,12 @@
 """The methods against brute force, exact round trips and held-out accuracy."""
 
+import json
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,12 +27,39 @@ def test_coder_equals_the_tokenizer():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     path = public_tokenizers.path("word_bpe_49k.json")
     make, rng = dac.WordCoder(path, limit=50), random.Random(1)
-    for _ in range(400):
-        text = "".join(rng.choice("aAzÉé'sStİΣσß \t\n\x1c　٣²½.,<|endoftext|>́ǅﬁ#x_9") for _ in range(rng.randint(0, 40)))
-        want = np.array(make.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert make.encode([text]) == [want], repr(text)
-        words = common.words_of(text)
-        assert make.codes(words) == [make._ids(w.decode()) for w in words]
+    ids = lambda t: make.tokenizer.encode(t, add_special_tokens=False).ids
+    texts = ["".join(rng.choice("aAzÉé'sStİΣσß \t\n\x1c　٣²½.,<|endoftext|>́ǅﬁ#x_9\x07\x7f") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    for lo in range(0, 2000, 7):
+        got, sizes = make.encode(pa.array([*texts[lo : lo + 7], None]))
+        want = [*map(ids, texts[lo : lo + 7]), []]
+        assert got.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+
+
+@pytest.mark.parametrize("change", [("normalizer", None), ("content", "_"), ("regex", "\\S+")])
+def test_coder_of_other_steps_encodes_whole_texts(tmp_path, change):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    said = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    what, value = change
+    if what == "normalizer":
+        said["normalizer"] = value
+    elif what == "content":
+        said["normalizer"]["normalizers"][1]["content"] = value
+    else:
+        said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = value
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said))
+    make = dac.WordCoder(str(path))
+    text = "Two  words,\nand ÉTÉ's <|endoftext|>"
+    assert make.encode(pa.array([text]))[0].tolist() == make.tokenizer.encode(text, add_special_tokens=False).ids and make.pieces is None
+
+
+def test_word_numbers_follow_the_words():
+    texts = [" a  B\x1cc\x0b\x0cd ", "", None, "ÀÉ x\xa0y\tÀÉ"]
+    words, number, sizes = common.word_numbers(pa.array(["skipped", *texts]).slice(1))
+    got, at = words.take(pa.array(number)).to_pylist(), 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        assert [w.encode() for w in got[at : at + n]] == common.words_of(t)
+        at += n
 
 
 def test_near_duplicates_equal_brute_force(docs):
@@ -247,30 +277,43 @@ def test_code_switching_is_seen():
     assert [(a, b, k) for a, b, k in runs] == [(0, 6, "en"), (6, 12, "es")]
 
 
+def network(seed, n=300):
+    rng = np.random.default_rng(seed)
+    ids = rng.zipf(1.3, 6000) % n
+    pairs, times = np.unique(np.append(7, ids[:-1]) * n + ids, return_counts=True)
+    classes = attnlm.id_classes(ids, np.full(60, 100), n)
+    cells, back = np.unique(pairs // n * attnlm.CLASSES + classes[pairs % n], return_inverse=True)
+    often = times > 1
+    return attnlm.Attention(classes, np.bincount(ids, minlength=n).astype(float), (cells, np.bincount(back, times)), (pairs[often], times[often].astype(float)), 7)
+
+
 def test_windows_score_each_id_once():
     rng = np.random.default_rng(2)
-    classes = attnlm.id_classes(rng.integers(0, 50, 300))
-    net = attnlm.Attention(classes, rng.integers(0, 9, (attnlm.CLASSES, 300)).astype("f4"), 7).freeze()
-    docs = [rng.integers(0, 300, n) for n in (1, 5, 31, 32, 33, 56, 57, 200)]
-    got, at = net.score(docs), 0
-    for d in docs:
-        assert np.allclose(net.score([d]), got[at : at + len(d)], atol=1e-4)
-        at += len(d)
+    net = network(2)
+    net.params["out"] += rng.normal(size=net.params["out"].shape)
+    net.freeze()
+    sizes = np.array([1, 5, 31, 32, 33, 56, 57, 200])
+    ids = rng.integers(0, 300, sizes.sum())
+    got, at = net.score(ids, sizes), 0
+    for n in sizes.tolist():
+        assert np.allclose(net.score(ids[at : at + n], np.array([n])), got[at : at + n], atol=1e-4)
+        at += n
     # Over all ids the probabilities of the next one sum to one, whatever came before.
     for before in ([], [3, 250, 9], list(rng.integers(0, 300, 45))):
-        last = net.score([np.array([*before, k]) for k in range(300)]).reshape(300, -1)[:, -1]
+        every = np.concatenate([np.array([*before, k]) for k in range(300)])
+        last = net.score(every, np.full(300, len(before) + 1)).reshape(300, -1)[:, -1]
         assert abs(np.exp(last).sum() - 1) < 1e-3
 
 
 def test_attention_gradient():
     rng = np.random.default_rng(3)
-    net = attnlm.Attention(attnlm.id_classes(rng.integers(0, 50, 300)), np.ones((attnlm.CLASSES, 300), "f4"), 7)
-    x, y = rng.integers(0, attnlm.CLASSES, (4, attnlm.WIDTH)), rng.integers(0, attnlm.CLASSES, (4, attnlm.WIDTH))
+    net = network(3)
+    x, y = rng.integers(0, 300, (4, attnlm.WIDTH)), rng.integers(0, attnlm.CLASSES, (4, attnlm.WIDTH))
     _, slopes = net._slopes(x, y)
     for name, p in net.params.items():
         at = tuple(rng.integers(0, s) for s in p.shape)
         if name == "embed":
-            at = (int(x[0, 0]), 0)
+            at = (int(net.classes[x[0, 0]]), 0)
         p[at] += 1e-5
         up = net._slopes(x, y)[0]
         p[at] -= 2e-5
@@ -279,6 +322,27 @@ def test_attention_gradient():
         assert abs((up - down) / 2e-5 - slopes[name][at]) < 1e-6
 
 
+def test_language_model_against_brute_force(spark):
+    """The base by its formula; the model beats it on unseen texts, and beats itself without attention."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: common.words_of(r.text) + [b""] for r in common.table(spark, sf, "documents").collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
+    count = {}
+    for d, ws in texts.items():
+        if not held[d]:
+            for w in ws:
+                count[w] = count.get(w, 0) + 1
+    total = sum(count.values())
+    rows = {r.doc_id: r for r in queries.op4_attention_lm(spark, sf).collect()}
+    assert rows.keys() == texts.keys()
+    for d, ws in texts.items():
+        r = rows[d]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(w in count for w in ws), total, held[d])
+        assert abs(r.base_score - sum(np.log10((count.get(w, 0) + 1) / (total + len(count) + 1)) for w in ws)) < 1e-6 * len(ws)
+    unseen = [r for r in rows.values() if r.held_out]
+    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
+
+
 def test_pipeline_stages_follow_their_operators(spark):
     sf = "/root/testdata/sf0.001"
     docs = common.table(spark, sf, "documents")
