@@ -89,8 +89,7 @@ def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ads_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.adsearch import search
 
-    vectors = table(spark, sf_dir, "embeddings")
-    return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+    return search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

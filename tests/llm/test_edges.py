@@ -108,22 +108,28 @@ def test_toxicity(spark, odd):
 
 
 def test_search(spark):
-    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (6, [2.0, 0.0]), (20, [1.0, 1.0]), (7, []), (8, [float("inf"), 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in adsearch.search(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 5, 2.0), (0, 2, 6, 2.0), (0, 3, 20, 1.0), (20, 1, 5, 2.0), (20, 2, 6, 2.0), (20, 3, 0, 1.0)]
-    assert adsearch.search(df.limit(0), df).count() == 0
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (6, [2.0, 0.0]), (20, [1.0, 1.0]), (7, []), (8, [float("inf"), 0.0]), (None, [3.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1, "x", 2.0, 5) for r in rows], "vec_id long, embedding array<double>, row int, list string, v double, asked int")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in adsearch.search(df, "vec_id % 20 = 0").orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 5, 2.0), (0, 2, 6, 2.0), (0, 3, 6, 2.0), (0, 4, 20, 1.0), (20, 1, 5, 2.0), (20, 2, 6, 2.0), (20, 3, 6, 2.0), (20, 4, 0, 1.0)]
+    assert adsearch.search(df.limit(0), F.lit(True)).count() == 0 and adsearch.search(df, F.lit(False)).count() == 0
+
+
+def test_search_of_rows_that_share_an_id(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [1.0, 0.0]), (1, [0.5, 0.25])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in adsearch.search(df, "vec_id % 20 = 0").collect())
+    one, other = [(1.0, 20), (0.5, 1), (0.0, 20)], [(0.25, 1), (0.0, 20), (0.0, 20)]
+    assert got == sorted((20, n, i, s) for found in (one, one, other) for n, (s, i) in enumerate(found, 1))
 
 
 @pytest.mark.parametrize("odd_one", [[9.0], [9.0, 9.0, 9.0]])
 def test_search_with_a_malformed_first_vector(spark, odd_one):
     rows = [(0, odd_one), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (20, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [(r.query_id, r["rank"], r.vec_id) for r in adsearch.search(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    got = [(r.query_id, r["rank"], r.vec_id) for r in adsearch.search(df, "vec_id % 20 = 0").orderBy("query_id", "rank").collect()]
     assert got == [(20, 1, 2), (20, 2, 1)]
-    # Of two lengths as frequent the longer counts: all other two-component vectors find 1, and nothing but 0 is as long as a 0 of three.
-    tied = adsearch.search(df.where("vec_id in (0, 1)"), df)
-    assert tied.count() == (2 if len(odd_one) < 2 else 0)
+    # Of two lengths as frequent the longer counts; alone with it, a vector has no neighbour.
+    assert adsearch.search(df.where("vec_id in (0, 1)"), F.lit(True)).count() == 0
 
 
 def test_stages(spark, odd, sf_dir):

@@ -214,19 +214,37 @@ def test_raking_in_memory_and_in_spark(spark):
             assert abs(sum(w for k, w in a.items() if k[at] == r[0]) - r.target) < 1e-6
 
 
-def test_search_recall(spark):
+def recall(x, got, ids, k=20):
+    """Share of the true nearest that were found; every score is exact and ranks follow (score, vec_id)."""
+    at, hit, total = {i: n for n, i in enumerate(ids.tolist())}, 0, 0
+    for q, rows in got.sort_values("rank").groupby("query_id"):
+        s = x @ x[at[q]]
+        s[at[q]] = -np.inf
+        want = ids[np.lexsort((ids, -s))[:k]]
+        assert rows["rank"].tolist() == list(range(1, k + 1)) and np.allclose(rows["score"], s[[at[i] for i in rows["vec_id"]]], rtol=1e-12)
+        assert list(zip(-rows["score"], rows["vec_id"])) == sorted(zip(-rows["score"], rows["vec_id"]))
+        hit, total = hit + len(set(want) & set(rows["vec_id"])), total + k
+    return hit / total
+
+
+@pytest.mark.parametrize("piece", [adsearch.PIECE, 100])
+def test_search_recall(spark, monkeypatch, piece):
+    monkeypatch.setattr(adsearch, "PIECE", piece)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 24)) * rng.uniform(0.2, 2, size=(1500, 1))
+    # One list holds a third of all.
+    x[:500] = x[0] + 0.01 * rng.normal(size=(500, 24))
     df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
-    got = adsearch.search(df, df.where("vec_id % 20 = 0")).toPandas()
-    hit = total = 0
-    for q, rows in got.groupby("query_id"):
-        s = x @ x[q]
-        s[q] = -np.inf
-        want = np.lexsort((np.arange(len(x)), -s))[:20]
-        assert len(rows) == 20 and np.allclose(rows["score"], s[rows["vec_id"]])
-        hit, total = hit + len(set(want) & set(rows["vec_id"])), total + 20
-    assert total == 75 * 20 and hit / total >= 0.9
+    got = adsearch.search(df, "vec_id % 20 = 0").toPandas()
+    assert got["query_id"].nunique() == 75 and recall(x, got, np.arange(1500)) >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_search_recall_on_the_table(spark, sf):
+    table = common.table(spark, f"/root/testdata/sf{sf}", "embeddings").where("embedding is not null").toPandas()
+    x, ids = np.stack(table["embedding"].to_numpy()).astype(float), table["vec_id"].to_numpy()
+    got = queries.op1_ads_search(spark, f"/root/testdata/sf{sf}").toPandas()
+    assert got["query_id"].nunique() == (ids % 20 == 0).sum() and recall(x, got, ids) >= 0.9
 
 
 def test_toxicity_held_out(spark):
