@@ -2,7 +2,8 @@
 
 Token counts per (source, language, topic) cell are raked to target marginals of each of the three; a document
 is then sampled with its cell's rate: raked weight over tokens, scaled so that the largest rate is 1.  The counts are combined before they are shuffled;
-cells are a table throughout and every fitting step is an aggregate and an equi-join.
+cells and factors are tables throughout and every fitting step is an equi-join and an aggregate.  Words are counted once for each text, in the cells' pass; the sampling
+pass counts those of the sampled texts only.
 """
 
 from __future__ import annotations
@@ -13,30 +14,37 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import stored
 
 DIMS = ("source", "lang", "topic")
-#: Topics by the first pattern that a text holds.
-TOPICS = (("licence", "(License|LICENSE|Copyright|copyright)"), ("contact", "[a-z0-9]@[a-z0-9]"), ("markup", "([*]{3}|[#]{3}|[%]{3}|[$]{3}|[&]{3})"))
+#: Topics by the first rule that a text meets: one of some strings, or a pattern that is only tried where a text holds the string before it.
+TOPICS = (("licence", ("License", "LICENSE", "Copyright", "copyright"), None), ("contact", ("@",), "[a-z0-9]@[a-z0-9]"), ("markup", ("***", "###", "%%%", "$$$", "&&&"), None))
 NONE, OTHER = "(none)", "prose"
 #: Default target of a share s of the tokens: s to this power, normalised.
 TEMPER = 0.9
-CYCLES, STORE_EVERY = 12, 3
-#: Cells up to this number are broadcast (some 100 bytes each); more are joined by a shuffle.
-BROADCAST_CELLS = 50_000
-#: Cells up to this number are fitted in memory; more in Spark.
-FEW_CELLS = 50_000
+CYCLES = 12
 HEX_DIGITS = 13
+#: White space between words.
+BLANK = "[\\x20\\x09-\\x0D]"
+
+
+def topic(rules=TOPICS) -> Column:
+    """The name of the first rule that ``text`` meets."""
+    text, out = F.coalesce("text", F.lit("")), F.lit(OTHER)
+    for name, strings, pattern in reversed(rules):
+        met = F.lit(False)
+        for x in strings:
+            met = met | F.contains(text, F.lit(x))
+        out = F.when(met if pattern is None else met & text.rlike(pattern), F.lit(name)).otherwise(out)
+    return out
 
 
-def topic() -> Column:
-    out = F.lit(OTHER)
-    for name, pattern in reversed(TOPICS):
-        out = F.when(F.coalesce("text", F.lit("")).rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+def n_words() -> Column:
+    """Runs of other characters than white space in ``text``."""
+    return F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BLANK), "")).cast("bigint")
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """The rows with the cell columns ``__source``, ``__lang``, ``__topic`` and ``__tokens``, the number of words."""
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint")
-    return docs.withColumns({"__source": F.coalesce("source", F.lit(NONE)), "__lang": F.coalesce("lang", F.lit(NONE)), "__topic": topic(), "__tokens": words})
+def celled(docs: DataFrame, topics: Column | None = None) -> DataFrame:
+    """The rows with the cell columns ``__source``, ``__lang`` and ``__topic``, and ``__any``: does the text hold a word?"""
+    some = F.coalesce("text", F.lit("")).rlike(f"[^{BLANK[1:]}")
+    return docs.withColumns({"__source": F.coalesce("source", F.lit(NONE)), "__lang": F.coalesce("lang", F.lit(NONE)), "__topic": topics if topics is not None else topic(), "__any": some})
 
 
 def tempered(cells: DataFrame, dim: str, power: float = TEMPER) -> DataFrame:
@@ -46,29 +54,27 @@ def tempered(cells: DataFrame, dim: str, power: float = TEMPER) -> DataFrame:
     return sums.select(dim, (F.col("t") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = CYCLES, few: int = FEW_CELLS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = CYCLES) -> DataFrame:
     """``cells`` (dimensions, tokens) with ``w``, fitted to the target shares of each dimension in turn, ``cycles`` times.
 
-    Up to ``few`` cells are fitted in memory; more are fitted by an aggregate and an equi-join a step, with the same result.
+    A fitted weight is the cell's tokens times one factor for each dimension, so the cells stay as they are and a step gives a dimension's new factors: its
+    targets over its sums under the other dimensions' factors, combined before they are shuffled.
     """
-    if cells.count() <= few:
-        frame = cells.toPandas()
-        goals = [(d, t.toPandas().set_index(d)["target"]) for d, t in targets.items()]
-        frame["w"] = frame["tokens"].astype(float)
-        for _ in range(cycles):
-            for dim, goal in goals:
-                frame["w"] *= frame[dim].map(goal / frame.groupby(dim)["w"].sum()).fillna(0.0)
-        return cells.sparkSession.createDataFrame(frame, schema=f"{cells.schema.simpleString()[7:-1]},w:double") if len(frame) else cells.withColumn("w", F.lit(0.0))
-    now = cells.withColumn("w", F.col("tokens").cast("double"))
-    targets = {d: stored(t, "target") for d, t in targets.items()}
-    for n in range(1, cycles + 1):
-        for dim, target in targets.items():
-            sums = now.groupBy(dim).agg(F.sum("w").alias("s")).join(target, dim, "left")
-            factor = sums.select(dim, F.coalesce(F.try_divide("target", "s"), F.lit(0.0)).alias("f"))
-            now = now.join(factor, dim).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        if n % STORE_EVERY == 0 or n == cycles:
-            now = stored(now, "raked")
-    return now.select(*cells.columns, "w")
+    goals = {d: stored(t.select(d, "target"), "target") for d, t in targets.items()}
+    factors: dict[str, DataFrame] = {}
+
+    def weighed(dims: list[str]) -> DataFrame:
+        rows, w = cells, F.col("tokens").cast("double")
+        for d in dims:
+            rows = rows.join(factors[d].withColumnRenamed("f", f"f_{d}"), d, "left")
+            w = w * F.coalesce(f"f_{d}", F.lit(0.0))
+        return rows.select(*cells.columns, w.alias("w"))
+
+    for _ in range(cycles):
+        for dim, goal in goals.items():
+            sums = weighed([d for d in factors if d != dim]).groupBy(dim).agg(F.sum("w").alias("s"))
+            factors[dim] = stored(sums.join(goal, dim).select(dim, F.coalesce(F.try_divide("target", "s"), F.lit(0.0)).alias("f")), "factors")
+    return weighed(list(factors))
 
 
 def unit(seed: int) -> Column:
@@ -77,25 +83,27 @@ def unit(seed: int) -> Column:
     return F.conv(F.substring(mark, 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(float(16**HEX_DIGITS))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 11, labels: bool = True) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 11, labels: bool = True, topics: Column | None = None) -> DataFrame:
     """The sampled rows of ``docs``; with ``labels`` also c_source, c_lang, c_topic, c_tokens and rate, replacing columns of these names.
 
-    Targets are tables of shares (``__source``, ``__lang`` or ``__topic``, and ``target``) by dimension, by default the tempered shares.  Null labels form a class of their own.
-    Texts without words have rate 1 and stay, as they carry no tokens.  Rows with one doc_id share their draw.  A cell whose target
+    Targets are tables of shares (``__source``, ``__lang`` or ``__topic``, and ``target``) by dimension, by default the tempered shares; ``topics`` is a column
+    of topics, by default that of ``topic``.  Null labels form a class of their own.
+    Texts without words, null ones among them, have rate 1 and stay, as they carry no tokens; long texts count in full.  Rows with one doc_id share their draw.  A cell whose target
     is missing has rate 0.  An empty table gives an empty table.
     """
-    rows = labelled(docs)
+    rows = celled(docs, topics)
     dims = [f"__{d}" for d in DIMS]
-    cells = stored(rows.where("__tokens > 0").groupBy(*dims).agg(F.sum("__tokens").alias("tokens")), "cells")
+    cells = stored(rows.where("__any").groupBy(*dims).agg(F.sum(n_words()).alias("tokens")), "cells")
     if targets is None:
         targets = {d: tempered(cells, d) for d in dims}
     fitted = rake(cells, targets).withColumn("ratio", F.col("w") / F.col("tokens"))
-    count, top = fitted.agg(F.count(F.lit(1)), F.max("ratio")).first()
-    rates = fitted.select(*dims, (F.col("ratio") / F.lit(top or 1.0)).alias("__rate"))
-    joined = rows.join(F.broadcast(rates) if count <= BROADCAST_CELLS else rates, dims, "left")
-    joined = joined.withColumn("__rate", F.when(F.col("__tokens") == 0, 1.0).otherwise(F.coalesce("__rate", F.lit(0.0))))
+    top = fitted.agg(F.max("ratio")).first()[0]
+    rates = stored(fitted.select(*dims, (F.col("ratio") / F.lit(top or 1.0)).alias("__rate")), "rates")
+    # Spark broadcasts the rates while their table is small and shuffles beyond.
+    joined = rows.join(rates, dims, "left").withColumn("__rate", F.when(~F.col("__any"), 1.0).otherwise(F.coalesce("__rate", F.lit(0.0))))
     kept = joined.where(unit(seed) < F.col("__rate"))
     if not labels:
         return kept.select(*docs.columns)
+    kept = kept.withColumn("__tokens", n_words())
     made = {f"c_{d}": f"__{d}" for d in (*DIMS, "tokens")} | {"rate": "__rate"}
     return kept.select(*[c for c in docs.columns if c not in made], *[F.col(v).alias(k) for k, v in made.items()])

@@ -201,17 +201,38 @@ def test_best_place_equals_brute_force():
         assert d == min(distance(a, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1)) == distance(a, b[s:e])
 
 
-def test_raking_in_memory_and_in_spark(spark):
+def test_raking_equals_its_formula_and_meets_the_targets(spark):
     rows = [(f"s{k % 5}", f"l{k % 3}", f"t{k % 2}", 10 + 7 * k % 23) for k in range(30)]
     cells = spark.createDataFrame(rows, "__source string, __lang string, __topic string, tokens long").groupBy("__source", "__lang", "__topic").agg(F.sum("tokens").alias("tokens"))
     targets = {d: mixing.tempered(cells, d, 0.5) for d in ("__source", "__lang", "__topic")}
-    near = lambda df: {tuple(r)[:3]: r.w for r in df.collect()}
-    a, b = near(mixing.rake(cells, targets, cycles=2)), near(mixing.rake(cells, targets, cycles=2, few=0))
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
-    a = near(mixing.rake(cells, targets))
-    for dim, at in (("__source", 0), ("__lang", 1), ("__topic", 2)):
-        for r in targets[dim].collect():
-            assert abs(sum(w for k, w in a.items() if k[at] == r[0]) - r.target) < 1e-6
+    goal = [{r[0]: r.target for r in targets[d].collect()} for d in targets]
+    want = {tuple(r)[:3]: float(r.tokens) for r in cells.collect()}
+    got = {tuple(r)[:3]: r.w for r in mixing.rake(cells, targets).collect()}
+    for _ in range(mixing.CYCLES):
+        for at in range(3):
+            sums = {}
+            for k, w in want.items():
+                sums[k[at]] = sums.get(k[at], 0.0) + w
+            want = {k: w * goal[at][k[at]] / sums[k[at]] for k, w in want.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    for at in range(3):
+        for name, share in goal[at].items():
+            assert abs(sum(w for k, w in got.items() if k[at] == name) - share) < 1e-6
+
+
+def test_sampled_tokens_meet_the_marginals(spark):
+    """Of many documents, the tokens sampled have the target shares of each dimension."""
+    rows = [(k, f"{'word ' * (1 + k % 7)}{('', 'x@y', '***')[k * k % 3]}", ("en", "de")[k % 5 == 0], f"s{k % 11 % 3}") for k in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {"__source": {"s0": 0.3, "s1": 0.3, "s2": 0.4}, "__lang": {"en": 0.6, "de": 0.4}, "__topic": {"prose": 0.5, "contact": 0.3, "markup": 0.2}}
+    present = {r[0] for r in mixing.celled(docs).select("__topic").distinct().collect()}
+    want["__topic"] = {t: p / sum(want["__topic"][x] for x in present) for t, p in want["__topic"].items() if t in present}
+    targets = {d: spark.createDataFrame(list(t.items()), f"{d} string, target double") for d, t in want.items()}
+    got = mixing.mix(docs, targets).toPandas()
+    for dim, shares in want.items():
+        sums = got.groupby(f"c_{dim[2:]}")["c_tokens"].sum()
+        for name, share in shares.items():
+            assert abs(sums[name] / sums.sum() - share) < 0.02
 
 
 def recall(x, got, ids, k=20):
