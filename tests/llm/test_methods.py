@@ -151,26 +151,35 @@ def test_leaks_with_edits(spark, docs):
     assert got == want
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
 @pytest.mark.parametrize("way", ["regular", "random", "mixed"])
-def test_leaks_at_the_allowed_maximum(way):
+def test_leaks_recall(way, share):
+    """Recall at rising shares of edits, and every row that is given equals brute force over the whole text."""
     rng = random.Random(6)
     words = [f"v{k}" for k in range(400)]
-    items = [(n, [rng.choice(words) for _ in range(size)]) for n, size in enumerate([*range(1, 60), 15, 20, 39, 58, 90, 200] * 2)]
+    items = [[rng.choice(words) for _ in range(size)] for size in [*range(1, 60), 15, 16, 20, 39, 58, 90, 200] * 4]
     texts = []
-    for _, item in items:
-        ws, k = list(item), int(decontam.MAX_EDITS * len(item))
-        places = [5 * e + 5 * (len(ws) - 5 * k > 4) - 1 if rng.random() < 0.5 else 6 * e for e in range(k)] if way == "regular" else rng.sample(range(len(ws)), k)
-        for e in sorted((min(p, len(ws) - 1) for p in places), reverse=True):
+    for item in items:
+        ws, k = list(item), int(share * len(item))
+        step = len(ws) // max(k, 1)
+        places = [step * e + step - 1 for e in range(k)] if way == "regular" else rng.sample(range(len(ws)), k)
+        for e in sorted(places, reverse=True):
             ws[e : e + 1] = {"mixed": ([], [f"z{e}", ws[e]], [f"z{e}"])[e % 3]}.get(way, [f"z{e}"])
         texts.append(" ".join([rng.choice(words) for _ in range(30)] + ws + [rng.choice(words) for _ in range(30)]))
-    got = {(d, i): e for d, i, _, _, e in decontam.Index(items).leaks(texts)}
+    index = decontam.Index([(n, " ".join(item)) for n, item in enumerate(items)])
+    got = {(d, i): (e, start, end) for d, i, start, end, e in index.leaks(pa.array(texts))}
     code = {w: k for k, w in enumerate({w for t in texts for w in t.split()} | set(words))}
     arrays = [np.array([code[w] for w in t.split()]) for t in texts]
-    for n, item in items[::3] if way != "regular" else items:
+    for n in range(0, len(items), 5):
         for d in {n, (n * 7) % len(texts)}:
-            edits = decontam.best_place(np.array([code[w] for w in item]), arrays[d])[0]
-            assert got.get((d, n)) == (edits if edits <= int(decontam.MAX_EDITS * len(item)) else None)
-    assert all((n, n) in got for n, _ in items)
+            edits = decontam.best_place(np.array([code[w] for w in items[n]]), arrays[d])[0]
+            if (d, n) in got:
+                assert got[d, n][0] == edits <= int(decontam.MAX_EDITS * len(items[n]))
+            elif len(items[n]) < decontam.SHORT:
+                assert edits > int(decontam.MAX_EDITS * len(items[n]))
+    long = [n for n, item in enumerate(items) if len(item) >= decontam.SHORT]
+    assert all((n, n) in got for n in range(len(items)) if len(items[n]) < decontam.SHORT)
+    assert sum((n, n) in got for n in long) >= 0.99 * len(long)
 
 
 def test_leaks_of_a_benchmark_with_many_words(spark, docs, monkeypatch):
