@@ -104,8 +104,8 @@ class WordCoder:
 
     Where the file's steps are NFC, white space to one blank, lower case, cutting out the matches of a pattern, and byte-level
     pairs, no id reaches over a blank.  A chunk's distinct words are then normalized, cut and given to the tokenizer's own pair model
-    once, and remembered until ``limit`` bytes are held.  With any other steps, and in texts that hold a special token's
-    own text, the tokenizer encodes the text whole.
+    once, and remembered until ``limit`` bytes are held.  A word that holds a special token's own text goes to the tokenizer
+    as it is, and so does every text where the tokenizer has other steps.
     """
 
     def __init__(self, path: str, limit: int = 120_000_000):
@@ -140,7 +140,7 @@ class WordCoder:
             return None
         split, level = cuts
         letters = "[\\p{L}]+" in split["pattern"].get("Regex", "").split("|")
-        plain = letters and split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"] and said["model"]["type"] == "BPE"
+        plain = letters and not any(" " in t["content"] for t in said["added_tokens"]) and split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"] and said["model"]["type"] == "BPE"
         return split["pattern"].get("Regex") if plain else None
 
     def _forget(self) -> None:
@@ -157,16 +157,19 @@ class WordCoder:
         self.held += 150 * len(texts) + 4 * len(ids)
 
     def _learn(self, words: list[str]) -> None:
-        cut, counts = [], []
+        cut, counts, whole = [], [], {}
         for w in words:
             # Python lower-cases a capital sigma by its place, the tokenizer does not.
             low = w.lower() if w.isascii() else normalize("NFC", w).replace("\u03a3", "\u03c3").lower()
-            if low.isalpha():
+            if self.pieces and low.isalpha():
                 cut.append(low)
                 counts.append(1)
-            elif low[:-1].isalpha() and low[-1] in ".,;:!?":
+            elif self.pieces and low[:-1].isalpha() and low[-1] in ".,;:!?":
                 cut += (low[:-1], low[-1])
                 counts.append(2)
+            elif self.pieces is None or any(x in w for x in self.special):
+                whole[len(counts)] = self.tokenizer.encode(w, add_special_tokens=False).ids
+                counts.append(0)
             else:
                 some = self.pieces(low)
                 cut += some
@@ -186,39 +189,36 @@ class WordCoder:
         sizes = starts[at + 1] - starts[at]
         ids = gathered(np.array(self.flat, np.uint32), starts[at], sizes)
         so_far = np.concatenate(([0], np.cumsum(sizes)))
-        self._runs(self.known, words, ids, so_far[np.cumsum(counts, dtype=np.int64)])
+        stops = so_far[np.cumsum(counts, dtype=np.int64)]
+        if whole:
+            parts = [whole.get(k, x) for k, x in enumerate(np.split(ids, stops[:-1]))]
+            ids, stops = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        self._runs(self.known, words, ids, stops)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has; a null text has none."""
         texts = texts.fill_null("")
-        whole = np.zeros(len(texts), bool) if self.pieces else np.ones(len(texts), bool)
-        for mark in self.special:
-            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
-        if whole.any():
-            rest, sizes = self._words(pc.if_else(pa.array(whole), "", texts)) if not whole.all() else (np.zeros(0, np.uint32), np.zeros(len(texts), np.int64))
-            own = {k: np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) for k in np.flatnonzero(whole).tolist()}
-            bounds = np.concatenate(([0], np.cumsum(sizes)))
-            parts = [own[k] if k in own else rest[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
-            return np.concatenate(parts), np.array([len(p) for p in parts])
-        return self._words(texts)
-
-    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.pieces is None:
+            own = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.to_pylist()]
+            return np.concatenate([*own, np.zeros(0, np.uint32)]), np.array([len(x) for x in own], np.int64)
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [w for w in words if w not in self.known]
+        ids, sizes = self.encode_words(coded.dictionary, coded.indices.to_numpy())
+        so_far = np.concatenate(([0], np.cumsum(sizes)))
+        return ids, np.diff(so_far[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+
+    def encode_words(self, distinct: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words ``distinct[number]`` one after another, and how many each has."""
+        words = distinct.to_numpy(zero_copy_only=False).tolist()
         if self.held > self.limit:
             self._forget()
-            new = words
+        new = [w for w in words if w not in self.known]
         if new:
             self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[number]
         flat, starts = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.starts, np.int64)
-        at = number[coded.indices.to_numpy()]
         sizes = starts[at + 1] - starts[at]
-        ids = gathered(flat, starts[at], sizes)
-        so_far = np.concatenate(([0], np.cumsum(sizes)))
-        return ids, np.diff(so_far[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+        return gathered(flat, starts[at], sizes), sizes
 
     def with_end(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, with ``end_id`` after each text."""
