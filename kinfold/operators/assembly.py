@@ -5,11 +5,12 @@ Pairs: parent, child, parent_age, strength, method, h1, h2 (id sharing of the tw
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.operators.graphs import components, two_colour
-from kinfold.operators.pairs import coparent_check, lookup_pairs
+from kinfold.operators.pairs import coparent_check
+from kinfold.plans.lineage import stored
 
 MIN_STRENGTH = 15.0
 FAR = ("4th", "UN")
@@ -40,12 +41,27 @@ def _turned(po: DataFrame, rulings: DataFrame) -> DataFrame:
 
 
 def orient_by_unrelated(po: DataFrame, king: DataFrame) -> DataFrame:
-    """someone's first two partners, by id, that are 4th degree or unrelated to each other are the parents; the other partners are children."""
+    """someone's first two partners, by id, that are 4th degree or unrelated to each other are the parents; the other partners are children.
+
+    Only near pairs of kinship are rows: a person's partners in order, less those near to the first, then to the next, leave the first far pair.
+    """
     partners = _partners(po)
-    a, b = partners.withColumnRenamed("partner", "p1"), partners.withColumnRenamed("partner", "p2")
-    pairs = lookup_pairs(a.join(b, "iid").where("p1 < p2"), king, {"inftype": "UN"}, "p1", "p2").where(F.col("inftype").isin(*FAR))
-    chosen = pairs.groupBy("iid").agg(F.min(F.struct("p1", "p2")).alias("c"))
-    rulings = partners.join(chosen, "iid").select("iid", "partner", ((F.col("partner") == F.col("c.p1")) | (F.col("partner") == F.col("c.p2"))).alias("is_parent"))
+    # Near pairs among someone's partners: each kinship row meets the people it is a partner of on one side and is kept if the other side is one too.
+    near = king.where(~F.col("inftype").isin(*FAR)).select("id1", "id2")
+    one = partners.select("iid", F.col("partner").alias("id1"))
+    close = near.join(one, "id1").join(partners.select("iid", F.col("partner").alias("id2")), ["iid", "id2"], "left_semi")
+    blocked = close.groupBy("iid", F.col("id1").alias("partner")).agg(F.collect_set("id2").alias("near"))
+    # The first far partner after p among at most len(near) + 1 that follow it; rank tells how many follow.
+    nth = F.row_number().over(Window.partitionBy("iid").orderBy("partner"))
+    ranked = stored(partners.withColumn("nth", nth), "partners")
+    rows = ranked.join(blocked, ["iid", "partner"], "left").withColumn("held", F.coalesce(F.size("near"), F.lit(0)))
+    sizes = ranked.groupBy("iid").agg(F.max("nth").alias("of"))
+    # p has a far partner after it iff more follow it than are near to it.
+    first = rows.join(sizes, "iid").where(F.col("of") - F.col("nth") > F.col("held")).groupBy("iid").agg(F.min(F.struct("partner", "near")).alias("p"))
+    after = ranked.join(first, "iid").where(F.col("partner") > F.col("p.partner"))
+    after = after.where(F.col("p.near").isNull() | ~F.array_contains("p.near", F.col("partner")))
+    chosen = after.groupBy("iid").agg(F.first("p.partner").alias("p1"), F.min("partner").alias("p2"))
+    rulings = partners.join(chosen, "iid").select("iid", "partner", ((F.col("partner") == F.col("p1")) | (F.col("partner") == F.col("p2"))).alias("is_parent"))
     return _turned(po, rulings)
 
 
@@ -81,18 +97,32 @@ def pedigree_qc(po: DataFrame, assigned: DataFrame, king: DataFrame, min_strengt
     return dup.union(sexless).union(gap).union(related)
 
 
+def _parent_sets(po: DataFrame) -> DataFrame:
+    """``child, ps``: each child's parents, in order."""
+    return po.groupBy("child").agg(F.sort_array(F.collect_set("parent")).alias("ps"))
+
+
+def parent_colours(po: DataFrame) -> DataFrame:
+    """Two colours of the parents of children with two, the parents of one child apart, whatever is known of their sexes."""
+    return two_colour(_parent_sets(po).where(F.size("ps") == 2).select(F.col("ps")[0].alias("id1"), F.col("ps")[1].alias("id2")).distinct())
+
+
+def mixed_sex_groups(colours: DataFrame, people: DataFrame) -> DataFrame:
+    """``kind, subject, detail`` of people whose colour holds both sexes by ``people``, a row each with the component and the sex."""
+    known = colours.join(people.where("sex in (1, 2)").select(F.col("iid").alias("node"), "sex"), "node")
+    both = known.groupBy("component", "colour").agg(F.count_distinct("sex").alias("n")).where("n > 1").select("component").distinct()
+    return known.join(both, "component", "left_semi").select(F.lit("multipleSex").alias("kind"), F.col("node").alias("subject"), F.concat_ws(" ", F.col("component").cast("string"), F.col("colour").cast("string"), F.col("sex").cast("string")).alias("detail"))
+
+
 def infer_parent_sex(po: DataFrame, people: DataFrame) -> DataFrame:
     """``iid, sex, how`` for parents without a sex.
 
-    Two such parents of one child get different colours.  If each colour's known sexes are one and they differ, they decide;
-    else the colour with the higher mean of min(h1, h2) is male.  A single such parent joins the sex whose mean is
+    Two parents of one child get different colours.  If each colour's known sexes are one and they differ, they decide;
+    else the colour with the higher mean of min(h1, h2) is male.  The parent of children with no other joins the sex whose mean is
     nearer to its own, male where there are no means.  A colour with both sexes shows as ``how`` = 'mixed'.
     """
     sexes = people.select("iid", F.coalesce("sex", F.lit(0)).alias("sex"))
-    rows = po.join(sexes.withColumnsRenamed({"iid": "parent"}), "parent")
-    lacking = rows.where("sex = 0").groupBy("child").agg(F.sort_array(F.collect_set("parent")).alias("ps"))
-    pairs = lacking.where(F.size("ps") == 2).select(F.col("ps")[0].alias("id1"), F.col("ps")[1].alias("id2")).distinct()
-    colours = two_colour(pairs)
+    colours = stored(parent_colours(po), "colours")
     low = po.groupBy("parent").agg(F.sum(F.least("h1", "h2")).alias("h"), F.count(F.lit(1)).alias("k"))
     known = colours.join(sexes, colours["node"] == sexes["iid"]).join(low, colours["node"] == low["parent"], "left")
     stat = known.groupBy("component", "colour").agg(F.count_distinct(F.when(F.col("sex") > 0, F.col("sex"))).alias("n"), F.max(F.when(F.col("sex") > 0, F.col("sex"))).alias("s"), (F.sum("h") / F.sum("k")).alias("mean"))
@@ -101,13 +131,14 @@ def infer_parent_sex(po: DataFrame, people: DataFrame) -> DataFrame:
     sure = (F.col("n") == 1) & (F.col("n2") == 1) & (F.col("s") != F.col("s2"))
     higher = F.when((F.col("mean") > F.col("mean2")) | ((F.col("mean") == F.col("mean2")) & (F.col("colour") == 1)), 1).otherwise(2)
     ruled = both.select("component", "colour", F.when(sure, F.col("s")).otherwise(higher).alias("sex"), F.when(sure, "known").when((F.col("n") > 1) | (F.col("n2") > 1), "mixed").otherwise("mean").alias("how"))
-    paired = colours.join(ruled, ["component", "colour"]).select(F.col("node").alias("iid"), "sex", "how")
+    paired = stored(colours.join(ruled, ["component", "colour"]).select(F.col("node").alias("iid"), "sex", "how"), "paired")
     means = paired.join(low, paired["iid"] == low["parent"], "left").agg(*[(F.sum(F.when(F.col("sex") == s, F.col("h"))) / F.sum(F.when(F.col("sex") == s, F.col("k")))).alias(f"m{s}") for s in (1, 2)])  # one row
-    single = lacking.where(F.size("ps") == 1).select(F.col("ps")[0].alias("iid")).distinct().join(paired, "iid", "left_anti")
+    single = _parent_sets(po).where(F.size("ps") == 1).select(F.col("ps")[0].alias("iid")).distinct().join(paired, "iid", "left_anti")
     near = single.join(low, single["iid"] == low["parent"], "left").withColumn("one", F.lit(1)).join(F.broadcast(means.withColumn("one", F.lit(1))), "one")
     own = F.col("h") / F.col("k")
     female = F.col("m1").isNotNull() & F.col("m2").isNotNull() & (F.abs(own - F.col("m2")) < F.abs(own - F.col("m1")))
-    return paired.union(near.select("iid", F.when(female, 2).otherwise(1), F.lit("nearest")))
+    every = paired.union(near.select("iid", F.when(female, 2).otherwise(1), F.lit("nearest")))
+    return every.join(sexes.where("sex = 0").select("iid"), "iid", "left_semi")
 
 
 def complete_fam(fam: DataFrame, assigned: DataFrame) -> DataFrame:

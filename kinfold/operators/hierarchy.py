@@ -14,7 +14,6 @@ TREE = (
 )
 #: Sums of children, innermost first.
 SUMS = (("GP", ("PGP", "MGP")), ("HS", ("PHS", "MHS")), ("GPAV", ("GP", "AV")))
-DEPTH = 4
 PAIR = ["id1", "id2"]
 
 
@@ -62,7 +61,7 @@ def sum_children(probs: DataFrame, sums=SUMS) -> DataFrame:
 
 
 def cascade(probs: DataFrame, tree: DataFrame) -> DataFrame:
-    """``p`` from root to leaf: the share among the siblings given, times the parent's p.
+    """``p`` from root to leaf: the share among the siblings given, times the parent's p, for a tree of any depth.
 
     NaN and null count as 0 in the sum; a zero sum leaves its nodes at 0.  A node whose parent has no row gets null.
     """
@@ -75,7 +74,7 @@ def cascade(probs: DataFrame, tree: DataFrame) -> DataFrame:
     maps = rows.groupBy(*PAIR).agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("share", "parent", "p_con")))).alias("m"))
     node, parent = F.col("node"), lambda c: F.try_element_at("m", c)["parent"]
     p, at = F.lit(1.0), node
-    for _ in range(DEPTH):
+    for _ in range(tree.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]):
         p = p * F.when(at == ROOT, F.lit(1.0)).otherwise(F.try_element_at("m", at)["share"])
         at = F.when(at == ROOT, at).otherwise(parent(at))
     return maps.select(*PAIR, "m", F.explode(F.map_keys("m")).alias("node")).select(*PAIR, "node", F.try_element_at("m", node)["p_con"].alias("p_con"), p.alias("p"))

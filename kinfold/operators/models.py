@@ -27,11 +27,17 @@ def _packed(model: DataFrame) -> DataFrame:
     return F.broadcast(model.agg(F.sort_array(F.collect_list(F.struct(*model.columns))).alias("classes")).withColumn("one", F.lit(1)))  # one row of few classes
 
 
+def _once(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once: a lambda's variable stands for it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _softmax(scores: Column) -> Column:
-    top = F.array_max(F.transform(scores, lambda s: s["score"]))
-    raised = F.transform(scores, lambda s: F.struct(s["class"].alias("class"), F.exp(s["score"] - top).alias("e")))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, s: a + s["e"])
-    return F.transform(raised, lambda s: F.struct(s["class"].alias("class"), (s["e"] / total).alias("p")))
+    """``class, p`` from ``class, score``; the largest score and the sum are each worked out once a row."""
+    raised = lambda s, top: F.transform(s, lambda x: F.struct(x["class"].alias("class"), F.exp(x["score"] - top).alias("e")))
+    shares = lambda r, total: F.transform(r, lambda x: F.struct(x["class"].alias("class"), (x["e"] / total).alias("p")))
+    summed = lambda r: _once(F.aggregate(r, F.lit(0.0), lambda a, x: a + x["e"]), lambda total: shares(r, total))
+    return _once(scores, lambda s: _once(F.array_max(F.transform(s, lambda x: x["score"])), lambda top: _once(raised(s, top), summed)))
 
 
 def lda_score(df: DataFrame, model: DataFrame, features: tuple[str, str]) -> DataFrame:
@@ -103,14 +109,25 @@ class Mixture:
     def __init__(self, weights: np.ndarray, means: np.ndarray, covs: np.ndarray, rounds: int):
         self.weights, self.means, self.covs, self.rounds = weights, means, covs, rounds
 
-    def responsibilities(self, features: tuple[str, str]) -> list[Column]:
-        """Each component's probability, as columns."""
+    def _logs(self, features: tuple[str, str]) -> list[Column]:
+        """Log of each component's weight times density, as columns."""
         x, y = (F.col(f).cast("double") for f in features)
         logs = []
         for w, m, c in zip(self.weights, self.means, self.covs, strict=True):
             inv, det = np.linalg.inv(c), float(np.linalg.det(c))
             a, b = x - float(m[0]), y - float(m[1])
-            logs.append(F.lit(float(np.log(w) - 0.5 * np.log(det))) - 0.5 * (float(inv[0, 0]) * a * a + float(2 * inv[0, 1]) * a * b + float(inv[1, 1]) * b * b))
+            logs.append(F.lit(float(np.log(w) - 0.5 * np.log(det) - np.log(2 * np.pi))) - 0.5 * (float(inv[0, 0]) * a * a + float(2 * inv[0, 1]) * a * b + float(inv[1, 1]) * b * b))
+        return logs
+
+    def log_likelihood(self, features: tuple[str, str]) -> Column:
+        logs = self._logs(features)
+        top = F.greatest(*logs)
+        raised = [F.exp(v - top) for v in logs]
+        return top + F.log(sum(raised[1:], raised[0]))
+
+    def responsibilities(self, features: tuple[str, str]) -> list[Column]:
+        """Each component's probability, as columns."""
+        logs = self._logs(features)
         top = F.greatest(*logs)
         raised = [F.exp(v - top) for v in logs]
         total = sum(raised[1:], raised[0])
@@ -120,38 +137,43 @@ class Mixture:
 def gmm_fit(df: DataFrame, features: tuple[str, str], means, weights=None, covariance: str = "spherical", rounds: int = 100, tol: float = 1e-3, floor: float = 1e-6) -> Mixture:
     """EM from given means; each round is one aggregate over the table.
 
-    Covariances start at the data's own: the mean variance on the diagonal (spherical) or the whole (tied).  Ends when the mean
-    log-likelihood bound moves less than ``tol``.
+    Weights (unless given) and covariances start from the rows' nearest means.  Ends when the mean log-likelihood moves less than ``tol``.
     """
     x, y = features
     rows = df.where(f"`{x}` is not null and `{y}` is not null and not isnan(`{x}`) and not isnan(`{y}`)").select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    rows = rows.persist()
-    try:
-        n, vx, vy, vxy = rows.agg(F.count(F.lit(1)), F.var_pop("x"), F.var_pop("y"), F.covar_pop("x", "y")).first()
-        if not n:
+    rows, k = rows.persist(), len(means)
+
+    def fitted(shares: list[Column], extra: Column, turn: int) -> tuple[Mixture, float]:
+        """The mixture by the rows' shares in its components, and the mean of a column."""
+        cols = []
+        for c in shares:
+            cols += [F.sum(c), F.sum(c * F.col("x")), F.sum(c * F.col("y")), F.sum(c * F.col("x") * F.col("x")), F.sum(c * F.col("x") * F.col("y")), F.sum(c * F.col("y") * F.col("y"))]
+        found = rows.agg(*[c.alias(f"c{j}") for j, c in enumerate(cols)], F.avg(extra).alias("extra")).first()
+        if found[0] is None:
             raise ValueError("no rows to fit a mixture on")
-        k = len(means)
-        first = np.eye(2) * ((vx + vy) / 2 + floor) if covariance == "spherical" else np.array([[vx + floor, vxy], [vxy, vy + floor]])
-        model = Mixture(np.full(k, 1 / k) if weights is None else np.array(weights, float), np.array(means, float), np.stack([first] * k), 0)
-        before = None
+        got = np.array(found[:-1], float).reshape(k, 6)
+        mass = np.maximum(got[:, 0], 1e-12)
+        centre = got[:, 1:3] / mass[:, None]
+        scatter = np.stack([np.array([[g[3], g[4]], [g[4], g[5]]]) / m - np.outer(mu, mu) for g, m, mu in zip(got, mass, centre, strict=True)])
+        if covariance == "spherical":
+            covs = np.stack([np.eye(2) * (np.trace(s) / 2 + floor) for s in scatter])
+        else:
+            covs = np.stack([np.einsum("k,kij->ij", mass, scatter) / mass.sum() + np.eye(2) * floor] * k)
+        return Mixture(mass / mass.sum(), centre, covs, turn), float(found["extra"])
+
+    try:
+        far = [(F.col("x") - float(m[0])) ** 2 + (F.col("y") - float(m[1])) ** 2 for m in means]
+        nearest = F.array_position(F.array(*far), F.array_min(F.array(*far))) if k > 1 else F.lit(1)
+        model, _ = fitted([(nearest == n + 1).cast("double") for n in range(k)], F.lit(0.0), 0)
+        model.means = np.array(means, float)
+        if weights is not None:
+            model.weights = np.array(weights, float)
+        before = -np.inf
         for turn in range(1, rounds + 1):
-            r = model.responsibilities(("x", "y"))
-            cols = []
-            for c in r:
-                cols += [F.sum(c), F.sum(c * F.col("x")), F.sum(c * F.col("y")), F.sum(c * F.col("x") * F.col("x")), F.sum(c * F.col("x") * F.col("y")), F.sum(c * F.col("y") * F.col("y"))]
-            got = np.array(rows.agg(*[c.alias(f"c{j}") for j, c in enumerate(cols)]).first(), float).reshape(k, 6)
-            mass = np.maximum(got[:, 0], 1e-12)
-            means_ = got[:, 1:3] / mass[:, None]
-            scatter = np.stack([np.array([[g[3], g[4]], [g[4], g[5]]]) / m - np.outer(mu, mu) for g, m, mu in zip(got, mass, means_, strict=True)])
-            if covariance == "spherical":
-                covs = np.stack([np.eye(2) * (np.trace(s) / 2 + floor) for s in scatter])
-            else:
-                covs = np.stack([np.einsum("k,kij->ij", mass, scatter) / mass.sum() + np.eye(2) * floor] * k)
-            moved = np.abs(means_ - model.means).max()
-            model = Mixture(mass / mass.sum(), means_, covs, turn)
-            if before is not None and moved < tol * 1e-2:
+            model, now = fitted(model.responsibilities(("x", "y")), model.log_likelihood(("x", "y")), turn)
+            if abs(now - before) < tol:
                 break
-            before = moved
+            before = now
         return model
     finally:
         rows.unpersist()

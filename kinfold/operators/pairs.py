@@ -17,12 +17,12 @@ def with_attr(df: DataFrame, attrs: DataFrame, on: str | list[str], default: dic
     return out.fillna(default) if default else out
 
 
-def people(fam: DataFrame, populations: DataFrame | None = None, ages: DataFrame | None = None) -> DataFrame:
-    """Fam with "0" parents as null and the optional population and age of each person."""
+def people(fam: DataFrame, populations: DataFrame | None = None, ages: DataFrame | None = None, default: str = "pop1") -> DataFrame:
+    """Fam with "0" parents as null and the optional population and age of each person; people absent from the populations have the default one."""
     clean = lambda c: F.when(F.col(c).cast("string") == "0", None).otherwise(F.col(c)).alias(c) if c in ("father", "mother") else F.col(c)
     out = fam.select(*map(clean, fam.columns))
-    out = out.join(populations, "iid", "left") if populations is not None else out.withColumn("popl", F.lit("pop1"))
-    return out.join(ages, "iid", "left") if ages is not None else out.withColumn("age", F.lit(None).cast("double"))
+    out = with_attr(out, populations, "iid", {"popl": default}) if populations is not None else out.withColumn("popl", F.lit(default))
+    return with_attr(out, ages, "iid") if ages is not None else out.withColumn("age", F.lit(None).cast("double"))
 
 
 def children(fam: DataFrame) -> DataFrame:
@@ -152,8 +152,8 @@ def unrelated_counts(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """``iid, n_unrelated``: all others less the related partners; no pair of ids is ever formed."""
     inside = keep_members(edges, ids)
     degree = inside.select(F.explode(F.array("id1", "id2")).alias("iid")).groupBy("iid").agg(F.count(F.lit(1)).alias("k"))
-    others = ids.agg((F.count(F.lit(1)) - 1).alias("others"))  # one row
-    return ids.select("iid").join(degree, "iid", "left").join(F.broadcast(others)).select("iid", (F.col("others") - F.coalesce("k", F.lit(0))).alias("n_unrelated"))
+    others = ids.agg((F.count(F.lit(1)) - 1).alias("others")).withColumn("one", F.lit(1))  # one row
+    return ids.select("iid", F.lit(1).alias("one")).join(degree, "iid", "left").join(F.broadcast(others), "one").select("iid", (F.col("others") - F.coalesce("k", F.lit(0))).alias("n_unrelated"))
 
 
 def founder_panel(king: DataFrame, persons: DataFrame) -> DataFrame:
@@ -162,8 +162,8 @@ def founder_panel(king: DataFrame, persons: DataFrame) -> DataFrame:
     close = king.where(F.col("inftype").isin("4th", "3rd", "2nd", "PO", "FS"))
     a = close.join(popl.select(F.col("iid").alias("id1"), F.col("popl").alias("p1")), "id1").join(popl.select(F.col("iid").alias("id2"), F.col("popl").alias("p2")), "id2").where("p1 = p2")
     counts = a.select("p1", F.explode(F.array("id1", "id2")).alias("iid")).distinct().groupBy("p1").agg(F.count(F.lit(1)).alias("n_close"))
-    total = counts.agg(F.sum("n_close").alias("total"))  # one row
-    return counts.join(F.broadcast(total)).select(F.col("p1").alias("popl"), "n_close", (F.col("n_close") / F.col("total")).alias("share"))
+    total = counts.agg(F.sum("n_close").alias("total")).withColumn("one", F.lit(1))  # one row
+    return counts.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select(F.col("p1").alias("popl"), "n_close", (F.col("n_close") / F.col("total")).alias("share"))
 
 
 def founder_plan(panel: DataFrame, unrelated: DataFrame, n_pairs: int) -> DataFrame:

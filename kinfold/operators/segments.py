@@ -161,36 +161,46 @@ def uniform(*keys: str | Column) -> Column:
     return F.conv(F.substring(mark, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def draw_switches(chromosomes: DataFrame, mean_d: float = 50.0, seed: int = 0, draws: int = 64) -> DataFrame:
+def draw_switches(chromosomes: DataFrame, mean_d: float = 50.0, seed: int = 0) -> DataFrame:
     """Switch places per (pair, chromosome, side): running sums of exponential gaps up to the first beyond ``LONGEST_CM``.
 
-    ``draws`` bounds the gaps drawn; it should be some ten times LONGEST_CM / mean_d.
+    Gaps are drawn for the expected number and twelve standard deviations more; a side that they don't bring to the end stops the job.
     """
+    expected = LONGEST_CM / mean_d
+    draws = int(expected + 12 * expected**0.5 + 30)
     side = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
     drawn = chromosomes.select(*CHROM).distinct().select(*CHROM, side).select(*CHROM, "side", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i"))
     gap = -F.log(1 - uniform(F.lit(seed), *CHROM, "side", "i")) * mean_d
     order = Window.partitionBy(*CHROM, "side").orderBy("i")
     placed = drawn.withColumn("gap", gap).withColumn("switch_cm", F.sum("gap").over(order))
-    return placed.where(F.col("switch_cm") - F.col("gap") < LONGEST_CM).select(*CHROM, "side", "switch_cm")
+    short = F.raise_error(F.lit("more gaps than were drawn")).cast("double")
+    whole = F.when((F.col("i") == draws) & (F.col("switch_cm") < LONGEST_CM), short).otherwise(F.col("switch_cm"))
+    return placed.withColumn("switch_cm", whole).where(F.col("switch_cm") - F.col("gap") < LONGEST_CM).select(*CHROM, "side", "switch_cm")
 
 
 def phase_error_split(segments: DataFrame, switches: DataFrame, min_cm: float = MIN_PIECE_CM) -> DataFrame:
     """Segments cut at the switches inside them, haplotypes flipped after an odd number of earlier switches.
 
-    Points per segment: its start and every switch in [start, end], with the number of switches before on each side; the
-    next point, or the end, closes a piece.  Pieces shorter than ``min_cm`` are dropped.
+    Cuts per segment are its start and every switch in [start, end]; the next cut, or the end, closes a piece, and a piece counts the switches before it
+    on each side.  Pieces shorter than ``min_cm`` are dropped.  A (pair, chromosome)'s switches, some ``LONGEST_CM`` over their mean distance, are one sorted
+    array that joins its segments once, so a segment never meets them as rows.
     """
-    keys = [*CHROM, "id1_haplotype", "id2_haplotype", "start_cm", "end_cm"]
-    segs = segments.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    sw = switches.select(*[F.col(c).alias(f"s_{c}") for c in CHROM], "side", "switch_cm")
-    on = [segs[c] == sw[f"s_{c}"] for c in CHROM] + [sw["switch_cm"] <= segs["end_cm"]]
-    met = segs.join(sw, on, "left").select(*keys, "copies", "side", "switch_cm")
-    inside = F.col("switch_cm") >= F.col("start_cm")
-    early = met.groupBy(*keys, "copies").agg(*[F.sum(F.when((F.col("side") == s) & ~inside, 1).otherwise(0)).alias(f"n{s + 1}") for s in (0, 1)])
-    starts = early.select(*keys, "copies", F.col("start_cm").alias("at"), F.lit(-1).alias("kind"), "n1", "n2")
-    cuts = met.where(inside).select(*keys, "copies", F.col("switch_cm").alias("at"), F.col("side").alias("kind"), F.when(F.col("side") == 0, 1).otherwise(0).alias("n1"), F.when(F.col("side") == 1, 1).otherwise(0).alias("n2"))
-    order = Window.partitionBy(*keys).orderBy("at", "kind")
-    points = starts.union(cuts).select(*keys, "copies", "at", *[F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in ("n1", "n2")], F.coalesce(F.lead("at").over(order), "end_cm").alias("until"))
+    point = F.struct(F.col("switch_cm").cast("double").alias("at"), F.col("side").cast("int").alias("side"))
+    of = switches.groupBy(*CHROM).agg(F.sort_array(F.collect_list(point)).alias("sw"))
+    rows = segments.join(of, list(CHROM), "left")
+    none = F.expr("cast(array() as array<struct<at: double, side: int>>)")
+    rows = rows.withColumn("sw", F.coalesce("sw", none)).withColumns({"cuts": F.filter("sw", lambda s: (s["at"] >= F.col("start_cm")) & (s["at"] <= F.col("end_cm"))), "m1": _before(0), "m2": _before(1)})
+    # Cut 0 is the start; cut k is the k-th switch inside.
+    pieces = rows.select(*CHROM, "id1_haplotype", "id2_haplotype", "start_cm", "end_cm", "cuts", "m1", "m2", F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("k"))
+    at = F.when(F.col("k") == 0, F.col("start_cm")).otherwise(F.try_element_at("cuts", F.col("k"))["at"])
+    until = F.coalesce(F.try_element_at("cuts", F.col("k") + 1)["at"], "end_cm")
+    inside = lambda s: F.size(F.filter(F.slice("cuts", F.lit(1), F.col("k")), lambda c: c["side"] == s))
+    kept = pieces.withColumns({"at": at, "until": until}).where(F.col("until") - F.col("at") >= min_cm)
+    kept = kept.withColumns({"n1": (F.col("m1") + inside(0)).cast("bigint"), "n2": (F.col("m2") + inside(1)).cast("bigint")})
     flip = lambda h, n: F.when(F.col(n) % 2 == 1, 1 - F.col(h)).otherwise(F.col(h)).alias(h)
-    pieces = points.where(F.col("until") - F.col("at") >= min_cm).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return pieces.select(*CHROM, flip("id1_haplotype", "n1"), flip("id2_haplotype", "n2"), F.col("at").alias("start_cm"), F.col("until").alias("end_cm"), "n1", "n2")
+    return kept.select(*CHROM, flip("id1_haplotype", "n1"), flip("id2_haplotype", "n2"), F.col("at").alias("start_cm"), F.col("until").alias("end_cm"), "n1", "n2")
+
+
+def _before(side: int) -> Column:
+    """How many of a side's switches lie before the segment."""
+    return F.size(F.filter("sw", lambda s: (s["at"] < F.col("start_cm")) & (s["side"] == side)))

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators import pairs as P
 from kinfold.operators.graphs import ranked_independent_set, unrelated_set
-from kinfold.operators.hierarchy import cascade, most_probable, set_probs, sum_children, tree_table
+from kinfold.operators.hierarchy import TREE, cascade, most_probable, set_probs, sum_children, tree_table
 from kinfold.operators.models import lda_fit, lda_predict, lda_score
-from kinfold.operators.pedigree import codes_table, known_pairs, path_groups, pedigree_paths, po_edges, sib_pairs
+from kinfold.operators.pedigree import CODES, codes_table, known_pairs, path_groups, pedigree_paths, po_edges, sib_pairs
 from kinfold.operators.segments import MIN_PROPIBD, close_pair_segments, draw_switches, pair_stats, phase_error_split
 from kinfold.operators.siblings import resolve_sibships
 from kinfold.plans.lineage import stored
+from kinfold.sources.writers import write_model
 
 SECOND = ("MGP", "MHS", "PHS", "PGP", "AV")
 HAPLOTYPE_CLASS = {"PHS": "HS", "MHS": "HS", "AV": "GPAV", "PGP": "GPAV", "MGP": "GPAV"}
 PHASE_ERROR = "Phase error"
+MODELS = ("degree", "segments", "haplotype")
 PAIR = ["id1", "id2"]
 
 
@@ -30,37 +34,65 @@ def error_stats(segments: DataFrame, genome_cm: float, mean_d: float, seed: int)
     return pair_stats(phase_error_split(segments, draw_switches(segments, mean_d, seed)), genome_cm)
 
 
-def training_table(known: DataFrame, segments: DataFrame, genome_cm: float, mean_d: float = 50.0, seed: int = 0) -> DataFrame:
-    """M8: labelled pairs with statistics, and copies with switch errors of the 2nd-degree ones, labelled as such."""
-    real = known.select(*PAIR, "rel", degree_of().alias("class")).join(pair_stats(segments, genome_cm), PAIR).withColumn("copy", F.lit("real"))
-    second = real.where(F.col("rel").isin(*SECOND)).select(*PAIR, "rel", "class")
-    wrong = second.join(error_stats(segments, genome_cm, mean_d, seed), PAIR).withColumn("copy", F.lit("error"))
+def training_table(known: DataFrame, segments: DataFrame, genome_cm: float, mean_d: float = 50.0, seed: int = 0, stats: DataFrame | None = None) -> DataFrame:
+    """M8: labelled pairs with statistics, and copies with switch errors of the 2nd-degree ones, labelled as such.
+
+    ``stats`` are the pairs' statistics where they are known already.  Only segments of 2nd-degree pairs are split.
+    """
+    named = known.select(*PAIR, "rel", degree_of().alias("class"))
+    real = named.join(stats if stats is not None else pair_stats(segments.join(named.select(*PAIR).distinct(), PAIR, "left_semi"), genome_cm), PAIR).withColumn("copy", F.lit("real"))
+    second = named.where(F.col("rel").isin(*SECOND))
+    theirs = segments.join(second.select(*PAIR).distinct(), PAIR, "left_semi")
+    wrong = second.join(error_stats(theirs, genome_cm, mean_d, seed), PAIR).withColumn("copy", F.lit("error"))
     return real.unionByName(wrong)
 
 
-def degree_probs(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def degree_model(known: DataFrame) -> DataFrame:
+    """M2: learned from (k_ibd1, k_ibd2) of all known relatives."""
+    return lda_fit(known.withColumn("class", degree_of()), "class", ("k_ibd1", "k_ibd2"))
+
+
+def segment_count_model(known: DataFrame) -> DataFrame:
+    """M3: learned from kinship coverage and n of 2nd-degree pairs."""
+    return lda_fit(known.where(F.col("rel").isin(*SECOND)).select("rel", (F.col("k_ibd1") + F.col("k_ibd2")).alias("cov"), F.col("n").cast("double").alias("n")), "rel", ("cov", "n"))
+
+
+def haplotype_model(training: DataFrame) -> DataFrame:
+    """M4: learned from the h-scores in pair order, phase errors as a class of their own."""
+    group = F.coalesce(*[F.when(F.col("rel") == r, F.lit(c)) for r, c in HAPLOTYPE_CLASS.items()])
+    train = training.where(F.col("rel").isin(*HAPLOTYPE_CLASS)).select(F.when(F.col("copy") == "error", PHASE_ERROR).otherwise(group).alias("class"), "h1", "h2")
+    return lda_fit(train, "class", ("h1", "h2"))
+
+
+def degree_probs(pairs: DataFrame, model: DataFrame) -> DataFrame:
     """M2: ``id1, id2, node, p_con`` of degrees from (k_ibd1, k_ibd2)."""
-    model = lda_fit(known.withColumn("class", degree_of()), "class", ("k_ibd1", "k_ibd2"))
     return lda_score(pairs, model, ("k_ibd1", "k_ibd2")).select(*PAIR, F.col("class").alias("node"), F.col("p").alias("p_con"))
 
 
-def segment_count_probs(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """M3: trained on kinship coverage and n, scored on segment coverage and n."""
-    train = known.where(F.col("rel").isin(*SECOND)).select("rel", (F.col("k_ibd1") + F.col("k_ibd2")).alias("cov"), F.col("n").cast("double").alias("n"))
+def segment_count_probs(pairs: DataFrame, model: DataFrame) -> DataFrame:
+    """M3: scored on segment coverage and n."""
     rows = pairs.select(*PAIR, (F.col("ibd1") + F.col("ibd2")).alias("cov"), F.col("n").cast("double").alias("n"))
-    return lda_score(rows, lda_fit(train, "rel", ("cov", "n")), ("cov", "n")).select(*PAIR, F.col("class").alias("node"), F.col("p").alias("p_con"))
+    return lda_score(rows, model, ("cov", "n")).select(*PAIR, F.col("class").alias("node"), F.col("p").alias("p_con"))
 
 
-def haplotype_probs(pairs: DataFrame, training: DataFrame, max_error: float = 0.2) -> DataFrame:
-    """M4: HS and GPAV from the h-scores; trained in pair order, scored larger first; only where a phase error is unlikely."""
-    group = F.coalesce(*[F.when(F.col("rel") == r, F.lit(c)) for r, c in HAPLOTYPE_CLASS.items()])
-    train = training.where(F.col("rel").isin(*HAPLOTYPE_CLASS)).select(F.when(F.col("copy") == "error", PHASE_ERROR).otherwise(group).alias("class"), "h1", "h2")
+def haplotype_probs(pairs: DataFrame, model: DataFrame, max_error: float = 0.2) -> DataFrame:
+    """M4: HS and GPAV from the h-scores, the larger first; only where a phase error is unlikely."""
     rows = pairs.select(*PAIR, F.greatest("h1", "h2").alias("h1"), F.least("h1", "h2").alias("h2"))
-    scored = lda_score(rows, lda_fit(train, "class", ("h1", "h2")), ("h1", "h2"))
-    wide = scored.groupBy(*PAIR).agg(*[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("p"))), F.lit(0.0)).alias(c) for c in ("HS", "GPAV", PHASE_ERROR)])
+    wide = lda_score(rows, model, ("h1", "h2")).groupBy(*PAIR).agg(*[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("p"))), F.lit(0.0)).alias(c) for c in ("HS", "GPAV", PHASE_ERROR)])
     return wide.where(F.col(PHASE_ERROR) < max_error).unpivot(PAIR, ["HS", "GPAV"], "node", "p_con")
 
 
+def write_models(models: dict[str, DataFrame], path: str) -> None:
+    """The three models, a folder each."""
+    for name in MODELS:
+        write_model(models[name], f"{path}/{name}")
+
+
+def read_models(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """What ``write_models`` wrote, for labelling without training."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in MODELS}
+
+
 def sibship_groups(po: DataFrame, people: DataFrame, king: DataFrame) -> DataFrame:
     """Path groups of listed people in the pedigree to which the parents that full siblings lack were added.
 
@@ -81,30 +113,71 @@ def sibship_groups(po: DataFrame, people: DataFrame, king: DataFrame) -> DataFra
     return groups.withColumns({c: F.col(c).cast(kind) for c in ("focal", "id2")})
 
 
-def label_pairs(fam: DataFrame, king: DataFrame, segments: DataFrame, genome_cm: float, min_p: float = 0.5, assess: bool = False, min_k: float = MIN_PROPIBD, mean_d: float = 50.0, seed: int = 0) -> DataFrame:
-    """``id1, id2, k_ibd1, k_ibd2, most_probable, probability, degree, h1, h2`` for all close pairs with segments, or known ones when assessing."""
+class Labelling(NamedTuple):
+    """What labelling gives: the pairs scored, the probability of every node (K9) for other cuts and questions, and the models used."""
+
+    pairs: DataFrame
+    probs: DataFrame
+    tree: DataFrame
+    models: dict[str, DataFrame]
+
+    def labels(self, min_p: float = 0.5) -> DataFrame:
+        """``id1, id2, k_ibd1, k_ibd2, most_probable, probability, degree, h1, h2`` at a least probability."""
+        found = most_probable(self.probs, self.tree, min_p)
+        return self.pairs.select(*PAIR, "k_ibd1", "k_ibd2", "h1", "h2").join(found, PAIR)
+
+
+def label(
+    fam: DataFrame, king: DataFrame, segments: DataFrame, genome_cm: float, *, assess: bool = False, min_k: float = MIN_PROPIBD, mean_d: float = 50.0, seed: int = 0,
+    populations: DataFrame | None = None, popl: str | None = None, drop_twins: bool = False, codes=CODES, tree=TREE, models: dict[str, DataFrame] | None = None,
+) -> Labelling:
+    """Probabilities of all close pairs with segments, or of known ones when assessing.
+
+    With ``popl`` only people of that population count (``populations``: iid, popl), with ``drop_twins`` the second member of each Dup/MZ pair goes (P2, P3); both leave
+    pedigree and kinship before anything else.  ``codes`` and ``tree`` may be the user's own; with ``models`` from earlier training none is fitted.
+    """
     spark = fam.sparkSession
-    close = stored(close_pair_segments(segments, king, min_k), "close")
+    persons = fam
+    if drop_twins:
+        persons = P.exclude_twins(persons, king)
+    if popl is not None:
+        persons = P.people(persons.drop("popl"), populations).where(F.col("popl") == popl)
+    if drop_twins or popl is not None:
+        persons = stored(persons, "persons")
+        king = stored(P.keep_members(king, persons.select("iid").distinct()), "king")
+    close = stored(close_pair_segments(segments if persons is fam else P.keep_pairs(segments, king), king, min_k), "close")
     stats = stored(pair_stats(close, genome_cm), "stats")
-    groups = stored(sibship_groups(po_edges(fam), fam, king), "groups")
-    known = stored(known_pairs(groups, codes_table(spark), king, stats).where("n is not null"), "known")
-    training = stored(training_table(known, close, genome_cm, mean_d, seed), "training")
     kin = king.select(*PAIR, F.col("ibd1seg").alias("k_ibd1"), F.col("ibd2seg").alias("k_ibd2"))
     rows = stats.join(kin, PAIR)
+    known = None
+    if assess or models is None:
+        groups = stored(sibship_groups(po_edges(persons), fam, king), "groups")
+        if persons is not fam:
+            ids = persons.select("iid").distinct()
+            groups = groups.join(ids.select(F.col("iid").alias("focal")), "focal", "left_semi").join(ids.select(F.col("iid").alias("id2")), "id2", "left_semi")
+        known = stored(known_pairs(groups, codes_table(spark, codes), king, stats).where("n is not null"), "known")
+    if models is None:
+        training = stored(training_table(known, close, genome_cm, mean_d, seed, stats), "training")
+        fitted = zip(MODELS, (degree_model(known), segment_count_model(known), haplotype_model(training)), strict=True)
+        models = {name: stored(model, "model") for name, model in fitted}
     if assess:
         rows = rows.join(known.select(*PAIR).distinct(), PAIR, "left_semi")
     rows = stored(rows, "rows")
-    degrees = stored(degree_probs(rows, known), "degrees")
+    degrees = stored(degree_probs(rows, models["degree"]), "degrees")
     second = degrees.where("node = '2nd' and p_con > 0.2").select(*PAIR)
     if assess:
         second = known.where("degree = '2nd'").select(*PAIR).distinct()
     chosen = stored(rows.join(second, PAIR, "left_semi"), "second")
-    counts = sum_children(segment_count_probs(chosen, known))
+    counts = sum_children(segment_count_probs(chosen, models["segments"]))
     probs = degrees.withColumn("method", F.lit("degree")).unionByName(counts.withColumn("method", F.lit("segments")))
-    probs = set_probs(probs, haplotype_probs(chosen, training), "haplotype")
-    tree = tree_table(spark)
-    labels = most_probable(cascade(probs, tree), tree, min_p)
-    return rows.select(*PAIR, "k_ibd1", "k_ibd2", "h1", "h2").join(labels, PAIR)
+    probs = set_probs(probs, haplotype_probs(chosen, models["haplotype"]), "haplotype")
+    nodes = tree_table(spark, tree)
+    return Labelling(rows, stored(cascade(probs, nodes), "probs"), nodes, models)
+
+
+def label_pairs(fam: DataFrame, king: DataFrame, segments: DataFrame, genome_cm: float, min_p: float = 0.5, **how) -> DataFrame:
+    """The labels of ``label`` at one least probability."""
+    return label(fam, king, segments, genome_cm, **how).labels(min_p)
 
 
 def relatedness_edges(pairs: DataFrame, mode: str, degree: str = "4th", threshold: float | None = None, training: DataFrame | None = None) -> DataFrame:

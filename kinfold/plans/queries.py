@@ -17,7 +17,9 @@ from kinfold.operators import pedigree as K
 from kinfold.operators import segments as S
 from kinfold.operators import siblings as B
 from kinfold.plans import label as J
-from kinfold.plans.lineage import stored
+from kinfold.plans.lineage import scratch, stored
+from kinfold.sources import readers as R
+from kinfold.sources import writers as W
 from kinfold.sources.fixtures import fixture, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,12 +157,12 @@ split AS (SELECT id1, id2, chromosome, CAST(CASE WHEN n1 % 2 = 1 THEN 1 - id1_ha
 
 @query("segments", f"{SWITCHES} SELECT id1, id2, chromosome, id1_haplotype, id2_haplotype, round(start_cm, 6) AS start_cm, round(end_cm, 6) AS end_cm, n1, n2 FROM split")
 def phase_error_split(segments):
-    return rounded(S.phase_error_split(segments, S.draw_switches(segments, 50.0, 7, 40)), "start_cm", "end_cm")
+    return rounded(S.phase_error_split(segments, S.draw_switches(segments, 50.0, 7)), "start_cm", "end_cm")
 
 
 @query("segments", f"{SWITCHES}{STATS.replace('FROM segments', 'FROM split')} {STATS_OUT}")
 def phase_error_stats(segments):
-    split = S.phase_error_split(segments, S.draw_switches(segments, 50.0, 7, 40))
+    split = S.phase_error_split(segments, S.draw_switches(segments, 50.0, 7))
     return rounded(rounded(S.pair_stats(split, GENOME_CM), "h1", "h2"), "ibd1", "ibd2", digits=9)
 
 
@@ -276,12 +278,9 @@ def max_kinship(people, king):
     return rounded(P.max_kinship(people.where("age < 30").select("iid"), king), "max_kinship")
 
 
-FOUNDERS = ", founders AS (SELECT fid, iid FROM fam WHERE father IS NULL AND mother IS NULL AND iid % 24 < 4)"
-
-
-@query("fam king_typed", f"{FOUNDERS} SELECT fid, iid FROM founders WHERE fid NOT IN (SELECT a.fid FROM founders a JOIN founders b ON a.fid = b.fid AND a.iid < b.iid JOIN king_typed k ON k.id1 = a.iid AND k.id2 = b.iid WHERE propibd > 0.6)")
-def family_filter(fam, king):
-    return P.drop_related_families(fam.where("father is null and mother is null and iid % 24 < 4").select("fid", "iid"), king, 0.6)
+@query("founders king_typed", "SELECT fid, iid FROM founders WHERE fid NOT IN (SELECT a.fid FROM founders a JOIN founders b ON a.fid = b.fid AND a.iid < b.iid JOIN king_typed k ON k.id1 = a.iid AND k.id2 = b.iid WHERE propibd > 0.73)")
+def family_filter(founders, king):
+    return P.drop_related_families(founders, king, 0.73)
 
 
 ROLES = ", roles AS (SELECT id1 % 500 AS pair, CASE WHEN id2 % 3 = 0 THEN 'couple' ELSE 'inlaws' END AS rel, propibd AS k FROM king_typed)"
@@ -322,6 +321,136 @@ def template_segments(segments):
     return P.label_by_template(named, template, "pop1", "3")
 
 
+# --- files ------------------------------------------------------------------------------------------------------------
+# Each query writes a fixture to the shared folder in a file format and reads it back.
+
+
+def _headed(df: DataFrame, sep: str = " ") -> str:
+    """A new folder of text files that each begin with the header."""
+    path = scratch(df.sparkSession, "files")
+    df.write.option("sep", sep).option("header", True).csv(path)
+    return path
+
+
+def _plain(df: DataFrame) -> str:
+    path = scratch(df.sparkSession, "files")
+    df.write.option("sep", " ").csv(path)
+    return path
+
+
+FAM_TEXT = "CAST(iid AS VARCHAR) AS iid, CAST(fid AS VARCHAR) AS fid, nullif(CAST(father AS VARCHAR), '0') AS father, nullif(CAST(mother AS VARCHAR), '0') AS mother, CAST(sex AS INT) AS sex"
+
+
+@query("fam", f"SELECT {FAM_TEXT}, '-9' AS phenotype FROM fam")
+def file_fam(fam):
+    path = scratch(fam.sparkSession, "files")
+    W.write_fam(fam, path)
+    return R.read_fam(fam.sparkSession, path)
+
+
+SEG = "CAST(id1 AS VARCHAR) AS id1, CAST(id2 AS VARCHAR) AS id2, ibd1seg, ibd2seg"
+
+
+def _king_file(king) -> str:
+    of = lambda c, name: F.col(c).alias(name)
+    none = F.lit(0)
+    return _headed(king.select(of("id1", "FID1"), of("id1", "ID1"), of("id2", "FID2"), of("id2", "ID2"), none.alias("MaxIBD1"), none.alias("MaxIBD2"), of("ibd1seg", "IBD1Seg"), of("ibd2seg", "IBD2Seg"), of("propibd", "PropIBD"), of("inftype", "InfType")), "\t")
+
+
+@query("king_typed", f"SELECT {SEG}, propibd, inftype FROM king_typed")
+def file_king(king):
+    return R.read_king(king.sparkSession, _king_file(king))
+
+
+@query("king_typed", f"SELECT {SEG}, inftype FROM king_typed")
+def file_king_positional(king):
+    return R.read_king_positional(king.sparkSession, _king_file(king))
+
+
+SEGMENT_TEXT = "CAST(id1 AS VARCHAR) AS id1, CAST(id2 AS VARCHAR) AS id2, CAST(chromosome AS INT) AS chromosome, id1_haplotype, id2_haplotype, start_cm, end_cm"
+
+
+@query("segments", f"SELECT {SEGMENT_TEXT} FROM segments")
+def file_segments(segments):
+    """One folder a chromosome, with its number in the folder's name and the file's."""
+    root = scratch(segments.sparkSession, "files")
+    for k in range(1, 5):
+        segments.where(F.col("chromosome") == k).write.option("sep", " ").option("header", True).csv(f"{root}/chr{k}/segments-chr{k}.txt")
+    return R.read_segments(segments.sparkSession, R.chromosome_paths(f"{root}/chr1/segments-chr1.txt", 4))
+
+
+@query("segments", f"SELECT {SEGMENT_TEXT}, CASE WHEN id1 % 2 = 0 THEN 'even' ELSE 'odd' END AS pop FROM segments")
+def file_segment_table(segments):
+    path = scratch(segments.sparkSession, "files")
+    text = segments.withColumns({c: F.col(c).cast("string") for c in PAIR} | {"chromosome": F.col("chromosome").cast("int"), "pop": F.when(F.col("id1") % 2 == 0, "even").otherwise("odd")})
+    W.write_segments(text, path)
+    return R.read_segment_table(segments.sparkSession, path)
+
+
+@query("sites gmap", f"{INTERPOLATED.partition('SELECT chrom, bp, round')[0]}, inter AS (SELECT chrom, bp, CASE WHEN a IS NULL THEN b WHEN b IS NULL OR lo = hi THEN a ELSE a + (bp - lo) * ((b - a) / (hi - lo)) END AS cm FROM knots) SELECT CAST(chrom AS INT) AS chrom, 'NA' AS snp, round(cm, 6) AS cm, bp FROM inter")
+def file_map(sites, gmap):
+    path = scratch(sites.sparkSession, "files")
+    W.write_map(M.interpolate(sites, gmap).withColumns({"snp": F.lit(None).cast("string"), "keep": F.lit(True)}), path)
+    return rounded(R.read_gmap(sites.sparkSession, path), "cm")
+
+
+@query("gmap", "SELECT CAST(chrom AS INT) AS chrom, cm, bp, CAST(NULL AS VARCHAR) AS snp FROM gmap")
+def file_gmap_by_columns(gmap):
+    return R.read_gmap(gmap.sparkSession, _plain(gmap.select("bp", "cm", "chrom")), (2, 1, 0), None)
+
+
+@query("people", "SELECT CAST(iid AS VARCHAR) AS iid, CAST(age AS DOUBLE) AS age FROM people")
+def file_ages(people):
+    return R.read_attribute(people.sparkSession, _plain(people.select("iid", "age")), "age", "double")
+
+
+@query("sites", "SELECT CAST(chrom AS INT) AS chrom, bp FROM sites")
+def file_sites(sites):
+    return R.read_sites(sites.sparkSession, _plain(sites.select("chrom", "bp")))
+
+
+@query("pairs_file", "SELECT degree, ibd1, ibd2, pihat FROM pairs_file")
+def file_pairs(pairs):
+    return R.read_pairs(pairs.sparkSession, _headed(pairs.select(*[F.col(c).alias(c.upper()) for c in ("degree", "ibd1", "ibd2", "pihat")])))
+
+
+@query("po_file", "SELECT CAST(parent AS VARCHAR) AS parent, CAST(child AS VARCHAR) AS child, CAST(parent_age AS DOUBLE) AS parent_age, strength, method, h1, h2 FROM po_file")
+def file_po(po):
+    turned = F.col("parent") > F.col("child")
+    ends = {"IID1": F.least("parent", "child"), "IID2": F.greatest("parent", "child"), "AGE1": F.when(turned, F.col("child_age")).otherwise(F.col("parent_age")), "AGE2": F.when(turned, F.col("parent_age")).otherwise(F.col("child_age"))}
+    cols = {"PAIR_ID": S.pair_id("parent", "child"), **ends, **{c.upper(): F.col(c) for c in ("h1", "h2", "parent", "child", "strength", "method")}}
+    return R.read_po(po.sparkSession, _headed(po.select(*[c.alias(n) for n, c in cols.items()])))
+
+
+@query("people segments", f"SELECT {SEGMENT_TEXT} FROM segments")
+def file_vcf_samples(people, segments):
+    """Segments that name their people by the columns of a header line, and get their ids back from it."""
+    spark, path = people.sparkSession, scratch(people.sparkSession, "files")
+    line = people.agg(F.concat_ws("\t", F.lit("#CHROM"), F.lit("POS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"), F.array_join(F.sort_array(F.collect_list("iid")), "\t")).alias("value"))
+    line.union(spark.createDataFrame([("##file",), ("1\t7\t.\tA\tC\t.\t.\t.\tGT",)], "value string")).write.text(path)
+    samples = stored(R.vcf_samples(spark, path), "samples")
+    at = lambda k: samples.select(F.col("iid").cast("bigint").alias(f"id{k}"), F.col("idx").alias(f"at{k}"))
+    placed = segments.join(at(1), "id1").join(at(2), "id2").withColumns({"id1": F.col("at1"), "id2": F.col("at2"), "chromosome": F.col("chromosome").cast("int")}).drop("at1", "at2")
+    return R.with_sample_ids(placed, samples)
+
+
+@query("vcf_lines", "SELECT CASE WHEN contains(line, '#') THEN line ELSE replace(replace(replace(replace(replace(line, '.|.', '0|0'), '.|0', '0|0'), '0|.', '0|0'), '.|1', '1|1'), '1|.', '1|1') END AS line FROM vcf_lines")
+def file_vcf_lines(lines):
+    path = scratch(lines.sparkSession, "files")
+    lines.select("line").write.text(path)
+    return P.fill_missing_alleles(R.read_vcf_lines(lines.sparkSession, path))
+
+
+@query("people king_typed", f", e AS (SELECT * FROM king_typed WHERE {RELATED}) SELECT CAST(iid AS VARCHAR) AS iid, CAST((SELECT count(*) FROM people) AS BIGINT) AS listed FROM people WHERE iid NOT IN (SELECT id1 FROM e) OR iid NOT IN (SELECT id2 FROM e)")
+def file_ids(people, king):
+    """Ids that some pair doesn't relate on both sides, and the number of people as the summary."""
+    spark, path, e = people.sparkSession, scratch(people.sparkSession, "files"), P.related_edges(king)
+    both = e.select(F.col("id1").alias("iid")).distinct().join(e.select(F.col("id2").alias("iid")).distinct(), "iid", "left_semi")
+    W.write_ids(people.select("iid").join(both, "iid", "left_anti"), path, people.agg(F.count(F.lit(1)).alias("listed")))
+    summary = spark.read.schema("listed bigint").json(f"{path}-summary").withColumn("one", F.lit(1))  # one row
+    return spark.read.text(path).withColumnRenamed("value", "iid").withColumn("one", F.lit(1)).join(F.broadcast(summary), "one").drop("one")
+
+
 # --- models -----------------------------------------------------------------------------------------------------------
 
 
@@ -397,7 +526,7 @@ PATHS = """, walk(focal, id2, first_parent, ids, dirs) AS (
   UNION ALL
   SELECT focal, nxt, first_parent, list_append(ids, nxt), list_append(dirs, d)
   FROM walk w JOIN (SELECT child AS cur, parent AS nxt, 1 AS d FROM po UNION ALL SELECT parent, child, -1 FROM po) s ON s.cur = w.id2
-  WHERE (d = -1 OR dirs[len(dirs)] = 1) AND NOT list_contains(ids, nxt) AND len(dirs) < 8)"""
+  WHERE (d = -1 OR dirs[len(dirs)] = 1) AND NOT list_contains(ids, nxt))"""
 GROUPS = """, ways AS (SELECT focal, w.id2, f.sex, array_to_string(dirs, ',') AS way, array_to_string(list_transform(list_reverse(dirs), lambda d: -d), ',') AS back, list_sum(dirs) AS rise, pow(0.5, len(dirs) - 1) AS k
   FROM walk w JOIN fam f ON f.iid = w.first_parent),
 grouped AS (SELECT focal, id2, string_agg(way, '|' ORDER BY way) AS signature, string_agg(sex || ':' || way, '|' ORDER BY sex || ':' || way) AS sexed_signature, string_agg(back, '|' ORDER BY back) AS reversed,
@@ -461,9 +590,12 @@ def sib_pairs(po):
 GIVEN = ", ".join(f"('{n}', {k})" for k, (n, _) in enumerate(H.TREE))
 GIVEN_SQL = f", given AS (SELECT id1, id2, node, ((id1 * 7 + id2 * 11 + nr * nr * 13) % 17) / 16.0e0 AS p_con FROM king CROSS JOIN (VALUES {GIVEN}) v(node, nr))"
 TREE_SQL = ", tree(node, parent) AS (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in H.TREE) + ")"
-CASCADE = f"""{GIVEN_SQL}{TREE_SQL}, shares AS (SELECT id1, id2, node, parent, p_con, coalesce(p_con / nullif(sum(p_con) OVER (PARTITION BY id1, id2, parent), 0), 0) AS share FROM given JOIN tree USING (node)),
-fall(id1, id2, node, p_con, p, top) AS (SELECT id1, id2, node, p_con, share, node FROM shares WHERE parent = 'relatives'
-  UNION ALL SELECT s.id1, s.id2, s.node, s.p_con, f.p * share, top FROM fall f JOIN shares s ON s.id1 = f.id1 AND s.id2 = f.id2 AND s.parent = f.node)"""
+#: Unrolled over the tree's four levels: a node's share times those of the nodes above it.
+FALL = f"""{TREE_SQL}, shares AS (SELECT id1, id2, node, parent, p_con, coalesce(p_con / nullif(sum(p_con) OVER (PARTITION BY id1, id2, parent), 0), 0) AS share FROM given JOIN tree USING (node)),
+fall AS (SELECT s.id1, s.id2, s.node, s.p_con, s.share * coalesce(a.share, 1) * coalesce(b.share, 1) * coalesce(c.share, 1) AS p, coalesce(c.node, b.node, a.node, s.node) AS top FROM shares s
+  LEFT JOIN shares a ON a.id1 = s.id1 AND a.id2 = s.id2 AND a.node = s.parent LEFT JOIN shares b ON b.id1 = s.id1 AND b.id2 = s.id2 AND b.node = a.parent
+  LEFT JOIN shares c ON c.id1 = s.id1 AND c.id2 = s.id2 AND c.node = b.parent)"""
+CASCADE = GIVEN_SQL + FALL
 
 
 def _given(king):
@@ -480,10 +612,15 @@ def probability_cascade(king):
 LEVELS = ", ".join(f"('{n}', {lv})" for n, lv in (("PGP", 0), ("MGP", 0), ("PHS", 0), ("MHS", 0), ("AV", 0), ("GP", 1), ("HS", 1), ("GPAV", 2), ("2nd", 3), ("3rd", 1), ("4th", 1), ("2nd+", 1), ("3rd+", 1), ("4th+", 1)))
 
 
-@query("king", f"""{CASCADE}, levels(node, level) AS (VALUES {LEVELS}), leveled AS (SELECT f.*, coalesce(level, 0) AS level FROM fall f LEFT JOIN levels USING (node)),
+def picked_sql(min_p: float) -> str:
+    """``picked(id1, id2, most_probable, probability, degree)``: the best degree, or below it the best node of the lowest level over the bound."""
+    return f""", levels(node, level) AS (VALUES {LEVELS}), leveled AS (SELECT f.*, coalesce(level, 0) AS level FROM fall f LEFT JOIN levels USING (node)),
 tops AS (SELECT id1, id2, node AS degree, p AS top_p FROM (SELECT *, row_number() OVER (PARTITION BY id1, id2 ORDER BY round(p, 12) DESC, node) AS r FROM fall JOIN tree USING (node) WHERE parent = 'relatives') q WHERE r = 1),
-picks AS (SELECT l.id1, l.id2, l.node, l.p, row_number() OVER (PARTITION BY l.id1, l.id2 ORDER BY level, round(l.p, 12) DESC, l.node) AS r FROM leveled l JOIN tops t ON t.id1 = l.id1 AND t.id2 = l.id2 AND t.degree = l.top WHERE top_p >= 0.12 AND l.p > 0.12)
-SELECT t.id1, t.id2, coalesce(node, degree) AS most_probable, round(coalesce(p, top_p), 9) AS probability, degree FROM tops t LEFT JOIN (SELECT * FROM picks WHERE r = 1) k ON k.id1 = t.id1 AND k.id2 = t.id2""")
+picks AS (SELECT l.id1, l.id2, l.node, l.p, row_number() OVER (PARTITION BY l.id1, l.id2 ORDER BY level, round(l.p, 12) DESC, l.node) AS r FROM leveled l JOIN tops t ON t.id1 = l.id1 AND t.id2 = l.id2 AND t.degree = l.top WHERE top_p >= {min_p} AND l.p > {min_p}),
+picked AS (SELECT t.id1, t.id2, coalesce(node, degree) AS most_probable, coalesce(p, top_p) AS probability, degree FROM tops t LEFT JOIN (SELECT * FROM picks WHERE r = 1) k ON k.id1 = t.id1 AND k.id2 = t.id2)"""
+
+
+@query("king", f"{CASCADE}{picked_sql(0.12)} SELECT id1, id2, most_probable, round(probability, 9) AS probability, degree FROM picked")
 def most_probable(king):
     tree = H.tree_table(king.sparkSession)
     probs = H.cascade(_given(king), tree).withColumn("p", F.round("p", 12))
@@ -520,33 +657,49 @@ def families(king):
     return G.components(king.where(CLOSE))
 
 
-@query("people king_typed")
+def visit_sql(edges: str, order: str, nodes: str = "people", seeds: str = "(SELECT 1 AS seed)") -> str:
+    """The one-by-one visit of every family (edges stay within 24 ids): a person is taken unless a neighbour was; ``taken_`` per seed and family."""
+    return f""", e_ AS (SELECT id1 AS a, id2 AS b FROM {edges} q UNION ALL SELECT id2, id1 FROM {edges} q),
+near_ AS (SELECT a, list(b) AS bs, count(*) AS degree FROM e_ GROUP BY a),
+ordered AS (SELECT seed, iid, iid // 24 AS g, bs, row_number() OVER (PARTITION BY seed, iid // 24 ORDER BY {order}) AS r
+  FROM (SELECT seed, p.iid, coalesce(degree, 0) AS degree, coalesce(bs, CAST([] AS BIGINT[])) AS bs FROM {seeds} s CROSS JOIN {nodes} p LEFT JOIN near_ ON a = p.iid) o),
+visit(seed, g, r, taken) AS (SELECT DISTINCT seed, g, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM ordered
+  UNION ALL SELECT v.seed, v.g, o.r, CASE WHEN len(list_intersect(o.bs, v.taken)) > 0 THEN v.taken ELSE list_append(v.taken, o.iid) END FROM visit v JOIN ordered o ON o.seed = v.seed AND o.g = v.g AND o.r = v.r + 1),
+taken_ AS (SELECT seed, unnest(taken) AS iid FROM (SELECT seed, g, arg_max(taken, r) AS taken FROM visit GROUP BY seed, g) t)"""
+
+
+NEAR = "(SELECT id1, id2 FROM king_typed WHERE propibd > 0.45)"
+BY_DEGREE = "degree, md5(seed || ':' || iid), iid"
+
+
+@query("people king_typed", f"{visit_sql(NEAR, BY_DEGREE)} SELECT iid FROM taken_")
 def unrelated_set(people, king):
     return G.unrelated_set(people, stored(P.related_edges(king, "propibd > 0.45"), "edges"), seed=1)
 
 
-@query("people king_typed")
+@query("people king_typed", f"{visit_sql(NEAR, BY_DEGREE, seeds='(SELECT unnest([1, 2, 3]) AS seed)')}, best_ AS (SELECT seed FROM (SELECT seed, count(*) AS n FROM taken_ GROUP BY seed) c ORDER BY n DESC, seed LIMIT 1) SELECT iid FROM taken_ JOIN best_ USING (seed)")
 def unrelated_best_of_seeds(people, king):
     return G.best_of_seeds(people, stored(P.related_edges(king, "propibd > 0.45"), "edges"), [1, 2, 3])
 
 
-@query("people king_typed")
+@query("people king_typed", f"{visit_sql(NEAR, 'degree, iid DESC')} SELECT iid FROM taken_")
 def unrelated_ranked(people, king):
     edges = stored(P.related_edges(king, "propibd > 0.45"), "edges")
     return G.ranked_independent_set(stored(P.unrelated_counts(people, edges), "counts"), edges)
 
 
-@query("people pairs_file")
+@query("people pairs_file", f"{visit_sql('(SELECT id1, id2 FROM pairs_file WHERE degree IN (' + chr(39) + 'FS' + chr(39) + ', ' + chr(39) + 'PO' + chr(39) + '))', 'degree, iid DESC')} SELECT iid FROM taken_")
 def unrelated_by_king_class(people, pairs):
     return J.find_unrelated(people, pairs, "king", degree="2nd")
 
 
-@query("king_typed people")
+@query("king_typed people", visit_sql("(SELECT id1, id2 FROM king_typed JOIN people x ON x.iid = id1 JOIN people y ON y.iid = id2 WHERE propibd > 0.3 AND x.popl = y.popl)", BY_DEGREE, seeds="(SELECT 0 AS seed)") + " SELECT popl, iid FROM taken_ JOIN people USING (iid)")
 def unrelated_founders(king, people):
     return J.unrelated_founders(king, people, 0.3)
 
 
-@query("people king_typed")
+@query("people king_typed", f"{visit_sql(NEAR, BY_DEGREE)}, reach(root, node) AS (SELECT DISTINCT a, a FROM e_ UNION SELECT root, b FROM reach JOIN e_ ON a = node), comps AS (SELECT node, min(root) AS c FROM reach GROUP BY node) "
+    "SELECT (SELECT count(DISTINCT c) FROM comps) AS n_families, (SELECT count(*) FROM taken_) AS size, (SELECT round(coalesce(max(ibd2seg + ibd1seg / 2), 0), 6) FROM king_typed WHERE id1 IN (SELECT iid FROM taken_) AND id2 IN (SELECT iid FROM taken_)) AS max_kinship")
 def unrelated_summary(people, king):
     edges = stored(P.related_edges(king, "propibd > 0.45"), "edges")
     return rounded(J.selected_summary(stored(G.unrelated_set(people, edges, 1), "chosen"), edges, king), "max_kinship")
@@ -571,15 +724,38 @@ def relatedness_by_lda(pairs):
 # --- siblings and assembly ----------------------------------------------------------------------------------------------
 
 
-@query("po king")
+def mixture_sql(po: str, king: str) -> str:
+    """Expectation maximisation over sib pairs, one state a round: weights, means, variances and mean log-likelihood of two round components."""
+    density = lambda k: f"ln(w{k}) - ln(2 * pi() * v{k}) - ((x - x{k}) * (x - x{k}) + (y - y{k}) * (y - y{k})) / (2 * v{k})"
+    moments = lambda k, r: f"sum({r}) AS n{k}, sum({r} * x) AS sx{k}, sum({r} * y) AS sy{k}, sum({r} * (x * x + y * y)) AS sq{k}"
+    state = ", ".join(f"n{k} / (n0 + n1) AS w{k}, {{mx{k}}} AS x{k}, {{my{k}}} AS y{k}, (sq{k} / n{k} - (sx{k} / n{k}) * (sx{k} / n{k}) - (sy{k} / n{k}) * (sy{k} / n{k})) / 2 + 1e-6 AS v{k}" for k in (0, 1))
+    own = state.format(mx0="sx0 / n0", my0="sy0 / n0", mx1="sx1 / n1", my1="sy1 / n1")
+    given = state.format(mx0="0.5e0", my0="0.0e0", mx1="0.5e0", my1="0.25e0")
+    near = "((x - 0.5) * (x - 0.5) + y * y <= (x - 0.5) * (x - 0.5) + (y - 0.25) * (y - 0.25))"
+    return f""", sp AS (SELECT k.id1, k.id2, ibd1seg AS x, ibd2seg AS y FROM {king} k JOIN (SELECT DISTINCT a.child AS id1, b.child AS id2 FROM {po} a JOIN {po} b ON a.parent = b.parent AND a.child < b.child) c USING (id1, id2)),
+em AS (SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS DOUBLE) AS ll, CAST(NULL AS DOUBLE) AS old, {given} FROM (SELECT {moments(0, f"CASE WHEN {near} THEN 1.0e0 ELSE 0.0e0 END")}, {moments(1, f"CASE WHEN {near} THEN 0.0e0 ELSE 1.0e0 END")} FROM sp) a
+  UNION ALL SELECT turn + 1, now, ll, {own} FROM (SELECT turn, any_value(ll) AS ll, avg(greatest(d0, d1) + ln(exp(d0 - greatest(d0, d1)) + exp(d1 - greatest(d0, d1)))) AS now, {moments(0, "1 / (1 + exp(d1 - d0))")}, {moments(1, "1 / (1 + exp(d0 - d1))")}
+    FROM (SELECT em.*, x, y, {density(0)} AS d0, {density(1)} AS d1 FROM em CROSS JOIN sp WHERE turn < 20 AND (turn < 2 OR abs(ll - old) >= 1e-3)) z GROUP BY turn) b),
+last_ AS (SELECT * FROM em ORDER BY turn DESC LIMIT 1),
+mixed_ AS (SELECT id1, id2, x, y, {density(0)} AS d0, {density(1)} AS d1 FROM sp CROSS JOIN last_)"""
+
+
+@query("po king_sibs", f"{mixture_sql('po', 'king_sibs')} SELECT id1, id2, x AS ibd1seg, y AS ibd2seg, round(1 / (1 + exp(-abs(d1 - d0))), 6) AS probability, CAST(CASE WHEN d1 > d0 THEN 1 ELSE 0 END AS INT) AS component FROM mixed_")
 def sibling_mixture(po, king):
     return rounded(B.sibling_mixture(po, king), "probability")
 
 
-@query("po fam king")
+#: Parents to add for groups ``grp(node, c)`` where each member has ``k`` of them, ``known`` being the smallest.
+LACKING = """ SELECT c AS "group", node AS child, 'missing_' || c || '_' || sex AS parent, CAST(sex AS INT) AS sex
+  FROM (SELECT c, node, unnest(CASE WHEN lo = 0 THEN [1, 2] ELSE [CASE s WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END] END) AS sex FROM lack JOIN grp USING (c)) z"""
+
+
+@query("po_lacking fam king_sibs", f"""{mixture_sql('po_lacking', 'king_sibs')}, fs AS (SELECT id1 AS a, id2 AS b FROM mixed_ WHERE d1 > d0 UNION ALL SELECT id2, id1 FROM mixed_ WHERE d1 > d0),
+reach(root, node) AS (SELECT DISTINCT a, a FROM fs UNION SELECT root, b FROM reach JOIN fs ON a = node), grp AS (SELECT node, min(root) AS c FROM reach GROUP BY node),
+have AS (SELECT node, c, count(DISTINCT parent) AS k, min(parent) AS known FROM grp LEFT JOIN po_lacking ON child = node GROUP BY ALL),
+lack AS (SELECT c, min(k) AS lo, arg_min(f.sex, known) AS s FROM have LEFT JOIN fam f ON f.iid = known GROUP BY c HAVING min(k) = max(k) AND max(k) < 2){LACKING}""")
 def sibship_parents(po, fam, king):
-    # Without some mothers, so that there is something to add.
-    return B.resolve_sibships(po.where("parent % 24 not in (1, 3, 13)"), fam, king)
+    return B.resolve_sibships(po, fam, king)
 
 
 SIBS = """, cand AS (SELECT DISTINCT a.child AS id1, b.child AS id2 FROM po a JOIN po b ON a.parent = b.parent AND a.child < b.child
@@ -594,10 +770,17 @@ def sibling_classes(po, fam, king):
     return B.classify_siblings(po, fam, king).select(*PAIR, "n_common", "half", "is_predicted")
 
 
-@query("po fam king")
+CLASSED_SIBS = SIBS.replace("FROM po ", "FROM po_lacking ").replace("JOIN po ", "JOIN po_lacking ").replace("FROM po)", "FROM po_lacking)").replace("FROM king ", "FROM king_sibs ").replace(
+    "ps AS (SELECT f.iid, list_filter([father, mother], lambda x: x IS NOT NULL) AS p FROM fam f)", "ps AS (SELECT f.iid, coalesce(list(parent) FILTER (parent IS NOT NULL), CAST([] AS BIGINT[])) AS p FROM fam f LEFT JOIN po_lacking ON child = f.iid GROUP BY f.iid)"
+).replace("n_other FROM king k", "n_other FROM king_sibs k")
+
+
+@query("po_lacking fam king_sibs", CLASSED_SIBS + lda_sql("(SELECT * FROM sibs WHERE given IS NOT NULL) t", "sibs", "id1, id2", "ibd1seg", "ibd2seg", "given").rpartition("SELECT")[0] + f"""SELECT * FROM (WITH RECURSIVE full_ AS (SELECT sibs.* FROM sibs JOIN (SELECT *, row_number() OVER (PARTITION BY id1, id2 ORDER BY s DESC, class) AS r FROM z) q USING (id1, id2) WHERE r = 1 AND given IS NULL AND class = 'FS'),
+fs AS (SELECT id1 AS a, id2 AS b FROM full_ UNION ALL SELECT id2, id1 FROM full_), reach(root, node) AS (SELECT DISTINCT a, a FROM fs UNION SELECT root, b FROM reach JOIN fs ON a = node), grp AS (SELECT node, min(root) AS c FROM reach GROUP BY node),
+common_ AS (SELECT id1 AS node, unnest(list_intersect(a.p, b.p)) AS parent FROM full_ JOIN ps a ON a.iid = id1 JOIN ps b ON b.iid = id2),
+sized AS (SELECT c, count(DISTINCT parent) AS lo, min(parent) AS known FROM grp LEFT JOIN common_ USING (node) GROUP BY c), lack AS (SELECT c, lo, f.sex AS s FROM sized LEFT JOIN fam f ON f.iid = known WHERE lo < 2){LACKING}) out_""")
 def added_parents(po, fam, king):
-    some = po.where("parent % 24 not in (1, 3, 13)")
-    return B.insert_parents(stored(B.classify_siblings(some, fam, king), "classified"), fam)
+    return B.insert_parents(stored(B.classify_siblings(po, fam, king), "classified"), fam)
 
 
 AGED = ", aged AS (SELECT CASE WHEN strength <= 15 AND parent_age < 40 THEN child ELSE parent END AS parent, CASE WHEN strength <= 15 AND parent_age < 40 THEN parent ELSE child END AS child, strength > 15 OR parent_age < 40 AS locked FROM po_file)"
@@ -641,39 +824,132 @@ def parent_assignment(po, fam):
     return A.assign_parents(A.orient_by_age(po, 40), _mixed(fam))
 
 
-@query("po_file fam king_typed", f"""{AGED}{ASSIGNED} SELECT 'duplicate' AS kind, iid AS subject, n_fathers || ' ' || n_mothers AS detail FROM assigned WHERE n_fathers > 1 OR n_mothers > 1
+QC = f"""{AGED}{ASSIGNED} SELECT 'duplicate' AS kind, iid AS subject, n_fathers || ' ' || n_mothers AS detail FROM assigned WHERE n_fathers > 1 OR n_mothers > 1
 UNION ALL SELECT 'sex', iid, CAST(n_sexless AS VARCHAR) FROM assigned WHERE n_sexless > 0
 UNION ALL SELECT 'ageGap', child, parent || ' ' || CAST(strength AS INT) FROM po_file WHERE strength <= 15
-UNION ALL SELECT 'relatedParents', iid, father || ' ' || mother || ' ' || inftype FROM assigned JOIN king_typed ON id1 = least(father, mother) AND id2 = greatest(father, mother) WHERE inftype IN ('2nd', 'FS', 'PO')""")
+UNION ALL SELECT 'relatedParents', iid, father || ' ' || mother || ' ' || inftype FROM assigned JOIN king_typed ON id1 = least(father, mother) AND id2 = greatest(father, mother) WHERE inftype IN ('2nd', 'FS', 'PO')"""
+
+
+@query("po_file fam king_typed", QC)
 def pedigree_qc(po, fam, king):
     return A.pedigree_qc(po, A.assign_parents(A.orient_by_age(po, 40), _mixed(fam)), king)
 
 
+@query("po_file fam king_typed", QC)
+def file_report(po, fam, king):
+    """The report through its files."""
+    path = scratch(po.sparkSession, "files")
+    W.write_report(A.pedigree_qc(po, A.assign_parents(A.orient_by_age(po, 40), _mixed(fam)), king), path)
+    return po.sparkSession.read.schema("subject bigint, detail string, kind string").option("sep", "\t").csv(path)
+
+
 @query("po_file fam", f"{AGED}{ASSIGNED} SELECT f.iid, f.fid, coalesce(f.father, a.father) AS father, coalesce(f.mother, a.mother) AS mother, f.sex FROM fam f LEFT JOIN assigned a ON a.iid = f.iid")
 def completed_fam(po, fam):
     return A.complete_fam(fam, A.assign_parents(A.orient_by_age(po, 40), _mixed(fam)))
 
 
-@query("po_file fam")
+#: Two colours of co-parents by the parity of the way from a family's smallest one, with known sexes and mean of min(h1, h2) of each.
+COLOURED = """, sexes AS (SELECT iid, CASE WHEN iid % 5 < 3 THEN 0 ELSE sex END AS sex FROM fam), sets_ AS (SELECT child, list_sort(list_distinct(list(parent))) AS ps FROM po_file GROUP BY child),
+two AS (SELECT ps[1] AS a, ps[2] AS b FROM sets_ WHERE len(ps) = 2 UNION SELECT ps[2], ps[1] FROM sets_ WHERE len(ps) = 2),
+reach(root, node, par) AS (SELECT DISTINCT a, a, 0 FROM two UNION SELECT root, b, 1 - par FROM reach JOIN two ON a = node),
+col AS (SELECT node, root AS c, min(par) AS colour FROM reach r WHERE root = (SELECT min(root) FROM reach q WHERE q.node = r.node) GROUP BY node, root),
+low AS (SELECT parent, sum(least(h1, h2)) AS h, count(*) AS k FROM po_file GROUP BY parent)"""
+
+
+@query("po_file fam", f"""{COLOURED}, stat AS (SELECT c, colour, count(DISTINCT nullif(sex, 0)) AS n, max(nullif(sex, 0)) AS s, sum(h) / sum(k) AS m FROM col JOIN sexes ON iid = node LEFT JOIN low ON parent = node GROUP BY ALL),
+ruled AS (SELECT a.c, a.colour, CASE WHEN a.n = 1 AND b.n = 1 AND a.s <> b.s THEN a.s WHEN a.m > b.m OR (a.m = b.m AND a.colour = 1) THEN 1 ELSE 2 END AS sex,
+  CASE WHEN a.n = 1 AND b.n = 1 AND a.s <> b.s THEN 'known' WHEN a.n > 1 OR b.n > 1 THEN 'mixed' ELSE 'mean' END AS how FROM stat a LEFT JOIN stat b ON b.c = a.c AND b.colour = 1 - a.colour),
+paired AS (SELECT node AS iid, sex, how FROM col JOIN ruled USING (c, colour)),
+means AS (SELECT sum(h) FILTER (sex = 1) / sum(k) FILTER (sex = 1) AS m1, sum(h) FILTER (sex = 2) / sum(k) FILTER (sex = 2) AS m2 FROM paired LEFT JOIN low ON parent = iid),
+single AS (SELECT DISTINCT ps[1] AS iid FROM sets_ WHERE len(ps) = 1 AND ps[1] NOT IN (SELECT iid FROM paired)),
+every AS (SELECT * FROM paired UNION ALL SELECT iid, CASE WHEN abs(h / k - m2) < abs(h / k - m1) THEN 2 ELSE 1 END, 'nearest' FROM single JOIN low ON parent = iid CROSS JOIN means)
+SELECT iid, CAST(e.sex AS INT) AS sex, how FROM every e JOIN sexes USING (iid) WHERE sexes.sex = 0""")
 def parent_sex(po, fam):
     sexes = fam.select("iid", F.when(F.col("iid") % 5 < 3, 0).otherwise(F.col("sex")).alias("sex"))
     return A.infer_parent_sex(po, sexes)
 
 
+@query("po_file fam", f"""{COLOURED.replace("CASE WHEN iid % 5 < 3 THEN 0 ELSE sex END", "CASE WHEN iid % 7 = 0 THEN 3 - sex ELSE sex END")}, many AS (SELECT c FROM col JOIN sexes ON iid = node GROUP BY c, colour HAVING count(DISTINCT sex) > 1)
+SELECT 'multipleSex' AS kind, node AS subject, c || ' ' || colour || ' ' || sex AS detail FROM col JOIN sexes ON iid = node WHERE c IN (SELECT c FROM many)""")
+def mixed_sex_groups(po, fam):
+    # Every seventh person's sex is entered wrongly.
+    sexes = fam.select("iid", F.when(F.col("iid") % 7 == 0, 3 - F.col("sex")).otherwise(F.col("sex")).alias("sex"))
+    return A.mixed_sex_groups(A.parent_colours(po), sexes)
+
+
 # --- the whole job ------------------------------------------------------------------------------------------------------
 
 
-@query("fam king_typed segments")
-def label_pairs(fam, king, segments):
+SECOND = ", ".join(f"'{x}'" for x in J.SECOND)
+CLOSE_SEGMENTS = ", close_ AS (SELECT s.* FROM segments s WHERE EXISTS (SELECT 1 FROM king_typed k WHERE k.id1 = s.id1 AND k.id2 = s.id2 AND propibd >= pow(2, -3.5)))"
+
+
+def nested(sql: str) -> str:
+    """A list of named steps that ends with a SELECT, as a table."""
+    return f"(SELECT * FROM (WITH one_ AS (SELECT 1){sql}) nested_)"
+
+
+def stats_sql(name: str, segments: str) -> str:
+    return f", {name} AS {nested(STATS.replace('FROM segments', f'FROM {segments}') + ' SELECT * FROM stats')}"
+
+
+def scored_sql(name: str, *how: str) -> str:
+    """Class probabilities of a discriminant, not rounded."""
+    sql = lda_sql(*how).replace("round(e / sum(e) OVER (PARTITION BY id1, id2), 9)", "e / sum(e) OVER (PARTITION BY id1, id2)")
+    return f", {name} AS {nested(sql)}"
+
+
+def errors_sql(segments: str) -> str:
+    """``err``: statistics after switch errors, drawn with seed 0."""
+    return stats_sql("err", "split").replace("(WITH one_ AS (SELECT 1)", "(WITH one_ AS (SELECT 1)" + SWITCHES.replace("'7:'", "'0:'").replace("FROM segments", f"FROM {segments}"), 1)
+
+
+NAMED = CODES_SQL + PATHS + GROUPS + KNOWN.replace("LEFT JOIN king k", "LEFT JOIN king_typed k").replace("name AS rel, degree,", "name AS rel, degree, CASE WHEN degree = 'relatives' THEN name ELSE degree END AS class,")
+
+
+def labels_sql(assess: bool) -> str:
+    """The whole job from the steps above: known pairs, three discriminants, the cascade and the labels at one half."""
+    only = "JOIN (SELECT DISTINCT id1 AS t1, id2 AS t2 FROM taught) t ON t1 = s.id1 AND t2 = s.id2" if assess else ""
+    second = "SELECT DISTINCT id1, id2 FROM taught WHERE degree = '2nd'" if assess else "SELECT id1, id2 FROM deg WHERE class = '2nd' AND p > 0.2"
+    sums = " UNION ALL ".join(f"SELECT id1, id2, '{n}' AS node, sum(p) AS p FROM seg WHERE class IN ({', '.join(repr(x) for x in xs)}) GROUP BY id1, id2" for n, xs in (("GP", ("PGP", "MGP")), ("HS", ("PHS", "MHS")), ("GPAV", ("PGP", "MGP", "AV"))))
+    return f"""{NAMED}{CLOSE_SEGMENTS}{stats_sql("stats_", "close_")}{errors_sql("close_")},
+taught AS (SELECT known.*, ibd1, ibd2, n, h1, h2 FROM known JOIN stats_ USING (id1, id2)),
+rows_ AS (SELECT s.*, ibd1seg AS k_ibd1, ibd2seg AS k_ibd2 FROM stats_ s JOIN king_typed k ON k.id1 = s.id1 AND k.id2 = s.id2 {only}){scored_sql("deg", "taught", "rows_", "id1, id2", "k_ibd1", "k_ibd2", "class")},
+chosen AS (SELECT rows_.* FROM rows_ JOIN ({second}) x USING (id1, id2)),
+counted AS (SELECT rel, k_ibd1 + k_ibd2 AS cov, CAST(n AS DOUBLE) AS nn FROM taught WHERE rel IN ({SECOND})){scored_sql("seg", "counted", "(SELECT id1, id2, ibd1 + ibd2 AS cov, CAST(n AS DOUBLE) AS nn FROM chosen) q", "id1, id2", "cov", "nn", "rel")},
+phased AS (SELECT CASE WHEN rel IN ('PHS', 'MHS') THEN 'HS' ELSE 'GPAV' END AS class, h1, h2 FROM taught WHERE rel IN ({SECOND})
+  UNION ALL SELECT 'Phase error', e.h1, e.h2 FROM taught t JOIN err e ON e.id1 = t.id1 AND e.id2 = t.id2 WHERE rel IN ({SECOND})){scored_sql("hap", "phased", "(SELECT id1, id2, greatest(h1, h2) AS h1, least(h1, h2) AS h2 FROM chosen) q", "id1, id2", "h1", "h2", "class")},
+sure AS (SELECT id1, id2 FROM hap WHERE class = 'Phase error' AND p < 0.2),
+base_ AS (SELECT id1, id2, class AS node, p FROM deg UNION ALL SELECT id1, id2, class, p FROM seg UNION ALL {sums}),
+given AS (SELECT b.id1, b.id2, b.node, coalesce(h.p, b.p) AS p_con FROM base_ b LEFT JOIN (SELECT hap.* FROM hap JOIN sure USING (id1, id2) WHERE class IN ('HS', 'GPAV')) h ON h.id1 = b.id1 AND h.id2 = b.id2 AND h.class = b.node){FALL}{picked_sql(0.5)}
+SELECT id1, id2, k_ibd1, k_ibd2, round(h1, 6) AS h1, round(h2, 6) AS h2, most_probable, round(probability, 6) AS probability, degree FROM rows_ JOIN picked USING (id1, id2)"""
+
+
+@query("fam po king_typed segments", labels_sql(False))
+def label_pairs(fam, _, king, segments):
     return rounded(J.label_pairs(fam, king, segments, GENOME_CM), "probability", "h1", "h2")
 
 
-@query("fam king_typed segments")
-def label_known_pairs(fam, king, segments):
+@query("fam po king_typed segments", labels_sql(True))
+def label_known_pairs(fam, _, king, segments):
     return rounded(J.label_pairs(fam, king, segments, GENOME_CM, assess=True), "probability", "h1", "h2")
 
 
-@query("po fam king segments")
+TRAINED = ", ".join(f"round({c}, 6) AS {c}" if c in ("ibd1", "ibd2", "h1", "h2") else c for c in ("ibd1", "ibd2", "n_ibd1", "n_ibd2", "n", "h1", "h2"))
+
+
+@query("po fam king_typed segments", f"""{NAMED}{stats_sql("stats_", "segments")}{errors_sql("segments")}
+SELECT id1, id2, rel, class, {TRAINED}, 'real' AS copy FROM known JOIN stats_ USING (id1, id2) UNION ALL SELECT id1, id2, rel, class, {TRAINED}, 'error' FROM known JOIN err USING (id1, id2) WHERE rel IN ({SECOND})""")
 def training_table(po, fam, king, segments):
     known = K.known_pairs(stored(J.sibship_groups(po, fam, king), "groups"), _codes(po), king)
     return rounded(J.training_table(stored(known, "known"), segments, GENOME_CM), "ibd1", "ibd2", "h1", "h2")
+
+
+@query("fam po king_typed segments", labels_sql(False).replace("SELECT id1, id2, k_ibd1", "SELECT CAST(id1 AS VARCHAR) AS id1, CAST(id2 AS VARCHAR) AS id2, k_ibd1"))
+def file_labels(fam, _, king, segments):
+    """Models are written and read by a second run that fits none; its labels go through the readable file."""
+    spark, path = fam.sparkSession, scratch(fam.sparkSession, "files")
+    J.write_models(J.label(fam, king, segments, GENOME_CM).models, f"{path}-models")
+    again = J.label(fam, king, segments, GENOME_CM, models=J.read_models(spark, f"{path}-models"))
+    W.write_readable(rounded(again.labels(), "probability", "h1", "h2"), path, with_h=True)
+    return spark.read.schema("id1 string, id2 string, k_ibd1 double, k_ibd2 double, most_probable string, probability double, degree string, h1 double, h2 double").option("sep", "\t").option("header", True).csv(path)

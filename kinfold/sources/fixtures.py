@@ -33,6 +33,11 @@ FROM (SELECT blk*24 + l_partkey % 24 AS a, blk*24 + (l_partkey + 1 + l_suppkey %
     "gmap": """SELECT 1 + p_partkey % 4 AS chrom, p_partkey*1000 AS bp, p_partkey*0.25e0 + (p_size % 2)*0.125e0 AS cm FROM part""",
     "sites": """SELECT DISTINCT 1 + l_partkey % 4 AS chrom, CAST(l_partkey*1000 + l_quantity*37 AS BIGINT) AS bp FROM lineitem""",
     "po": """SELECT parent, child FROM (SELECT father AS parent, iid AS child FROM fam UNION ALL SELECT mother, iid FROM fam) e WHERE parent IS NOT NULL""",
+    "king_sibs": """SELECT a.iid AS id1, b.iid AS id2, CASE WHEN a.father = b.father AND a.mother = b.mother THEN 0.45e0 ELSE 0.40e0 END + ((a.iid*31 + b.iid*17) % 20) / 100.0e0 AS ibd1seg,
+       CASE WHEN a.father = b.father AND a.mother = b.mother THEN 0.20e0 + ((a.iid*13 + b.iid*7) % 10) / 100.0e0 ELSE ((a.iid*13 + b.iid*7) % 5) / 100.0e0 END AS ibd2seg
+FROM fam a JOIN fam b ON a.fid = b.fid AND a.iid < b.iid""",
+    "po_lacking": """SELECT parent, child FROM po WHERE parent % 24 NOT IN (1, 3, 13)""",
+    "founders": """SELECT fid, iid FROM fam WHERE father IS NULL AND mother IS NULL""",
     "po_file": """SELECT p.parent, p.child, a.age AS parent_age, b.age AS child_age, CAST(a.age - b.age AS DOUBLE) AS strength, 'AGE' AS method,
        coalesce(k.ibd1seg, 0.5e0) AS h1, 1 - coalesce(k.ibd1seg, 0.5e0) AS h2
 FROM po p JOIN people a ON a.iid = p.parent JOIN people b ON b.iid = p.child
@@ -44,7 +49,7 @@ LEFT JOIN king k ON k.id1 = least(p.parent, p.child) AND k.id2 = greatest(p.pare
 }
 
 #: Views that a view reads.
-NEEDS = {"king": ("fam",), "king_typed": ("fam", "king"), "po": ("fam",), "po_file": ("fam", "people", "king", "po"), "pairs_file": ("fam", "king", "king_typed")}
+NEEDS = {"king_sibs": ("fam",), "po_lacking": ("fam", "po"), "founders": ("fam",), "king": ("fam",), "king_typed": ("fam", "king"), "po": ("fam",), "po_file": ("fam", "people", "king", "po"), "pairs_file": ("fam", "king", "king_typed")}
 
 
 def with_views(*names: str) -> str:

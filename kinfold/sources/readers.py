@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +52,8 @@ def read_segments(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def chromosome_paths(name: str, n: int = 22) -> list[str]:
-    """A name with chr1 stands for one file a chromosome, any other for itself."""
-    folder, last = str(PurePosixPath(name).parent), PurePosixPath(name).name
-    if "chr1" not in last:
-        return [name]
-    return [str(PurePosixPath(folder) / last.replace("chr1", f"chr{k}", 1)) for k in range(1, n + 1)]
+    """A name with chr1 anywhere in it stands for one file a chromosome, any other for itself."""
+    return [name.replace("chr1", f"chr{k}") for k in range(1, n + 1)] if "chr1" in name else [name]
 
 
 def read_gmap(spark: SparkSession, paths: str | list[str], columns: tuple[int, int, int] = (0, 2, 3), snp: int | None = 1) -> DataFrame:
@@ -111,7 +106,8 @@ def read_segment_table(spark: SparkSession, path: str) -> DataFrame:
 def vcf_samples(spark: SparkSession, path: str) -> DataFrame:
     """``idx, iid`` of the samples named in the header line."""
     head = spark.read.text(path).where("value like '#CHROM%'")
-    return head.select(F.posexplode(F.slice(F.split("value", "\t"), 10, 1 << 20)).alias("idx", "iid"))
+    parts = F.split("value", "\t")
+    return head.select(F.posexplode(F.slice(parts, F.lit(10), F.greatest(F.size(parts) - 9, F.lit(0)))).alias("idx", "iid"))
 
 
 def with_sample_ids(segments: DataFrame, samples: DataFrame) -> DataFrame:

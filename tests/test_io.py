@@ -31,6 +31,7 @@ def test_segments_of_many_files(spark, tmp_path):
     paths = R.chromosome_paths(str(tmp_path / "chr1.txt"), 2)
     assert sorted(r.chromosome for r in R.read_segments(spark, paths).collect()) == [1, 2]
     assert R.read_segments(spark, paths).first().id1 == "007"
+    assert R.chromosome_paths("chr1/a.chr1.txt", 2) == ["chr1/a.chr1.txt", "chr2/a.chr2.txt"]
     assert R.chromosome_paths("x/all.txt") == ["x/all.txt"] and len(R.chromosome_paths("x/chr1.txt")) == 22
 
 

@@ -44,3 +44,25 @@ def test_no_siblings(spark):
     fam = spark.createDataFrame([(1, None, None, 1), (2, None, None, 2), (3, 1, 2, 1)], "iid long, father long, mother long, sex int")
     king = spark.createDataFrame([], "id1 long, id2 long, ibd1seg double, ibd2seg double")
     assert J.sibship_groups(K.po_edges(fam), fam, king).count() == 2
+
+
+def test_twins_populations_models_and_own_tree(spark):
+    from kinfold.operators.hierarchy import TREE
+    from kinfold.sources.fixtures import fixture
+
+    sf = "/root/testdata/sf0.001"
+    fam, king, segments, people = (fixture(spark, sf, v) for v in ("fam", "king_typed", "segments", "people"))
+    full = J.label(fam, king, segments, 3545.0)
+    twins = {r.iid for r in king.where("inftype = 'Dup/MZ'").selectExpr("id2 as iid").collect()}
+    of = {r.iid: r.popl for r in people.collect()}
+    got = J.label(fam, king, segments, 3545.0, drop_twins=True, models=full.models).labels().collect()
+    # With the models of all, the labels of those who stay are the same.
+    want = {(r.id1, r.id2): r.most_probable for r in full.labels().collect()}
+    assert got and {(r.id1, r.id2): r.most_probable for r in got} == {k: v for k, v in want.items() if not twins & set(k)}
+    inside = J.label(fam, king, segments, 3545.0, populations=people.select("iid", "popl"), popl="BUILDING", models=full.models).labels().collect()
+    assert {(r.id1, r.id2): r.most_probable for r in inside} == {k: v for k, v in want.items() if of[k[0]] == of[k[1]] == "BUILDING"}
+    # A tree whose second degree has a longer name, and probabilities for another question.
+    tree = tuple((n, a) for n, a in TREE if n != "AV") + (("AV", "2nd"),)
+    flat = J.label(fam, king, segments, 3545.0, tree=tree, models=full.models)
+    assert {r.parent for r in flat.tree.where("node = 'AV'").collect()} == {"2nd"} and flat.probs.count() == full.probs.count()
+    assert full.labels(0.99).count() == len(want)

@@ -47,6 +47,28 @@ def test_mixture_finds_two_groups(spark):
         assert L.gmm_score(df, model, ("x", "y")).where("component = 1").count() in range(98, 103)
 
 
+def test_mixture_equals_its_rounds(spark):
+    """EM by hand: responsibilities of the nearest mean first, then rounds until the mean log-likelihood moves less than the tolerance."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal((0.5, 0), 0.08, (60, 2)), rng.normal((0.5, 0.25), 0.08, (40, 2))])
+    means = np.array([[0.5, 0.0], [0.5, 0.25]])
+    r = np.eye(2)[((x[:, None] - means) ** 2).sum(2).argmin(1)]
+    mu, before, n = None, -np.inf, 0
+    while True:
+        mass = r.sum(0)
+        centre = r.T @ x / mass[:, None]
+        var = np.array([(r[:, k, None] * (x - centre[k]) ** 2).sum() / mass[k] / 2 for k in (0, 1)]) + 1e-6
+        mu = means if mu is None else centre
+        logs = np.log(mass / mass.sum()) - np.log(2 * np.pi * var) - ((x[:, None] - mu) ** 2).sum(2) / (2 * var)
+        if n and abs(now - before) < 1e-3:
+            break
+        before, now = (now if n else -np.inf), np.logaddexp(*logs.T).mean()
+        r = np.exp(logs - np.logaddexp(*logs.T)[:, None])
+        n += 1
+    model = L.gmm_fit(spark.createDataFrame(x.tolist(), "x double, y double"), ("x", "y"), means)
+    assert model.rounds == n and np.allclose(model.means, centre, atol=1e-9) and np.allclose(model.weights, mass / mass.sum(), atol=1e-9) and np.allclose(model.covs[:, 0, 0], var, atol=1e-9)
+
+
 def test_cascade_example(spark):
     probs = spark.createDataFrame([(1, 2, "2nd", 0.8), (1, 2, "3rd", 0.2), (1, 2, "HS", 0.3), (1, 2, "GPAV", 0.1)], "id1 long, id2 long, node string, p_con double")
     tree = H.tree_table(spark)
@@ -56,6 +78,15 @@ def test_cascade_example(spark):
     assert (row.most_probable, round(row.probability, 9), row.degree) == ("HS", 0.6, "2nd")
 
 
+def test_cascade_of_a_deep_tree(spark):
+    names = [f"n{k}" for k in range(7)]
+    tree = H.tree_table(spark, tuple(zip(names, (H.ROOT, *names))))
+    probs = spark.createDataFrame([(1, 2, n, 0.5) for n in names] + [(1, 2, "side", 0.5)], "id1 long, id2 long, node string, p_con double")
+    both = H.tree_table(spark, (*zip(names, (H.ROOT, *names)), ("side", "n5")))
+    assert {r.p for r in H.cascade(probs.where("node <> 'side'"), tree).collect()} == {1.0}
+    assert {r.node: r.p for r in H.cascade(probs, both).collect()}["n6"] == 0.5
+
+
 def test_no_node_over_the_limit_gives_the_degree(spark):
     probs = spark.createDataFrame([(1, 2, "2nd", 0.5), (1, 2, "3rd", 0.5)], "id1 long, id2 long, node string, p_con double")
     tree = H.tree_table(spark)

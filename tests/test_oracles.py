@@ -1,4 +1,4 @@
-"""Every registered query with SQL gives DuckDB's rows; the others run."""
+"""Every registered query gives the rows of its SQL on DuckDB, and some."""
 
 import glob
 import math
@@ -33,10 +33,11 @@ def duck(sf_dir):
 def test_query_matches_sql(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     want = duck.sql(ORACLES[name])
+    rows = want.fetchall()
+    assert rows or name in ("coparent_check",)
     assert sorted(df.columns) == sorted(want.columns)
-    assert plain(df.collect(), df.columns) == plain(want.fetchall(), want.columns)
+    assert plain(df.collect(), df.columns) == plain(rows, want.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_other_queries_run(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)

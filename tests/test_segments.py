@@ -80,3 +80,9 @@ def test_sweep_equals_incremental_split(spark, seed):
     assert got == want
     row = S.ibd1_ibd2(S.ibd_regions(segs(spark, *rows))).first()
     assert row.ibd1_cm + row.ibd2_cm == sum(hi - lo for lo, hi in want)
+
+
+def test_switches_reach_the_end_whatever_their_distance(spark):
+    pairs = spark.createDataFrame([(1, 2, 1)], "id1 long, id2 long, chromosome int")
+    got = S.draw_switches(pairs, mean_d=1.0).groupBy("side").agg({"switch_cm": "max", "*": "count"}).collect()
+    assert len(got) == 2 and all(r["max(switch_cm)"] > S.LONGEST_CM and r["count(1)"] > 200 for r in got)
