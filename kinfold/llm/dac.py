@@ -108,7 +108,7 @@ class WordCoder:
     as it is, and so does every text where the tokenizer has other steps.
     """
 
-    def __init__(self, path: str, limit: int = 120_000_000):
+    def __init__(self, path: str, limit: int = 80_000_000):
         import regex
         from tokenizers import Tokenizer
 

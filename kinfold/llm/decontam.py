@@ -85,8 +85,10 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], seed: int = 7):
         self.ids = [i for i, _ in items]
         words, number, sizes = word_numbers(pa.array([t for _, t in items], pa.string()))
-        self.vocabulary = {w: k for k, w in enumerate(words.to_pylist(), 1)}
-        self.items = np.split(number.astype(np.int64) + 1, np.cumsum(sizes)[:-1]) if items else []
+        low = [w.lower() for w in words.to_pylist()]
+        self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(low), 1)}
+        numbers = np.array([self.vocabulary[w] for w in low], np.int64)
+        self.items = np.split(numbers[number], np.cumsum(sizes)[:-1]) if items else []
         self.bags = [list(Counter(item.tolist()).items()) for item in self.items]
         rng, n = np.random.default_rng(seed), len(self.vocabulary) + 1
         self.codes = rng.integers(0, 1 << 64, n, np.uint64)
@@ -154,7 +156,7 @@ class Index:
         """(text number, item id, start word, end word, edits): the best place of each item in each text."""
         words, number, sizes = word_numbers(texts)
         get = self.vocabulary.get
-        mine = np.fromiter((get(w, 0) for w in words.to_numpy(zero_copy_only=False)), np.int64, len(words))[number]
+        mine = np.fromiter((get(w if w.isascii() else w.lower(), 0) for w in words.to_numpy(zero_copy_only=False)), np.int64, len(words))[number]
         # A 0 after each text keeps walks and pieces inside it.
         stops = np.cumsum(sizes)
         symbols = np.zeros(len(mine) + len(sizes), np.int64)
@@ -190,7 +192,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An item is found where a stretch of the text is within ``MAX_EDITS`` of its words.  Null, empty and blank texts
     hold nothing, and such items are found nowhere; empty tables give no rows.  Repeated rows and repeated items each give their own rows; a row without a doc_id gives null.
-    Texts of any length are searched whole; other columns are not read.  Words are split at ASCII white space, A-Z lower-cased.  Items are read in slices of bounded size.
+    Texts of any length are searched whole; other columns are not read.  Words are lower-cased and split at ASCII white space.  Items are read in slices of bounded size.
     """
     spark = prepare(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))

@@ -1,32 +1,36 @@
 """Language of documents by a linear-chain conditional random field over their words.
 
-Every word gets a score for each language from affixes, character n-grams and the word itself
-(hashed features, learned weights); learned transitions say how rarely a text switches.
+Every word gets a score for each language from affixes, character n-grams, the word itself
+(hashed features, learned weights) and the lexicons that hold it; learned transitions say how rarely a text switches.
 Forward-backward gives each word's language probabilities; a document's are the mean over its
 words with a letter.
 
 Training uses spans of labelled documents put one after another, so that the switches are seen too.
-It takes at most ``TRAIN_DOCS`` documents a language, those with the smallest hashes of doc_id, and ``SEQUENCES`` spliced sequences.
+It takes at most ``TRAIN_DOCS`` documents a language, those with the smallest hashes of doc_id, of at most ``MAX_LANGS`` languages, the most frequent,
+and ``SEQUENCES`` spliced sequences.  A language's lexicon are its training words that hardly occur in the other languages' documents.
 Scoring covers whole texts.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import doc_bucket, prepare
+from kinfold.llm.common import doc_bucket, prepare, text_chunks, word_numbers
 
 BUCKETS = 1 << 15
-TRAIN_DOCS = 300
+TRAIN_DOCS, MAX_LANGS = 300, 256
 SEQUENCES, LENGTH, BATCH, EPOCHS = 1600, 48, 64, 3
 SPAN = (4, 40)
-CHUNK_WORDS, KNOWN_WORDS = 500_000, 300_000
+CHUNK_BYTES, KNOWN_WORDS = 3_000_000, 300_000
+#: A lexicon word occurs so often in training at least, and such a share of its occurrences is in one language.
+LEXICON_COUNT, LEXICON_SHARE = 3, 0.95
 UNKNOWN = "und"
 
 
@@ -41,11 +45,22 @@ def feature_ids(word: str) -> list[int]:
     return [x & (BUCKETS - 1) for x in out]
 
 
+def lexicons(texts: list[list[list[str]]]) -> dict[str, int]:
+    """The language number of every word that belongs to one lexicon; ``texts[k]`` holds the documents of language k as word lists."""
+    counts = [Counter(w for doc in docs for w in doc) for docs in texts]
+    every = Counter()
+    for c in counts:
+        every.update(c)
+    return {w: k for k, c in enumerate(counts) for w, n in c.items() if n >= LEXICON_COUNT and n >= LEXICON_SHARE * every[w]} if len(counts) > 1 else {}
+
+
 class Field:
-    """Weights and transitions; scores chunks of texts."""
+    """Weights, transitions and lexicons; scores chunks of texts."""
 
-    def __init__(self, langs: list[str], weights: np.ndarray, trans: np.ndarray, init: np.ndarray):
+    def __init__(self, langs: list[str], weights: np.ndarray, trans: np.ndarray, init: np.ndarray, lexicon: dict[str, int] | None = None):
+        """Rows of ``weights``: the hash buckets, then one for each language's lexicon."""
         self.langs, self.weights, self.trans, self.init = langs, weights.astype(np.float32), trans.astype(np.float32), init.astype(np.float32)
+        self.lexicon = lexicon or {}
         self._reset()
 
     def _reset(self) -> None:
@@ -53,24 +68,29 @@ class Field:
         self.table = np.zeros((0, len(self.langs) + 1), np.float32)
 
     def __getstate__(self):
-        return {"langs": self.langs, "weights": self.weights, "trans": self.trans, "init": self.init}
+        return {"langs": self.langs, "weights": self.weights, "trans": self.trans, "init": self.init, "lexicon": self.lexicon}
 
     def __setstate__(self, state):
         self.__init__(**state)
 
+    def features(self, word: str) -> list[int]:
+        """Rows of the weights for a lower-cased word."""
+        k = self.lexicon.get(word)
+        return feature_ids(word) if k is None else [*feature_ids(word), BUCKETS + k]
+
     def _learn(self, words: list[str]) -> np.ndarray:
         """Emission scores of words, and whether each holds a letter."""
-        ids = [feature_ids(w) for w in words]
+        ids = [self.features(w) for w in words]
         sizes = np.array([len(x) for x in ids])
         rows = np.add.reduceat(self.weights[np.concatenate(ids)], np.cumsum(sizes) - sizes) / np.sqrt(sizes)[:, None]
         letter = np.array([w.isalpha() or any(c.isalpha() for c in w) for w in words], np.float32)
         return np.column_stack([rows, letter]).astype(np.float32)
 
-    def _rows(self, words: list[str]) -> np.ndarray:
-        missing = list(set(words).difference(self.known))
-        if len(self.known) + len(missing) > KNOWN_WORDS:
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Emission scores and the letter mark of each word; words met before are remembered."""
+        if len(self.known) > KNOWN_WORDS:
             self._reset()
-            missing = list(set(words))
+        missing = [w for w in dict.fromkeys(words) if w not in self.known]
         if missing:
             at = len(self.known)
             self.known.update(zip(missing, range(at, at + len(missing)), strict=True))
@@ -104,30 +124,30 @@ class Field:
         both = fwd * bwd / np.maximum(e, 1e-30)
         return both / np.maximum(both.sum(1, keepdims=True), 1e-30)
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and its probability for each text; ``und`` and 0 where a text has no letter."""
-        split = [(t or "").lower().split() for t in texts]
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        at = [k for k, ws in enumerate(split) if ws]
-        if not at or not self.langs:
-            return out
-        rows = self._rows([w for k in at for w in split[k]])
-        lengths = np.array([len(split[k]) for k in at])
+    def label(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the likeliest language, -1 where a text has no letter, and its probability, for each text."""
+        distinct, number, lengths = word_numbers(texts)
+        best, score = np.full(len(lengths), -1), np.zeros(len(lengths))
+        at = np.flatnonzero(lengths)
+        if not len(at) or not self.langs:
+            return best, score
+        words = [w if w.isascii() else w.lower() for w in distinct.to_numpy(zero_copy_only=False)]
+        rows = self.rows(words)[number]
+        lengths = lengths[at]
         probs = self.marginals(rows[:, :-1], lengths) * rows[:, -1:]
         starts = np.cumsum(lengths) - lengths
         sums, letters = np.add.reduceat(probs.astype(np.float64), starts), np.add.reduceat(rows[:, -1].astype(np.float64), starts)
-        for k, s, n in zip(at, sums, letters, strict=True):
-            if n > 0:
-                best = int(s.argmax())
-                out[k] = (self.langs[best], float(min(1.0, s[best] / n)))
-        return out
+        some = letters > 0
+        best[at[some]] = sums[some].argmax(1)
+        score[at[some]] = np.minimum(1.0, sums[some].max(1) / letters[some])
+        return best, score
 
     def segments(self, text: str) -> list[tuple[int, int, str]]:
         """Runs of words by their likeliest language: (first word, end word, language)."""
         ws = text.lower().split()
         if not ws:
             return []
-        best = self.marginals(self._rows(ws)[:, :-1], np.array([len(ws)])).argmax(1)
+        best = self.marginals(self.rows(ws)[:, :-1], np.array([len(ws)])).argmax(1)
         cuts = np.flatnonzero(np.diff(best)) + 1
         return [(int(a), int(b), self.langs[best[a]]) for a, b in zip(np.append(0, cuts), np.append(cuts, len(ws)), strict=True)]
 
@@ -157,16 +177,19 @@ def fit(langs: list[str], texts: list[list[list[str]]], seed: int = 3) -> Field:
         return Field([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0))
     words, labels = _spliced(texts, rng)
     vocab = {w: k for k, w in enumerate(dict.fromkeys(words))}
-    feats = [np.array(feature_ids(w)) for w in vocab]
+    lexicon = lexicons(texts)
+    features = Field(langs, np.zeros((0, n)), np.zeros((n, n)), np.zeros(n), lexicon).features
+    feats = [np.array(features(w)) for w in vocab]
     sizes = np.array([len(f) for f in feats])
     flat, begin = np.concatenate(feats), np.cumsum(sizes) - sizes
     ids = np.array([vocab[w] for w in words]).reshape(SEQUENCES, LENGTH)
-    params = [np.zeros((BUCKETS, n)), np.zeros((n, n)), np.zeros(n)]
+    params = [np.zeros((BUCKETS + n, n)), np.zeros((n, n)), np.zeros(n)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     now, eye = 0, np.eye(n)
     for _ in range(EPOCHS):
+        order = rng.permutation(SEQUENCES)
         for lo in range(0, SEQUENCES, BATCH):
-            some = rng.permutation(SEQUENCES)[:BATCH] if lo else np.arange(BATCH)
+            some = order[lo : lo + BATCH]
             w, y = ids[some], labels[some]
             used, back = np.unique(w, return_inverse=True)
             span = np.concatenate([flat[begin[u] : begin[u] + sizes[u]] for u in used])
@@ -194,37 +217,35 @@ def fit(langs: list[str], texts: list[list[list[str]]], seed: int = 3) -> Field:
             slope = np.zeros_like(params[0])
             np.add.at(slope, span, np.repeat(per / np.sqrt(sizes[used])[:, None], sizes[used], axis=0))
             now += 1
-            for p, g, (m, v) in zip(params, (slope / BATCH + 1e-5 * params[0], gain / BATCH + 1e-3 * params[1], diff[:, 0].mean(0)), moments, strict=True):
+            for p, g, (m, v) in zip(params, (slope / len(some) + 1e-5 * params[0], gain / len(some) + 1e-3 * params[1], diff[:, 0].mean(0)), moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p -= 0.05 * (m / (1 - 0.9**now)) / (np.sqrt(v / (1 - 0.99**now)) + 1e-8)
-    return Field(langs, *params)
+    return Field(langs, *params, lexicon)
 
 
 def train(docs: DataFrame, per_lang: int = TRAIN_DOCS, modulus: int = 4, left_out: int = 2) -> Field:
     """A field from the rows with a non-null lang and text whose crc32 bucket of doc_id isn't ``left_out``.
 
-    Languages are the distinct labels.  Texts without words teach nothing.
+    Languages are the distinct labels, at most ``MAX_LANGS``.  Texts without words teach nothing; of rows that share doc_id and lang one teaches.
     """
-    rows = docs.where((doc_bucket("doc_id", modulus) != left_out) & F.col("lang").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    names = docs.where((doc_bucket("doc_id", modulus) != left_out) & F.col("lang").isNotNull()).select("lang").distinct()
-    langs, texts = [], []
-    for lang in sorted(r[0] for r in names.collect()):
-        some = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(per_lang)
-        # At most per_lang ids are broadcast; the texts are read in a second pass, not sorted.
-        found = rows.where(F.col("lang") == lang).join(F.broadcast(some.distinct()), "doc_id", "left_semi").select("doc_id", "text").collect()
-        got = [r.text.lower().split() for r in sorted(found, key=lambda r: (r.doc_id, r.text))]
-        if got:
-            langs.append(lang)
-            texts.append(got)
-    return fit(langs, texts)
+    rows = docs.where((doc_bucket("doc_id", modulus) != left_out) & F.col("lang").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", "lang", "text")
+    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    # Ids first, without texts, then the texts of at most per_lang ids a language.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = rows.where(F.col("lang").isin(names)).select("lang", "doc_id").distinct().withColumn("nth", nth).where(F.col("nth") <= per_lang).drop("nth")
+    found = rows.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    texts: dict[str, list] = {}
+    for r in sorted(found, key=lambda r: (r.lang, r.doc_id)):
+        texts.setdefault(r.lang, []).append(r.text.lower().split() or [r.text])
+    return fit(list(texts), list(texts.values()))
 
 
 def label(docs: DataFrame, field: Field, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The rows of ``docs`` with the language and its probability; columns of the two names given are replaced.
 
-    A null text or one without a letter is ``und`` with score 0, as is every text where nothing was learned.
-    Ties go to the first language in order.  Every row is labelled on its own, so repeated rows get equal labels.
+    A null text or one without a letter is ``und`` with score 0, as is every text where nothing was learned; an empty table gives no rows.
+    Texts of any length count with all their words.  Ties go to the first language in order.  Every row is labelled on its own, so repeated rows get equal labels.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(field)
@@ -233,18 +254,10 @@ def label(docs: DataFrame, field: Field, out: tuple[str, str] = ("lang_pred", "s
     text = names.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got: list[tuple[str, float]] = []
-            held, size = [], 0
-            for t in batch.column(text):
-                held.append(t.as_py())
-                size += len(held[-1] or "") // 5
-                if size >= CHUNK_WORDS:
-                    got += shared.value.label(held)
-                    held, size = [], 0
-            got += shared.value.label(held)
-            columns = [*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, *out])
+        langs = pa.array([*shared.value.langs, UNKNOWN], pa.string())
+        for some in text_chunks(batches, text, CHUNK_BYTES):
+            best, score = shared.value.label(some.column(text))
+            yield pa.RecordBatch.from_arrays([*some.columns, langs.take(pa.array(best % len(langs))), pa.array(score)], [*names, *out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(work, f"{fields}, `{out[0]}` string, `{out[1]}` double")

@@ -141,7 +141,8 @@ def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             raw = [x.tobytes() for x in np.split(shingles, np.cumsum(n)[:-1])] if len(n) else []
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(raw, pa.binary())], ["doc_id", "shingles"])
 
-    return texts.join(ids, "doc_id", "left_semi").mapInArrow(make, "doc_id bigint, shingles binary")
+    # Always by a shuffle, so that the plan is the same at every size.
+    return texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(make, "doc_id bigint, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -67,8 +67,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.toxicmil import score, train
 
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (doc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), locate=0.5)
+    # The sentences that are toxic on their own, as start:end in code points.
+    spans = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return scored.select("doc_id", (doc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("offending"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,8 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int =
         sizes[y] = of.count()
         ids.append(of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
     chosen = F.broadcast(ids[0].union(ids[1]))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    # One text of each id, so that repeated rows don't widen the sample.
+    rows = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.toxic for r in rows], dtype=np.int64)
     got = np.bincount(y, minlength=2) if len(y) else np.zeros(2)
     weight = np.array([sizes[k] / max(1, got[k]) for k in (0, 1)])
@@ -134,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int =
 def score(docs: DataFrame, model: Sentences, locate: float | None = None) -> DataFrame:
     """The rows of ``docs`` with ``score``; with ``locate`` also ``offending``, the sentences of at least that probability.
 
-    Columns of these names are replaced.  Null and empty texts score 0 and have no sentences.  Rows are scored one by one, so repeated rows score alike.
+    Columns of these names are replaced.  Null and empty texts score 0 and have no sentences; an empty table gives no rows.  Texts of any length count with all
+    their sentences.  Rows are scored one by one, so repeated rows score alike.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)

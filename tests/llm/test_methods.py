@@ -192,6 +192,24 @@ def test_leaks_of_a_benchmark_with_many_words(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontam.leaks(docs(*rows), table).collect())) == want
 
 
+def test_leaks_of_the_query_equal_brute_force(spark):
+    """Every document against every item: the least edit distance of the item to any stretch of the text."""
+    sf = "/root/testdata/sf0.001"
+    docs, items = common.table(spark, sf, "documents").collect(), common.table(spark, sf, "benchmark").collect()
+    code: dict[str, int] = {}
+    number = lambda t: np.array([code.setdefault(w, len(code)) for w in (t or "").lower().split()], np.int64)
+    texts, wanted = [(d.doc_id, number(d.text)) for d in docs], [(i.item_id, number(i.text)) for i in items]
+    want = set()
+    for d, text in texts:
+        inside = np.bincount(text, minlength=len(code) + 1)
+        for i, item in wanted:
+            k = int(decontam.MAX_EDITS * len(item))
+            # Fewer than all but k of an item's words in the whole text: no stretch can be near.
+            if np.minimum(np.bincount(item, minlength=len(inside)), inside).sum() >= len(item) - k and decontam.best_place(item, text)[0] <= k:
+                want.add((d, i))
+    assert want and {(r.doc_id, r.item_id) for r in queries.op9_decontamination(spark, sf).collect()} == want
+
+
 def test_best_place_equals_brute_force():
     rng = random.Random(4)
 
@@ -277,6 +295,28 @@ def test_search_recall_on_the_table(spark, sf):
     assert got["query_id"].nunique() == (ids % 20 == 0).sum() and recall(x, got, ids) >= 0.9
 
 
+def test_toxicity_equals_brute_force(spark):
+    """Scores and offending sentences of the query by the noisy-or, word by word."""
+    sf = "/root/testdata/sf0.001"
+    docs = common.table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicmil.train(docs, common.table(spark, sf, "labels"))
+    rows = {r.doc_id: r for r in queries.op2_toxicity(spark, sf).collect()}
+    for d in docs.collect():
+        clean, spans, at, text = 1.0, [], 0, d.text or ""
+        while at < len(text):
+            stop = next((k for k in range(at, len(text)) if text[k] in ".!?\n"), len(text))
+            found = [(m.start() + at, m.end() + at, m.group()) for m in re.finditer(r"[^\W_]+", text[at:stop])]
+            if found:
+                p = 1 / (1 + np.exp(-model.bias - sum(model.weights.get(w.lower(), 0.0) for _, _, w in found)))
+                clean *= 1 - p
+                if p >= 0.5:
+                    spans.append(f"{found[0][0]}:{stop + 1 if stop < len(text) else found[-1][1]}")
+            at = stop + 1
+        got = rows[d.doc_id]
+        assert abs(got.score - (1 - clean)) < 1e-9 and got.predicted == int(got.score >= 0.5) and got.offending == ",".join(spans)
+        assert got.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     scored = queries.op2_toxicity(spark, sf).join(common.table(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
@@ -301,6 +341,33 @@ def test_language_held_out(spark):
     assert got.where("lang = lang_pred").count() / got.count() > 0.95
 
 
+def test_language_equals_brute_force(spark):
+    """Labels and scores of the query by one forward and one backward pass a text, word by word in logarithms."""
+    sf = "/root/testdata/sf0.001"
+    docs = common.table(spark, sf, "documents")
+    field = langcrf.train(docs.select("doc_id", "text", "lang"))
+    rows = {r.doc_id: r for r in queries.op8_language_id(spark, sf).collect()}
+    trans, n = field.trans.astype(float), len(field.langs)
+    assert field.lexicon
+    for d in docs.orderBy("doc_id").collect()[::3]:
+        words = [w.decode().lower() for w in common.words_of(d.text)]
+        letter = np.array([any(c.isalpha() for c in w) for w in words], bool)
+        got = rows[d.doc_id]
+        if not letter.any():
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        e = [sum(field.weights[i].astype(float) for i in field.features(w)) / len(field.features(w)) ** 0.5 for w in words]
+        f, b = [field.init + e[0]], [np.zeros(n)]
+        for x in e[1:]:
+            f.append(x + np.logaddexp.reduce(f[-1][:, None] + trans, 0))
+        for x in e[:0:-1]:
+            b.append(np.logaddexp.reduce(trans + x + b[-1], 1))
+        both = np.array(f) + np.array(b[::-1])
+        mean = np.exp(both - np.logaddexp.reduce(both, 1, keepdims=True))[letter].mean(0)
+        assert got.lang_pred == field.langs[int(mean.argmax())] and abs(got.score - mean.max()) < 1e-4
+        assert got.held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(1)
     field = langcrf.Field(["a", "b", "c"], np.zeros((langcrf.BUCKETS, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
