@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from kinfold.llm import dac, decontam, langcrf, minmax, mixing
-from kinfold.llm.common import prepare, scratch, table
+from kinfold.llm.common import prepare, scratch, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,25 +32,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies; rows that repeat a kept doc_id with an equal text are one document."""
+    """Keep one document of each group of near copies, and one row of each doc_id that stays, that of the smallest text.
+
+    Texts without words are copies of nothing and stay; rows without a doc_id belong to no group and stay as they are.  Empty tables stay empty, texts count whole.
+    """
     groups = minmax.near_duplicates(docs, width=5, percent=80)
-    gone = groups.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(groups.where("not kept").select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Only ids given more than once are looked at twice; as a rule there are none.
+    often = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    once = kept.join(often, "doc_id", "left_anti").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    first = kept.join(often, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    return once.unionByName(first)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item; null and empty texts hold none and stay, as do rows without a doc_id; texts are searched whole."""
     leaked = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents by calibrated rates."""
+    """Sample documents by calibrated rates; null labels are a class, texts without words stay, repeated rows share their draw."""
     return mixing.mix(docs, labels=False)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the codes and give each document's place in them."""
+    """Write the codes and give each document's place in them; a null or empty text is the end id alone, repeated rows are each written, an empty table gives no rows."""
     import public_tokenizers
 
     path = scratch(spark, "tokens")
