@@ -1,4 +1,8 @@
-"""Graph operators over edge tables, in rounds whose number grows with the logarithm of the size."""
+"""Graph operators over edge tables, in rounds.
+
+Components need rounds in the logarithm of the longest way.  A visit in a strict order needs as many as its longest chain of neighbours that each wait for the one before:
+few where ties are broken by a hash, up to a family's size where they go by id, as in the ranked set.
+"""
 
 from __future__ import annotations
 
