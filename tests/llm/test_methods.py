@@ -1,6 +1,7 @@
 """The methods against brute force, exact round trips and held-out accuracy."""
 
 import json
+import math
 import random
 import re
 import zlib
@@ -134,6 +135,59 @@ def test_random_tokens_behind_a_path(docs):
     assert any(s == [key] for key, s in zip(keys, spans, strict=True))
 
 
+def token_tests(token):
+    """(alphabet size, length, p) of a token by the battery, or None."""
+    t = token.rstrip("=")
+    if sum(bool(re.search(c, t)) for c in ("[0-9]", "[A-Z]", "[a-z]")) < 2 or len(t) < 16:
+        return None
+    letters = next(abc for pattern, abc in secretscan.ENCODINGS if re.fullmatch(pattern, t))
+    n, k, at = len(t), len(letters), [letters.index(c) for c in t]
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = k / n * sum(at.count(x) ** 2 for x in set(at)) - n
+    half = [x >= k // 2 for x in at]
+    ones, turns = sum(half), sum(x != y for x, y in zip(half, half[1:]))
+    mean = 2 * ones * (n - ones) / n
+    z_runs = (turns - mean) / math.sqrt(mean * (mean - 1) / (n - 1)) if mean > 1 else -math.sqrt(n)
+    off = [x + 1 - (k + 1) / 2 for x in at]
+    z_lag = (sum(x * y for x, y in zip(off, off[1:])) / sum(x * x for x in off) + 1 / n) * math.sqrt(n)
+    ps = (tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)), 2 * tail(abs(z_runs)), 2 * tail(abs(z_lag)))
+    h = -sum(math.log(max(p, 1e-7)) for p in ps)
+    return k, n, math.exp(-h) * (1 + h + h * h / 2)
+
+
+def test_added_spans_equal_brute_force(docs):
+    """Every token tested in Python, and every band's bound from its own counts."""
+    rng = random.Random(12)
+    abc = {"hexup": "0123456789ABCDEF", "b36": "0123456789abcdefghijklmnopqrstuvwxyz", "b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
+    texts = []
+    for _ in range(250):
+        parts = ["".join(rng.choice(abc[rng.choice(list(abc))]) for _ in range(rng.randint(18, 60))), f"Name{rng.randint(0, 99)}OfSome{'Thing' * rng.randint(2, 6)}", "x" * rng.randint(0, 30) + "Y1", f"a/{'b' * 22}1/{''.join(rng.choice(abc['b36']) for _ in range(30))}=="]
+        texts.append(" é ".join(rng.sample(parts, 3)))
+    found = {r.doc_id: [(s["start"], s["end"]) for s in r.spans if s["kind"] == "random"] for r in secretscan.scan(docs(*enumerate(texts))).collect()}
+    rows = []
+    for d, text in enumerate(texts):
+        for m in re.finditer(secretscan.TOKEN, text):
+            rows.append((d, m.start(), True, m.start(), m.end(), token_tests(m.group())))
+            if re.search("[/=]", m.group().rstrip("=")):
+                at = m.start()
+                for part in re.split("[/=]", m.group()):
+                    if len(part) >= 20:
+                        rows.append((d, m.start(), False, at, at + len(part), token_tests(part)))
+                    at += len(part) + 1
+    rows = [(*r[:5], (r[5][0], math.floor(2 * math.log2(r[5][1]))), min(math.floor(r[5][2] * 50), 49)) for r in rows if r[5]]
+    bound = {}
+    for band in {r[5] for r in rows}:
+        bins = [r[6] for r in rows if r[5] == band]
+        upper = sum(b >= 25 for b in bins)
+        most = upper + 1 + 1.645 * math.sqrt(upper + 1)
+        fine = [b for b in set(bins) if b >= 1 and 1 - min(1, 2 * most * (1 - b / 50) / sum(x >= b for x in bins)) <= 0.05]
+        bound[band] = min(fine, default=99)
+    over = [r for r in rows if r[6] >= bound[r[5]]]
+    wholes = {r[:2] for r in over if r[2]}
+    want = {d: sorted({(r[3], r[4]) for r in over if r[0] == d and (r[2] or r[:2] not in wholes)}) for d in range(len(texts))}
+    assert found == want and sum(map(len, want.values())) > 200
+
+
 def test_leaks_with_edits(spark, docs):
     rng = random.Random(2)
     words = [f"v{k}" for k in range(300)]
