@@ -88,14 +88,24 @@ def read_po(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("parent", "child", age.alias("parent_age"), "strength", "method", "h1", "h2")
 
 
-def load_codes(path: str) -> tuple:
-    """Relationship codes from a YAML file, in the form of ``CODES``; needs the yaml package."""
+def _yaml(spark: SparkSession, path: str) -> dict:
+    """A small YAML file, read by Spark so that it may lie in any store; needs the yaml package."""
     import yaml
 
-    with open(path) as f:
-        said = yaml.safe_load(f)
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}
+
+
+def load_codes(spark: SparkSession, path: str) -> tuple:
+    """Relationship codes from a YAML file, in the form of ``CODES``: name, paths by the parent they start with, sex-specific, degree, node above."""
     text = lambda way: ",".join(map(str, way))
-    return tuple((name, {k: [text(w) for w in c[k]] for k in (1, 2) if k in c}, bool(c.get("sex")), c["degree"], c.get("parent")) for name, c in said.items())
+    return tuple((name, {k: [text(w) for w in c[k]] for k in (1, 2) if k in c}, bool(c.get("sex")), c["degree"], c.get("parent")) for name, c in _yaml(spark, path).items())
+
+
+def load_tree(spark: SparkSession, path: str, root: str = "relatives") -> tuple:
+    """The tree of relationships from a YAML file, in the form of ``TREE``: each name under its parent or else its degree, and degrees under the root."""
+    said = {name: c.get("parent") or c["degree"] for name, c in _yaml(spark, path).items()}
+    tops = dict.fromkeys(above for above in said.values() if above not in said and above != root)
+    return (*said.items(), *((name, root) for name in tops))
 
 
 def read_segment_table(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Readers and writers on small files."""
 
+from kinfold.operators.hierarchy import TREE
 from kinfold.operators.pairs import drop_exact_twins, fill_missing_alleles
+from kinfold.operators.pedigree import CODES
 from kinfold.sources import readers as R
 from kinfold.sources import writers as W
 
@@ -49,6 +51,17 @@ def test_pairs_and_po(spark, tmp_path):
     assert tuple(R.read_po(spark, path).first()) == ("a", "b", 60.0, 30.0, "AGE", 0.9, 0.8)
 
 
+def test_codes_and_tree(spark, tmp_path):
+    said = []
+    for name, paths, sexed, degree, parent in CODES:
+        said += [f"{name}:", *[line for sex, ways in paths.items() for line in (f"  {sex}:", *[f"    - [{w},]" for w in ways])], f"  sex: {str(sexed).lower()}", f"  degree: {degree}", *([f"  parent: {parent}"] if parent else [])]
+    path = put(tmp_path / "codes.yaml", "\n".join(said))
+    assert R.load_codes(spark, path) == CODES
+    tree = [f"{n}:\n  degree: {a}" if a in ("relatives", "2nd", "3rd", "4th", "2nd+", "3rd+", "4th+") else f"{n}:\n  degree: 2nd\n  parent: {a}" for n, a in TREE if n[0] not in "234"]
+    got = R.load_tree(spark, put(tmp_path / "tree.yaml", "\n".join(tree)))
+    assert dict(got) == dict(TREE) and len(got) == len(TREE)
+
+
 def test_vcf(spark, tmp_path):
     path = put(tmp_path / "v.vcf", "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n1\t5\t.\tA\tC\t.\t.\t.\tGT\t.|1\t.|.\n")
     samples = R.vcf_samples(spark, path)
