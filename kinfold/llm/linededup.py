@@ -33,6 +33,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     keeps its lines in the largest doc_id holding it and loses them elsewhere.  Bit i of word w
     says whether line 64 w + i stays; a word not given is all ones.  Rows sharing a doc_id count
     as one document.  Rows without a doc_id take no part; null and empty texts have no long line.
+    An empty table gives no rows; texts of any length are split whole; other columns are not read.
     """
     split = docs.where("doc_id is not null").select("doc_id", _row().alias("row"), F.posexplode(_lines()).alias("pos", "line"))
     trimmed = split.withColumn("key", F.btrim("line", F.lit(BLANKS))).where(F.char_length("key") >= min_chars)

@@ -215,6 +215,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     named by its smallest doc_id, which alone is kept.  A text without words (null, empty, blanks)
     links with nothing.  Rows sharing a doc_id are one document if their sets are equal; otherwise each
     row's set may link and all of them are joined.  A row without a doc_id gets component_id null and is kept.
+    An empty table gives no rows; texts of any length count with all their shingles; other columns, whatever their names, are not read.
     """
     prepare(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

@@ -152,7 +152,10 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` as ``doc_id, spans`` (an empty array where nothing is found)."""
+    """Every row of ``docs`` as ``doc_id, spans`` (an empty array where nothing is found).
+
+    An empty table gives no rows; texts of any length are searched whole; rows that share a doc_id are told apart by their texts, and other columns, whatever their names, are not read.
+    """
     spans = secret_spans(docs)
     rows = docs.select("doc_id", _row().alias("row"))
     both = rows.join(spans, rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["row"] == spans["row"]), "left")
