@@ -95,12 +95,15 @@ class Index:
         self.bits = rng.integers(0, 2, (REPETITIONS, STEPS, n), np.uint8)
         # Any step may be sampled; the first sample is one of the early ones, so that most keys lie within a few words.
         self.steps = [np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(REPETITIONS)]
-        windows: list[list] = [[] for _ in range(REPETITIONS)]
+        # All long items one after another, a 0 after each.
+        long = [n for n, item in enumerate(self.items) if len(item) >= SHORT]
+        lengths = np.array([len(self.items[n]) + 1 for n in long], np.int64)
+        flat = np.concatenate([x for n in long for x in (self.items[n], [0])]).astype(np.int64) if long else np.zeros(0, np.int64)
+        owner, place = np.repeat(np.array(long, np.int64), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.windows = [Keys([(key, owner[start], place[start])]) for start, key in self._walks(flat, np.flatnonzero(flat))] if long else []
         pieces: dict[int, list] = defaultdict(list)
         for n, item in enumerate(self.items):
             if len(item) >= SHORT:
-                for r, (start, key) in enumerate(self._walks(np.append(item, 0), np.arange(len(item)))):
-                    windows[r].append((key, np.full(len(key), n), start))
                 continue
             k = int(MAX_EDITS * len(item))
             short, longer = divmod(len(item), k + 1)
@@ -108,7 +111,6 @@ class Index:
             for width, at in ((short + 1, starts[:longer]), (short, starts[longer:])):
                 if width and len(at):
                     pieces[width].append((self._runs(item, width)[at], np.full(len(at), n), at))
-        self.windows = [Keys(w) if w else None for w in windows]
         self.pieces = {width: Keys(parts) for width, parts in sorted(pieces.items())}
 
     def _runs(self, symbols: np.ndarray, width: int) -> np.ndarray:
@@ -142,7 +144,7 @@ class Index:
     def hits(self, symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Rows (document, item, where the item would start), each once and in order, for every key of an item in the symbols; the last symbol is 0."""
         found = []
-        if any(self.windows):
+        if self.windows:
             for known, (start, key) in zip(self.windows, self._walks(symbols, np.flatnonzero(symbols)), strict=True):
                 which, item, place = known.find(key)
                 found.append((owner[start[which]], item, start[which] - place))
