@@ -164,10 +164,10 @@ def uniform(*keys: str | Column) -> Column:
 def draw_switches(chromosomes: DataFrame, mean_d: float = 50.0, seed: int = 0) -> DataFrame:
     """Switch places per (pair, chromosome, side): running sums of exponential gaps up to the first beyond ``LONGEST_CM``.
 
-    Gaps are drawn for the expected number and twelve standard deviations more; a side that they don't bring to the end stops the job.
+    Gaps are drawn for the expected number and eight standard deviations and twelve more, too few once in some 10^15 sides; a side that they don't bring to the end stops the job.
     """
     expected = LONGEST_CM / mean_d
-    draws = int(expected + 12 * expected**0.5 + 30)
+    draws = int(expected + 8 * expected**0.5 + 12)
     side = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
     drawn = chromosomes.select(*CHROM).distinct().select(*CHROM, side).select(*CHROM, "side", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i"))
     gap = -F.log(1 - uniform(F.lit(seed), *CHROM, "side", "i")) * mean_d
