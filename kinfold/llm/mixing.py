@@ -20,6 +20,8 @@ NONE, OTHER = "(none)", "prose"
 #: Default target of a share s of the tokens: s to this power, normalised.
 TEMPER = 0.9
 CYCLES = 12
+#: Tasks that end a step over the cells and over one dimension's values: both tables are combined already and small beside the documents.
+CELL_TASKS, VALUE_TASKS = 32, 4
 HEX_DIGITS = 13
 #: White space between words.
 BLANK = "[\\x20\\x09-\\x0D]"
@@ -60,7 +62,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = CYCLES)
     A fitted weight is the cell's tokens times one factor for each dimension, so the cells stay as they are and a step gives a dimension's new factors: its
     targets over its sums under the other dimensions' factors, combined before they are shuffled.
     """
-    goals = {d: stored(t.select(d, "target"), "target") for d, t in targets.items()}
+    goals = {d: stored(t.select(d, "target").coalesce(VALUE_TASKS), "target") for d, t in targets.items()}
     factors: dict[str, DataFrame] = {}
 
     def weighed(dims: list[str]) -> DataFrame:
@@ -73,7 +75,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = CYCLES)
     for _ in range(cycles):
         for dim, goal in goals.items():
             sums = weighed([d for d in factors if d != dim]).groupBy(dim).agg(F.sum("w").alias("s"))
-            factors[dim] = stored(sums.join(goal, dim).select(dim, F.coalesce(F.try_divide("target", "s"), F.lit(0.0)).alias("f")), "factors")
+            factor = sums.coalesce(VALUE_TASKS).join(goal, dim).select(dim, F.coalesce(F.try_divide("target", "s"), F.lit(0.0)).alias("f"))
+            factors[dim] = stored(factor, "factors")
     return weighed(list(factors))
 
 
@@ -93,7 +96,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int
     """
     rows = celled(docs, topics)
     dims = [f"__{d}" for d in DIMS]
-    cells = stored(rows.where("__any").groupBy(*dims).agg(F.sum(n_words()).alias("tokens")), "cells")
+    cells = stored(rows.where("__any").groupBy(*dims).agg(F.sum(n_words()).alias("tokens")).coalesce(CELL_TASKS), "cells")
     if targets is None:
         targets = {d: tempered(cells, d) for d in dims}
     fitted = rake(cells, targets).withColumn("ratio", F.col("w") / F.col("tokens"))
