@@ -36,11 +36,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are copies of nothing and stay; rows without a doc_id belong to no group and stay as they are.  Empty tables stay empty, texts count whole.
     """
-    groups = minmax.near_duplicates(docs, width=5, percent=80)
-    gone = stored(groups.where("not kept").select("doc_id").distinct(), "gone")
+    groups = stored(minmax.near_duplicates(docs, width=5, percent=80), "groups")
+    gone = groups.where("not kept").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # Only ids given more than once are looked at twice; as a rule there are none.
-    often = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    # Ids given more than once, counted without the texts; as a rule there are none.
+    often = stored(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "often")
+    if often.isEmpty():
+        return kept
     once = kept.join(often, "doc_id", "left_anti").select(*docs.columns)
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     first = kept.join(often, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
