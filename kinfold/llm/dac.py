@@ -16,6 +16,7 @@ about ``block_tokens`` ids that end with a document, one row of a Parquet table
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 import zlib
@@ -214,7 +215,14 @@ class WordCoder:
             self._forget()
         new = [w for w in words if w not in self.known]
         if new:
-            self._learn(new)
+            # Only strings and numbers are made here; the collector would look through them again and again.
+            on = gc.isenabled()
+            gc.disable()
+            try:
+                self._learn(new)
+            finally:
+                if on:
+                    gc.enable()
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[number]
         flat, starts = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.starts, np.int64)
         sizes = starts[at + 1] - starts[at]
