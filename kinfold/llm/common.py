@@ -45,9 +45,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_numbers(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The words of ``words_of`` for many texts: the distinct words, the number of each word in them, and how many words each text has."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+def word_numbers(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of ``words_of`` for many texts (as they stand, if not ``lower``): the distinct words, the number of each word in them, and how many words each text has."""
+    texts = texts.fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = lists.flatten().dictionary_encode()
     number = coded.indices.to_numpy()
     # A blank at either end leaves an empty piece.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import doc_bucket, prepare, scratch, table
@@ -94,6 +94,40 @@ def op1_ads_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+def _repeating(doc_id: Column, text: Column) -> Column:
+    """The text whose words from a on repeat the p words there, where the id's crc32 is divisible by 10; other texts as they are."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    n, g = F.size(words).cast("bigint"), F.floor(h / 10).cast("bigint")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("bigint")
+    row = F.struct(words.alias("w"), a.alias("a"), p.alias("p"))
+    # One row of values, so that the words are cut once.
+    place = lambda r, i: F.when(i >= r["a"], r["a"] + (i - r["a"]) % r["p"]).otherwise(i).cast("int")
+    again = F.transform(F.array(row), lambda r: F.array_join(F.transform(r["w"], lambda w, i: F.get(r["w"], place(r, i))), " "))
+    return F.when((h % 10 == 0) & text.rlike(r"[^ \t\n\x0B\f\r]"), again[0]).otherwise(text)
+
+
+def op12_repair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.runs import find_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", _repeating(F.col("doc_id"), F.col("text")).alias("text"))
+    runs = F.col("runs")
+    # Whole numbers only: of two runs, length * other period decides; ties by start and then period, which is the order of the list.
+    best = F.aggregate(runs, F.try_element_at(runs, F.lit(1)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    digest = F.sha2(F.array_join(F.transform(runs, lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), ""), 256)
+    found = find_runs(docs).select("doc_id", F.size(runs).cast("bigint").alias("n_runs"), best.alias("best"), digest.alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.hardneg import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -164,9 +198,29 @@ WHERE ('0x' || substr(md5('11:' || r.doc_id), 1, 13))::BIGINT / pow(16, 13) < CA
 """
 
 
+OP13_SQL = """
+WITH rows_ AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM rows_ a JOIN rows_ b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ads_search, op2_toxicity, op4_attention_lm, op8_language_id, op3_token_codes, op5_line_dedup, op6_minmax_dedup, op7_secret_scan, op9_decontamination, op10_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_ads_search, op2_toxicity, op4_attention_lm, op8_language_id, op3_token_codes, op5_line_dedup, op6_minmax_dedup, op7_secret_scan, op9_decontamination, op10_mixing, op12_repair_runs, op13_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op6_minmax_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_minmax_dedup": OP6_SQL, "op10_mixing": OP10_SQL, "op13_hard_negatives": OP13_SQL}
