@@ -23,16 +23,17 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import prepare, stored
 
 PIECE, ANCHORS, STEP = 8192, 2048, 64
-#: Whole numbers up to this size are exact as doubles.
+#: Whole numbers up to this size are exact as doubles, and a hundred of them fit in 64 bits.
 EXACT = 1 << 53
 
 
 class Wanted(NamedTuple):
-    """Up to ``k`` rows with ``low <= share * score <= high`` whose label is the anchor's own or, if not ``same``, another."""
+    """Up to ``k`` rows whose label is the anchor's own or, if not ``same``, another; with a window's score s those with ``low * s <= 100 * score <= high * s``."""
 
     k: int
     same: bool
-    share: int = 1
+    low: int = 0
+    high: int = 0
 
 
 class Lists:
@@ -50,10 +51,10 @@ class Lists:
             return (self.x[at].astype(np.float64) @ anchor.astype(np.float64)).astype(np.int64)
         return np.array([sum(int(p) * int(q) for p, q in zip(row, anchor, strict=True)) for row in self.x[at]], dtype=object)
 
-    def best(self, row: int, anchor: np.ndarray, label: int, windows: list[tuple[int | None, int | None]], want: Wanted) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each (low, high) the places of the best rows and their scores; None is no limit."""
+    def best(self, row: int, anchor: np.ndarray, label: int, windows: list[int | None], want: Wanted) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each window's score the places of the best rows and their scores; None is no limit."""
         n, used = len(self.rows), np.flatnonzero(anchor)
-        small = self.largest * int(np.abs(anchor).max(initial=0)) * max(1, len(anchor)) < EXACT
+        small = self.largest * int(np.abs(anchor).max(initial=0)) * max(1, len(anchor)) < EXACT and all(at is None or abs(at) < EXACT for at in windows)
         weight, up = [int(a) for a in anchor[used]], anchor[used] > 0
         fits = (self.labels == label) if want.same else (self.labels != label)
         fits = fits & (self.rows != row)
@@ -75,14 +76,12 @@ class Lists:
             ready = np.flatnonzero(met & fits)
             order = ready[np.argsort(-scores[ready], kind="stable")]
             for w in list(open_):
-                low, high = windows[w]
-                s, mine = scores[order], order
-                if low is not None:
-                    inside = (want.share * s >= low) & (want.share * s <= high)
-                    mine = order[inside.astype(bool)]
+                at, s, mine = windows[w], scores[order], order
+                if at is not None:
+                    mine = order[((100 * s >= want.low * at) & (100 * s <= want.high * at)).astype(bool)]
                 mine = mine[: want.k]
                 found[w] = (mine, scores[mine])
-                if (len(mine) == want.k and threshold < int(scores[mine[-1]])) or (low is not None and want.share * threshold < low):
+                if (len(mine) == want.k and threshold < int(scores[mine[-1]])) or (at is not None and 100 * threshold < want.low * at):
                     open_.remove(w)
         return found
 
@@ -99,7 +98,7 @@ def valid(vectors: DataFrame, column: str, label: Column, asked: Column, scale:
 
 
 def _searched(rows: DataFrame, asks: DataFrame, want: Wanted, pieces: int, groups: int) -> DataFrame:
-    """``anchor, window, other, other_id, score`` of the best in each piece for asks (row, x, label, windows: array of (low, high) or null)."""
+    """``anchor, window, other, other_id, score`` of the best in each piece for asks (row, x, label, windows: array of scores or null)."""
     left = rows.select("row", "vec_id", "label", "x", F.pmod(F.xxhash64("row"), F.lit(pieces)).cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("share"))
     right = asks.select("row", "label", "x", "windows", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).cast("int").alias("share"))
     columns = ["anchor", "window", "other", "other_id", "score"]
@@ -109,7 +108,7 @@ def _searched(rows: DataFrame, asks: DataFrame, want: Wanted, pieces: int, group
         if len(some) and len(anchors):
             lists = Lists(some["row"].to_numpy(), some["vec_id"].to_numpy(), some["label"].to_numpy(), np.stack(some["x"].to_numpy()))
             for row, label, x, windows in zip(anchors["row"], anchors["label"], anchors["x"], anchors["windows"], strict=True):
-                limits = [(None, None)] if windows is None else [(int(w["low"]), int(w["high"])) for w in windows]
+                limits = [None] if windows is None else [int(w) for w in windows]
                 for w, (at, scores) in enumerate(lists.best(row, np.asarray(x), label, limits, want)):
                     if len(at):
                         got.append(pd.DataFrame({"anchor": row, "window": w, "other": lists.rows[at], "other_id": lists.ids[at], "score": scores.astype(np.int64)}))
@@ -139,12 +138,11 @@ def hard_negatives(
     count, anchors = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("asked").cast("int")), F.lit(0))).first()
     pieces, groups = max(1, math.ceil(count / PIECE)), max(1, math.ceil(anchors / ANCHORS))
     own = stored(rows.where("asked").select("row", "vec_id", "label", "x"), "anchors")
-    none = F.lit(None).cast("array<struct<low:bigint,high:bigint>>").alias("windows")
+    none = F.lit(None).cast("array<bigint>").alias("windows")
     near = stored(_searched(rows, own.select("row", "label", "x", none), Wanted(positives, True), pieces, groups), "positives")
     # At most ``positives`` windows an anchor, in order of their rank.
-    limits = F.struct(F.col("rank"), (low * F.col("score")).alias("low"), (high * F.col("score")).alias("high"))
-    windows = near.groupBy(F.col("anchor").alias("row")).agg(F.transform(F.array_sort(F.collect_list(limits)), lambda s: F.struct(s["low"].alias("low"), s["high"].alias("high"))).alias("windows"))
-    far = _searched(rows, stored(own.join(windows, "row").select("row", "label", "x", "windows"), "windows"), Wanted(k, False, 100), pieces, groups)
+    windows = near.groupBy(F.col("anchor").alias("row")).agg(F.array_sort(F.collect_list(F.struct("rank", "score")))["score"].alias("windows"))
+    far = _searched(rows, stored(own.join(windows, "row").select("row", "label", "x", "windows"), "windows"), Wanted(k, False, low, high), pieces, groups)
     ids = own.select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id"))
     chosen = near.select("anchor", (F.col("rank") - 1).cast("bigint").alias("window"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score"))
     out = far.select("anchor", "window", "rank", F.col("other_id").alias("negative_id"), F.col("score").alias("negative_score")).join(chosen, ["anchor", "window"]).join(ids, "anchor")

@@ -94,6 +94,12 @@ def op1_ads_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.toccur import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def _repeating(doc_id: Column, text: Column) -> Column:
     """The text whose words from a on repeat the p words there, where the id's crc32 is divisible by 10; other texts as they are."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -171,6 +177,10 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN least l ON l.node = d.doc_id
 """
 
+# The same with five words a shingle.
+OP11_SQL = OP6_SQL.replace("CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s", "array_to_string(w[i:i + 4], ' ') AS s").replace(
+    "greatest(len(w), 2)", "greatest(len(w) - 3, 2)"
+).replace(", d.doc_id = component_id AS kept", "")
 
 OP10_SQL = """
 WITH RECURSIVE rows_ AS (
@@ -219,8 +229,8 @@ QUALIFY rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ads_search, op2_toxicity, op4_attention_lm, op8_language_id, op3_token_codes, op5_line_dedup, op6_minmax_dedup, op7_secret_scan, op9_decontamination, op10_mixing, op12_repair_runs, op13_hard_negatives, pipeline)}
+    return {f.__name__: f for f in (op1_ads_search, op2_toxicity, op4_attention_lm, op8_language_id, op3_token_codes, op5_line_dedup, op6_minmax_dedup, op7_secret_scan, op9_decontamination, op10_mixing, op11_ngram_join, op12_repair_runs, op13_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op6_minmax_dedup": OP6_SQL, "op10_mixing": OP10_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_minmax_dedup": OP6_SQL, "op10_mixing": OP10_SQL, "op11_ngram_join": OP11_SQL, "op13_hard_negatives": OP13_SQL}
