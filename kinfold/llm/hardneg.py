@@ -43,47 +43,59 @@ class Lists:
         # In order of the ids, so that a smaller place wins ties.
         order = np.lexsort((rows, ids))
         self.rows, self.ids, self.labels, self.x = rows[order], ids[order], labels[order], x[order]
-        self.lists = np.argsort(self.x, axis=0, kind="stable")
+        self.lists = np.ascontiguousarray(np.argsort(self.x, axis=0, kind="stable").T)
+        self.values = np.take_along_axis(self.x.T, self.lists, 1)
         self.largest = int(np.abs(self.x).max(initial=0))
+        self.real = self.x.astype(np.float64) if self.largest < EXACT else None
 
     def _scores(self, at: np.ndarray, anchor: np.ndarray, small: bool) -> np.ndarray:
         if small:
-            return (self.x[at].astype(np.float64) @ anchor.astype(np.float64)).astype(np.int64)
+            return (self.real[at] @ anchor.astype(np.float64)).astype(np.int64)
         return np.array([sum(int(p) * int(q) for p, q in zip(row, anchor, strict=True)) for row in self.x[at]], dtype=object)
 
     def best(self, row: int, anchor: np.ndarray, label: int, windows: list[int | None], want: Wanted) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each window's score the places of the best rows and their scores; None is no limit."""
-        n, used = len(self.rows), np.flatnonzero(anchor)
+        n, up, down = len(self.rows), np.flatnonzero(anchor > 0), np.flatnonzero(anchor < 0)
         small = self.largest * int(np.abs(anchor).max(initial=0)) * max(1, len(anchor)) < EXACT and all(at is None or abs(at) < EXACT for at in windows)
-        weight, up = [int(a) for a in anchor[used]], anchor[used] > 0
         fits = (self.labels == label) if want.same else (self.labels != label)
         fits = fits & (self.rows != row)
         met, scores = np.zeros(n, bool), np.zeros(n, np.int64 if small else object)
-        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(windows)
         open_, depth = list(range(len(windows))), 0
         while open_ and depth < n:
             to = min(n, max(STEP, 2 * depth))
-            part = np.where(up[None, :], self.lists[n - to : n - depth, used][::-1], self.lists[depth:to, used])
             new = np.zeros(n, bool)
-            new[part.ravel() if len(used) else slice(None)] = True
+            new[self.lists[up, n - to : n - depth].ravel()] = True
+            new[self.lists[down, depth:to].ravel()] = True
+            if not len(up) and not len(down):
+                new[:] = True
             new &= ~met
             met |= new
             at = np.flatnonzero(new & fits)
             scores[at] = self._scores(at, anchor, small)
-            depth = to if len(used) else n
-            last = self.x[part[-1], used] if len(used) else []
-            threshold = sum(w * int(v) for w, v in zip(weight, last, strict=True))
-            ready = np.flatnonzero(met & fits)
-            order = ready[np.argsort(-scores[ready], kind="stable")]
-            for w in list(open_):
-                at, s, mine = windows[w], scores[order], order
-                if at is not None:
-                    mine = order[((100 * s >= want.low * at) & (100 * s <= want.high * at)).astype(bool)]
-                mine = mine[: want.k]
-                found[w] = (mine, scores[mine])
-                if (len(mine) == want.k and threshold < int(scores[mine[-1]])) or (at is not None and 100 * threshold < want.low * at):
-                    open_.remove(w)
-        return found
+            if met.all():
+                break
+            depth = to
+            last = np.concatenate((self.values[up, n - to], self.values[down, to - 1]))
+            threshold = sum(int(w) * int(v) for w, v in zip(np.concatenate((anchor[up], anchor[down])), last, strict=True))
+            open_ = [w for w in open_ if not self._done(scores, met & fits, threshold, windows[w], want)]
+        seen = np.flatnonzero(met & fits)
+        seen = seen[np.argsort(-scores[seen], kind="stable")]
+        return [(mine, scores[mine]) for w in windows for mine in (seen[self._inside(scores[seen], w, want)][: want.k],)]
+
+    @staticmethod
+    def _inside(s: np.ndarray, at: int | None, want: Wanted) -> np.ndarray:
+        return np.ones(len(s), bool) if at is None else ((100 * s >= want.low * at) & (100 * s <= want.high * at)).astype(bool)
+
+    def _done(self, scores: np.ndarray, seen: np.ndarray, threshold: int, at: int | None, want: Wanted) -> bool:
+        """Can no row not met come among the window's best?"""
+        if at is not None and 100 * threshold < want.low * at:
+            return True
+        # No score of the window is over its upper end.
+        if at is not None and 100 * threshold >= want.high * at:
+            return False
+        s = scores[seen]
+        s = s[self._inside(s, at, want)]
+        return len(s) >= want.k and threshold < int(np.partition(s, len(s) - want.k)[len(s) - want.k])
 
 
 def valid(vectors: DataFrame, column: str, label: Column, asked: Column, scale: int) -> DataFrame:
