@@ -4,10 +4,11 @@ Sets of sizes n and m have a Jaccard similarity of ``percent`` hundredths only i
 A set is searched in inverted lists, one a shingle: of its own lists the L < T longest are left out, the short ones are merged by a heap, and a
 document found in at least T - L of them is looked up in the long ones by binary search until T is reached or out of reach.
 
-Over a cluster the longest lists are left out at once: with L = T - 1 any partner lies in one of the short lists, so a document posts only the n - T + 1 shingles that
+Over a cluster the longest lists are left out at once: with L = T - k any partner lies in k = ``SHARED`` of the short lists, so a document posts only the n - T + k shingles that
 come first in one order of all shingles, the frequent ones last.  (Every order gives the same links.  Frequent are those seen in several documents of a
 chunk, counted over all chunks; at most ``FREQUENT`` of them are known to all tasks, the cut is made by a histogram.)
-Documents that meet in a short list, directly or through others, form a group; there are few of them, and most are small.  Groups are dealt
+A list of at most ``SMALL`` documents gives its few pairs, which go on if they meet in k lists; in a longer list all stand beside its first document.  A pair that shares k lists either
+shares a longer one or has k small ones, so none is lost.  Documents that meet so, directly or through others, form a group; there are few of them, and most are small.  Groups are dealt
 over packs of about ``PACK`` shingles, and a pack is searched with its own inverted lists, where the lengths of lists are exact.  A document looks only
 for links to components it isn't in yet, so copies never give all their pairs.
 
@@ -33,6 +34,8 @@ from kinfold.llm.common import prepare, stored, text_chunks
 from kinfold.llm.minmax import shingle_hashes
 from kinfold.operators.graphs import components
 
+#: Short lists that a pair must share, and the documents of a list whose pairs are counted.
+SHARED, SMALL = 6, 8
 #: Shingles in a pack, frequent shingles that all tasks know, and how heavily the merged lists weigh against the probed ones.
 PACK, FREQUENT, MU = 1_000_000, 1 << 18, 0.01
 #: Bytes of text hashed at once.
@@ -81,7 +84,7 @@ def required(n: int, percent: int) -> int:
 
 
 def postings(texts: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, shingle``: the short lists that each document is in, those of its first n - T + 1 shingles, frequent ones last."""
+    """``doc_id, shingle``: the short lists that each document is in, those of its first n - T + k shingles, frequent ones last; k is ``SHARED``, or T where that is less."""
     told = texts.sparkSession.sparkContext.broadcast(known)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +102,8 @@ def postings(texts: DataFrame, width: int, percent: int, known: tuple[np.ndarray
             for d in np.unique(owner[hot]).tolist():
                 a, z = int(np.searchsorted(owner, d)), int(np.searchsorted(owner, d, side="right"))
                 order[a:z] = a + np.argsort(weight[a:z], kind="stable")
-            short = n - (percent * n + 99) // 100 + (n > 0)
+            least = (percent * n + 99) // 100
+            short = n - least + np.minimum(SHARED, least)
             first = np.cumsum(n) - n
             take = order[np.repeat(first - (np.cumsum(short) - short), short) + np.arange(int(short.sum()))]
             ids = some.column(0).take(pa.array(np.repeat(np.arange(len(n)), short)))
@@ -248,17 +252,31 @@ def searched(rows: DataFrame, keys: list[str], width: int, percent: int) -> Data
     return dealt.groupBy(*keys).applyInPandas(search, "id1 bigint, id2 bigint")
 
 
-def _groups(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lists with two or more documents as (shingle, doc_id), and (doc_id, grp) of the documents that meet in them."""
-    heads = posted.groupBy("shingle").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").select("shingle", "head")
-    lists = stored(posted.join(heads, "shingle"), "lists")
-    met = components(lists.where("doc_id <> head").select(F.col("head").alias("id1"), F.col("doc_id").alias("id2")).distinct())
-    return lists.select("shingle", "doc_id"), met.select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
+def _groups(posted: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The lists with two or more documents as (shingle, doc_id), and (doc_id, grp) of the documents that meet in enough of them."""
+    seen = posted.groupBy("shingle").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail"), F.count(F.lit(1)).alias("df"))
+    seen = stored(seen.where("head < tail"), "seen")
+    # The two of a list of two are known from its ends.
+    two = seen.where("df = 2").select("shingle", F.explode(F.array("head", "tail")).alias("doc_id"))
+    more = stored(posted.join(seen.where("df > 2"), "shingle"), "lists")
+    small = more.where(F.col("df") <= SMALL)
+    one, other = small.select("shingle", F.col("doc_id").alias("id1")), small.select("shingle", F.col("doc_id").alias("id2"))
+    pairs = one.join(other, "shingle").where("id1 < id2").select("id1", "id2").unionAll(seen.where("df = 2").select("head", "tail"))
+    pairs = pairs.groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("both"))
+    # Sets of few shingles share fewer.
+    least = F.ceil(F.lit(percent) * F.col("least") / 100).cast("int")
+    few = stored(sizes.where(least < SHARED).select("doc_id", least.alias("k")), "few")
+    side = lambda i: few.select(F.col("doc_id").alias(f"id{i}"), F.col("k").alias(f"k{i}"))
+    enough = F.least(F.lit(SHARED), "k1", "k2")
+    pairs = pairs.join(side(1), "id1", "left").join(side(2), "id2", "left").where(F.col("both") >= enough).select("id1", "id2")
+    stars = more.where((F.col("df") > SMALL) & (F.col("doc_id") != F.col("head"))).select(F.col("head").alias("id1"), F.col("doc_id").alias("id2")).distinct()
+    met = components(pairs.unionAll(stars))
+    return more.select("shingle", "doc_id").unionAll(two), met.select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
 
 
 def links(texts: DataFrame, sizes: DataFrame, posted: DataFrame, width: int, percent: int, pack: int = PACK) -> DataFrame:
-    """(id1, id2) whose components are those of all similar pairs; texts (doc_id, text), sizes (doc_id, n), posted as ``postings`` gives it."""
-    lists, met = _groups(posted)
+    """(id1, id2) whose components are those of all similar pairs; texts (doc_id, text), sizes (doc_id, n, least: of one row), posted as ``postings`` gives it."""
+    lists, met = _groups(posted, sizes, percent)
     met = stored(met.join(sizes, "doc_id"), "met")
     total = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     packs = max(1, -(-total // pack))
@@ -280,7 +298,7 @@ def links(texts: DataFrame, sizes: DataFrame, posted: DataFrame, width: int, per
         return rows.join(found, rows["doc_id"] == found["node"], "left").select(rows["*"], F.coalesce("component", "doc_id").alias("comp"))
 
     own = stored(with_comp(done, own), "own")
-    firsts = own.groupBy("grp", "piece", "comp").agg(F.min("doc_id").alias("doc_id"))
+    firsts = own.groupBy("grp", "piece", "comp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
     firsts = stored(firsts, "firsts")
     # In shares of about as many documents as a piece has.
     shares = own.groupBy("grp").agg((F.count(F.lit(1)) / F.max("pieces")).alias("held")).join(firsts.groupBy("grp").agg(F.count(F.lit(1)).alias("many")), "grp")
@@ -328,7 +346,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, pack: int =
     heads = reps.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     posted = stored(postings(texts.join(heads, "doc_id", "left_semi"), width, percent, frequent(prints, most)), "postings")
-    sizes = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n").alias("n"))
+    sizes = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n").alias("n"), F.min("n").alias("least"))
     found = links(texts, sizes, posted, width, percent, pack)
     same = some.join(reps, ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("id1"), F.col("doc_id").alias("id2"))
     final = components(found.union(same))
