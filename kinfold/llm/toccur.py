@@ -6,7 +6,7 @@ document found in at least T - L of them is looked up in the long ones by binary
 
 Over a cluster the longest lists are left out at once: with L = T - k any partner lies in k = ``SHARED`` of the short lists, so a document posts only the n - T + k shingles that
 come first in one order of all shingles, the frequent ones last.  (Every order gives the same links.  Frequent are those seen in several documents of a
-chunk, counted over all chunks; at most ``FREQUENT`` of them are known to all tasks, the cut is made by a histogram.)
+chunk, counted over all chunks, of which at most ``FREQUENT`` are known to all tasks, the cut being made by a histogram; and those whose short list turns out longer than ``SMALL``.)
 A list of at most ``SMALL`` documents gives its few pairs, which go on if they meet in k lists; in a longer list all stand beside its first document.  A pair that shares k lists either
 shares a longer one or has k small ones, so none is lost.  Documents that meet so, directly or through others, form a group; there are few of them, and most are small.  Groups are dealt
 over packs of about ``PACK`` shingles, and a pack is searched with its own inverted lists, where the lengths of lists are exact.  A document looks only
@@ -83,34 +83,54 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def postings(texts: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, shingle``: the short lists that each document is in, those of its first n - T + k shingles, frequent ones last; k is ``SHARED``, or T where that is less."""
+def postings(texts: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray], every: bool = False) -> DataFrame:
+    """``doc_id, shingle``: the short lists that each document is in, those of its first n - T + k shingles; k is ``SHARED``, or T where that is less.
+
+    In the order of all shingles those in the column ``long`` (bigints, may be absent) come last, before them the ``known`` ones by their count.  With ``every`` all shingles are given.
+    """
     told = texts.sparkSession.sparkContext.broadcast(known)
+    columns = ["doc_id", "text", *(["long"] if "long" in texts.columns else [])]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, df = told.value
         for some in text_chunks(batches, 1, CHUNK_BYTES):
             shingles, n = shingle_hashes(some.column(1), width)
-            owner = np.repeat(np.arange(len(n)), n)
+            first, least = np.cumsum(n) - n, (percent * n + 99) // 100
+            short = n - least + np.minimum(SHARED, least) if not every else n
             weight = np.zeros(len(shingles), np.int64)
             if len(often):
                 at = np.minimum(np.searchsorted(often, shingles), len(often) - 1)
                 weight = np.where(often[at] == shingles, df[at], 0)
+            if some.num_columns > 2:
+                for d, long in enumerate(some.column(2).to_pylist()):
+                    mine = shingles[first[d] : first[d] + n[d]]
+                    weight[first[d] : first[d] + n[d]][np.isin(mine, np.array(long or [], np.int64).view(np.uint64))] += 1 << 40
             # Within a document the hashes are in order, and so they stay where counts are equal.
-            hot = np.flatnonzero(weight)
             order = np.arange(len(shingles))
-            for d in np.unique(owner[hot]).tolist():
-                a, z = int(np.searchsorted(owner, d)), int(np.searchsorted(owner, d, side="right"))
-                order[a:z] = a + np.argsort(weight[a:z], kind="stable")
-            least = (percent * n + 99) // 100
-            short = n - least + np.minimum(SHARED, least)
-            first = np.cumsum(n) - n
+            if not every:
+                for d in np.unique(np.repeat(np.arange(len(n)), n)[np.flatnonzero(weight)]).tolist():
+                    order[first[d] : first[d] + n[d]] = first[d] + np.argsort(weight[first[d] : first[d] + n[d]], kind="stable")
             take = order[np.repeat(first - (np.cumsum(short) - short), short) + np.arange(int(short.sum()))]
             ids = some.column(0).take(pa.array(np.repeat(np.arange(len(n)), short)))
             for lo in range(0, len(take), 200_000):
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, 200_000), pa.array(shingles[take[lo : lo + 200_000]].view(np.int64))], ["doc_id", "shingle"])
 
-    return texts.mapInArrow(make, "doc_id bigint, shingle bigint")
+    return texts.select(*columns).mapInArrow(make, "doc_id bigint, shingle bigint")
+
+
+def short_lists(texts: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``postings`` in the order that puts the longest lists last: after a first round those of more than ``SMALL`` documents are left out wherever a document has others.
+
+    Only documents that are in such a list change: the long ones among all their shingles are looked up by a join.  Any other has its long shingles, if it has some, behind
+    those it posted anyway, so the order is one for all.
+    """
+    posted = stored(postings(texts, width, percent, known), "postings")
+    long = stored(posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > SMALL).select("shingle"), "long")
+    those = stored(posted.join(long, "shingle", "left_semi").select("doc_id").distinct(), "affected")
+    rest = texts.join(those, "doc_id", "left_semi")
+    held = postings(rest, width, percent, known, every=True).join(long, "shingle", "left_semi").groupBy("doc_id").agg(F.collect_set("shingle").alias("long"))
+    again = postings(rest.join(held, "doc_id"), width, percent, known)
+    return stored(posted.join(those, "doc_id", "left_anti").unionAll(again), "postings")
 
 
 class Pack:
@@ -345,7 +365,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, pack: int =
     reps = stored(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "representatives")
     heads = reps.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    posted = stored(postings(texts.join(heads, "doc_id", "left_semi"), width, percent, frequent(prints, most)), "postings")
+    posted = short_lists(texts.join(heads, "doc_id", "left_semi"), width, percent, frequent(prints, most))
     sizes = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n").alias("n"), F.min("n").alias("least"))
     found = links(texts, sizes, posted, width, percent, pack)
     same = some.join(reps, ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("id1"), F.col("doc_id").alias("id2"))
