@@ -6,7 +6,7 @@ Forward-backward gives each word's language probabilities; a document's are the
 words with a letter.
 
 Training uses spans of labelled documents put one after another, so that the switches are seen too.
-It takes at most ``TRAIN_DOCS`` documents a language, those with the smallest hashes of doc_id, of at most ``MAX_LANGS`` languages, the most frequent,
+It takes at most ``TRAIN_DOCS`` documents a language, those with the smallest hashes of doc_id, of every language,
 and ``SEQUENCES`` spliced sequences.  A language's lexicon are its training words that hardly occur in the other languages' documents.
 Scoring covers whole texts.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import doc_bucket, prepare, text_chunks, word_numbers
 
 BUCKETS = 1 << 15
-TRAIN_DOCS, MAX_LANGS = 300, 256
+TRAIN_DOCS = 300
 SEQUENCES, LENGTH, BATCH, EPOCHS = 1600, 48, 64, 3
 SPAN = (4, 40)
 CHUNK_BYTES, KNOWN_WORDS = 3_000_000, 300_000
@@ -227,13 +227,12 @@ def fit(langs: list[str], texts: list[list[list[str]]], seed: int = 3) -> Field:
 def train(docs: DataFrame, per_lang: int = TRAIN_DOCS, modulus: int = 4, left_out: int = 2) -> Field:
     """A field from the rows with a non-null lang and text whose crc32 bucket of doc_id isn't ``left_out``.
 
-    Languages are the distinct labels, at most ``MAX_LANGS``.  Texts without words teach nothing; of rows that share doc_id and lang one teaches.
+    Languages are the distinct labels, all of them.  Texts without words teach nothing; of rows that share doc_id and lang one teaches.
     """
     rows = docs.where((doc_bucket("doc_id", modulus) != left_out) & F.col("lang").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", "lang", "text")
-    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
     # Ids first, without texts, then the texts of at most per_lang ids a language.
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.where(F.col("lang").isin(names)).select("lang", "doc_id").distinct().withColumn("nth", nth).where(F.col("nth") <= per_lang).drop("nth")
+    ids = rows.select("lang", "doc_id").distinct().withColumn("nth", nth).where(F.col("nth") <= per_lang).drop("nth")
     found = rows.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r.lang, r.doc_id)):

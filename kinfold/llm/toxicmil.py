@@ -25,6 +25,22 @@ TRAIN_DOCS = 2500
 MIN_DOCS, ROUNDS, RATE, SHRINK = 4, 150, 0.15, 2e-4
 PIECE = re.compile(r"[^\W_]+|[.!?\n]")
 STOPS = frozenset(".!?\n")
+#: Words remembered with their weight.
+KNOWN_WORDS = 200_000
+
+
+class _Weights(dict):
+    """Weights by the words as they stand; those not met yet are looked up lower-cased."""
+
+    def __init__(self, lower: dict[str, float]):
+        super().__init__()
+        self.lower = lower
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = self.lower.get(word.lower(), 0.0)
+        return found
 
 
 class Sentences:
@@ -32,39 +48,48 @@ class Sentences:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
+        self.known = _Weights(weights)
 
-    def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
-        """(start, end, probability) of each sentence, places in code points."""
-        out, start, total, last = [], None, 0.0, 0
+    def __reduce__(self):
+        return Sentences, (self.weights, self.bias)
+
+    def cut(self, text: str | None) -> list[tuple[int, int, float]]:
+        """(start, end, sum of weights and bias) of each sentence, places in code points; a sentence has a word at least."""
+        out, start, total, last, known = [], None, self.bias, 0, self.known
         for m in PIECE.finditer(text or ""):
-            if m.group() in STOPS:
+            piece = m.group()
+            if piece in STOPS:
                 if start is not None:
                     out.append((start, m.end(), total))
-                start, total = None, 0.0
+                start, total = None, self.bias
             else:
                 start, last = m.start() if start is None else start, m.end()
-                total += self.weights.get(m.group().lower(), 0.0)
+                total += known[piece]
         if start is not None:
             out.append((start, last, total))
-        return [(a, b, float(1 / (1 + np.exp(-self.bias - z)))) for a, b, z in out]
+        return out
+
+    def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
+        """(start, end, probability) of each sentence."""
+        return [(a, b, probability(z)) for a, b, z in self.cut(text)]
 
     def score(self, text: str | None) -> float:
         """Noisy-or of the sentences; a text without words scores 0."""
-        get, totals, total, any_word = self.weights.get, [], 0.0, False
-        for piece in PIECE.findall((text or "").lower()):
-            if piece in STOPS:
-                if any_word:
-                    totals.append(total)
-                total, any_word = 0.0, False
-            else:
-                total += get(piece, 0.0)
-                any_word = True
-        if any_word:
-            totals.append(total)
-        if not totals:
-            return 0.0
-        z = np.array(totals) + self.bias
-        return float(-np.expm1(-np.logaddexp(0.0, z).sum()))
+        return noisy_or(self.cut(text))
+
+
+def probability(z: float) -> float:
+    return float(1 / (1 + np.exp(-z)))
+
+
+def noisy_or(cut: list[tuple[int, int, float]]) -> float:
+    """1 - prod(1 - p) over sentences as ``cut`` gives them."""
+    return float(-np.expm1(-np.logaddexp(0.0, [z for _, _, z in cut]).sum())) if cut else 0.0
+
+
+def words_in(text: str) -> list[str]:
+    """Words, lower-cased once they are cut, and stops, as ``Sentences.cut`` takes them."""
+    return [p if p in STOPS else p.lower() for p in PIECE.findall(text)]
 
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Sentences:
@@ -72,7 +97,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Sentences:
     bags, owner = [], []
     for n, text in enumerate(texts):
         held: list[str] = []
-        for piece in [*PIECE.findall(text.lower()), "."]:
+        for piece in [*words_in(text), "."]:
             if piece not in STOPS:
                 held.append(piece)
             elif held:
@@ -82,7 +107,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Sentences:
     if not bags or labels.min() == labels.max():
         share = float(np.average(labels, weights=weights)) if len(labels) else 0.0
         return Sentences({}, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))) if share < 1 else 10.0)
-    seen = Counter(w for n in range(len(texts)) for w in set(PIECE.findall(texts[n].lower())))
+    seen = Counter(w for n in range(len(texts)) for w in set(words_in(texts[n])))
     vocab = {w: k for k, w in enumerate(sorted(w for w, c in seen.items() if c >= MIN_DOCS and w not in STOPS))}
     rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     cols = np.array([vocab.get(w, -1) for b in bags for w in b])
@@ -146,9 +171,11 @@ def score(docs: DataFrame, model: Sentences, locate: float | None = None) -> Dat
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            extra = [pa.array([shared.value.score(t.as_py()) for t in batch.column(text)], pa.float64())]
+            # One cut of each text gives its score and its sentences.
+            cuts = [shared.value.cut(t.as_py()) for t in batch.column(text)]
+            extra = [pa.array([noisy_or(c) for c in cuts], pa.float64())]
             if locate is not None:
-                found = [[dict(zip(("start", "end", "score"), s, strict=True)) for s in shared.value.sentences(t.as_py()) if s[2] >= locate] for t in batch.column(text)]
+                found = [[{"start": a, "end": b, "score": p} for a, b, z in c if (p := probability(z)) >= locate] for c in cuts]
                 extra.append(pa.array(found, pa.list_(span)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "score", "offending"][: len(names) + len(extra)])
 

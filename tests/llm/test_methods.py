@@ -385,6 +385,11 @@ def test_sentences_are_located():
     text = "All is well. You scum! Fine"
     found = [text[a:b] for a, b, p in model.sentences(text) if p > 0.5]
     assert found == ["You scum!"] and model.score(text) > 0.9 and model.score("All is well.") < 0.1
+    # Letters whose lower case is longer are cut as they stand, for the score as for the sentences.
+    model = toxicmil.Sentences({"scum": 9.0, "i̇stanbul": 9.0}, -5.0)
+    for odd in ("İstanbul", "x İstanbul. ISTANBUL!", text):
+        assert abs(model.score(odd) - (1 - np.prod([1 - p for _, _, p in model.sentences(odd)]))) < 1e-9
+    assert model.score("İstanbul") > 0.9
     parts = [p for _, _, p in model.sentences(text)]
     assert abs(model.score(text) - (1 - np.prod([1 - p for p in parts]))) < 1e-9
 
@@ -492,7 +497,7 @@ def test_attention_gradient():
 
 
 def test_language_model_against_brute_force(spark):
-    """The base by its formula; the model beats it on unseen texts, and beats itself without attention."""
+    """The base by its formula; the model beats it on unseen texts, and beats itself trained without attention."""
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: common.words_of(r.text) + [b""] for r in common.table(spark, sf, "documents").collect()}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
@@ -510,6 +515,10 @@ def test_language_model_against_brute_force(spark):
         assert abs(r.base_score - sum(np.log10((count.get(w, 0) + 1) / (total + len(count) + 1)) for w in ws)) < 1e-6 * len(ws)
     unseen = [r for r in rows.values() if r.held_out]
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
+    docs = common.table(spark, sf, "documents")
+    blind = {r.doc_id: r.score for r in attnlm.score_texts(docs, common.doc_bucket("doc_id", 7) != 2, queries._tokenizer(), attends=False).collect()}
+    tokens = sum(r.n_tokens for r in unseen)
+    assert (sum(r.score for r in unseen) - sum(blind[r.doc_id] for r in unseen)) / tokens > 0.005
 
 
 def test_pipeline_stages_follow_their_operators(spark):
