@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.canonical import one_a_pair
 from kinfold.operators.graphs import components, two_colour
 from kinfold.operators.pairs import coparent_check
 from kinfold.plans.lineage import stored
@@ -41,13 +42,13 @@ def _turned(po: DataFrame, rulings: DataFrame) -> DataFrame:
 
 
 def orient_by_unrelated(po: DataFrame, king: DataFrame) -> DataFrame:
-    """someone's first two partners, by id, that are 4th degree or unrelated to each other are the parents; the other partners are children.
+    """someone's first two partners, by id, that are 4th degree or unrelated to each other are the parents; the other partners are children.  Kinship may name a pair in any order.
 
     Only near pairs of kinship are rows: a person's partners in order, less those near to the first, then to the next, leave the first far pair.
     """
     partners = _partners(po)
     # Near pairs among someone's partners: each kinship row meets the people it is a partner of on one side and is kept if the other side is one too.
-    near = king.where(~F.col("inftype").isin(*FAR)).select("id1", "id2")
+    near = one_a_pair(king.where(~F.col("inftype").isin(*FAR)).select("id1", "id2"))
     one = partners.select("iid", F.col("partner").alias("id1"))
     close = near.join(one, "id1").join(partners.select("iid", F.col("partner").alias("id2")), ["iid", "id2"], "left_semi")
     blocked = close.groupBy("iid", F.col("id1").alias("partner")).agg(F.collect_set("id2").alias("near"))

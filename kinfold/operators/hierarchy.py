@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = "relatives"
@@ -65,35 +65,65 @@ def cascade(probs: DataFrame, tree: DataFrame) -> DataFrame:
 
     NaN and null count as 0 in the sum; a zero sum leaves its nodes at 0.  A node whose parent has no row gets null.
     """
-    small = F.broadcast(tree.select("node", "parent", "depth"))  # the tree
+    return unpacked(cascaded(probs, tree), tree)
+
+
+def _ordered(tree: DataFrame) -> list[Row]:
+    """The tree's nodes in order of their depth; they are the columns' numbers."""
+    return sorted(tree.collect(), key=lambda r: (r.depth, r.node))  # a few dozen
+
+
+def cascaded(probs: DataFrame, tree: DataFrame) -> DataFrame:
+    """K9: a row a pair; ``con`` and ``p`` have a field ``n0, n1, ...`` for each node of the tree in order of its depth, null where a node isn't given.
+
+    One aggregate puts a pair's nodes side by side.  The tree is folded level by level: each is one projection on the products made so far,
+    so nothing is exploded, sorted or shuffled again, and every step is compiled.
+    """
+    nodes, below = _ordered(tree), {}
+    number = {r.node: k for k, r in enumerate(nodes)}
+    for r in nodes:
+        below.setdefault(r.parent, []).append(number[r.node])
     value = F.when(F.col("p_con").isNull() | F.isnan("p_con"), 0.0).otherwise(F.col("p_con"))
-    rows = probs.join(small, "node").withColumn("p_con", value)
-    share = F.coalesce(F.try_divide("p_con", F.sum("p_con").over(Window.partitionBy(*PAIR, "parent"))), F.lit(0.0))
-    rows = rows.withColumn("share", share)
-    # All nodes of a pair are at most the tree, so a pair's shares are one small map and the product runs along the path.
-    maps = rows.groupBy(*PAIR).agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("share", "parent", "p_con")))).alias("m"))
-    node, parent = F.col("node"), lambda c: F.try_element_at("m", c)["parent"]
-    p, at = F.lit(1.0), node
-    for _ in range(tree.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]):
-        p = p * F.when(at == ROOT, F.lit(1.0)).otherwise(F.try_element_at("m", at)["share"])
-        at = F.when(at == ROOT, at).otherwise(parent(at))
-    return maps.select(*PAIR, "m", F.explode(F.map_keys("m")).alias("node")).select(*PAIR, "node", F.try_element_at("m", node)["p_con"].alias("p_con"), p.alias("p"))
-
-
-def most_probable(probs: DataFrame, tree: DataFrame, min_p: float = 0.5) -> DataFrame:
-    """``most_probable, probability, degree`` per pair.
-
-    The best degree; if its p reaches ``min_p``, the best node of its lowest level where some p exceeds ``min_p``.  Ties go to the first name.
-    Where no p exceeds ``min_p``, the degree itself.
+    wide = probs.groupBy(*PAIR).agg(*(F.max(F.when(F.col("node") == r.node, value)).alias(f"c{k}") for k, r in enumerate(nodes)))
+    total = lambda parent: sum((F.coalesce(f"c{k}", F.lit(0.0)) for k in below[parent]), F.lit(0.0))
+    for depth in sorted({r.depth for r in nodes}):
+        level = [r for r in nodes if r.depth == depth]
+        wide = wide.withColumns({f"t{number[r.node]}": total(r.parent) for r in level if number[r.node] == below[r.parent][0]})
+        share = lambda r: F.when(F.col(f"c{number[r.node]}").isNotNull(), F.coalesce(F.try_divide(f"c{number[r.node]}", f"t{below[r.parent][0]}"), F.lit(0.0)))
+        above = lambda r: F.lit(1.0) if r.parent == ROOT else F.col(f"p{number[r.parent]}")
+        wide = wide.withColumns({f"p{number[r.node]}": share(r) * above(r) for r in level})
+    fields = lambda c: F.struct(*(F.col(f"{c}{k}").alias(f"n{k}") for k in range(len(nodes))))
+    return wide.select(*PAIR, fields("c").alias("con"), fields("p").alias("p"))
+
+
+def unpacked(packed: DataFrame, tree: DataFrame) -> DataFrame:
+    """``id1, id2, node, p_con, p``: a row for each node of ``cascaded`` that is given."""
+    rows = [F.when(F.col(f"con.n{k}").isNotNull(), F.struct(F.lit(r.node).alias("node"), F.col(f"con.n{k}").alias("p_con"), F.col(f"p.n{k}").alias("p"))) for k, r in enumerate(_ordered(tree))]
+    return packed.select(*PAIR, F.inline(F.array_compact(F.array(*rows))))
+
+
+def most_probable(probs: DataFrame, tree: DataFrame, min_p: float = 0.5, digits: int | None = None) -> DataFrame:
+    """``most_probable, probability, degree`` per pair, from rows of ``cascade`` or from ``cascaded``, where the best is picked in the row.
+
+    The best degree; if its p reaches ``min_p``, the best node of its lowest level where some p exceeds ``min_p``.  Ties go to the first name, with ``digits`` those
+    of p rounded to so many.  Where no p exceeds ``min_p``, the degree itself; a pair without any p has no row.
     """
-    small = F.broadcast(tree.select("node", "degree", "depth", "level"))  # the tree
-    rows = probs.where("p is not null").join(small, "node")
-    best = Window.partitionBy(*PAIR).orderBy((F.col("depth") == 1).desc(), F.desc("p"), "node")
-    rows = rows.withColumns({"top": F.first("node").over(best), "top_p": F.first("p").over(best)})
-    fits = (F.col("degree") == F.col("top")) & (F.col("p") > min_p) & (F.col("top_p") >= min_p)
-    fallback = (F.col("node") == F.col("top")).cast("int")
-    pick = Window.partitionBy(*PAIR).orderBy(fits.desc(), F.when(fits, F.col("level")), F.when(fits, -F.col("p")), F.desc(fallback), "node")
-    return rows.withColumn("nth", F.row_number().over(pick)).where("nth = 1").select(*PAIR, F.col("node").alias("most_probable"), F.col("p").alias("probability"), F.col("top").alias("degree"))
+    nodes = _ordered(tree)
+    if "con" not in probs.columns:
+        wide = probs.groupBy(*PAIR).agg(*(F.max(F.when(F.col("node") == r.node, F.col("p"))).alias(f"p{k}") for k, r in enumerate(nodes)))
+    else:
+        wide = probs.select(*PAIR, *(F.col(f"p.n{k}").alias(f"p{k}") for k in range(len(nodes))))
+    if digits is not None:
+        wide = wide.select(*PAIR, *(F.round(f"p{k}", digits).alias(f"p{k}") for k in range(len(nodes))))
+    # The least of such structs has the largest p and then the first name.
+    best = lambda some: F.least(*some) if len(some) > 1 else some[0]
+    p = lambda k: F.col(f"p{k}")
+    tops = [F.when(p(k).isNotNull(), F.struct((-p(k)).alias("low"), F.lit(r.node).alias("node"))) for k, r in enumerate(nodes) if r.depth == 1]
+    wide = wide.withColumn("top", best(tops)).where("top is not null")
+    wide = wide.withColumns({"degree": F.col("top.node"), "top_p": -F.col("top.low")})
+    fits = lambda k, r: F.when((p(k) > min_p) & (F.col("degree") == r.degree), F.struct(F.lit(r.level).alias("level"), (-p(k)).alias("low"), F.lit(r.node).alias("node")))
+    wide = wide.withColumn("found", F.when(F.col("top_p") >= min_p, best([fits(k, r) for k, r in enumerate(nodes)])))
+    return wide.select(*PAIR, F.coalesce("found.node", "degree").alias("most_probable"), F.coalesce(-F.col("found.low"), F.col("top_p")).alias("probability"), "degree")
 
 
 def most_likely_among(probs: DataFrame, nodes: list[str]) -> DataFrame:

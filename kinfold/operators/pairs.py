@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.operators.canonical import match, one_a_pair
+
 #: Degrees from the most distant to the closest.
 DEGREES = ("5th", "4th", "3rd", "2nd", "FS", "PO")
 
@@ -32,7 +34,7 @@ def children(fam: DataFrame) -> DataFrame:
 
 
 def twins(king: DataFrame) -> DataFrame:
-    """Second members of Dup/MZ pairs."""
+    """Second members of Dup/MZ pairs, second as the rows name them."""
     return king.where("inftype = 'Dup/MZ'").select(F.col("id2").alias("iid")).distinct()
 
 
@@ -59,12 +61,12 @@ def select_where(df: DataFrame, cond: Column | str, cols: Sequence[str] | None =
 
 
 def keep_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of the given pairs; no pairs keep nothing."""
-    return df.join(pairs.select("id1", "id2").distinct(), ["id1", "id2"], "left_semi")
+    """Rows of the given pairs, in whatever order either table names them; no pairs keep nothing."""
+    return match(df, pairs.select("id1", "id2"), "left_semi")
 
 
 def drop_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    return df.join(pairs.select("id1", "id2").distinct(), ["id1", "id2"], "left_anti")
+    return match(df, pairs.select("id1", "id2"), "left_anti")
 
 
 def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -82,16 +84,14 @@ def coverage(ibd1: str = "ibd1seg", ibd2: str = "ibd2seg") -> Column:
 
 
 def lookup_pairs(df: DataFrame, king: DataFrame, defaults: dict, a: str = "id1", b: str = "id2") -> DataFrame:
-    """Values of unordered pairs (a, b) from a table of canonical pairs, defaults where absent."""
-    names = list(defaults)
-    side = king.select(F.col("id1").alias("__k1"), F.col("id2").alias("__k2"), *names)
-    out = df.join(side, (F.least(a, b) == F.col("__k1")) & (F.greatest(a, b) == F.col("__k2")), "left").drop("__k1", "__k2")
+    """Values of pairs (a, b) from a table of pairs, both in any order, defaults where absent; a pair given twice counts once."""
+    out = match(df, one_a_pair(king.select("id1", "id2", *defaults)), "left", a, b)
     return out.withColumns({n: F.coalesce(n, F.lit(v)) for n, v in defaults.items()})
 
 
 def related_edges(king: DataFrame, cond: Column | str = "propibd > 0.1 or ibd2seg > 0.03") -> DataFrame:
-    """Pairs that count as related."""
-    return king.where(cond).select("id1", "id2")
+    """Pairs that count as related, each once."""
+    return one_a_pair(king.where(cond).select("id1", "id2"))
 
 
 def drop_exact_twins(ids: DataFrame, king: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def coparent_check(fam: DataFrame, king: DataFrame) -> DataFrame:
 
 def unrelated_counts(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """``iid, n_unrelated``: all others less the related partners; no pair of ids is ever formed."""
-    inside = keep_members(edges, ids)
+    inside = one_a_pair(keep_members(edges.select("id1", "id2"), ids).where("id1 <> id2"))
     degree = inside.select(F.explode(F.array("id1", "id2")).alias("iid")).groupBy("iid").agg(F.count(F.lit(1)).alias("k"))
     others = ids.agg((F.count(F.lit(1)) - 1).alias("others")).withColumn("one", F.lit(1))  # one row
     return ids.select("iid", F.lit(1).alias("one")).join(degree, "iid", "left").join(F.broadcast(others), "one").select("iid", (F.col("others") - F.coalesce("k", F.lit(0))).alias("n_unrelated"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators.pairs import lookup_pairs
@@ -50,37 +50,54 @@ def po_edges(fam: DataFrame) -> DataFrame:
     return fam.select(both).where("parent is not null and child is not null").distinct()
 
 
+def ancestor_lines(po: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``low, top, ids`` of all lines from a person up to an ancestor, through different people, by doubling.
+
+    Lines of 2^k + 1 to 2^(k+1) steps are one of just 2^k steps and one of at most 2^k on top, so each is made once and rounds follow the logarithm of the depth.
+    """
+    lines = stored(po.select(F.col("child").alias("low"), F.col("parent").alias("top"), F.array("child", "parent").alias("ids")).where("low <> top").distinct(), "lines")
+    out, far = [lines], 1
+    while (max_depth is None or far < max_depth) and not (full := lines.where(F.size("ids") == far + 1)).isEmpty():
+        every = out[0]
+        for more in out[1:]:
+            every = every.unionAll(more)
+        upper = every.select(F.col("low").alias("mid"), F.col("top").alias("end"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("more"))
+        fresh = ~F.arrays_overlap("ids", "more")
+        joined = full.join(upper, full["top"] == upper["mid"]).where(fresh).select("low", F.col("end").alias("top"), F.concat("ids", "more").alias("ids"))
+        lines = stored(joined if max_depth is None else joined.where(F.size("ids") <= max_depth + 1), "lines")
+        out.append(lines)
+        far *= 2
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionAll(more)
+    return every
+
+
 def pedigree_paths(po: DataFrame, max_depth: int | None = None) -> DataFrame:
     """K1: ``focal, id2, first_parent, ids, dirs, open`` for all paths of at least one step up, then only down.
 
-    A path never enters a person twice, so the rounds end; every prefix is a path.  Each round extends the newest paths by one
-    equi-join up and one down until none goes on.  With ``max_depth`` paths end after so many steps; those that could go on are ``open``.
+    A path never enters a person twice.  It is a line of ancestors, or two that meet at their ancestor, reached through different children of it and with no one
+    else in common.  With ``max_depth`` paths end after so many steps; those that could go on are ``open``.
     """
-    up = po.select(F.col("child").alias("cur"), F.col("parent").alias("to"))
-    down = po.select(F.col("parent").alias("cur"), F.col("child").alias("to"))
-    columns = ["focal", "cur", "first_parent", "ids", "dirs"]
-    front = po.select(F.col("child").alias("focal"), F.col("parent").alias("cur"), F.col("parent").alias("first_parent"), F.array("child", "parent").alias("ids"), F.array(F.lit(1)).alias("dirs"))
-    rounds, depth = [], 0
-    while True:
-        front, depth = stored(front, "paths"), depth + 1
-        fresh = ~F.array_contains("ids", F.col("to"))
-        rising = front.where(F.element_at("dirs", -1) == 1).join(up, "cur").where(fresh)
-        falling = front.join(down, "cur").where(fresh)
-        last = depth == max_depth
-        if last:
-            more = rising.select(*columns).union(falling.select(*columns)).distinct().withColumn("open", F.lit(True))
-            front = front.join(more, columns, "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        else:
-            front = front.withColumn("open", F.lit(False))
-        rounds.append(front.select("focal", F.col("cur").alias("id2"), "first_parent", "ids", "dirs", "open"))
-        if last or front.isEmpty():
-            break
-        step = lambda edges, d: edges.select(F.col("focal"), F.col("to").alias("cur"), "first_parent", F.concat("ids", F.array("to")).alias("ids"), F.concat("dirs", F.array(F.lit(d))).alias("dirs"))
-        front = step(rising, 1).union(step(falling, -1))
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.union(more)
-    return out
+    lines = stored(ancestor_lines(po, max_depth), "ancestors")
+    ups = lambda ids: F.transform(F.slice(ids, F.lit(2), F.size(ids) - 1), lambda _: F.lit(1))
+    rising = lines.select(F.col("low").alias("focal"), F.col("top").alias("id2"), F.col("ids")[1].alias("first_parent"), "ids", ups("ids").alias("dirs"))
+    # The ancestor's child on the way tells most lines that can't meet apart before their people are compared.
+    one = lines.select(F.col("low").alias("focal"), "top", F.col("ids").alias("up"), F.element_at("ids", -2).alias("by1"))
+    other = lines.select(F.col("low").alias("id2"), "top", F.slice("ids", F.lit(1), F.size("ids") - 1).alias("rest"), F.element_at("ids", -2).alias("by2"))
+    met = one.join(other, "top").where("focal <> id2 and by1 <> by2").where(~F.arrays_overlap("up", "rest"))
+    if max_depth is not None:
+        met = met.where(F.size("up") - 1 + F.size("rest") <= max_depth)
+    falling = met.select("focal", "id2", F.col("up")[1].alias("first_parent"), F.concat("up", F.reverse("rest")).alias("ids"), F.concat(ups("up"), F.transform("rest", lambda _: F.lit(-1))).alias("dirs"))
+    paths = rising.unionAll(falling)
+    if max_depth is None:
+        return paths.withColumn("open", F.lit(False))
+    paths = stored(paths, "paths")
+    last = paths.where(F.size("dirs") == max_depth)
+    up, down = po.select(F.col("child").alias("id2"), F.col("parent").alias("to")), po.select(F.col("parent").alias("id2"), F.col("child").alias("to"))
+    fresh = ~F.array_contains("ids", F.col("to"))
+    on = last.where(F.element_at("dirs", -1) == 1).join(up, "id2").where(fresh).select("ids").unionAll(last.join(down, "id2").where(fresh).select("ids"))
+    return paths.join(on.distinct().withColumn("on", F.lit(True)), "ids", "left").select("focal", "id2", "first_parent", "ids", "dirs", F.coalesce("on", F.lit(False)).alias("open"))
 
 
 def _dirs(column: str = "dirs"):

@@ -1,7 +1,7 @@
 """Statistics of shared segments per pair.
 
 Segments: id1, id2, chromosome, id1_haplotype, id2_haplotype, start_cm, end_cm.  Slots 1 and 2 are the
-haplotypes 0 and 1 of id1, slots 3 and 4 those of id2.
+haplotypes 0 and 1 of id1, slots 3 and 4 those of id2.  A pair's segments name it in one order (``canonical_pairs``).
 """
 
 from __future__ import annotations
@@ -9,22 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAIR = ("id1", "id2")
+from kinfold.operators.canonical import PAIR, match
+from kinfold.operators.canonical import canonical_pairs as canonical_pairs
+
 CHROM = (*PAIR, "chromosome")
 MIN_PROPIBD = 2.0**-3.5
 MIN_PIECE_CM = 2.5
 LONGEST_CM = 300.0
 
 
-def canonical_pairs(df: DataFrame) -> DataFrame:
-    """P5: id1 < id2; haplotypes go with their ids."""
-    swap = F.col("id1") > F.col("id2")
-    cols = {"id1": F.least("id1", "id2"), "id2": F.greatest("id1", "id2")}
-    if "id1_haplotype" in df.columns:
-        cols |= {"id1_haplotype": F.when(swap, F.col("id2_haplotype")).otherwise(F.col("id1_haplotype")), "id2_haplotype": F.when(swap, F.col("id1_haplotype")).otherwise(F.col("id2_haplotype"))}
-    return df.withColumns(cols)
-
-
 def pair_id(a: str = "id1", b: str = "id2") -> Column:
     """The pair's name: smaller id, underscore, larger id."""
     return F.concat_ws("_", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
@@ -37,12 +30,11 @@ def segment_length(segments: DataFrame, min_cm: float | None = None) -> DataFram
 
 
 def close_pair_segments(segments: DataFrame, king: DataFrame, min_k: float = MIN_PROPIBD) -> DataFrame:
-    """Segments of pairs with at least that kinship; a pair without a kinship row has 0.
+    """Segments of pairs with at least that kinship, in whatever order either table names a pair; a pair without a kinship row has 0.
 
     The filter stands before every window, where it prunes both sides of one equi-join.
     """
-    close = king.where(F.col("propibd") >= min_k).select(*PAIR).distinct()
-    return segments.join(close, list(PAIR), "left_semi") if min_k > 0 else segments
+    return match(segments, king.where(F.col("propibd") >= min_k).select(*PAIR), "left_semi") if min_k > 0 else segments
 
 
 def ibd_regions(segments: DataFrame) -> DataFrame:
@@ -139,12 +131,15 @@ def pair_stats(segments: DataFrame, genome_cm: float, inter_phase: bool = False,
 
 
 def site_kinship(segments: DataFrame) -> DataFrame:
-    """Whole-cM sites per pair covered by all four slots (IBD2) or fewer (IBD1)."""
-    lo, hi = F.ceil("start_cm").cast("int"), F.floor("end_cm").cast("int")
-    sites = segments.where(lo <= hi).select(*CHROM, F.explode(F.sequence(lo, hi)).alias("site"), "id1_haplotype", "id2_haplotype")
-    slots = sites.select(*CHROM, "site", F.explode(F.array(F.col("id1_haplotype"), F.col("id2_haplotype") + 2)).alias("slot"))
-    counts = slots.groupBy(*CHROM, "site").agg(F.count_distinct("slot").alias("k"))
-    return counts.groupBy(*PAIR).agg(F.sum(F.when(F.col("k") < 4, 1).otherwise(0)).alias("ibd1_sites"), F.sum(F.when(F.col("k") == 4, 1).otherwise(0)).alias("ibd2_sites"))
+    """Whole-cM sites per pair covered by all four slots (IBD2) or fewer (IBD1).
+
+    Sites are counted, not made: a segment covers those from its start rounded up to its end rounded down, both included, so on whole numbers it is the region
+    from the one to one after the other, and a region between two events holds as many sites as it is long.
+    """
+    whole = segments.withColumns({"start_cm": F.ceil("start_cm").cast("bigint"), "end_cm": F.floor("end_cm").cast("bigint") + 1})
+    two = _is_ibd2()
+    sites = lambda kind: F.sum(F.when(kind, _length()).otherwise(0))
+    return ibd_regions(whole).groupBy(*PAIR).agg(sites(~two).alias("ibd1_sites"), sites(two).alias("ibd2_sites"))
 
 
 def pair_coverage(segments: DataFrame, max_gap: float = 1.0) -> DataFrame:
@@ -161,21 +156,34 @@ def uniform(*keys: str | Column) -> Column:
     return F.conv(F.substring(mark, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def draw_switches(chromosomes: DataFrame, mean_d: float = 50.0, seed: int = 0) -> DataFrame:
-    """Switch places per (pair, chromosome, side): running sums of exponential gaps up to the first beyond ``LONGEST_CM``.
-
-    Gaps are drawn for the expected number and eight standard deviations and twelve more, too few once in some 10^15 sides; a side that they don't bring to the end stops the job.
-    """
+def _switches(side: int, mean_d: float, seed: int) -> Column:
+    """One side's switches as an array of (at, side), by one fold over the numbers of the gaps: past ``LONGEST_CM`` no further gap is drawn."""
     expected = LONGEST_CM / mean_d
     draws = int(expected + 8 * expected**0.5 + 12)
-    side = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
-    drawn = chromosomes.select(*CHROM).distinct().select(*CHROM, side).select(*CHROM, "side", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i"))
-    gap = -F.log(1 - uniform(F.lit(seed), *CHROM, "side", "i")) * mean_d
-    order = Window.partitionBy(*CHROM, "side").orderBy("i")
-    placed = drawn.withColumn("gap", gap).withColumn("switch_cm", F.sum("gap").over(order))
-    short = F.raise_error(F.lit("more gaps than were drawn")).cast("double")
-    whole = F.when((F.col("i") == draws) & (F.col("switch_cm") < LONGEST_CM), short).otherwise(F.col("switch_cm"))
-    return placed.withColumn("switch_cm", whole).where(F.col("switch_cm") - F.col("gap") < LONGEST_CM).select(*CHROM, "side", "switch_cm")
+    none = F.expr("cast(array() as array<struct<at: double, side: int>>)")
+
+    def step(so_far: Column, i: Column) -> Column:
+        gap = -F.log(1 - uniform(F.lit(seed), *CHROM, F.lit(side), i)) * mean_d
+        # The sum is worked out once, as the only item of an array.
+        more = F.transform(F.array(so_far["at"] + gap), lambda at: F.struct(at.alias("at"), F.concat(so_far["sw"], F.array(F.struct(at.alias("at"), F.lit(side).alias("side")))).alias("sw")))
+        return F.when(so_far["at"] >= LONGEST_CM, so_far).otherwise(more[0])
+
+    short = F.raise_error(F.lit("more gaps than were drawn")).cast("array<struct<at: double, side: int>>")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.struct(F.lit(0.0).alias("at"), none.alias("sw")), step, lambda s: F.when(s["at"] < LONGEST_CM, short).otherwise(s["sw"]))
+
+
+def switch_arrays(chromosomes: DataFrame, mean_d: float = 50.0, seed: int = 0) -> DataFrame:
+    """``sw`` per (pair, chromosome), the switches of both sides in order as (at, side): running sums of exponential gaps up to the first beyond ``LONGEST_CM``.
+
+    There are gaps for the expected number and eight standard deviations and twelve more, too few once in some 10^15 sides; a side that they don't bring to the end stops the job.
+    """
+    both = F.array_sort(F.concat(_switches(0, mean_d, seed), _switches(1, mean_d, seed)))
+    return chromosomes.select(*CHROM).distinct().select(*CHROM, both.alias("sw"))
+
+
+def draw_switches(chromosomes: DataFrame, mean_d: float = 50.0, seed: int = 0) -> DataFrame:
+    """``side, switch_cm`` per (pair, chromosome), the switches of ``switch_arrays`` as rows."""
+    return switch_arrays(chromosomes, mean_d, seed).select(*CHROM, F.inline("sw")).select(*CHROM, "side", F.col("at").alias("switch_cm"))
 
 
 def phase_error_split(segments: DataFrame, switches: DataFrame, min_cm: float = MIN_PIECE_CM) -> DataFrame:
@@ -183,10 +191,10 @@ def phase_error_split(segments: DataFrame, switches: DataFrame, min_cm: float =
 
     Cuts per segment are its start and every switch in [start, end]; the next cut, or the end, closes a piece, and a piece counts the switches before it
     on each side.  Pieces shorter than ``min_cm`` are dropped.  A (pair, chromosome)'s switches, some ``LONGEST_CM`` over their mean distance, are one sorted
-    array that joins its segments once, so a segment never meets them as rows.
+    array (as ``switch_arrays`` gives it; rows of ``draw_switches`` are gathered) that joins its segments once, so a segment never meets them as rows.
     """
     point = F.struct(F.col("switch_cm").cast("double").alias("at"), F.col("side").cast("int").alias("side"))
-    of = switches.groupBy(*CHROM).agg(F.sort_array(F.collect_list(point)).alias("sw"))
+    of = switches if "sw" in switches.columns else switches.groupBy(*CHROM).agg(F.sort_array(F.collect_list(point)).alias("sw"))
     rows = segments.join(of, list(CHROM), "left")
     none = F.expr("cast(array() as array<struct<at: double, side: int>>)")
     rows = rows.withColumn("sw", F.coalesce("sw", none)).withColumns({"cuts": F.filter("sw", lambda s: (s["at"] >= F.col("start_cm")) & (s["at"] <= F.col("end_cm"))), "m1": _before(0), "m2": _before(1)})

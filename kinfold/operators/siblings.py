@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.operators.canonical import canonical_pairs, match, one_a_pair
 from kinfold.operators.graphs import components
 from kinfold.operators.models import gmm_fit, gmm_score, lda_fit, lda_predict
 from kinfold.operators.pedigree import putative_full_sibs, shared_parents, sib_pairs
@@ -15,7 +16,7 @@ FEATURES = ("ibd1seg", "ibd2seg")
 
 def sibling_mixture(po: DataFrame, king: DataFrame, rounds: int = 20, tol: float = 1e-3) -> DataFrame:
     """Sib pairs with kinship, and ``component`` 1 for full, 0 for half siblings by a two-component mixture."""
-    pairs = king.join(sib_pairs(po), ["id1", "id2"], "left_semi").select("id1", "id2", *FEATURES)
+    pairs = one_a_pair(match(king.select("id1", "id2", *FEATURES), sib_pairs(po), "left_semi"))
     return gmm_score(pairs, gmm_fit(pairs, FEATURES, SIB_MEANS, rounds=rounds, tol=tol), FEATURES)
 
 
@@ -48,8 +49,9 @@ def classify_siblings(po: DataFrame, people: DataFrame, king: DataFrame, model:
     Two common parents make full siblings; one common and another parent, or no common but some other, half siblings; the rest is predicted by a
     discriminant trained on those, or by the model given.
     """
+    king = canonical_pairs(king)
     pairs = sib_pairs(po).union(putative_full_sibs(po, people, king)).distinct()
-    rows = shared_parents(king.join(pairs, ["id1", "id2"], "left_semi").select("id1", "id2", *FEATURES), po)
+    rows = shared_parents(one_a_pair(king.join(pairs, ["id1", "id2"], "left_semi").select("id1", "id2", *FEATURES)), po)
     rows = rows.withColumn("given", F.when(F.col("n_common") == 2, "FS").when(F.col("n_other") > 0, "2nd"))
     model = model if model is not None else lda_fit(rows, "given", FEATURES)
     out = lda_predict(rows, model, FEATURES)

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators import pairs as P
+from kinfold.operators.canonical import as_given, canonical_pairs, match, one_a_pair
 from kinfold.operators.graphs import ranked_independent_set, unrelated_set
-from kinfold.operators.hierarchy import TREE, cascade, most_probable, set_probs, sum_children, tree_table
+from kinfold.operators.hierarchy import TREE, cascaded, most_probable, set_probs, sum_children, tree_table, unpacked
 from kinfold.operators.models import lda_fit, lda_predict, lda_score
 from kinfold.operators.pedigree import CODES, codes_table, known_pairs, path_groups, pedigree_paths, po_edges, sib_pairs
-from kinfold.operators.segments import MIN_PROPIBD, close_pair_segments, draw_switches, pair_stats, phase_error_split
+from kinfold.operators.segments import MIN_PROPIBD, close_pair_segments, pair_stats, phase_error_split, switch_arrays
 from kinfold.operators.siblings import resolve_sibships
 from kinfold.plans.lineage import stored
+from kinfold.sources.readers import check_codes
 from kinfold.sources.writers import write_model
 
 SECOND = ("MGP", "MHS", "PHS", "PGP", "AV")
@@ -31,7 +33,7 @@ def degree_of(rel: str = "rel", degree: str = "degree"):
 
 def error_stats(segments: DataFrame, genome_cm: float, mean_d: float, seed: int) -> DataFrame:
     """M8: pair statistics after switch errors."""
-    return pair_stats(phase_error_split(segments, draw_switches(segments, mean_d, seed)), genome_cm)
+    return pair_stats(phase_error_split(segments, switch_arrays(segments, mean_d, seed)), genome_cm)
 
 
 def training_table(known: DataFrame, segments: DataFrame, genome_cm: float, mean_d: float = 50.0, seed: int = 0, stats: DataFrame | None = None) -> DataFrame:
@@ -101,7 +103,7 @@ def sibship_groups(po: DataFrame, people: DataFrame, king: DataFrame) -> DataFra
     kind = people.schema["iid"].dataType
     edges = po.select(F.col("parent").cast("string").alias("parent"), F.col("child").cast("string").alias("child"))
     sexes = people.select(F.col("iid").cast("string").alias("iid"), F.col("sex").cast("int").alias("sex"))
-    if king.join(sib_pairs(po), PAIR, "left_semi").where("ibd1seg is not null and ibd2seg is not null and not isnan(ibd1seg) and not isnan(ibd2seg)").isEmpty():
+    if match(king, sib_pairs(po), "left_semi").where("ibd1seg is not null and ibd2seg is not null and not isnan(ibd1seg) and not isnan(ibd2seg)").isEmpty():
         added = None
     else:
         added = stored(resolve_sibships(po, people, king).select("parent", F.col("child").cast("string").alias("child"), "sex"), "added")
@@ -117,35 +119,50 @@ class Labelling(NamedTuple):
     """What labelling gives: the pairs scored, the probability of every node (K9) for other cuts and questions, and the models used."""
 
     pairs: DataFrame
-    probs: DataFrame
+    packed: DataFrame
     tree: DataFrame
     models: dict[str, DataFrame]
 
-    def labels(self, min_p: float = 0.5) -> DataFrame:
-        """``id1, id2, k_ibd1, k_ibd2, most_probable, probability, degree, h1, h2`` at a least probability."""
-        found = most_probable(self.probs, self.tree, min_p)
-        return self.pairs.select(*PAIR, "k_ibd1", "k_ibd2", "h1", "h2").join(found, PAIR)
+    @property
+    def probs(self) -> DataFrame:
+        """A row for each pair and node."""
+        return unpacked(self.packed, self.tree)
+
+    def labels(self, min_p: float = 0.5, order: DataFrame | None = None) -> DataFrame:
+        """``id1, id2, k_ibd1, k_ibd2, most_probable, probability, degree, h1, h2`` at a least probability.
+
+        The smaller id comes first, or with ``order`` (id1, id2), say the caller's kinship, the one that it names first; h1 is always of id1.
+        """
+        found = self.pairs.select(*PAIR, "k_ibd1", "k_ibd2", "h1", "h2").join(most_probable(self.packed, self.tree, min_p), PAIR)
+        return found if order is None else as_given(found, order)
 
 
 def label(
     fam: DataFrame, king: DataFrame, segments: DataFrame, genome_cm: float, *, assess: bool = False, min_k: float = MIN_PROPIBD, mean_d: float = 50.0, seed: int = 0,
-    populations: DataFrame | None = None, popl: str | None = None, drop_twins: bool = False, codes=CODES, tree=TREE, models: dict[str, DataFrame] | None = None,
+    populations: DataFrame | None = None, popl: str | None = None, drop_twins: bool = True, codes=CODES, tree=TREE, models: dict[str, DataFrame] | None = None,
 ) -> Labelling:
     """Probabilities of all close pairs with segments, or of known ones when assessing.
 
-    With ``popl`` only people of that population count (``populations``: iid, popl), with ``drop_twins`` the second member of each Dup/MZ pair goes (P2, P3); both leave
-    pedigree and kinship before anything else.  ``codes`` and ``tree`` may be the user's own; with ``models`` from earlier training none is fitted.
+    Kinship and segments may name a pair in any order, and kinship more than once (the largest propibd counts); the result names the smaller id first, see ``Labelling.labels``.
+    With ``popl`` only people of that population count (``populations``: iid, popl); unless ``drop_twins`` is false the second member of each Dup/MZ pair, second as kinship
+    names it, goes (P2, P3); both leave pedigree and kinship before anything else.  ``codes`` and ``tree`` may be the user's own; with ``models`` from earlier training none is fitted.
     """
     spark = fam.sparkSession
-    persons = fam
+    check_codes(codes, tree)
+    nodes, persons = tree_table(spark, tree), fam
+    twins = stored(P.twins(king), "twins") if drop_twins and "inftype" in king.columns else None
+    drop_twins = twins is not None and not twins.isEmpty()
+    # One row for each pair of people, whatever way round the tables name them.
+    king, segments = stored(one_a_pair(king, "propibd"), "kinship"), canonical_pairs(segments)
     if drop_twins:
-        persons = P.exclude_twins(persons, king)
+        persons = persons.join(twins, "iid", "left_anti")
     if popl is not None:
         persons = P.people(persons.drop("popl"), populations).where(F.col("popl") == popl)
     if drop_twins or popl is not None:
         persons = stored(persons, "persons")
         king = stored(P.keep_members(king, persons.select("iid").distinct()), "king")
-    close = stored(close_pair_segments(segments if persons is fam else P.keep_pairs(segments, king), king, min_k), "close")
+    # With a least kinship only pairs that kinship has are kept anyway.
+    close = stored(close_pair_segments(segments if persons is fam or min_k > 0 else P.keep_pairs(segments, king), king, min_k), "close")
     stats = stored(pair_stats(close, genome_cm), "stats")
     kin = king.select(*PAIR, F.col("ibd1seg").alias("k_ibd1"), F.col("ibd2seg").alias("k_ibd2"))
     rows = stats.join(kin, PAIR)
@@ -171,8 +188,7 @@ def label(
     counts = sum_children(segment_count_probs(chosen, models["segments"]))
     probs = degrees.withColumn("method", F.lit("degree")).unionByName(counts.withColumn("method", F.lit("segments")))
     probs = set_probs(probs, haplotype_probs(chosen, models["haplotype"]), "haplotype")
-    nodes = tree_table(spark, tree)
-    return Labelling(rows, stored(cascade(probs, nodes), "probs"), nodes, models)
+    return Labelling(rows, stored(cascaded(probs, nodes), "probs"), nodes, models)
 
 
 def label_pairs(fam: DataFrame, king: DataFrame, segments: DataFrame, genome_cm: float, min_p: float = 0.5, **how) -> DataFrame:

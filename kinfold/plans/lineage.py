@@ -29,3 +29,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folders under the shared one that a stored table is read from; nothing may read it any more."""
+    spark, root = df.sparkSession, shared_dir(df.sparkSession)
+    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
+        if root.removeprefix("file:").lstrip("/") in path and "/kinfold-" in path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Rounds:
+    """Stored tables of an iterative job, by name: a table goes when the one after its next is written, so whoever still reads the last one can.
+
+    ``end`` deletes all that is left but the given tables, which a lazy result reads.
+    """
+
+    def __init__(self) -> None:
+        self.held: dict[str, list[DataFrame]] = {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        mine = self.held.setdefault(name, [])
+        mine.append(out)
+        if len(mine) > 2:
+            discard(mine.pop(0))
+        return out
+
+    def end(self, *keep: DataFrame) -> None:
+        for mine in self.held.values():
+            for df in mine:
+                if not any(df is k for k in keep):
+                    discard(df)
+        self.held.clear()

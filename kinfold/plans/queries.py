@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators import assembly as A
+from kinfold.operators import canonical as C
 from kinfold.operators import genmap as M
 from kinfold.operators import graphs as G
 from kinfold.operators import hierarchy as H
@@ -131,7 +132,7 @@ def pair_coverage(segments):
     "SELECT id2 AS id1, id1 AS id2, chromosome, id2_haplotype AS id1_haplotype, id1_haplotype AS id2_haplotype, start_cm, end_cm FROM r")
 def canonical_pairs(segments):
     turned = segments.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"), "chromosome", F.col("id2_haplotype").alias("id1_haplotype"), (1 - F.col("id1_haplotype")).alias("id2_haplotype"), "start_cm", "end_cm")
-    return S.canonical_pairs(turned)
+    return C.canonical_pairs(turned)
 
 
 @query("segments king_typed", "SELECT s.*, end_cm - start_cm AS l FROM segments s WHERE end_cm - start_cm >= 2.5 AND EXISTS (SELECT 1 FROM king_typed k WHERE k.id1 = s.id1 AND k.id2 = s.id2 AND propibd >= pow(2, -3.5))")
@@ -162,7 +163,7 @@ def phase_error_split(segments):
 
 @query("segments", f"{SWITCHES}{STATS.replace('FROM segments', 'FROM split')} {STATS_OUT}")
 def phase_error_stats(segments):
-    split = S.phase_error_split(segments, S.draw_switches(segments, 50.0, 7))
+    split = S.phase_error_split(segments, S.switch_arrays(segments, 50.0, 7))
     return rounded(rounded(S.pair_stats(split, GENOME_CM), "h1", "h2"), "ibd1", "ibd2", digits=9)
 
 
@@ -218,6 +219,22 @@ def children(fam):
     return P.children(fam).withColumn("children", F.array_join(F.transform("children", lambda c: c.cast("string")), ","))
 
 
+@query("king_typed king_turned", "SELECT id1, id2, (id1 % 10) / 10.0e0 AS h1, (id2 % 10) / 10.0e0 AS h2 FROM king_turned")
+def pairs_as_given(king, turned):
+    """Scores of canonical pairs go back into the order of a table that names a third of the pairs the other way round."""
+    score = lambda c: ((F.col(c) % 10) / F.lit(10.0))
+    return C.as_given(king.select(*PAIR, score("id1").alias("h1"), score("id2").alias("h2")), turned)
+
+
+TURNED_LOOKUP = "SELECT p.parent, p.child, coalesce(k.inftype, 'UN') AS inftype, coalesce(k.propibd, 0) AS propibd FROM po p LEFT JOIN king_typed k ON (k.id1 = p.parent AND k.id2 = p.child) OR (k.id1 = p.child AND k.id2 = p.parent)"
+
+
+@query("po king_typed king_turned", TURNED_LOOKUP)
+def pair_lookup_turned(po, king, turned):
+    # Every pair is given both ways round.
+    return P.lookup_pairs(po, turned.unionByName(king), {"inftype": "UN", "propibd": 0.0}, "parent", "child")
+
+
 @query("po king_typed", "SELECT p.parent, p.child, coalesce(k.inftype, 'UN') AS inftype, coalesce(k.propibd, 0) AS propibd FROM po p LEFT JOIN king_typed k ON (k.id1 = p.parent AND k.id2 = p.child) OR (k.id1 = p.child AND k.id2 = p.parent)")
 def pair_lookup(po, king):
     return P.lookup_pairs(po, king, {"inftype": "UN", "propibd": 0.0}, "parent", "child")
@@ -321,6 +338,25 @@ def template_segments(segments):
     return P.label_by_template(named, template, "pop1", "3")
 
 
+def _codes_rows() -> str:
+    """The tree's nodes with their codes as constant rows."""
+    above, codes = dict(H.TREE), {c[0]: (n, c) for n, c in enumerate(K.CODES)}
+    rows = []
+    for node in above:
+        way = [node]
+        while above[way[-1]] in above:
+            way.append(above[way[-1]])
+        code = "NULL, NULL, NULL"
+        if node in codes:
+            n, (_, paths, sexed, _, _) = codes[node]
+            code = f"{sexed}, '{'|'.join(sorted((f'{x}:{w}' if sexed else w) for x, ws in paths.items() for w in ws))}', {n if sexed else len(K.CODES) + n}"
+        rows.append(f"('{node}', '{above[node]}', '{way[-1]}', {len(way)}, {code})")
+    return f"SELECT node, parent, degree, depth, CAST(sexed AS BOOLEAN) AS sexed, signature, priority FROM (VALUES {', '.join(rows)}) v(node, parent, degree, depth, sexed, signature, priority)"
+
+
+CODES_ROWS = _codes_rows()
+
+
 # --- files ------------------------------------------------------------------------------------------------------------
 # Each query writes a fixture to the shared folder in a file format and reads it back.
 
@@ -451,6 +487,15 @@ def file_ids(people, king):
     return spark.read.text(path).withColumnRenamed("value", "iid").withColumn("one", F.lit(1)).join(F.broadcast(summary), "one").drop("one")
 
 
+@query("fam", CODES_ROWS)
+def file_codes(fam):
+    """Codes and tree through a YAML file: each code with its place, degree and the node above it."""
+    spark, path = fam.sparkSession, scratch(fam.sparkSession, "files")
+    W.write_codes(spark, path, K.CODES, H.TREE)
+    codes, tree = R.read_codes(spark, path)
+    return tree.join(codes.select(F.col("name").alias("node"), "sexed", "signature", "priority"), "node", "left").select("node", "parent", tree["degree"], "depth", "sexed", "signature", "priority")
+
+
 # --- models -----------------------------------------------------------------------------------------------------------
 
 
@@ -623,8 +668,7 @@ picked AS (SELECT t.id1, t.id2, coalesce(node, degree) AS most_probable, coalesc
 @query("king", f"{CASCADE}{picked_sql(0.12)} SELECT id1, id2, most_probable, round(probability, 9) AS probability, degree FROM picked")
 def most_probable(king):
     tree = H.tree_table(king.sparkSession)
-    probs = H.cascade(_given(king), tree).withColumn("p", F.round("p", 12))
-    return rounded(H.most_probable(probs, tree, 0.12), "probability", digits=9)
+    return rounded(H.most_probable(H.cascaded(_given(king), tree), tree, 0.12, digits=12), "probability", digits=9)
 
 
 @query("king", f"{GIVEN_SQL}, s AS (SELECT id1, id2, sum(p_con) FILTER (node IN ('PGP', 'MGP')) AS gp, sum(p_con) FILTER (node IN ('PHS', 'MHS')) AS hs, sum(p_con) FILTER (node IN ('PGP', 'MGP', 'AV')) AS gpav FROM given GROUP BY id1, id2) "
@@ -688,6 +732,14 @@ def unrelated_ranked(people, king):
     return G.ranked_independent_set(stored(P.unrelated_counts(people, edges), "counts"), edges)
 
 
+@query("people king_typed", f"{visit_sql(NEAR, 'degree, CAST(iid AS VARCHAR) DESC')} SELECT CAST(iid AS VARCHAR) AS iid FROM taken_")
+def unrelated_ranked_text(people, king):
+    """Ties of ids as text: 12 stands over 1, and 9 over 12."""
+    text = lambda df, *cols: df.select(*(F.col(c).cast("string").alias(c) for c in cols))
+    ids, edges = stored(text(people, "iid"), "ids"), stored(text(P.related_edges(king, "propibd > 0.45"), *PAIR), "edges")
+    return G.ranked_independent_set(stored(P.unrelated_counts(ids, edges), "counts"), edges)
+
+
 @query("people pairs_file", f"{visit_sql('(SELECT id1, id2 FROM pairs_file WHERE degree IN (' + chr(39) + 'FS' + chr(39) + ', ' + chr(39) + 'PO' + chr(39) + '))', 'degree, iid DESC')} SELECT iid FROM taken_")
 def unrelated_by_king_class(people, pairs):
     return J.find_unrelated(people, pairs, "king", degree="2nd")
@@ -803,6 +855,14 @@ def po_orientation_unrelated(po, king):
     return A.orient_by_unrelated(stored(A.orient_by_age(po, 40), "aged"), king)
 
 
+@query("po_file king_turned")
+def po_orientation_turned(po, turned):
+    return A.orient_by_unrelated(stored(A.orient_by_age(po, 40), "aged"), turned)
+
+
+ORACLES["po_orientation_turned"] = ORACLES["po_orientation_unrelated"]
+
+
 @query("po_file king_typed", f"{AGED}{PARTNERS}, links AS (SELECT id1 AS a, id2 AS b FROM king_typed WHERE ibd2seg > 0.22 UNION ALL SELECT id2, id1 FROM king_typed WHERE ibd2seg > 0.22), reach(root, node) AS (SELECT DISTINCT a, a FROM links UNION SELECT root, b FROM reach JOIN links ON a = node), "
     "sets AS (SELECT node AS iid, min(root) AS c FROM reach GROUP BY node), sized AS (SELECT c, count(*) AS size FROM sets GROUP BY c), "
     f"common AS (SELECT c, partner FROM partners JOIN sets USING (iid) GROUP BY c, partner HAVING count(*) = (SELECT size FROM sized z WHERE z.c = sets.c)), rulings AS (SELECT iid, p.partner, m.partner IS NOT NULL AS is_parent FROM partners p JOIN sets USING (iid) LEFT JOIN common m ON m.c = sets.c AND m.partner = p.partner){RULED}")
@@ -927,12 +987,21 @@ SELECT id1, id2, k_ibd1, k_ibd2, round(h1, 6) AS h1, round(h2, 6) AS h2, most_pr
 
 @query("fam po king_typed segments", labels_sql(False))
 def label_pairs(fam, _, king, segments):
-    return rounded(J.label_pairs(fam, king, segments, GENOME_CM), "probability", "h1", "h2")
+    return rounded(J.label_pairs(fam, king, segments, GENOME_CM, drop_twins=False), "probability", "h1", "h2")
 
 
 @query("fam po king_typed segments", labels_sql(True))
 def label_known_pairs(fam, _, king, segments):
-    return rounded(J.label_pairs(fam, king, segments, GENOME_CM, assess=True), "probability", "h1", "h2")
+    return rounded(J.label_pairs(fam, king, segments, GENOME_CM, assess=True, drop_twins=False), "probability", "h1", "h2")
+
+
+@query("fam po king_typed segments king_turned segments_turned", labels_sql(False))
+def label_turned_pairs(fam, _, __, ___, king, segments):
+    """Kinship and segments name pairs in any order; codes and tree come from a file."""
+    spark, path = fam.sparkSession, scratch(fam.sparkSession, "files")
+    W.write_codes(spark, path, K.CODES, H.TREE)
+    done = J.label(fam, king, segments, GENOME_CM, drop_twins=False, codes=R.load_codes(spark, path), tree=R.load_tree(spark, path))
+    return rounded(done.labels(), "probability", "h1", "h2")
 
 
 TRAINED = ", ".join(f"round({c}, 6) AS {c}" if c in ("ibd1", "ibd2", "h1", "h2") else c for c in ("ibd1", "ibd2", "n_ibd1", "n_ibd2", "n", "h1", "h2"))
@@ -949,7 +1018,7 @@ def training_table(po, fam, king, segments):
 def file_labels(fam, _, king, segments):
     """Models are written and read by a second run that fits none; its labels go through the readable file."""
     spark, path = fam.sparkSession, scratch(fam.sparkSession, "files")
-    J.write_models(J.label(fam, king, segments, GENOME_CM).models, f"{path}-models")
-    again = J.label(fam, king, segments, GENOME_CM, models=J.read_models(spark, f"{path}-models"))
+    J.write_models(J.label(fam, king, segments, GENOME_CM, drop_twins=False).models, f"{path}-models")
+    again = J.label(fam, king, segments, GENOME_CM, drop_twins=False, models=J.read_models(spark, f"{path}-models"))
     W.write_readable(rounded(again.labels(), "probability", "h1", "h2"), path, with_h=True)
     return spark.read.schema("id1 string, id2 string, k_ibd1 double, k_ibd2 double, most_probable string, probability double, degree string, h1 double, h2 double").option("sep", "\t").option("header", True).csv(path)

@@ -37,6 +37,11 @@ FROM (SELECT blk*24 + l_partkey % 24 AS a, blk*24 + (l_partkey + 1 + l_suppkey %
        CASE WHEN a.father = b.father AND a.mother = b.mother THEN 0.20e0 + ((a.iid*13 + b.iid*7) % 10) / 100.0e0 ELSE ((a.iid*13 + b.iid*7) % 5) / 100.0e0 END AS ibd2seg
 FROM fam a JOIN fam b ON a.fid = b.fid AND a.iid < b.iid""",
     "po_lacking": """SELECT parent, child FROM po WHERE parent % 24 NOT IN (1, 3, 13)""",
+    "king_turned": """SELECT CASE WHEN (id1 * 31 + id2 * 17) % 3 = 0 THEN id2 ELSE id1 END AS id1, CASE WHEN (id1 * 31 + id2 * 17) % 3 = 0 THEN id1 ELSE id2 END AS id2,
+       ibd1seg, ibd2seg, propibd, inftype FROM king_typed""",
+    "segments_turned": """SELECT CASE WHEN t THEN id2 ELSE id1 END AS id1, CASE WHEN t THEN id1 ELSE id2 END AS id2, chromosome,
+       CASE WHEN t THEN id2_haplotype ELSE id1_haplotype END AS id1_haplotype, CASE WHEN t THEN id1_haplotype ELSE id2_haplotype END AS id2_haplotype, start_cm, end_cm
+FROM (SELECT *, CAST(start_cm AS BIGINT) % 2 = 1 AS t FROM segments) s""",
     "founders": """SELECT fid, iid FROM fam WHERE father IS NULL AND mother IS NULL""",
     "po_file": """SELECT p.parent, p.child, a.age AS parent_age, b.age AS child_age, CAST(a.age - b.age AS DOUBLE) AS strength, 'AGE' AS method,
        coalesce(k.ibd1seg, 0.5e0) AS h1, 1 - coalesce(k.ibd1seg, 0.5e0) AS h2
@@ -49,7 +54,7 @@ LEFT JOIN king k ON k.id1 = least(p.parent, p.child) AND k.id2 = greatest(p.pare
 }
 
 #: Views that a view reads.
-NEEDS = {"king_sibs": ("fam",), "po_lacking": ("fam", "po"), "founders": ("fam",), "king": ("fam",), "king_typed": ("fam", "king"), "po": ("fam",), "po_file": ("fam", "people", "king", "po"), "pairs_file": ("fam", "king", "king_typed")}
+NEEDS = {"king_sibs": ("fam",), "po_lacking": ("fam", "po"), "founders": ("fam",), "king": ("fam",), "king_typed": ("fam", "king"), "king_turned": ("fam", "king", "king_typed"), "segments_turned": ("segments",), "po": ("fam",), "po_file": ("fam", "people", "king", "po"), "pairs_file": ("fam", "king", "king_typed")}
 
 
 def with_views(*names: str) -> str:

@@ -19,14 +19,19 @@ def read_positional(spark: SparkSession, paths: str | list[str], columns: dict[s
 
 
 def read_headed(spark: SparkSession, paths: str | list[str], columns: dict[str, tuple[str, str]]) -> DataFrame:
-    """Columns by header name and type; every file starts with the same header line."""
-    rows = _rows(spark, paths)
-    header = rows.first()
-    if header is None:
-        return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, (_, t) in columns.items()))
-    names = list(header.parts)
-    body = rows.where(F.col("parts") != F.array(*map(F.lit, names)))
-    return body.select(*[F.try_element_at("parts", F.lit(names.index(n) + 1)).try_cast(t).alias(c) for c, (n, t) in columns.items()])
+    """Columns by header name and type; each file has a header line of its own, in an order of its own.
+
+    A line that holds all the names is a header.  The places of the names, a row a file, join the lines by the file's name; a file without a header stops the job.
+    """
+    lines = spark.read.text(paths).where("trim(value) <> ''").select(F.split(F.trim("value"), "\\s+").alias("parts"), F.col("_metadata.file_path").alias("file"))
+    names = F.array(*(F.lit(n) for n, _ in columns.values()))
+    is_header = F.size(F.array_except(names, "parts")) == 0
+    places = F.transform(names, lambda n: F.array_position("parts", n).cast("int"))
+    heads = lines.where(is_header).groupBy("file").agg(F.min(places).alias("places"), F.count_distinct(places).alias("kinds"))
+    body = lines.where(~is_header).join(heads, "file", "left")
+    fault = F.when(F.col("places").isNull(), F.raise_error(F.concat(F.lit("no header line in "), "file"))).when(F.col("kinds") > 1, F.raise_error(F.concat(F.lit("unlike header lines in "), "file")))
+    body = body.withColumn("places", F.coalesce(fault.cast("array<int>"), "places"))
+    return body.select(*[F.try_element_at("parts", F.col("places")[k]).try_cast(t).alias(c) for k, (c, (_, t)) in enumerate(columns.items())])
 
 
 def read_fam(spark: SparkSession, path: str) -> DataFrame:
@@ -88,6 +93,41 @@ def read_po(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("parent", "child", age.alias("parent_age"), "strength", "method", "h1", "h2")
 
 
+def read_codes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``codes_table`` and ``tree_table`` of a YAML file, after ``check_codes``."""
+    from kinfold.operators.hierarchy import tree_table
+    from kinfold.operators.pedigree import codes_table
+
+    codes, tree = load_codes(spark, path), load_tree(spark, path)
+    check_codes(codes, tree)
+    return codes_table(spark, codes), tree_table(spark, tree)
+
+
+def check_codes(codes: tuple, tree: tuple, root: str = "relatives") -> None:
+    """Raise an error where codes and tree don't fit: a name given twice, a node without a way to the root, a loop, a code that is no node, a path that isn't up and then down."""
+    names, nodes = [c[0] for c in codes], [n for n, _ in tree]
+    for what, some in (("code", names), ("node", nodes)):
+        if twice := sorted({n for n in some if some.count(n) > 1}):
+            raise ValueError(f"{what} given twice: {', '.join(twice)}")
+    above = dict(tree)
+    for node in nodes:
+        way, at = [node], node
+        while at != root:
+            if at not in above:
+                raise ValueError(f"node without parent: {at}")
+            at = above[at]
+            if at in way:
+                raise ValueError(f"loop: {' > '.join([*way, at])}")
+            way.append(at)
+    if lost := sorted(set(names) - set(nodes)):
+        raise ValueError(f"code that is no node of the tree: {', '.join(lost)}")
+    for name, ways, *_ in codes:
+        for way in (w for some in ways.values() for w in some):
+            steps = way.split(",")
+            if set(steps) - {"1", "-1"} or steps[0] != "1" or steps != sorted(steps, key=int, reverse=True):
+                raise ValueError(f"path of {name} that isn't up and then down: {way}")
+
+
 def _yaml(spark: SparkSession, path: str) -> dict:
     """A small YAML file, read by Spark so that it may lie in any store; needs the yaml package."""
     import yaml
@@ -96,9 +136,9 @@ def _yaml(spark: SparkSession, path: str) -> dict:
 
 
 def load_codes(spark: SparkSession, path: str) -> tuple:
-    """Relationship codes from a YAML file, in the form of ``CODES``: name, paths by the parent they start with, sex-specific, degree, node above."""
+    """Relationship codes from a YAML file, in the form of ``CODES`` (nodes without paths are left out): name, paths by the parent they start with, sex-specific, degree, node above."""
     text = lambda way: ",".join(map(str, way))
-    return tuple((name, {k: [text(w) for w in c[k]] for k in (1, 2) if k in c}, bool(c.get("sex")), c["degree"], c.get("parent")) for name, c in _yaml(spark, path).items())
+    return tuple((name, {k: [text(w) for w in c[k]] for k in (1, 2) if k in c}, bool(c.get("sex")), c["degree"], c.get("parent")) for name, c in _yaml(spark, path).items() if 1 in c or 2 in c)
 
 
 def load_tree(spark: SparkSession, path: str, root: str = "relatives") -> tuple:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,26 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.partitionBy("kind").option("sep", "\t").csv(path)
 
 
+def write_codes(spark: SparkSession, path: str, codes, tree=None) -> None:
+    """Relationship codes as a YAML file that ``load_codes`` and ``load_tree`` read; with ``tree`` each code under its node there, and the tree's other nodes."""
+    above, lines = dict(tree or ()), []
+    for name, ways, sexed, degree, parent in codes:
+        lines.append(f"{name}:")
+        lines += [f"  {sex}: [{', '.join('[' + way.replace(',', ', ') + ']' for way in some)}]" for sex, some in ways.items()]
+        lines += [f"  sex: {str(sexed).lower()}", f"  degree: {degree}"]
+        parent = above.get(name, parent or degree)
+        lines += [f"  parent: {parent}"] if parent != degree else []
+    names, tops = {c[0] for c in codes}, {n for n, a in above.items() if a not in above}
+    for node, parent in above.items():
+        if node not in names | tops:
+            degree = parent
+            while degree not in tops:
+                degree = above[degree]
+            lines += [f"{node}:", f"  degree: {degree}", *([f"  parent: {parent}"] if parent != degree else [])]
+    # One file of a few lines.
+    spark.createDataFrame([("\n".join(lines) + "\n",)], "value string").coalesce(1).write.text(path)
+
+
 def write_model(model: DataFrame, path: str) -> None:
     """Parameters of a model, or results."""
     model.write.parquet(path)

@@ -77,3 +77,52 @@ def test_two_colours(spark):
     got = {r.node: (r.component, r.colour, r.conflict) for r in G.two_colour(spark.createDataFrame(edges, "id1 long, id2 long")).collect()}
     assert [got[v][:2] for v in (1, 2, 3, 4, 7, 8)] == [(1, 0), (1, 1), (1, 0), (1, 1), (7, 0), (7, 1)]
     assert not got[1][2] and got[10][2]
+
+
+def test_ties_of_text_ids(spark):
+    ids = spark.createDataFrame([("s1",), ("s12",), ("s2",), ("é",), ("s",)], "iid string")
+    links = spark.createDataFrame([("s1", "s12"), ("s", "é")], "id1 string, id2 string")
+    got = {r.iid for r in G.ranked_independent_set(unrelated_counts(ids, links), links).collect()}
+    assert got == greedy(sorted(["s1", "s12", "s2", "é", "s"], key=lambda v: (v != "s2", [-ord(c) for c in v] + [0])), [("s1", "s12"), ("s", "é")]) == {"s12", "s2", "é"}
+
+
+def folders(spark):
+    from pathlib import Path
+
+    from kinfold.plans.lineage import shared_dir
+
+    return {p.name.split("-")[1] + p.name.split("-")[2][:6] for p in Path(shared_dir(spark).removeprefix("file:")).glob("kinfold-*")}
+
+
+def test_a_chain_needs_few_rounds(spark):
+    """Each of 10,000 waits for the one before; a round decides a chunk, and no round's tables stay but those of the result."""
+    n = 10_000
+    ids, links = frames(spark, range(n), [(k, k + 1) for k in range(n - 1)])
+    known = ids.withColumn("place", F.col("iid"))
+    families = ids.select(F.col("iid").alias("node"), F.lit(0).cast("long").alias("component"))
+    for chunk, most in ((100_000, 1), (4_000, 3)):
+        before = folders(spark)
+        got = {r.iid for r in G.independent_set(known, links, [F.col("place")], families, chunk).collect()}
+        assert got == set(range(0, n, 2))
+        more = folders(spark) - before
+        assert sum(f.startswith("taken") for f in more) <= most + 1 and all(f.startswith(("taken", "ranked")) for f in more)
+
+
+@pytest.mark.parametrize("chunk", [3, 10])
+def test_small_chunks_equal_the_visit(spark, chunk):
+    nodes, edges = graph(9)
+    _, links = frames(spark, nodes, edges)
+    known = spark.createDataFrame([(v, v * 7 % 40) for v in nodes], "iid long, place int")
+    got = {r.iid for r in G.independent_set(known, links, [F.col("place")], chunk=chunk).collect()}
+    assert got == greedy(sorted(nodes, key=lambda v: (v * 7 % 40, v)), edges)
+
+
+def test_components_leave_their_result_only(spark):
+    before = folders(spark)
+    G.components(spark.createDataFrame([(k, k + 1) for k in range(60)], "id1 long, id2 long")).count()
+    assert sorted(f[:5] for f in folders(spark) - before) == ["edges", "nodes"]
+
+
+def test_edges_given_twice_count_once(spark):
+    ids, links = frames(spark, [1, 2, 3, 4], [(1, 2), (2, 1), (2, 3), (3, 3)])
+    assert {r.iid: r.n_unrelated for r in unrelated_counts(ids, links).collect()} == {1: 2, 2: 1, 3: 2, 4: 3}

@@ -1,5 +1,7 @@
 """Readers and writers on small files."""
 
+import pytest
+
 from kinfold.operators.hierarchy import TREE
 from kinfold.operators.pairs import drop_exact_twins, fill_missing_alleles
 from kinfold.operators.pedigree import CODES
@@ -91,3 +93,34 @@ def test_exact_twins_compare_as_text(spark):
     ids = spark.createDataFrame([(9,), (10,)], "iid long")
     king = spark.createDataFrame([(9, 10, 0.0, 1.0)], "id1 long, id2 long, ibd1seg double, ibd2seg double")
     assert [r.iid for r in drop_exact_twins(ids, king).collect()] == [10]
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    a, b = put(tmp_path / "a", "DEGREE IBD1 IBD2 PIHAT\n4th 0.1 0 0.2\n"), put(tmp_path / "b", "PIHAT  X DEGREE IBD2 IBD1\n0.4 9 FS 0.25 0.5\n\n")
+    assert sorted(tuple(r) for r in R.read_pairs(spark, [a, b]).collect()) == [("4th", 0.1, 0.0, 0.2), ("FS", 0.5, 0.25, 0.4)]
+    bare = put(tmp_path / "c", "4th 0.1 0 0.2\n")
+    with pytest.raises(Exception, match="no header line"):
+        R.read_pairs(spark, [a, bare]).collect()
+    assert R.read_pairs(spark, put(tmp_path / "d", "DEGREE IBD1 IBD2 PIHAT\n")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("codes", "tree", "said"),
+    [
+        ((CODES[0], CODES[0]), TREE, "given twice"),
+        (CODES, (*TREE, TREE[3]), "given twice"),
+        (CODES, tuple(t for t in TREE if t[0] != "GPAV"), "without parent: GPAV"),
+        (CODES, tuple(t for t in TREE if t[0] != "HS") + (("HS", "PHS"),), "loop"),
+        ((*CODES, ("XX", {1: ["1"]}, False, "2nd", None)), TREE, "no node of the tree: XX"),
+        ((("FS", {1: ["-1,1"]}, False, "relatives", None),), TREE, "up and then down"),
+    ],
+)
+def test_codes_that_do_not_fit(codes, tree, said):
+    with pytest.raises(ValueError, match=said):
+        R.check_codes(codes, tree)
+
+
+def test_codes_and_tree_come_back(spark, tmp_path):
+    W.write_codes(spark, str(tmp_path / "codes"), CODES, TREE)
+    got = {c[0]: c[1:4] for c in R.load_codes(spark, str(tmp_path / "codes"))}
+    assert got == {c[0]: c[1:4] for c in CODES} and dict(R.load_tree(spark, str(tmp_path / "codes"))) == dict(TREE)
