@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import prepare, stored, text_chunks
 from kinfold.llm.minmax import shingle_hashes
 from kinfold.operators.graphs import components
+from kinfold.plans.lineage import discard
 
 #: Short lists that a pair must share, and the documents of a list whose pairs are counted.
 SHARED, SMALL = 6, 8
 #: Shingles in a pack, frequent shingles that all tasks know, and how heavily the merged lists weigh against the probed ones.
-PACK, FREQUENT, MU = 1_000_000, 1 << 18, 0.01
+PACK, FREQUENT, MU = 1_000_000, 1 << 21, 0.01
 #: Bytes of text hashed at once.
 CHUNK_BYTES = 8_000_000
 
@@ -65,17 +66,20 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
 
 def frequent(prints: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles over the smallest count that at most ``most`` of them reach (a power of two), sorted, and their counts."""
-    counts = stored(prints.where("n is null").groupBy("shingle").agg(F.sum("df").alias("df")), "counts")
+    """The shingles of the smallest power of two that at most ``most`` of them reach in count, and each one's power: 5 bytes each.
+
+    They are told by their upper 32 bits; another shingle with the same bits counts as frequent too, in all documents alike, which only changes the order.
+    """
+    counts = stored(prints.where("n is null").groupBy("shingle").agg(F.floor(F.log2(F.sum("df"))).cast("int").alias("k")), "counts")
     # At most 64 rows.
-    sizes = {r.k: r.n for r in counts.groupBy(F.floor(F.log2("df")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.k: r.n for r in counts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     cut, held = 64, 0
     while cut > 0 and (held := held + sizes.get(cut - 1, 0)) <= most:
         cut -= 1
-    rows = counts.where(F.col("df") >= (1 << cut)).toPandas() if cut < 63 else pd.DataFrame({"shingle": [], "df": []})
-    known = rows["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(known)
-    return known[order], rows["df"].to_numpy(np.int64)[order]
+    rows = counts.where(F.col("k") >= cut).groupBy(F.shiftrightunsigned("shingle", 32).alias("bits")).agg(F.max("k").alias("k")).toArrow()
+    bits, power = rows.column("bits").to_numpy().astype(np.uint32), rows.column("k").to_numpy().astype(np.uint8)
+    order = np.argsort(bits)
+    return bits[order], power[order]
 
 
 def required(n: int, percent: int) -> int:
@@ -92,15 +96,16 @@ def postings(texts: DataFrame, width: int, percent: int, known: tuple[np.ndarray
     columns = ["doc_id", "text", *(["long"] if "long" in texts.columns else [])]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, df = told.value
+        often, power = told.value
         for some in text_chunks(batches, 1, CHUNK_BYTES):
             shingles, n = shingle_hashes(some.column(1), width)
             first, least = np.cumsum(n) - n, (percent * n + 99) // 100
             short = n - least + np.minimum(SHARED, least) if not every else n
             weight = np.zeros(len(shingles), np.int64)
             if len(often):
-                at = np.minimum(np.searchsorted(often, shingles), len(often) - 1)
-                weight = np.where(often[at] == shingles, df[at], 0)
+                bits = (shingles >> np.uint64(32)).astype(np.uint32)
+                at = np.minimum(np.searchsorted(often, bits), len(often) - 1)
+                weight = np.where(often[at] == bits, power[at], 0).astype(np.int64)
             if some.num_columns > 2:
                 for d, long in enumerate(some.column(2).to_pylist()):
                     mine = shingles[first[d] : first[d] + n[d]]
@@ -130,7 +135,9 @@ def short_lists(texts: DataFrame, width: int, percent: int, known: tuple[np.ndar
     rest = texts.join(those, "doc_id", "left_semi")
     held = postings(rest, width, percent, known, every=True).join(long, "shingle", "left_semi").groupBy("doc_id").agg(F.collect_set("shingle").alias("long"))
     again = postings(rest.join(held, "doc_id"), width, percent, known)
-    return stored(posted.join(those, "doc_id", "left_anti").unionAll(again), "postings")
+    out = stored(posted.join(those, "doc_id", "left_anti").unionAll(again), "postings")
+    discard(posted)
+    return out
 
 
 class Pack:
