@@ -28,16 +28,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the folders under the shared one that a stored table is read from; nothing may read it any more."""
-    spark, root = df.sparkSession, shared_dir(df.sparkSession)
-    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        if root.removeprefix("file:").lstrip("/") in path and "/kinfold-" in path:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    """Delete what ``stored`` wrote for this table; nothing may read it any more."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 class Rounds:
