@@ -134,10 +134,30 @@ class Mixture:
         return [r / total for r in raised]
 
 
+def kmeans(rows: DataFrame, means: np.ndarray, rounds: int = 100, tol: float = 1e-9) -> np.ndarray:
+    """Centres of the rows (x, y) by Lloyd's rounds from given means, each one aggregate, until no centre moves by more than ``tol``; an empty cluster stays where it is."""
+    centre = np.array(means, float)
+    for _ in range(rounds):
+        near = _nearest(centre)
+        cols = [f(F.when(near == k + 1, F.col(c))).alias(f"{c}{k}") for k in range(len(centre)) for c, f in (("x", F.avg), ("y", F.avg))]
+        found = rows.agg(*cols).first()
+        moved = np.array([old if new is None else new for new, old in zip(found, centre.ravel(), strict=True)], float).reshape(centre.shape)
+        step, centre = np.abs(moved - centre).max(), moved
+        if step <= tol:
+            break
+    return centre
+
+
+def _nearest(centre: np.ndarray) -> Column:
+    """The number of the nearest centre from 1, the first on ties."""
+    far = F.array(*((F.col("x") - float(m[0])) ** 2 + (F.col("y") - float(m[1])) ** 2 for m in centre))
+    return F.array_position(far, F.array_min(far))
+
+
 def gmm_fit(df: DataFrame, features: tuple[str, str], means, weights=None, covariance: str = "spherical", rounds: int = 100, tol: float = 1e-3, floor: float = 1e-6) -> Mixture:
     """EM from given means; each round is one aggregate over the table.
 
-    Weights (unless given) and covariances start from the rows' nearest means.  Ends when the mean log-likelihood moves less than ``tol``.
+    Weights (unless given) and covariances start from the clusters that k-means finds from the given means, the means themselves as given.  Ends when the mean log-likelihood moves less than ``tol``.
     """
     x, y = features
     rows = df.where(f"`{x}` is not null and `{y}` is not null and not isnan(`{x}`) and not isnan(`{y}`)").select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -162,8 +182,7 @@ def gmm_fit(df: DataFrame, features: tuple[str, str], means, weights=None, covar
         return Mixture(mass / mass.sum(), centre, covs, turn), float(found["extra"])
 
     try:
-        far = [(F.col("x") - float(m[0])) ** 2 + (F.col("y") - float(m[1])) ** 2 for m in means]
-        nearest = F.array_position(F.array(*far), F.array_min(F.array(*far))) if k > 1 else F.lit(1)
+        nearest = _nearest(kmeans(rows, means)) if k > 1 else F.lit(1)
         model, _ = fitted([(nearest == n + 1).cast("double") for n in range(k)], F.lit(0.0), 0)
         model.means = np.array(means, float)
         if weights is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -783,9 +784,13 @@ def mixture_sql(po: str, king: str) -> str:
     state = ", ".join(f"n{k} / (n0 + n1) AS w{k}, {{mx{k}}} AS x{k}, {{my{k}}} AS y{k}, (sq{k} / n{k} - (sx{k} / n{k}) * (sx{k} / n{k}) - (sy{k} / n{k}) * (sy{k} / n{k})) / 2 + 1e-6 AS v{k}" for k in (0, 1))
     own = state.format(mx0="sx0 / n0", my0="sy0 / n0", mx1="sx1 / n1", my1="sy1 / n1")
     given = state.format(mx0="0.5e0", my0="0.0e0", mx1="0.5e0", my1="0.25e0")
-    near = "((x - 0.5) * (x - 0.5) + y * y <= (x - 0.5) * (x - 0.5) + (y - 0.25) * (y - 0.25))"
+    near = "((x - kx0) * (x - kx0) + (y - ky0) * (y - ky0) <= (x - kx1) * (x - kx1) + (y - ky1) * (y - ky1))"
+    centres = ", ".join(f"any_value(k{c}{k}) AS k{c}{k}, coalesce(avg({c}) FILTER ({'' if k == 0 else 'NOT '}{near}), any_value(k{c}{k})) AS n{c}{k}" for k in (0, 1) for c in "xy")
     return f""", sp AS (SELECT k.id1, k.id2, ibd1seg AS x, ibd2seg AS y FROM {king} k JOIN (SELECT DISTINCT a.child AS id1, b.child AS id2 FROM {po} a JOIN {po} b ON a.parent = b.parent AND a.child < b.child) c USING (id1, id2)),
-em AS (SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS DOUBLE) AS ll, CAST(NULL AS DOUBLE) AS old, {given} FROM (SELECT {moments(0, f"CASE WHEN {near} THEN 1.0e0 ELSE 0.0e0 END")}, {moments(1, f"CASE WHEN {near} THEN 0.0e0 ELSE 1.0e0 END")} FROM sp) a
+km AS (SELECT CAST(0 AS BIGINT) AS round_, 0.5e0 AS kx0, 0.0e0 AS ky0, 0.5e0 AS kx1, 0.25e0 AS ky1, 1.0e0 AS moved
+  UNION ALL SELECT round_ + 1, nx0, ny0, nx1, ny1, greatest(abs(nx0 - kx0), abs(ny0 - ky0), abs(nx1 - kx1), abs(ny1 - ky1)) FROM (SELECT round_, {centres} FROM km CROSS JOIN sp WHERE round_ < 100 AND moved > 1e-9 GROUP BY round_) k),
+clusters AS (SELECT * FROM km ORDER BY round_ DESC LIMIT 1),
+em AS (SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS DOUBLE) AS ll, CAST(NULL AS DOUBLE) AS old, {given} FROM (SELECT {moments(0, f"CASE WHEN {near} THEN 1.0e0 ELSE 0.0e0 END")}, {moments(1, f"CASE WHEN {near} THEN 0.0e0 ELSE 1.0e0 END")} FROM sp CROSS JOIN clusters) a
   UNION ALL SELECT turn + 1, now, ll, {own} FROM (SELECT turn, any_value(ll) AS ll, avg(greatest(d0, d1) + ln(exp(d0 - greatest(d0, d1)) + exp(d1 - greatest(d0, d1)))) AS now, {moments(0, "1 / (1 + exp(d1 - d0))")}, {moments(1, "1 / (1 + exp(d0 - d1))")}
     FROM (SELECT em.*, x, y, {density(0)} AS d0, {density(1)} AS d1 FROM em CROSS JOIN sp WHERE turn < 20 AND (turn < 2 OR abs(ll - old) >= 1e-3)) z GROUP BY turn) b),
 last_ AS (SELECT * FROM em ORDER BY turn DESC LIMIT 1),
@@ -1004,6 +1009,16 @@ def label_turned_pairs(fam, _, __, ___, king, segments):
     return rounded(done.labels(), "probability", "h1", "h2")
 
 
+TWINLESS = """, twins AS (SELECT id2 AS iid FROM king_typed WHERE inftype = 'Dup/MZ'), po_kept AS (SELECT * FROM po WHERE child NOT IN (SELECT iid FROM twins)),
+king_kept AS (SELECT * FROM king_typed WHERE id1 NOT IN (SELECT iid FROM twins) AND id2 NOT IN (SELECT iid FROM twins))"""
+
+
+@query("fam po king_typed segments", TWINLESS + re.sub(r"\bking_typed\b", "king_kept", re.sub(r"\bpo\b", "po_kept", labels_sql(False))).replace("FROM walk w JOIN fam f ON f.iid = w.first_parent", "FROM walk w JOIN fam f ON f.iid = w.first_parent WHERE focal NOT IN (SELECT iid FROM twins) AND w.id2 NOT IN (SELECT iid FROM twins)"))
+def label_without_twins(fam, _, king, segments):
+    """The second of each Dup/MZ pair leaves the job, as it does by default."""
+    return rounded(J.label_pairs(fam, king, segments, GENOME_CM), "probability", "h1", "h2")
+
+
 TRAINED = ", ".join(f"round({c}, 6) AS {c}" if c in ("ibd1", "ibd2", "h1", "h2") else c for c in ("ibd1", "ibd2", "n_ibd1", "n_ibd2", "n", "h1", "h2"))
 
 

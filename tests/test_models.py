@@ -116,3 +116,36 @@ def test_loop_in_the_pedigree_ends(spark):
     po = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "parent long, child long")
     got = {(r.focal, r.id2, tuple(r.dirs)) for r in K.pedigree_paths(po).collect()}
     assert (3, 1, (1, 1)) in got and (3, 1, (1,)) in got and all(f != t for f, t, _ in got)
+
+
+def test_mixture_starts_from_clusters(spark):
+    """The start is that of k-means, not of the nearest given mean; both differ here, and so do the fits."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal((0.5, 0.16), 0.03, (60, 2)), rng.normal((0.5, 0.3), 0.05, (50, 2))])
+    means = np.array([(0.5, 0.0), (0.5, 0.25)])
+    nearest = lambda c: ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+
+    def em(at, rounds):
+        r = np.eye(2)[at]
+        for n in range(rounds + 1):
+            if n:
+                logs = np.log(w) - np.log(2 * np.pi * v) - ((x[:, None] - m[None]) ** 2).sum(2) / (2 * v)
+                r = np.exp(logs - logs.max(1, keepdims=True))
+                r /= r.sum(1, keepdims=True)
+            mass = r.sum(0)
+            w, own = mass / len(x), r.T @ x / mass[:, None]
+            v = ((r[:, :, None] * x[:, None] ** 2).sum(0) / mass[:, None] - own**2).sum(1) / 2 + 1e-6
+            m = own if n else means
+        return w, m, v
+
+    centre = means.copy()
+    for _ in range(100):
+        at = nearest(centre)
+        centre = np.array([x[at == k].mean(0) if (at == k).any() else centre[k] for k in range(2)])
+    assert (nearest(means) != nearest(centre)).sum() > 20
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "x double, y double")
+    assert np.allclose(L.kmeans(df, means), centre, atol=1e-9)
+    got = L.gmm_fit(df, ("x", "y"), means, rounds=2, tol=0.0)
+    w, m, v = em(nearest(centre), 2)
+    assert np.allclose(got.weights, w) and np.allclose(got.means, m) and np.allclose(got.covs[:, 0, 0], v)
+    assert not np.allclose(em(nearest(means), 2)[1], m, atol=1e-3)
