@@ -186,8 +186,9 @@ def label_by_template(segments: DataFrame, template: DataFrame, popl: str, sim:
 
     Ids read family_roundNN_..._suffix; the round's digits must agree.  Ids become relative, 1 or 2, population, round and simulation.
     """
-    last = lambda c: F.element_at(F.split(c, "_"), -1)
-    turn = lambda c: F.regexp_replace(F.split(c, "_")[1], "[^0-9]", "")
+    # No lists of parts: each of these is worked out for the filter, the join and the result.
+    last = lambda c: F.substring_index(c, "_", -1)
+    turn = lambda c: F.regexp_replace(F.substring_index(F.substring_index(c, "_", 2), "_", -1), "[^0-9]", "")
     rows = segments.withColumns({"suffix1": last("id1"), "suffix2": last("id2"), "round1": turn("id1"), "round2": turn("id2")}).where("round1 = round2")
     named = rows.join(F.broadcast(template), ["suffix1", "suffix2"])  # a fixed table of a few rows
     name = lambda n: F.concat("relative", F.lit(f"{n}_{popl}_i"), F.col("round1"), F.lit(f"_sim{sim}"))

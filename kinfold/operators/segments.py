@@ -156,20 +156,18 @@ def uniform(*keys: str | Column) -> Column:
     return F.conv(F.substring(mark, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def _switches(side: int, mean_d: float, seed: int) -> Column:
-    """One side's switches as an array of (at, side), by one fold over the numbers of the gaps: past ``LONGEST_CM`` no further gap is drawn."""
+def _switches(side: int, mean_d: float) -> Column:
+    """One side's switches as an array of (at, side), by one fold over the numbers of the gaps: past ``LONGEST_CM`` no further gap is drawn.  The column ``key`` names the draw."""
     expected = LONGEST_CM / mean_d
     draws = int(expected + 8 * expected**0.5 + 12)
-    none = F.expr("cast(array() as array<struct<at: double, side: int>>)")
 
     def step(so_far: Column, i: Column) -> Column:
-        gap = -F.log(1 - uniform(F.lit(seed), *CHROM, F.lit(side), i)) * mean_d
-        # The sum is worked out once, as the only item of an array.
-        more = F.transform(F.array(so_far["at"] + gap), lambda at: F.struct(at.alias("at"), F.concat(so_far["sw"], F.array(F.struct(at.alias("at"), F.lit(side).alias("side")))).alias("sw")))
-        return F.when(so_far["at"] >= LONGEST_CM, so_far).otherwise(more[0])
+        last, gap = F.element_at(so_far, -1), -F.log(1 - uniform("key", F.lit(side), i)) * mean_d
+        return F.when(last >= LONGEST_CM, so_far).otherwise(F.concat(so_far, F.array(last + gap)))
 
-    short = F.raise_error(F.lit("more gaps than were drawn")).cast("array<struct<at: double, side: int>>")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.struct(F.lit(0.0).alias("at"), none.alias("sw")), step, lambda s: F.when(s["at"] < LONGEST_CM, short).otherwise(s["sw"]))
+    short = F.raise_error(F.lit("more gaps than were drawn")).cast("array<double>")
+    sums = F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.array(F.lit(0.0)), step, lambda s: F.when(F.element_at(s, -1) < LONGEST_CM, short).otherwise(F.slice(s, F.lit(2), F.size(s) - 1)))
+    return F.transform(sums, lambda at: F.struct(at.alias("at"), F.lit(side).alias("side")))
 
 
 def switch_arrays(chromosomes: DataFrame, mean_d: float = 50.0, seed: int = 0) -> DataFrame:
@@ -177,8 +175,10 @@ def switch_arrays(chromosomes: DataFrame, mean_d: float = 50.0, seed: int = 0) -
 
     There are gaps for the expected number and eight standard deviations and twelve more, too few once in some 10^15 sides; a side that they don't bring to the end stops the job.
     """
-    both = F.array_sort(F.concat(_switches(0, mean_d, seed), _switches(1, mean_d, seed)))
-    return chromosomes.select(*CHROM).distinct().select(*CHROM, both.alias("sw"))
+    # Few bytes but much work: a fixed number of partitions, which adaptive execution doesn't put together.
+    parts = int(chromosomes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = chromosomes.select(*CHROM).repartition(parts, *CHROM).distinct().withColumn("key", F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in CHROM)))
+    return keyed.select(*CHROM, F.array_sort(F.concat(_switches(0, mean_d), _switches(1, mean_d))).alias("sw"))
 
 
 def draw_switches(chromosomes: DataFrame, mean_d: float = 50.0, seed: int = 0) -> DataFrame:
