@@ -87,55 +87,82 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def postings(texts: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray], every: bool = False) -> DataFrame:
-    """``doc_id, shingle``: the short lists that each document is in, those of its first n - T + k shingles; k is ``SHARED``, or T where that is less.
+def prefix_size(n, percent: int):
+    """Shingles of a set of n (a number or an array) that are posted: n - T + k, with k ``SHARED``, or T where that is less."""
+    least = (percent * n + 99) // 100
+    return n - least + np.minimum(SHARED, least)
 
-    In the order of all shingles those in the column ``long`` (bigints, may be absent) come last, before them the ``known`` ones by their count.  With ``every`` all shingles are given.
+
+def postings(texts: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``doc_id, shingle``: the short lists that each document is in, those of its first shingles (``prefix_size``), frequent ones last.
+
+    In the order of all shingles those in the column ``long`` (bigints, may be absent) come last, before them the ``known`` ones by their count.  With columns ``lo`` and ``hi``
+    the shingles of these places in the order are given instead.
     """
     told = texts.sparkSession.sparkContext.broadcast(known)
-    columns = ["doc_id", "text", *(["long"] if "long" in texts.columns else [])]
+    cut = "hi" in texts.columns
+    columns = ["doc_id", "text", *(c for c in ("long", "lo", "hi") if c in texts.columns)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, power = told.value
         for some in text_chunks(batches, 1, CHUNK_BYTES):
             shingles, n = shingle_hashes(some.column(1), width)
-            first, least = np.cumsum(n) - n, (percent * n + 99) // 100
-            short = n - least + np.minimum(SHARED, least) if not every else n
+            first = np.cumsum(n) - n
+            lo, hi = (np.minimum(n, some.column(c).to_numpy()) for c in ("lo", "hi")) if cut else (np.zeros_like(n), prefix_size(n, percent))
             weight = np.zeros(len(shingles), np.int64)
             if len(often):
                 bits = (shingles >> np.uint64(32)).astype(np.uint32)
                 at = np.minimum(np.searchsorted(often, bits), len(often) - 1)
                 weight = np.where(often[at] == bits, power[at], 0).astype(np.int64)
-            if some.num_columns > 2:
-                for d, long in enumerate(some.column(2).to_pylist()):
+            if "long" in columns:
+                for d, long in enumerate(some.column("long").to_pylist()):
                     mine = shingles[first[d] : first[d] + n[d]]
                     weight[first[d] : first[d] + n[d]][np.isin(mine, np.array(long or [], np.int64).view(np.uint64))] += 1 << 40
             # Within a document the hashes are in order, and so they stay where counts are equal.
             order = np.arange(len(shingles))
-            if not every:
-                for d in np.unique(np.repeat(np.arange(len(n)), n)[np.flatnonzero(weight)]).tolist():
-                    order[first[d] : first[d] + n[d]] = first[d] + np.argsort(weight[first[d] : first[d] + n[d]], kind="stable")
-            take = order[np.repeat(first - (np.cumsum(short) - short), short) + np.arange(int(short.sum()))]
+            for d in np.unique(np.repeat(np.arange(len(n)), n)[np.flatnonzero(weight)]).tolist():
+                order[first[d] : first[d] + n[d]] = first[d] + np.argsort(weight[first[d] : first[d] + n[d]], kind="stable")
+            short = hi - lo
+            take = order[np.repeat(first + lo - (np.cumsum(short) - short), short) + np.arange(int(short.sum()))]
             ids = some.column(0).take(pa.array(np.repeat(np.arange(len(n)), short)))
-            for lo in range(0, len(take), 200_000):
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 200_000), pa.array(shingles[take[lo : lo + 200_000]].view(np.int64))], ["doc_id", "shingle"])
+            for at in range(0, len(take), 200_000):
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 200_000), pa.array(shingles[take[at : at + 200_000]].view(np.int64))], ["doc_id", "shingle"])
 
     return texts.select(*columns).mapInArrow(make, "doc_id bigint, shingle bigint")
 
 
-def short_lists(texts: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def short_lists(texts: DataFrame, sizes: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``postings`` in the order that puts the longest lists last: after a first round those of more than ``SMALL`` documents are left out wherever a document has others.
 
-    Only documents that are in such a list change: the long ones among all their shingles are looked up by a join.  Any other has its long shingles, if it has some, behind
-    those it posted anyway, so the order is one for all.
+    Only documents that are in such a list change.  They look beyond the places they posted, twice as far as they lack lists and some more, in the end by as many as they post, until they have enough
+    that aren't long, or no more shingles: a handful of rounds, of which the later ones see few.  Any other document has its long shingles, if it has some, behind those it posted anyway, so the order is one for all.
     """
     posted = stored(postings(texts, width, percent, known), "postings")
     long = stored(posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > SMALL).select("shingle"), "long")
-    those = stored(posted.join(long, "shingle", "left_semi").select("doc_id").distinct(), "affected")
-    rest = texts.join(those, "doc_id", "left_semi")
-    held = postings(rest, width, percent, known, every=True).join(long, "shingle", "left_semi").groupBy("doc_id").agg(F.collect_set("shingle").alias("long"))
-    again = postings(rest.join(held, "doc_id"), width, percent, known)
-    out = stored(posted.join(those, "doc_id", "left_anti").unionAll(again), "postings")
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    size = F.col("n") - least + F.least(F.lit(SHARED), least)
+    held = posted.join(long, "shingle", "left_semi").groupBy("doc_id").agg(F.collect_set("shingle").alias("long"))
+    # An id of several texts looks at all their shingles.
+    whole = F.col("n") != F.col("least")
+    now = held.join(sizes, "doc_id").select("doc_id", "n", size.cast("bigint").alias("need"), "long", F.when(whole, 0).otherwise(size).cast("bigint").alias("seen"))
+    lacks = F.col("need") - F.col("seen") + F.size("long")
+    now, done = stored(now, "looking"), []
+    while True:
+        ahead = now.where((lacks > 0) & (F.col("seen") < F.col("n")))
+        done.append(now.where(~((lacks > 0) & (F.col("seen") < F.col("n")))))
+        if ahead.isEmpty():
+            break
+        ahead = ahead.withColumns({"lo": F.col("seen"), "hi": F.when(F.col("seen") == 0, F.col("n")).otherwise(F.least("n", F.col("seen") + 2 * lacks + (16 if len(done) == 1 else F.col("need")))).cast("bigint")})
+        more = postings(texts.join(ahead.select("doc_id", "lo", "hi"), "doc_id"), width, percent, known).join(long, "shingle", "left_semi")
+        more = more.groupBy("doc_id").agg(F.collect_set("shingle").alias("more"))
+        now = ahead.join(more, "doc_id", "left").select("doc_id", "n", "need", F.when(F.col("more").isNull(), F.col("long")).otherwise(F.array_union("long", "more")).alias("long"), F.col("hi").alias("seen"))
+        now = stored(now, "looking")
+    those = done[0]
+    for some in done[1:]:
+        those = those.unionAll(some)
+    those = stored(those.select("doc_id", "long"), "affected")
+    again = postings(texts.join(those, "doc_id"), width, percent, known)
+    out = stored(posted.join(those.select("doc_id"), "doc_id", "left_anti").unionAll(again), "postings")
     discard(posted)
     return out
 
@@ -372,8 +399,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, pack: int =
     reps = stored(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "representatives")
     heads = reps.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    posted = short_lists(texts.join(heads, "doc_id", "left_semi"), width, percent, frequent(prints, most))
-    sizes = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    sizes = stored(reps.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n").alias("n"), F.min("n").alias("least")), "sizes")
+    posted = short_lists(texts.join(heads, "doc_id", "left_semi"), sizes, width, percent, frequent(prints, most))
     found = links(texts, sizes, posted, width, percent, pack)
     same = some.join(reps, ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("id1"), F.col("doc_id").alias("id2"))
     final = components(found.union(same))
