@@ -25,7 +25,10 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a recognised language; those without a letter are rejected."""
+    """Keep documents with a recognised language; those without a letter, null and empty ones among them, are rejected.
+
+    Texts count whole, however long; repeated rows are labelled and kept alike, rows without a doc_id like others; columns with the names used inside keep their values; an empty table stays empty.
+    """
     prepare(spark)
     labelled = langcrf.label(docs, langcrf.train(docs), ("__lang_pred", "__score"))
     return labelled.where(labelled["__lang_pred"] != langcrf.UNKNOWN).select(*docs.columns)
@@ -50,13 +53,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item; null and empty texts hold none and stay, as do rows without a doc_id; texts are searched whole."""
+    """Drop documents that hold a benchmark item; null and empty texts hold none and stay, as do rows without a doc_id; texts are searched whole.
+
+    A doc_id goes with all its rows if one of them holds an item; repeated rows of a clean one all stay; an empty table stays empty.
+    """
     leaked = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents by calibrated rates; null labels are a class, texts without words stay, repeated rows share their draw."""
+    """Sample documents by calibrated rates; null labels are a class, texts without words stay, repeated rows share their draw; texts of any length count with all their words; an empty table stays empty."""
     return mixing.mix(docs, labels=False)
 
 

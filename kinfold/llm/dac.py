@@ -248,7 +248,7 @@ def coder(path: str) -> WordCoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_tokens: int = BLOCK_TOKENS, bits: int = 8) -> None:
     """Encode ``text`` of every row and write blocks in ascending ``doc_id`` order to ``path``.
 
-    A null or empty text gives the end id alone.  Rows that share a doc_id are each kept, in order
+    A null or empty text gives the end id alone; a text of any length is encoded whole, over as many blocks as it needs.  Rows that share a doc_id are each kept, in order
     of their texts.  A null doc_id comes first and stays null.  An empty table gives no blocks.
     Other columns are not read.
     """

@@ -54,7 +54,8 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The rows of ``docs`` with ``n_lines``, ``n_dropped`` and ``kept`` (the lines that stay, joined by newline).
 
-    A null or empty text is one empty line.  All other columns stay as they are; columns of these
+    A null or empty text is one empty line; texts of any length keep or lose all their lines by the bitmaps; repeated rows are each given, with the same lines; an empty
+    table gives no rows.  All other columns stay as they are; columns of these
     three names are replaced.
     """
     marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("keep").alias("__keep")).hint("shuffle_hash")
