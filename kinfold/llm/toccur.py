@@ -96,12 +96,11 @@ def prefix_size(n, percent: int):
 def postings(texts: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``doc_id, shingle``: the short lists that each document is in, those of its first shingles (``prefix_size``), frequent ones last.
 
-    In the order of all shingles those in the column ``long`` (bigints, may be absent) come last, before them the ``known`` ones by their count.  With columns ``lo`` and ``hi``
-    the shingles of these places in the order are given instead.
+    In the order of all shingles the ``known`` ones come last, by their count.  With columns ``lo`` and ``hi`` the shingles of these places in the order are given instead.
     """
     told = texts.sparkSession.sparkContext.broadcast(known)
     cut = "hi" in texts.columns
-    columns = ["doc_id", "text", *(c for c in ("long", "lo", "hi") if c in texts.columns)]
+    columns = ["doc_id", "text", *(("lo", "hi") if cut else ())]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, power = told.value
@@ -114,10 +113,6 @@ def postings(texts: DataFrame, width: int, percent: int, known: tuple[np.ndarray
                 bits = (shingles >> np.uint64(32)).astype(np.uint32)
                 at = np.minimum(np.searchsorted(often, bits), len(often) - 1)
                 weight = np.where(often[at] == bits, power[at], 0).astype(np.int64)
-            if "long" in columns:
-                for d, long in enumerate(some.column("long").to_pylist()):
-                    mine = shingles[first[d] : first[d] + n[d]]
-                    weight[first[d] : first[d] + n[d]][np.isin(mine, np.array(long or [], np.int64).view(np.uint64))] += 1 << 40
             # Within a document the hashes are in order, and so they stay where counts are equal.
             order = np.arange(len(shingles))
             for d in np.unique(np.repeat(np.arange(len(n)), n)[np.flatnonzero(weight)]).tolist():
@@ -132,38 +127,44 @@ def postings(texts: DataFrame, width: int, percent: int, known: tuple[np.ndarray
 
 
 def short_lists(texts: DataFrame, sizes: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``postings`` in the order that puts the longest lists last: after a first round those of more than ``SMALL`` documents are left out wherever a document has others.
+    """``postings`` in the order that puts the longest lists last, or more: after a first round those of more than ``SMALL`` documents are left out wherever a document has others.
 
-    Only documents that are in such a list change.  They look beyond the places they posted, twice as far as they lack lists and some more, in the end by as many as they post, until they have enough
-    that aren't long, or no more shingles: a handful of rounds, of which the later ones see few.  Any other document has its long shingles, if it has some, behind those it posted anyway, so the order is one for all.
+    What was posted stays, but for the rows of long lists.  A document that lost some looks beyond the places it posted, twice as far as it lacks lists and some more, in the end by as many as it
+    posts, and posts all that aren't long there, until it has enough or no more shingles: a handful of rounds, of which the later ones see few.  One without enough takes its long rows back: the
+    long shingles that it needs are the first in the order, and those it posted.  So each document posts at least its first shingles in one order of all, which is all that the search needs.
     """
     posted = stored(postings(texts, width, percent, known), "postings")
     long = stored(posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > SMALL).select("shingle"), "long")
+    heavy = stored(posted.join(long, "shingle", "left_semi").select("doc_id", "shingle"), "heavy")
     least = F.ceil(F.lit(percent) * F.col("n") / 100)
-    size = F.col("n") - least + F.least(F.lit(SHARED), least)
-    held = posted.join(long, "shingle", "left_semi").groupBy("doc_id").agg(F.collect_set("shingle").alias("long"))
-    # An id of several texts looks at all their shingles.
-    whole = F.col("n") != F.col("least")
-    now = held.join(sizes, "doc_id").select("doc_id", "n", size.cast("bigint").alias("need"), "long", F.when(whole, 0).otherwise(size).cast("bigint").alias("seen"))
-    lacks = F.col("need") - F.col("seen") + F.size("long")
-    now, done = stored(now, "looking"), []
+    size = (F.col("n") - least + F.least(F.lit(SHARED), least)).cast("bigint")
+    held = heavy.groupBy("doc_id").agg(F.count_distinct("shingle").alias("long"))
+    # An id of several texts looks at all their shingles and takes its long rows back.
+    several = F.col("n") != F.col("least")
+    now = held.join(sizes, "doc_id").select("doc_id", "n", size.alias("need"), "long", F.when(several, 0).otherwise(size).cast("bigint").alias("seen"), several.alias("several"))
+    now = stored(now, "looking")
+    lacks = F.col("need") - F.col("seen") + F.col("long")
+    more, without = [], []
     while True:
-        ahead = now.where((lacks > 0) & (F.col("seen") < F.col("n")))
-        done.append(now.where(~((lacks > 0) & (F.col("seen") < F.col("n")))))
+        without.append(now.where(((lacks > 0) | F.col("several")) & (F.col("seen") >= F.col("n"))).select("doc_id"))
+        ahead = now.where(((lacks > 0) | F.col("several")) & (F.col("seen") < F.col("n")))
         if ahead.isEmpty():
             break
-        ahead = ahead.withColumns({"lo": F.col("seen"), "hi": F.when(F.col("seen") == 0, F.col("n")).otherwise(F.least("n", F.col("seen") + 2 * lacks + (16 if len(done) == 1 else F.col("need")))).cast("bigint")})
-        more = postings(texts.join(ahead.select("doc_id", "lo", "hi"), "doc_id"), width, percent, known).join(long, "shingle", "left_semi")
-        more = more.groupBy("doc_id").agg(F.collect_set("shingle").alias("more"))
-        now = ahead.join(more, "doc_id", "left").select("doc_id", "n", "need", F.when(F.col("more").isNull(), F.col("long")).otherwise(F.array_union("long", "more")).alias("long"), F.col("hi").alias("seen"))
-        now = stored(now, "looking")
-    those = done[0]
-    for some in done[1:]:
-        those = those.unionAll(some)
-    those = stored(those.select("doc_id", "long"), "affected")
-    again = postings(texts.join(those, "doc_id"), width, percent, known)
-    out = stored(posted.join(those.select("doc_id"), "doc_id", "left_anti").unionAll(again), "postings")
-    discard(posted)
+        until = F.when(F.col("several"), F.col("n")).otherwise(F.least("n", F.col("seen") + 2 * lacks + (4 if not more else F.col("need")))).cast("bigint")
+        ahead = ahead.withColumn("until", until)
+        looked = postings(texts.join(ahead.select("doc_id", F.col("seen").alias("lo"), F.col("until").alias("hi")), "doc_id"), width, percent, known)
+        more.append(stored(looked.join(long, "shingle", "left_anti").select("doc_id", "shingle").distinct(), "more"))
+        got = more[-1].groupBy("doc_id").agg(F.count(F.lit(1)).alias("got"))
+        left = F.col("long") + F.col("until") - F.col("seen") - F.coalesce("got", F.lit(0))
+        now = stored(ahead.join(got, "doc_id", "left").select("doc_id", "n", "need", left.cast("bigint").alias("long"), F.col("until").alias("seen"), "several"), "looking")
+    kept = posted.join(long, "shingle", "left_anti").select("doc_id", "shingle")
+    for some in more:
+        kept = kept.unionAll(some)
+    for some in without:
+        kept = kept.unionAll(heavy.join(some, "doc_id", "left_semi").select("doc_id", "shingle"))
+    out = stored(kept, "postings")
+    for done in (posted, heavy, *more):
+        discard(done)
     return out
 
 
