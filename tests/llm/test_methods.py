@@ -521,6 +521,39 @@ def test_language_model_against_brute_force(spark):
     assert (sum(r.score for r in unseen) - sum(blind[r.doc_id] for r in unseen)) / tokens > 0.005
 
 
+def test_attention_learns_from_every_text(spark):
+    """Pairs of ids are counted alike in both tables; only the 600 texts that come last by the hash of their ids tell which ends go together."""
+    ids = [r.doc_id for r in spark.range(1, 2001).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    plain, last = ids[:1400], ids[1400:]
+    score = []
+    for ends in (("north", "south"), ("south", "north")):
+        rows = [(d, "one two three four five six") for d in plain]
+        rows += [(d, "water " * 3 + "river " + ends[0] if k % 2 else "stone " * 3 + "river " + ends[1]) for k, d in enumerate(last)]
+        docs = spark.createDataFrame([*rows, (0, "water water water river north")], "doc_id long, text string")
+        score.append(attnlm.score_texts(docs, F.col("doc_id") != 0, queries._tokenizer()).where("doc_id = 0").first().score)
+    assert score[0] > score[1] + 0.05
+
+
+def test_training_windows_hold_each_id_once(spark):
+    sizes, n, end = np.array([1, 2, 31, 32, 33, 511, 512, 513, 1300]), 300, 299
+    texts = [np.random.default_rng(k).integers(0, n, s).astype(attnlm.id_type(n)) for k, s in enumerate(sizes)]
+    rows = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(texts)], "doc_id long, ids binary")
+    net = network(4)
+    x, y, weight = attnlm.windows_of(net, [bytes(r.ids) for r in attnlm.pieces_of(rows, n, end).collect()], attnlm.id_type(n))
+    want = sorted((b, net.classes[t]) for text in texts for b, t in zip([end, *text[:-1]], text))
+    assert weight.sum() == sizes.sum() and sorted(zip(x[weight > 0].tolist(), y[weight > 0].tolist())) == want
+
+
+def test_training_groups_do_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(attnlm, "SHARE", 200)
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    found = []
+    for n in (1, 7):
+        out = attnlm.score_texts(docs.repartition(n), common.doc_bucket("doc_id", 7) != 2, queries._tokenizer())
+        found.append([r.score for r in out.orderBy("doc_id").collect()])
+    assert np.allclose(*found, rtol=1e-4)
+
+
 def test_pipeline_stages_follow_their_operators(spark):
     sf = "/root/testdata/sf0.001"
     docs = common.table(spark, sf, "documents")
