@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -496,6 +497,31 @@ def test_attention_gradient():
         assert abs((up - down) / 2e-5 - slopes[name][at]) < 1e-6
 
 
+def test_training_and_scoring_reuse_their_arrays():
+    rng = np.random.default_rng(6)
+    net = network(6)
+    net.freeze()
+    net.params = {k: v.astype(np.float32) for k, v in net.params.items()}
+    x, y = rng.integers(0, 300, (2, 128, attnlm.WIDTH))
+    y %= attnlm.CLASSES
+    for call in (lambda: net._slopes(x, y, np.ones(x.shape, np.float32))[1]["embed"], lambda: net._windows(x, net.classes[x], y, 8)):
+        first = call().copy()
+        tracemalloc.start()
+        again = call()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.array_equal(first, again) and peak < 900_000
+
+
+def test_the_most_frequent_words_are_looked_up_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(attnlm, "HEAD", 3)
+    table = lambda *n: spark.createDataFrame([(f"w{k}".encode(), v) for k, v in enumerate(n)], "word binary, n long")
+    # Of 1000 tokens only one word has a third.
+    assert attnlm.head_of(table(900, 50, 40, 5, 3, 2)) == (1000, 6, 40)
+    assert attnlm.head_of(table(7, 7, 7, 7)) == (28, 4, 1 << 62)
+    assert attnlm.head_of(table(1)) == (1, 1, 1) and attnlm.head_of(table(1).limit(0)) == (0, 0, 1 << 62)
+
+
 def test_language_model_against_brute_force(spark):
     """The base by its formula; the model beats it on unseen texts, and beats itself trained without attention."""
     sf = "/root/testdata/sf0.01"
