@@ -547,6 +547,17 @@ def test_language_model_against_brute_force(spark):
     assert (sum(r.score for r in unseen) - sum(blind[r.doc_id] for r in unseen)) / tokens > 0.005
 
 
+def test_pairs_out_of_memory_count_as_well(spark, monkeypatch):
+    """Scores are the same however many pairs are looked up in memory."""
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    found = []
+    for most in (attnlm.PAIRS, 2000, 1):
+        monkeypatch.setattr(attnlm, "PAIRS", most)
+        out = attnlm.score_texts(docs, common.doc_bucket("doc_id", 7) != 2, queries._tokenizer())
+        found.append(np.array([r.score for r in out.orderBy("doc_id").collect()]))
+    assert np.allclose(found[1], found[0], rtol=1e-5) and np.allclose(found[2], found[0], rtol=1e-5)
+
+
 def test_attention_learns_from_every_text(spark):
     """Pairs of ids are counted alike in both tables; only the 600 texts that come last by the hash of their ids tell which ends go together."""
     ids = [r.doc_id for r in spark.range(1, 2001).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
