@@ -6,8 +6,15 @@ haplotypes 0 and 1 of id1, slots 3 and 4 those of id2.  A pair's segments name i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from kinfold.operators.canonical import PAIR, match
 from kinfold.operators.canonical import canonical_pairs as canonical_pairs
@@ -16,6 +23,7 @@ CHROM = (*PAIR, "chromosome")
 MIN_PROPIBD = 2.0**-3.5
 MIN_PIECE_CM = 2.5
 LONGEST_CM = 300.0
+SWITCHES = ArrayType(StructType([StructField("at", DoubleType()), StructField("side", IntegerType())]))
 
 
 def pair_id(a: str = "id1", b: str = "id2") -> Column:
@@ -150,40 +158,45 @@ def pair_coverage(segments: DataFrame, max_gap: float = 1.0) -> DataFrame:
     return joined.join(raw, list(CHROM)).groupBy(*PAIR).agg(F.sum("k").alias("n_segs"), F.sum("span").alias("tot_cov"), F.sum("all").alias("tot_all"), F.sum("b1").alias("hap1"), F.sum("b2").alias("hap2"))
 
 
-def uniform(*keys: str | Column) -> Column:
-    """A number in [0, 1) from the keys: 52 bits of md5, the same on every run and partitioning."""
-    mark = F.md5(F.concat_ws(":", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]).cast("binary"))
-    return F.conv(F.substring(mark, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-
-
-def _switches(side: int, mean_d: float) -> Column:
-    """One side's switches as an array of (at, side), by one fold over the numbers of the gaps: past ``LONGEST_CM`` no further gap is drawn.  The column ``key`` names the draw."""
-    expected = LONGEST_CM / mean_d
-    draws = int(expected + 8 * expected**0.5 + 12)
-
-    def step(so_far: Column, i: Column) -> Column:
-        last, gap = F.element_at(so_far, -1), -F.log(1 - uniform("key", F.lit(side), i)) * mean_d
-        return F.when(last >= LONGEST_CM, so_far).otherwise(F.concat(so_far, F.array(last + gap)))
-
-    short = F.raise_error(F.lit("more gaps than were drawn")).cast("array<double>")
-    sums = F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.array(F.lit(0.0)), step, lambda s: F.when(F.element_at(s, -1) < LONGEST_CM, short).otherwise(F.slice(s, F.lit(2), F.size(s) - 1)))
-    return F.transform(sums, lambda at: F.struct(at.alias("at"), F.lit(side).alias("side")))
-
-
 def switch_arrays(chromosomes: DataFrame, mean_d: float = 50.0, seed: int = 0) -> DataFrame:
     """``sw`` per (pair, chromosome), the switches of both sides in order as (at, side): running sums of exponential gaps up to the first beyond ``LONGEST_CM``.
 
-    There are gaps for the expected number and eight standard deviations and twelve more, too few once in some 10^15 sides; a side that they don't bring to the end stops the job.
+    Gap i of a side comes from 52 bits of md5 of seed, pair, chromosome, side and i, the same on every run and partitioning; a batch draws the next gap of all its sides that aren't at the end yet.
     """
+    if not mean_d > 0:
+        raise ValueError("mean_d must be positive")
+    longest = LONGEST_CM
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            n = some.num_rows
+            begin = [f"{key}:{side}:" for side in (0, 1) for key in some.column(3).to_pylist()]
+            left, last, found, i = np.arange(2 * n), np.zeros(2 * n), [], 0
+            while len(left):
+                i += 1
+                marks = b"".join([md5(f"{begin[k]}{i}".encode(), usedforsecurity=False).digest() for k in left.tolist()])
+                # The first 52 of 128 bits.
+                u = (np.frombuffer(marks, ">u8")[::2] >> np.uint64(12)).astype(np.float64) / 16.0**13
+                last[left] += -np.log(1 - u) * mean_d
+                found.append((left, last[left]))
+                left = left[last[left] < longest]
+            side, row = np.divmod(np.concatenate([k for k, _ in found] or [left]), max(n, 1))
+            at = np.concatenate([x for _, x in found] or [last])
+            order = np.lexsort((side, at, row))
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n))))
+            points = pa.StructArray.from_arrays([pa.array(at[order]), pa.array(side[order], pa.int32())], ["at", "side"])
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), points)], [*CHROM, "sw"])
+
     # Few bytes but much work: a fixed number of partitions, which adaptive execution doesn't put together.
     parts = int(chromosomes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = chromosomes.select(*CHROM).repartition(parts, *CHROM).distinct().withColumn("key", F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in CHROM)))
-    return keyed.select(*CHROM, F.array_sort(F.concat(_switches(0, mean_d), _switches(1, mean_d))).alias("sw"))
+    of = chromosomes.select(*CHROM)
+    keyed = of.repartition(parts, *CHROM).distinct().withColumn("key", F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in CHROM)))
+    return keyed.mapInArrow(draw, StructType([*of.schema.fields, StructField("sw", SWITCHES)]))
 
 
 def draw_switches(chromosomes: DataFrame, mean_d: float = 50.0, seed: int = 0) -> DataFrame:
     """``side, switch_cm`` per (pair, chromosome), the switches of ``switch_arrays`` as rows."""
-    return switch_arrays(chromosomes, mean_d, seed).select(*CHROM, F.inline("sw")).select(*CHROM, "side", F.col("at").alias("switch_cm"))
+    return switch_arrays(chromosomes, mean_d, seed).select(*CHROM, F.inline_outer("sw")).select(*CHROM, "side", F.col("at").alias("switch_cm"))
 
 
 def phase_error_split(segments: DataFrame, switches: DataFrame, min_cm: float = MIN_PIECE_CM) -> DataFrame:
@@ -195,20 +208,39 @@ def phase_error_split(segments: DataFrame, switches: DataFrame, min_cm: float =
     """
     point = F.struct(F.col("switch_cm").cast("double").alias("at"), F.col("side").cast("int").alias("side"))
     of = switches if "sw" in switches.columns else switches.groupBy(*CHROM).agg(F.sort_array(F.collect_list(point)).alias("sw"))
-    rows = segments.join(of, list(CHROM), "left")
-    none = F.expr("cast(array() as array<struct<at: double, side: int>>)")
-    rows = rows.withColumn("sw", F.coalesce("sw", none)).withColumns({"cuts": F.filter("sw", lambda s: (s["at"] >= F.col("start_cm")) & (s["at"] <= F.col("end_cm"))), "m1": _before(0), "m2": _before(1)})
-    # Cut 0 is the start; cut k is the k-th switch inside.
-    pieces = rows.select(*CHROM, "id1_haplotype", "id2_haplotype", "start_cm", "end_cm", "cuts", "m1", "m2", F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("k"))
-    at = F.when(F.col("k") == 0, F.col("start_cm")).otherwise(F.try_element_at("cuts", F.col("k"))["at"])
-    until = F.coalesce(F.try_element_at("cuts", F.col("k") + 1)["at"], "end_cm")
-    inside = lambda s: F.size(F.filter(F.slice("cuts", F.lit(1), F.col("k")), lambda c: c["side"] == s))
-    kept = pieces.withColumns({"at": at, "until": until}).where(F.col("until") - F.col("at") >= min_cm)
-    kept = kept.withColumns({"n1": (F.col("m1") + inside(0)).cast("bigint"), "n2": (F.col("m2") + inside(1)).cast("bigint")})
+    out = segments.select(*CHROM, "id1_haplotype", "id2_haplotype", F.col("start_cm").cast("double"), F.col("end_cm").cast("double")).where("start_cm is not null and end_cm is not null")
+    fields = [*out.schema.fields, *(StructField(n, LongType()) for n in ("n1", "n2"))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            n, lists = some.num_rows, some.column(7)
+            start, end = (some.column(k).to_numpy() for k in (5, 6))
+            # NaN is larger than any number.
+            lo, hi = (np.where(np.isnan(x), np.inf, x) for x in (start, end))
+            points, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            at, side = points.field(0).to_numpy(zero_copy_only=False), points.field(1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), sizes)
+            early, inside = at < lo[row], np.flatnonzero((at >= lo[row]) & (at <= hi[row]))
+            # Piece 0 of a segment begins at its start, piece k at the k-th switch inside.
+            more = np.bincount(row[inside], minlength=n)
+            first = np.arange(n) + np.cumsum(more) - more
+            owner, begin = np.repeat(np.arange(n), more + 1), np.empty(n + len(inside))
+            later = np.ones(len(begin), bool)
+            later[first] = False
+            begin[first], begin[later] = start, at[inside]
+            until = np.append(begin[1:], 0.0)
+            until[first + more] = end
+            long = until - begin
+            keep = np.flatnonzero((long >= min_cm) | np.isnan(long))
+            counts = []
+            for s in (0, 1):
+                passed = np.zeros(len(begin), np.int64)
+                passed[later] = side[inside] == s
+                passed = np.cumsum(passed)
+                counts.append((passed - passed[first][owner] + np.bincount(row[early & (side == s)], minlength=n)[owner])[keep])
+            same = some.take(pa.array(owner[keep])).columns[:5]
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(x) for x in (begin[keep], until[keep], *counts))], [f.name for f in fields])
+
+    kept = out.join(of, list(CHROM), "left").mapInArrow(cut, StructType(fields))
     flip = lambda h, n: F.when(F.col(n) % 2 == 1, 1 - F.col(h)).otherwise(F.col(h)).alias(h)
-    return kept.select(*CHROM, flip("id1_haplotype", "n1"), flip("id2_haplotype", "n2"), F.col("at").alias("start_cm"), F.col("until").alias("end_cm"), "n1", "n2")
-
-
-def _before(side: int) -> Column:
-    """How many of a side's switches lie before the segment."""
-    return F.size(F.filter("sw", lambda s: (s["at"] < F.col("start_cm")) & (s["side"] == side)))
+    return kept.select(*CHROM, flip("id1_haplotype", "n1"), flip("id2_haplotype", "n2"), "start_cm", "end_cm", "n1", "n2")

@@ -159,7 +159,7 @@ split AS (SELECT id1, id2, chromosome, CAST(CASE WHEN n1 % 2 = 1 THEN 1 - id1_ha
 
 @query("segments", f"{SWITCHES} SELECT id1, id2, chromosome, id1_haplotype, id2_haplotype, round(start_cm, 6) AS start_cm, round(end_cm, 6) AS end_cm, n1, n2 FROM split")
 def phase_error_split(segments):
-    return rounded(S.phase_error_split(segments, S.draw_switches(segments, 50.0, 7)), "start_cm", "end_cm")
+    return rounded(S.phase_error_split(segments, S.switch_arrays(segments, 50.0, 7)), "start_cm", "end_cm")
 
 
 @query("segments", f"{SWITCHES}{STATS.replace('FROM segments', 'FROM split')} {STATS_OUT}")

@@ -6,6 +6,7 @@ import pytest
 
 from kinfold.operators import genmap as M
 from kinfold.operators import segments as S
+from kinfold.plans.queries import QUERIES
 
 SCHEMA = "id1 long, id2 long, chromosome int, id1_haplotype int, id2_haplotype int, start_cm double, end_cm double"
 
@@ -86,3 +87,28 @@ def test_switches_reach_the_end_whatever_their_distance(spark):
     pairs = spark.createDataFrame([(1, 2, 1)], "id1 long, id2 long, chromosome int")
     got = S.draw_switches(pairs, mean_d=1.0).groupBy("side").agg({"switch_cm": "max", "*": "count"}).collect()
     assert len(got) == 2 and all(r["max(switch_cm)"] > S.LONGEST_CM and r["count(1)"] > 200 for r in got)
+
+
+def test_cuts_by_brute_force_and_without_gathering(spark, sf_dir):
+    """Pieces equal those counted one by one, with switches as arrays or as rows; the query's switches are arrays from the start, never gathered from rows."""
+    rng = random.Random(5)
+    rows = [(i, i + 1, 1, rng.randint(0, 1), rng.randint(0, 1), s := rng.randint(0, 200) / 2, s + rng.randint(0, 400) / 2) for i in range(3) for _ in range(40)]
+    rows += [(9, 10, 1, 0, 1, 3.0, 8.0), (0, 1, 1, 0, 1, None, 8.0), (0, 1, 1, 0, 1, 3.0, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    arrays = S.switch_arrays(df.where("id1 < 9"), 20.0, 3)
+    drawn = {r.id1: [(p.at, p.side) for p in r.sw] for r in arrays.collect()}
+    want = []
+    for i, j, c, a, b, start, end in rows:
+        if start is None or end is None:
+            continue
+        points = drawn.get(i, [])
+        assert points == sorted(points)
+        cuts = [start, *(at for at, _ in points if start <= at <= end), end]
+        for at, until in zip(cuts, cuts[1:]):
+            n = [sum(s == side and (x < start or start <= x <= at) for x, s in points) for side in (0, 1)]
+            if until - at >= S.MIN_PIECE_CM:
+                want.append((i, j, c, a ^ (n[0] % 2), b ^ (n[1] % 2), at, until, *n))
+    for switches in (arrays, S.draw_switches(df.where("id1 < 9"), 20.0, 3)):
+        assert sorted(map(tuple, S.phase_error_split(df, switches).collect())) == sorted(want)
+    plan = QUERIES["phase_error_split"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
