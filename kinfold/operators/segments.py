@@ -122,9 +122,9 @@ def h_score(regions: DataFrame, inter_phase: bool = False, folded: bool = True)
 def pair_stats(segments: DataFrame, genome_cm: float, inter_phase: bool = False, max_gap: float = 1.0) -> DataFrame:
     """ibd1 and ibd2 as shares of the genome, region and island counts and h-scores.
 
-    One sweep feeds all region statistics: a partial sum per chromosome, which needs no further shuffle, then one per pair.
+    One sweep feeds all region statistics: a partial sum per chromosome, which needs no further shuffle, then one per pair.  Sweep and islands share one shuffle of the segments.
     """
-    two = _is_ibd2()
+    two, segments = _is_ibd2(), segments.repartition(*CHROM)
     per = ibd_regions(segments).groupBy(*CHROM).agg(
         F.sum(F.when(~two, _length()).otherwise(0.0)).alias("l1"), F.sum(F.when(two, _length()).otherwise(0.0)).alias("l2"), F.sum(F.when(two, 0).otherwise(1)).alias("m1"), F.sum(F.when(two, 1).otherwise(0)).alias("m2"), *_side("c1", "c2"), *_side("c3", "c4")
     )

@@ -137,19 +137,20 @@ class Labelling(NamedTuple):
         return found if order is None else as_given(found, order)
 
 
-def label(
-    fam: DataFrame, king: DataFrame, segments: DataFrame, genome_cm: float, *, assess: bool = False, min_k: float = MIN_PROPIBD, mean_d: float = 50.0, seed: int = 0,
-    populations: DataFrame | None = None, popl: str | None = None, drop_twins: bool = True, codes=CODES, tree=TREE, models: dict[str, DataFrame] | None = None,
-) -> Labelling:
-    """Probabilities of all close pairs with segments, or of known ones when assessing.
+class Ready(NamedTuple):
+    """What training and labelling start from: all people and those who count, kinship and segments of close pairs by the smaller id, and the pairs' statistics."""
 
-    Kinship and segments may name a pair in any order, and kinship more than once (the largest propibd counts); the result names the smaller id first, see ``Labelling.labels``.
-    With ``popl`` only people of that population count (``populations``: iid, popl); unless ``drop_twins`` is false the second member of each Dup/MZ pair, second as kinship
-    names it, goes (P2, P3); both leave pedigree and kinship before anything else.  ``codes`` and ``tree`` may be the user's own; with ``models`` from earlier training none is fitted.
-    """
-    spark = fam.sparkSession
-    check_codes(codes, tree)
-    nodes, persons = tree_table(spark, tree), fam
+    fam: DataFrame
+    persons: DataFrame
+    king: DataFrame
+    close: DataFrame
+    stats: DataFrame
+    genome_cm: float
+
+
+def ready(fam: DataFrame, king: DataFrame, segments: DataFrame, genome_cm: float, *, min_k: float = MIN_PROPIBD, populations: DataFrame | None = None, popl: str | None = None, drop_twins: bool = True) -> Ready:
+    """The tables of ``label`` before any model; one training and any number of labellings can start from them."""
+    persons = fam
     twins = stored(P.twins(king), "twins") if drop_twins and "inftype" in king.columns else None
     drop_twins = twins is not None and not twins.isEmpty()
     # One row for each pair of people, whatever way round the tables name them.
@@ -163,27 +164,36 @@ def label(
         king = stored(P.keep_members(king, persons.select("iid").distinct()), "king")
     # With a least kinship only pairs that kinship has are kept anyway.
     close = stored(close_pair_segments(segments if persons is fam or min_k > 0 else P.keep_pairs(segments, king), king, min_k), "close")
-    stats = stored(pair_stats(close, genome_cm), "stats")
-    kin = king.select(*PAIR, F.col("ibd1seg").alias("k_ibd1"), F.col("ibd2seg").alias("k_ibd2"))
-    rows = stats.join(kin, PAIR)
-    known = None
-    if assess or models is None:
-        groups = stored(sibship_groups(po_edges(persons), fam, king), "groups")
-        if persons is not fam:
-            ids = persons.select("iid").distinct()
-            groups = groups.join(ids.select(F.col("iid").alias("focal")), "focal", "left_semi").join(ids.select(F.col("iid").alias("id2")), "id2", "left_semi")
-        known = stored(known_pairs(groups, codes_table(spark, codes), king, stats).where("n is not null"), "known")
-    if models is None:
-        training = stored(training_table(known, close, genome_cm, mean_d, seed, stats), "training")
-        fitted = zip(MODELS, (degree_model(known), segment_count_model(known), haplotype_model(training)), strict=True)
-        models = {name: stored(model, "model") for name, model in fitted}
-    if assess:
-        rows = rows.join(known.select(*PAIR).distinct(), PAIR, "left_semi")
+    return Ready(fam, persons, king, close, stored(pair_stats(close, genome_cm), "stats"), genome_cm)
+
+
+def known_relatives(of: Ready, codes=CODES) -> DataFrame:
+    """The pairs with statistics whose relationship the pedigree names."""
+    groups = stored(sibship_groups(po_edges(of.persons), of.fam, of.king), "groups")
+    if of.persons is not of.fam:
+        ids = of.persons.select("iid").distinct()
+        groups = groups.join(ids.select(F.col("iid").alias("focal")), "focal", "left_semi").join(ids.select(F.col("iid").alias("id2")), "id2", "left_semi")
+    return stored(known_pairs(groups, codes_table(of.fam.sparkSession, codes), of.king, of.stats).where("n is not null"), "known")
+
+
+def train(of: Ready, known: DataFrame, mean_d: float = 50.0, seed: int = 0) -> dict[str, DataFrame]:
+    """M2 to M4, M8: the three models, learned from known pairs."""
+    training = stored(training_table(known, of.close, of.genome_cm, mean_d, seed, of.stats), "training")
+    fitted = zip(MODELS, (degree_model(known), segment_count_model(known), haplotype_model(training)), strict=True)
+    return {name: stored(model, "model") for name, model in fitted}
+
+
+def scored(of: Ready, models: dict[str, DataFrame], tree=TREE, only: DataFrame | None = None) -> Labelling:
+    """Probabilities of all pairs by the models, or of the known ones in ``only``."""
+    nodes = tree_table(of.fam.sparkSession, tree)
+    rows = of.stats.join(of.king.select(*PAIR, F.col("ibd1seg").alias("k_ibd1"), F.col("ibd2seg").alias("k_ibd2")), PAIR)
+    if only is not None:
+        rows = rows.join(only.select(*PAIR).distinct(), PAIR, "left_semi")
     rows = stored(rows, "rows")
     degrees = stored(degree_probs(rows, models["degree"]), "degrees")
     second = degrees.where("node = '2nd' and p_con > 0.2").select(*PAIR)
-    if assess:
-        second = known.where("degree = '2nd'").select(*PAIR).distinct()
+    if only is not None:
+        second = only.where("degree = '2nd'").select(*PAIR).distinct()
     chosen = stored(rows.join(second, PAIR, "left_semi"), "second")
     counts = sum_children(segment_count_probs(chosen, models["segments"]))
     probs = degrees.withColumn("method", F.lit("degree")).unionByName(counts.withColumn("method", F.lit("segments")))
@@ -191,6 +201,22 @@ def label(
     return Labelling(rows, stored(cascaded(probs, nodes), "probs"), nodes, models)
 
 
+def label(
+    fam: DataFrame, king: DataFrame, segments: DataFrame, genome_cm: float, *, assess: bool = False, min_k: float = MIN_PROPIBD, mean_d: float = 50.0, seed: int = 0,
+    populations: DataFrame | None = None, popl: str | None = None, drop_twins: bool = True, codes=CODES, tree=TREE, models: dict[str, DataFrame] | None = None,
+) -> Labelling:
+    """Probabilities of all close pairs with segments, or of known ones when assessing.
+
+    Kinship and segments may name a pair in any order, and kinship more than once (the largest propibd counts); the result names the smaller id first, see ``Labelling.labels``.
+    With ``popl`` only people of that population count (``populations``: iid, popl); unless ``drop_twins`` is false the second member of each Dup/MZ pair, second as kinship
+    names it, goes (P2, P3); both leave pedigree and kinship before anything else.  ``codes`` and ``tree`` may be the user's own; with ``models`` from earlier training none is fitted.
+    """
+    check_codes(codes, tree)
+    of = ready(fam, king, segments, genome_cm, min_k=min_k, populations=populations, popl=popl, drop_twins=drop_twins)
+    known = known_relatives(of, codes) if assess or models is None else None
+    return scored(of, train(of, known, mean_d, seed) if models is None else models, tree, known if assess else None)
+
+
 def label_pairs(fam: DataFrame, king: DataFrame, segments: DataFrame, genome_cm: float, min_p: float = 0.5, **how) -> DataFrame:
     """The labels of ``label`` at one least probability."""
     return label(fam, king, segments, genome_cm, **how).labels(min_p)

@@ -1031,9 +1031,10 @@ def training_table(po, fam, king, segments):
 
 @query("fam po king_typed segments", labels_sql(False).replace("SELECT id1, id2, k_ibd1", "SELECT CAST(id1 AS VARCHAR) AS id1, CAST(id2 AS VARCHAR) AS id2, k_ibd1"))
 def file_labels(fam, _, king, segments):
-    """Models are written and read by a second run that fits none; its labels go through the readable file."""
+    """Models are written, and all pairs labelled by what is read again; the labels go through the readable file."""
     spark, path = fam.sparkSession, scratch(fam.sparkSession, "files")
-    J.write_models(J.label(fam, king, segments, GENOME_CM, drop_twins=False).models, f"{path}-models")
-    again = J.label(fam, king, segments, GENOME_CM, drop_twins=False, models=J.read_models(spark, f"{path}-models"))
-    W.write_readable(rounded(again.labels(), "probability", "h1", "h2"), path, with_h=True)
+    of = J.ready(fam, king, segments, GENOME_CM, drop_twins=False)
+    J.write_models(J.train(of, J.known_relatives(of)), f"{path}-models")
+    done = J.scored(of, J.read_models(spark, f"{path}-models"))
+    W.write_readable(rounded(done.labels(), "probability", "h1", "h2"), path, with_h=True)
     return spark.read.schema("id1 string, id2 string, k_ibd1 double, k_ibd2 double, most_probable string, probability double, degree string, h1 double, h2 double").option("sep", "\t").option("header", True).csv(path)

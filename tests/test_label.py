@@ -66,3 +66,13 @@ def test_twins_populations_models_and_own_tree(spark):
     flat = J.label(fam, king, segments, 3545.0, tree=tree, models=full.models)
     assert {r.parent for r in flat.tree.where("node = 'AV'").collect()} == {"2nd"} and flat.probs.count() == full.probs.count()
     assert full.labels(0.99).count() == len(want)
+
+
+def test_labels_by_stored_models_prepare_pairs_once(spark, sf_dir, monkeypatch):
+    """Training and labelling start from the same tables, and training scores no pairs."""
+    from kinfold.plans.queries import QUERIES
+
+    names, store = [], J.stored
+    monkeypatch.setattr(J, "stored", lambda df, name: (names.append(name), store(df, name))[1])
+    assert QUERIES["file_labels"](spark, sf_dir).count() > 0
+    assert [names.count(n) for n in ("kinship", "close", "stats", "training", "rows", "probs")] == [1] * 6
