@@ -43,19 +43,29 @@ def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]
     """The distinct 64-bit hashes of each text's word shingles, sorted text by text, and how many each has; fewer words than ``width`` are one shingle."""
     words, number, sizes = word_numbers(texts)
     hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(words))[number]
-    wide = np.minimum(width, sizes)
-    counts = np.where(sizes > 0, sizes - wide + 1, 0)
-    owner = np.repeat(np.arange(len(sizes)), counts)
-    at = np.arange(len(owner)) + np.repeat((np.cumsum(sizes) - sizes) - (np.cumsum(counts) - counts), counts)
-    out, wide = hashed[at], wide[owner]
+    counts = np.where(sizes > 0, np.maximum(sizes - width, 0) + 1, 0)
+    starts, stop = np.cumsum(sizes) - sizes, np.cumsum(counts)
+    step = lambda so_far, more, k: _mixed(so_far * _MIX[0] + more * _MIX[1] + np.uint64(k))
+    # All windows of the words as they lie, those over the end of a text too; only a text's own are taken.
+    every = hashed
     for k in range(1, width):
-        more = np.flatnonzero(wide > k)
-        out[more] = _mixed(out[more] * _MIX[0] + hashed[at[more] + k] * _MIX[1] + np.uint64(k))
-    short = np.flatnonzero(wide < width)
-    out[short] = _mixed(out[short] + wide[short].astype(np.uint64))
-    stop = np.cumsum(counts)
-    parts = [np.unique(out[b - n : b]) for b, n in zip(stop.tolist(), counts.tolist(), strict=True)]
-    return np.concatenate(parts) if parts else out, np.array([len(p) for p in parts], np.int64)
+        every = step(every[:-1], hashed[k:], k)
+    at = np.arange(int(counts.sum())) + np.repeat(starts - (stop - counts), counts)
+    out = every.take(at, mode="clip") if len(every) else np.zeros(len(at), np.uint64)
+    few = np.flatnonzero((sizes > 0) & (sizes < width))
+    if len(few):
+        whole = hashed[starts[few]]
+        for k in range(1, width - 1):
+            more = np.flatnonzero(sizes[few] > k)
+            whole[more] = step(whole[more], hashed[starts[few][more] + k], k)
+        out[stop[few] - 1] = _mixed(whole + sizes[few].astype(np.uint64))
+    for b, n in zip(stop.tolist(), counts.tolist(), strict=True):
+        out[b - n : b].sort()
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = out[1:] != out[:-1]
+    fresh[(stop - counts)[counts > 0]] = True
+    so_far = np.concatenate(([0], np.cumsum(fresh)))
+    return out[fresh], so_far[stop] - so_far[stop - counts]
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:

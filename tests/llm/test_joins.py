@@ -9,9 +9,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from kinfold.llm import hardneg, queries, runs, toccur
+from kinfold.llm import common, hardneg, minmax, queries, runs, toccur
 
 
 def components_of(sets, percent=80):
@@ -247,3 +248,28 @@ def test_reading_stops_before_the_end():
     (at, scores), *_ = lists.best(-1, np.array([3, -2]), 0, [None], hardneg.Wanted(5, True))
     want = np.sort(-(x @ [3, -2]), kind="stable")[:5]
     assert (-scores == want).all() and sum(read) < 2000
+
+
+def test_shingle_hashes_one_by_one(monkeypatch):
+    """Hashes equal those of one window after another, whatever a text's length; no set is made text by text."""
+    mask, (a, b, c) = (1 << 64) - 1, (int(m) for m in minmax._MIX[:3])
+
+    def mixed(x):
+        x = ((x ^ (x >> 31)) * c) & mask
+        return x ^ (x >> 29)
+
+    rng = random.Random(3)
+    texts = [None, "", " \t", *(" ".join(rng.choice(("ab", "C", "d")) for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 40, 2, 0, 7))]
+    monkeypatch.setattr(minmax.np, "unique", None)
+    for width in (1, 2, 5):
+        want = []
+        for text in texts:
+            words, found = [xxhash.xxh64_intdigest(w) for w in common.words_of(text)], set()
+            for k in range(max(len(words) - width + 1, min(len(words), 1))):
+                h, *more = words[k : k + width]
+                for i, m in enumerate(more, 1):
+                    h = mixed((h * a + m * b + i) & mask)
+                found.add(h if len(words) >= width else mixed((h + len(words)) & mask))
+            want.append(sorted(found))
+        shingles, sizes = minmax.shingle_hashes(pa.array(texts, pa.string()), width)
+        assert sizes.tolist() == [len(w) for w in want] and shingles.tolist() == [h for w in want for h in w]
